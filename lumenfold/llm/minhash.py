@@ -4,9 +4,9 @@ Documents with the same shingle set form a class at once; only the smallest docu
 its signature are bucketed. In a bucket all members are paired with the smallest one only, never with each
 other. Pairs are judged batch by batch of the signature: under a uniform prior, a pair is pruned once the
 posterior probability of reaching the threshold is below `miss`; survivors are verified on whole texts. First
-each document's likeliest hub is verified, then other hubs in other components, then, in buckets that still
-hold several components, the members outside the largest one against the members of other components. So
-every pair that shares a bucket is either in one component already or has been judged.
+each document's likeliest hub is verified, then other hubs in other components. The documents of buckets that
+still hold several components are joined by an exact prefix filter on their shingles. So every pair that shares
+a bucket is either in one component already, ruled out by the filter, or judged.
 
 A band has 4 of 128 hashes: a pair of similarity 0.75 shares none of 32 buckets with probability 5e-6.
 
@@ -31,7 +31,7 @@ from .scratch import Scratch
 from .text import SPACE, Block, blocks, column, mix, windows
 
 WORDS, HASHES, ROWS, BATCH, MISS = 5, 128, 4, 16, 1e-6
-PERCENT = 75
+PERCENT, SLOTS = 75, 1 << 16
 _rng = np.random.RandomState(7)
 MUL = (_rng.randint(0, 2**31, HASHES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 XOR = _rng.randint(0, 2**32, HASHES, np.uint64).astype(np.uint32)
@@ -153,16 +153,58 @@ def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def stragglers(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs in one bucket and different components, neither of them the bucket's hub."""
-    m = members.join(comps.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").select("key", "doc_id", "hub", F.coalesce("comp", "doc_id").alias("comp"))
-    sizes = m.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.comp").alias("main"))
-    m = m.join(main, "key").where("doc_id != hub")
-    x = m.where("comp != main").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("cx"))
-    y = m.select("key", F.col("doc_id").alias("y"), F.col("comp").alias("cy"), "main")
-    pairs = x.join(y, "key").where("cx != cy and (cy = main or x < y)")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def split_members(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """doc_id, comp of the documents of buckets that hold more than one component."""
+    m = members.join(comps.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    split = m.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    return m.join(split, "key", "left_semi").select("doc_id", "comp").distinct()
+
+
+def slot_counts(texts: DataFrame) -> np.ndarray:
+    """How many shingles (once per document) fall into each of SLOTS slots of their hash: a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(SLOTS, np.int64)
+        for block in blocks(batches, lower=True):
+            for x in shingle_sets(block):
+                sums += np.bincount((x >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
+        some = np.flatnonzero(sums)
+        yield pa.record_batch([pa.array(some), pa.array(sums[some])], ["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for slot, n in texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
+        out[slot] = n
+    return out
+
+
+def prefix_pairs(texts: DataFrame) -> DataFrame:
+    """texts: doc_id, text, comp. Pairs a, b of different components that a prefix filter can't rule out.
+
+    Shingles are ordered rarest slot first. Two sets that reach the threshold share a shingle in the first
+    n - ceil(0.75 n) + 1 of each, and behind their first common one both have enough left for the overlap that
+    their sizes ask for. Any order gives all pairs; this one makes copies with edits of their own differ early.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(slot_counts(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for block in blocks(batches, lower=True):
+            parts = []
+            for k, x in enumerate(shingle_sets(block)):
+                often = counts[(x >> np.uint64(48)).astype(np.int64)]
+                order = np.lexsort((x, often))[: len(x) - -(-PERCENT * len(x) // 100) + 1]
+                at = np.flatnonzero(often[order] > 1)  # the rest is in no other set
+                parts.append((np.full(len(at), k), x[order[at]], at, np.full(len(at), len(x))))
+            k, token, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            k = pa.array(k)
+            yield pa.record_batch([pa.array(token.view(np.int64)), column(block.rows, "doc_id").take(k), column(block.rows, "comp").take(k), pa.array(n), pa.array(at)], ["token", "doc", "comp", "n", "at"])
+
+    rows = texts.select("doc_id", "text", "comp").mapInArrow(run, "token long, doc long, comp long, n long, at long")
+    a, b = (rows.select("token", *[F.col(c).alias(c + x) for c in ("doc", "comp", "n", "at")]) for x in "ab")
+    left = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    enough = (100 + PERCENT) * left >= PERCENT * (F.col("na") + F.col("nb"))
+    pairs = a.join(b, (a.token == b.token) & (F.col("doca") < F.col("docb")) & (F.col("compa") != F.col("compb")) & enough)
+    return pairs.select(F.col("doca").alias("a"), F.col("docb").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -184,7 +226,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = components(links, s)
     links = links.unionByName(s.keep(verify(across(star, comps), texts), "links"))
     comps = components(links, s)
-    links = links.unionByName(s.keep(verify(prune(stragglers(members, comps), sigs), texts), "links"))
+    split = s.keep(texts.join(split_members(members, comps), "doc_id"), "split")
+    links = links.unionByName(s.keep(verify(prune(prefix_pairs(split), sigs), texts), "links"))
     comps = components(links, s)
     classes = classes.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
     rows = all_.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
