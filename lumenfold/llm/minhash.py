@@ -31,7 +31,7 @@ from .scratch import Scratch
 from .text import SPACE, Block, blocks, column, mix, windows
 
 WORDS, HASHES, ROWS, BATCH, MISS = 5, 128, 4, 16, 1e-6
-PERCENT, SLOTS = 75, 1 << 16
+PERCENT, SLOT_BITS = 75, 20
 _rng = np.random.RandomState(7)
 MUL = (_rng.randint(0, 2**31, HASHES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 XOR = _rng.randint(0, 2**32, HASHES, np.uint64).astype(np.uint32)
@@ -160,20 +160,23 @@ def split_members(members: DataFrame, comps: DataFrame) -> DataFrame:
     return m.join(split, "key", "left_semi").select("doc_id", "comp").distinct()
 
 
+def slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def slot_counts(texts: DataFrame) -> np.ndarray:
-    """How many shingles (once per document) fall into each of SLOTS slots of their hash: a table of fixed size."""
+    """How many shingles (once per document) fall into each slot, the top SLOT_BITS bits of their hash: a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(SLOTS, np.int64)
+        sums = np.zeros(1 << SLOT_BITS, np.int32)
         for block in blocks(batches, lower=True):
-            for x in shingle_sets(block):
-                sums += np.bincount((x >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
+            sums += np.bincount(np.concatenate([slots(x) for x in shingle_sets(block)]), minlength=1 << SLOT_BITS).astype(np.int32)
         some = np.flatnonzero(sums)
-        yield pa.record_batch([pa.array(some), pa.array(sums[some])], ["slot", "n"])
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(sums[some])], ["slot", "n"])
 
-    out = np.zeros(SLOTS, np.int64)
-    for slot, n in texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
-        out[slot] = n
+    found = texts.select("text").mapInArrow(run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -191,7 +194,7 @@ def prefix_pairs(texts: DataFrame) -> DataFrame:
         for block in blocks(batches, lower=True):
             parts = []
             for k, x in enumerate(shingle_sets(block)):
-                often = counts[(x >> np.uint64(48)).astype(np.int64)]
+                often = counts[slots(x)]
                 order = np.lexsort((x, often))[: len(x) - -(-PERCENT * len(x) // 100) + 1]
                 at = np.flatnonzero(often[order] > 1)  # the rest is in no other set
                 parts.append((np.full(len(at), k), x[order[at]], at, np.full(len(at), len(x))))
