@@ -1,10 +1,407 @@
-"""Registered queries over the reference's own operators, with the same queries as DuckDB SQL."""
+"""Registered queries over the library's operators, each with the same query as DuckDB SQL.
+
+The driver's tables are adapted: a spectrum is an order (m/z: price / 100, intensity: quantity) or, with many
+peaks, a supplier; precursors are order totals / 500; vectors are `embeddings`. Every query runs over whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .functions import metadata as M, peaks as P, vectors as V
+from .operators import decompose, encode, evaluate, filters, retrieve, score, simulate
+from .sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: Peaks in SQL: one row per peak.
+PEAKS = "p AS (SELECT l_orderkey AS id, l_extendedprice / 100 AS mz, l_quantity AS x FROM lineitem)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def peak_rows(spark: SparkSession, d: str, key: str = "l_orderkey") -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col(key).alias("id"), (F.col("l_extendedprice") / 100).alias("mz"), F.col("l_quantity").alias("intensity"))
+
+
+def spectra(spark: SparkSession, d: str, key: str = "l_orderkey") -> DataFrame:
+    return peak_rows(spark, d, key).groupBy("id").agg(F.collect_list(F.struct("mz", "intensity")).alias("peaks"))
+
+
+def with_precursor(spark: SparkSession, d: str) -> DataFrame:
+    return spectra(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 500).alias("precursor_mz")), "id")
+
+
+def out(df: DataFrame, column: str = "peaks", *more: str) -> DataFrame:
+    """id, mz, intensity rounded, one row per peak."""
+    rows = df.select("id", *more, F.explode(column).alias("p"))
+    return rows.select("id", *more, F.round("p.mz", 6).alias("mz"), F.round("p.intensity", 6).alias("intensity"))
+
+
+def vectors(spark: SparkSession, d: str, key: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias(key), "embedding", "label")
+
+
+# filters and peak functions
+
+
+@query(f"WITH {PEAKS} SELECT id, count(*) FILTER (x > 0 AND mz > 0)::BIGINT AS n_valid, count(*) FILTER (x > 0)::BIGINT AS n_any_mz, count(*) FILTER (mz >= 50 AND mz <= 1000)::BIGINT AS n_in_range FROM p GROUP BY id")
+def peak_filters(spark, d):
+    n = lambda c: F.size(c).cast("long")
+    p = F.col("peaks")
+    return spectra(spark, d).select("id", n(P.valid_peaks(p)).alias("n_valid"), n(P.valid_peaks(p, False)).alias("n_any_mz"), n(P.in_range(p, 50.0, 1000.0)).alias("n_in_range"))
+
+
+TOP3 = "row_number() OVER (PARTITION BY id ORDER BY x DESC, mz) AS k"
+
+
+@query(f"WITH {PEAKS}, r AS (SELECT *, {TOP3} FROM p WHERE x > 0 AND mz > 0) SELECT id, round(mz, 6) AS mz, round(sqrt(x / max(x) OVER (PARTITION BY id)), 6) AS intensity FROM r WHERE k <= 3")
+def clean_peaks(spark, d):
+    return out(spectra(spark, d).withColumn("peaks", P.clean_peaks(F.col("peaks"), top=3)))
+
+
+@query(f"WITH {PEAKS} SELECT id, round(mz, 6) AS mz, round(x / max(x) OVER w * 1000, 6) AS by_max, round(x / sum(x) OVER w, 6) AS by_sum FROM p WINDOW w AS (PARTITION BY id)")
+def normalize_intensity(spark, d):
+    both = F.zip_with(P.normalize(F.col("peaks"), "max"), P.normalize(F.col("peaks"), "sum"), lambda a, b: F.struct(a.mz.alias("mz"), a.intensity.alias("by_max"), b.intensity.alias("by_sum")))
+    return spectra(spark, d).select("id", F.explode(both).alias("p")).select("id", F.round("p.mz", 6).alias("mz"), F.round("p.by_max", 6).alias("by_max"), F.round("p.by_sum", 6).alias("by_sum"))
+
+
+@query(
+    f"""WITH {PEAKS}, m AS (SELECT 'sqrt' AS mode UNION ALL SELECT 'log1p' UNION ALL SELECT 'sum' UNION ALL SELECT 'max' UNION ALL SELECT 'none'),
+v AS (SELECT id, mz, mode, CASE mode WHEN 'sqrt' THEN sqrt(x) WHEN 'log1p' THEN ln(1 + x) ELSE x END AS v FROM p, m)
+SELECT id, mode, round(mz, 6) AS mz, round(CASE mode WHEN 'none' THEN v WHEN 'sum' THEN v / sum(v) OVER w ELSE v / max(v) OVER w END, 6) AS intensity FROM v WINDOW w AS (PARTITION BY id, mode)"""
+)
+def scale_intensity(spark, d):
+    s = spectra(spark, d)
+    modes = F.create_map(*[x for m in ("sqrt", "log1p", "sum", "max", "none") for x in (F.lit(m), P.scale(F.col("peaks"), m))])
+    return out(s.select("id", F.explode(modes).alias("mode", "peaks")), "peaks", "mode")
+
+
+@query(f"WITH {PEAKS}, r AS (SELECT *, {TOP3} FROM p WHERE x > 0 AND mz > 0) SELECT id, round(mz, 6) AS mz, round(x, 6) AS intensity, row_number() OVER (PARTITION BY id ORDER BY mz, x)::BIGINT AS slot FROM r WHERE k <= 4")
+def pack_fixed(spark, d):
+    rows = spectra(spark, d).select("id", F.posexplode(P.pack(F.col("peaks"), 4)).alias("i", "p"))
+    return rows.select("id", F.round("p.mz", 6).alias("mz"), F.round("p.intensity", 6).alias("intensity"), (F.col("i") + 1).cast("long").alias("slot"))
+
+
+@query(
+    f"""WITH {PEAKS}, r AS (SELECT *, {TOP3} FROM p WHERE x > 0 AND mz BETWEEN 50 AND 1200),
+s AS (SELECT id, mz, sqrt(x) AS v FROM r WHERE k <= 5) SELECT id, round(mz, 6) AS mz, round(v / max(v) OVER (PARTITION BY id), 6) AS intensity FROM s"""
+)
+def select_peaks(spark, d):
+    return out(spectra(spark, d).withColumn("peaks", P.select_peaks(F.col("peaks"), top=5, mode="sqrt")))
+
+
+@query(f"WITH {PEAKS} SELECT id, round_even(mz, 0)::BIGINT AS token, max(x) AS by_max, sum(x) AS by_sum FROM p GROUP BY ALL")
+def tokens(spark, d):
+    rows = peak_rows(spark, d).withColumn("token", P.token_ids(F.col("mz")))
+    a, b = P.merge_tokens(rows, "id", "max"), P.merge_tokens(rows, "id", "sum")
+    return a.withColumnRenamed("intensity", "by_max").join(b.withColumnRenamed("intensity", "by_sum"), ["id", "token"])
+
+
+@query(
+    f"""WITH {PEAKS}, a AS (SELECT id, round_even(mz, 0)::BIGINT AS token, x FROM p WHERE x > 0 AND mz BETWEEN 50 AND 1000 AND round_even(mz, 0) BETWEEN 2 AND 1001),
+b AS (SELECT id, token, sqrt(x / max(x) OVER (PARTITION BY id)) AS v FROM a), c AS (SELECT id, token, sum(v) AS v FROM b GROUP BY ALL),
+e AS (SELECT id, token, v / max(v) OVER (PARTITION BY id) AS v FROM c), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, token) AS k FROM e)
+SELECT id, token, round(v, 6) AS intensity FROM f WHERE k <= 100"""
+)
+def token_inputs(spark, d):
+    return P.token_inputs(peak_rows(spark, d), "id", power=0.5, mode="sum").select("id", "token", F.round("intensity", 6).alias("intensity"))
+
+
+@query(
+    f"""WITH {PEAKS}, r AS (SELECT *, {TOP3} FROM p WHERE x > 0 AND mz > 0)
+SELECT id, least(greatest(floor(mz) + 1, 1), 1001)::BIGINT AS token, x AS intensity, round(x / max(x) OVER (PARTITION BY id), 6) AS relative FROM r WHERE k <= 5"""
+)
+def run_inputs(spark, d):
+    both = F.zip_with(P.raw_tokens(F.col("peaks"), top=5), P.raw_tensor(F.col("peaks"), top=5), lambda a, b: F.struct(a.token.alias("token"), a.intensity.alias("intensity"), F.round(b.intensity, 6).alias("relative")))
+    return spectra(spark, d).select("id", F.explode(both).alias("p")).select("id", "p.*")
+
+
+@query(f"WITH {PEAKS} SELECT p.id, round(o_totalprice / 500 - mz, 6) AS mz, round(x, 6) AS intensity FROM p JOIN orders ON o_orderkey = p.id")
+def neutral_losses(spark, d):
+    return out(with_precursor(spark, d).withColumn("peaks", P.neutral_losses(F.col("peaks"), F.col("precursor_mz"))))
+
+
+@query(
+    """WITH p AS (SELECT l_suppkey AS id, l_extendedprice / 100 AS mz, l_quantity AS x FROM lineitem),
+a AS (SELECT *, CASE WHEN mz - lag(mz) OVER w <= 0.05 THEN 0 ELSE 1 END AS n FROM p WINDOW w AS (PARTITION BY id ORDER BY mz, x)),
+b AS (SELECT *, sum(n) OVER (PARTITION BY id ORDER BY mz, x ROWS UNBOUNDED PRECEDING) AS g FROM a),
+c AS (SELECT id, g, sum(mz * x) / sum(x) AS mz, sum(x) AS x FROM b GROUP BY ALL)
+SELECT id, round(mz, 5) AS mz, round(x / max(x) OVER (PARTITION BY id) * 1000, 6) AS intensity FROM c"""
+)
+def merge_peaks(spark, d):
+    return simulate.chain(peak_rows(spark, d, "l_suppkey"), "id", 0.05).select("id", F.round("mz", 5).alias("mz"), F.round("intensity", 6).alias("intensity"))
+
+
+@query(
+    """WITH p AS (SELECT l_suppkey AS id, l_linenumber AS c, l_extendedprice / 100 AS mz, l_quantity AS x FROM lineitem),
+s AS (SELECT id, c, c / sum(c) OVER (PARTITION BY id) AS share FROM (SELECT DISTINCT id, c FROM p)),
+q AS (SELECT id, mz, x / max(x) OVER (PARTITION BY id, c) * 1000 * share AS x FROM p JOIN s USING (id, c)),
+a AS (SELECT *, CASE WHEN mz - lag(mz) OVER w <= 0.01 THEN 0 ELSE 1 END AS n FROM q WINDOW w AS (PARTITION BY id ORDER BY mz, x)),
+b AS (SELECT *, sum(n) OVER (PARTITION BY id ORDER BY mz, x ROWS UNBOUNDED PRECEDING) AS g FROM a),
+e AS (SELECT id, g, sum(mz * x) / sum(x) AS mz, sum(x) AS x FROM b GROUP BY ALL)
+SELECT id, round(mz, 5) AS mz, round(x / max(x) OVER (PARTITION BY id) * 1000, 5) AS intensity FROM e"""
+)
+def mix_components(spark, d):
+    line = table(spark, d, "lineitem")
+    rows = line.select(F.col("l_suppkey").alias("id"), F.col("l_linenumber").alias("component"), F.col("l_linenumber").cast("double").alias("weight"), (F.col("l_extendedprice") / 100).alias("mz"), F.col("l_quantity").alias("intensity"))
+    return simulate.merge_peaks(rows, "id").select("id", F.round("mz", 5).alias("mz"), F.round("intensity", 5).alias("intensity"))
+
+
+# metadata
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN '[M+H]+' WHEN 1 THEN '[M-H]-' WHEN 2 THEN '[M-H2O+H]+' WHEN 3 THEN 'Positive' WHEN 4 THEN '-1' ELSE ' None ' END AS a, o_orderpriority AS s FROM orders)
+SELECT id, CASE o WHEN 1 THEN 'negative' WHEN 0 THEN 'positive' WHEN 2 THEN 'positive' WHEN 3 THEN 'positive' WHEN 4 THEN 'unknown' ELSE 'unknown' END AS mode,
+  CASE o WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' WHEN 2 THEN 'negative' WHEN 3 THEN 'positive' WHEN 4 THEN 'negative' ELSE 'unknown' END AS legacy_mode,
+  CASE o WHEN 3 THEN 'positive' WHEN 4 THEN 'negative' END AS normal, CASE o WHEN 3 THEN 'positive' WHEN 4 THEN 'positive' END AS legacy_normal,
+  CASE WHEN o = 5 THEN '' ELSE trim(a) END AS structure, CASE WHEN o = 4 THEN -1 END::BIGINT AS number, a || ' | ' || s AS joined, printf('chimera_AB_%06d', id) AS name
+FROM (SELECT *, id % 6 AS o FROM t)"""
+)
+def metadata_functions(spark, d):
+    kinds = ("[M+H]+", "[M-H]-", "[M-H2O+H]+", "Positive", "-1", " None ")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(*map(F.lit, kinds))[(F.col("o_orderkey") % 6).cast("int")].alias("a"), F.col("o_orderpriority").alias("s"))
+    a = F.col("a")
+    return rows.select(
+        "id", F.when(a == "-1", "unknown").otherwise(M.infer_ion_mode(a)).alias("mode"), M.infer_ion_mode(a, legacy=True).alias("legacy_mode"), M.normalize_ion_mode(a).alias("normal"), M.normalize_ion_mode(a, True).alias("legacy_normal"),
+        M.structure(a).alias("structure"), M.safe_long(a).alias("number"), M.joined(F.array("a", "s")).alias("joined"), M.chimera_id(F.lit("AB"), F.col("id")).alias("name"),
+    )
+
+
+@query(
+    """WITH n AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS id, round(o_totalprice / 500, 6) AS precursor_mz, n::BIGINT AS num_peaks FROM orders JOIN n ON id = o_orderkey
+WHERE o_totalprice / 500 >= 50 AND n >= 4 AND trim(o_orderpriority) <> '' AND lower(o_orderstatus) IN ('f', 'o')"""
+)
+def valid_spectra(spark, d):
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("num_peaks"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 500).alias("precursor_mz"), F.col("o_orderpriority").alias("smiles"), F.col("o_orderstatus").alias("ION_MODE"))
+    rows = filters.valid_spectra(o.join(n, "id"), min_peaks=4, need=("smiles",), ion_modes=("f", "O"))
+    return rows.select("id", F.round("precursor_mz", 6).alias("precursor_mz"), "num_peaks")
+
+
+@query(
+    """WITH q AS (SELECT 'q/' || r_name || '.npy' AS f, lower(r_name) AS m FROM region), l AS (SELECT 'l/library_' || n_name || '.npy' AS f, lower(n_name) AS m FROM nation UNION ALL SELECT 'l/library_' || r_name || '.npy', lower(r_name) FROM region)
+SELECT m AS method, q.f AS query_file, l.f AS library_file, substr(md5(q.f || '|' || l.f), 1, 12) AS pair_id FROM q JOIN l USING (m)"""
+)
+def match_files(spark, d):
+    r, n = table(spark, d, "region").select(F.col("r_name").alias("x")), table(spark, d, "nation").select(F.col("n_name").alias("x"))
+    return readers.match_files(r.select(F.concat(F.lit("q/"), "x", F.lit(".npy")).alias("path")), n.unionByName(r).select(F.concat(F.lit("l/library_"), "x", F.lit(".npy")).alias("path")))
+
+
+# vectors and encoders
+
+BINS = """, b AS (SELECT id, floor(mz / 1.0)::BIGINT AS bin, sum({x}) AS v FROM {p} WHERE floor(mz / 1.0) BETWEEN 0 AND 1999 GROUP BY ALL)"""
+
+
+@query(f"WITH {PEAKS}, r AS (SELECT *, {TOP3} FROM p), c AS (SELECT id, mz, sqrt(x / max(x) OVER (PARTITION BY id)) AS x FROM r WHERE k <= 200)" + BINS.format(x="x", p="c") + " SELECT id, bin, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS value FROM b")
+def binned(spark, d):
+    return encode.binned(spectra(spark, d), "id", size=1.0).select("id", "bin", F.round("value", 6).alias("value"))
+
+
+@query(
+    f"""WITH {PEAKS}, q AS (SELECT id, mz, x, o_totalprice / 500 - mz AS loss FROM p JOIN orders ON o_orderkey = id),
+a AS (SELECT id, floor(mz / 1.0)::BIGINT AS bin, sum(x) AS v FROM q WHERE floor(mz / 1.0) BETWEEN 0 AND 1999 GROUP BY ALL),
+l AS (SELECT id, floor(loss / 1.0)::BIGINT + 2000 AS bin, sum(x) AS v FROM q WHERE floor(loss / 1.0) BETWEEN 0 AND 999 GROUP BY ALL),
+u AS (SELECT id, bin, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM a UNION ALL SELECT id, bin, 0.5 * v / sqrt(sum(v * v) OVER (PARTITION BY id)) FROM l)
+SELECT id, bin, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS value FROM u"""
+)
+def neutral_loss_binned(spark, d):
+    return encode.neutral_loss_binned(with_precursor(spark, d), "id", size=1.0, weight=0.5, clean=False).select("id", "bin", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {PEAKS}, b AS (SELECT id, floor((mz - 50) / 1.0)::BIGINT AS bin, sum(x) AS v FROM p WHERE floor((mz - 50) / 1.0) BETWEEN 0 AND 1149 GROUP BY ALL) SELECT id, bin, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS value FROM b")
+def run_binned(spark, d):
+    return encode.run_binned(spectra(spark, d), "id").select("id", "bin", F.round("value", 6).alias("value"))
+
+
+@query(
+    f"""WITH {PEAKS}, r AS (SELECT *, {TOP3} FROM p), c AS (SELECT id, mz, sqrt(x / max(x) OVER (PARTITION BY id)) AS x FROM r WHERE k <= 200)
+SELECT id, 'peak@' || printf('%.4f', mz) AS word, round(x, 6) AS weight FROM c"""
+)
+def documents(spark, d):
+    return encode.documents(spectra(spark, d), "id", 4).select("id", "word", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    """WITH w AS (SELECT l_suppkey AS id, l_partkey % 500 AS word, sqrt(l_quantity) AS w FROM lineitem),
+v AS (SELECT vec_id AS word, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+s AS (SELECT id, i, sum(w * x) / sum(w) AS x FROM w JOIN v USING (word) GROUP BY ALL),
+n AS (SELECT id, i, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM s)
+SELECT id, count(*)::BIGINT AS size, round(sum(x * i), 5) AS moment, round(sum(x * x), 6) AS norm FROM n GROUP BY id"""
+)
+def word_vectors(spark, d):
+    docs = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), (F.col("l_partkey") % 500).alias("word"), F.col("l_quantity").alias("weight"))
+    rows = encode.word_vectors(docs, table(spark, d, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").cast("array<double>").alias("vector")), "id")
+    moment = F.aggregate(F.zip_with("embedding", F.sequence(F.lit(1), F.size("embedding")), lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("id", F.size("embedding").cast("long").alias("size"), F.round(moment, 5).alias("moment"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
+
+
+NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
+
+
+@query(f"SELECT count(*)::BIGINT AS n_rows, 1.0::DOUBLE AS finite_ratio, round(min({NORM}), 6) AS min_norm, round(avg({NORM}), 6) AS mean_norm, round(max({NORM}), 6) AS max_norm FROM embeddings")
+def embedding_summary(spark, d):
+    s = V.summary(table(spark, d, "embeddings"))
+    return s.select("n_rows", "finite_ratio", *[F.round(c, 6).alias(c) for c in ("min_norm", "mean_norm", "max_norm")])
+
+
+@query(f"SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / greatest({NORM}, 1e-12))), 5) AS total FROM embeddings")
+def unit_vectors(spark, d):
+    rows = encode.encode("stored", table(spark, d, "embeddings").withColumnRenamed("vec_id", "id"), "id")
+    return rows.select("id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
+
+
+# retrieval, decomposition, scoring, evaluation
+
+COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+TOPK = f"""SELECT query_index, rank, library_index, round(s, 6) AS similarity FROM (
+SELECT a.vec_id AS query_index, b.vec_id AS library_index, round({COS}, 12) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 12) DESC, b.vec_id)::BIGINT AS rank FROM embeddings a, embeddings b) WHERE rank <= 10"""
+
+
+def _topk(spark, d, strategy, **how):
+    rows = retrieve.topk_cosine(vectors(spark, d, "query_index"), vectors(spark, d, "library_index"), 10, strategy, **how)
+    return rows.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(TOPK)
+def topk_block(spark, d):
+    return _topk(spark, d, "block")
+
+
+@query(TOPK)
+def topk_partitioned(spark, d):
+    return _topk(spark, d, "partitioned", block=200)
+
+
+@query(
+    """WITH p AS (SELECT l_suppkey AS id, l_extendedprice / 100 AS mz, l_quantity AS x FROM lineitem),
+b AS (SELECT id, floor((mz - 50) / 1.0)::BIGINT AS bin, sum(x) AS v FROM p WHERE floor((mz - 50) / 1.0) BETWEEN 0 AND 1149 GROUP BY ALL),
+u AS (SELECT id, bin, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM b),
+s AS (SELECT a.id AS query_index, c.id AS library_index, round(sum(a.v * c.v), 12) AS s FROM u a JOIN u c USING (bin) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_index ORDER BY s DESC, library_index)::BIGINT AS rank FROM s)
+SELECT query_index, rank, library_index, round(s, 6) AS similarity FROM k WHERE rank <= 5"""
+)
+def topk_sparse(spark, d):
+    rows = encode.run_binned(spectra(spark, d, "l_suppkey"), "id")
+    return retrieve.topk_sparse(rows.withColumnRenamed("id", "query_index"), rows.withColumnRenamed("id", "library_index"), 5).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey AS id, floor(o_totalprice / 500 / 20)::BIGINT AS window_id FROM orders), n AS (SELECT window_id, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 3)
+SELECT id, window_id FROM p JOIN n USING (window_id)"""
+)
+def precursor_windows(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 500).alias("precursor_mz"))
+    return simulate.windows(rows).select("id", "window_id")
+
+
+@query()
+def simulated_mixtures(spark, d):
+    rows = with_precursor(spark, d).select(
+        F.col("id").alias("library_index"), "precursor_mz", "peaks", F.lit(1).cast("long").alias("charge"), F.concat(F.lit("key"), "id").alias("inchikey"), F.concat(F.lit("C"), "id").alias("smiles"), F.concat(F.lit("name"), "id").alias("name"), F.lit("[M+H]+").alias("adduct"),
+    )
+    return simulate.simulate(rows, 1000, 1000)
+
+
+def neighbors(spark, d) -> DataFrame:
+    lib = vectors(spark, d, "library_index").withColumn("precursor_mz", 100 + 50 * F.col("label") + 0.01 * (F.col("library_index") % 7))
+    topk = retrieve.topk_cosine(vectors(spark, d, "query_index"), lib, 100)
+    return decompose.decompose(topk, lib, "stored")
+
+
+@query()
+def decomposed_neighbors(spark, d):
+    return neighbors(spark, d)
+
+
+@query()
+def component_predictions(spark, d):
+    truth = vectors(spark, d, "query_index").select("query_index", F.lit(2).cast("long").alias("component_count"))
+    return evaluate.predictions(neighbors(spark, d), truth)
+
+
+@query()
+def adaptive_k_summary(spark, d):
+    return decompose.summarize_k(neighbors(spark, d))
+
+
+#: Candidates of a query: the lines of an order; clusters by line number; made-up scaffolds.
+CANDIDATES = """c AS (SELECT l_orderkey AS query_index, (l_linenumber % 3)::BIGINT AS cluster, (l_extendedprice * 100)::BIGINT AS library_index, l_discount * 10 AS similarity, 'S' || (l_partkey % 4) AS scaffold, (l_quantity::BIGINT % 12) AS atoms FROM lineitem),
+e AS (SELECT query_index, cluster, 'S' || (cluster % 4) AS scaffold, (query_index % 150)::BIGINT AS n, CASE WHEN query_index % 3 = 0 THEN (query_index % 10) / 10.0 END::DOUBLE AS conf, ((query_index + cluster) % 8)::BIGINT AS mcs FROM (SELECT DISTINCT query_index, cluster FROM c) WHERE query_index % 11 <> 0),
+s AS (SELECT c.*, least(1, greatest(0, CASE WHEN conf > 0 THEN conf ELSE least(1.0, coalesce(n, 0) / 100.0) END)) AS support, least(1.0, coalesce(mcs, 0) / greatest(atoms, 1)::DOUBLE) AS overlap,
+  CASE WHEN coalesce(mcs, 0) >= 5 THEN 1 ELSE 0 END AS coverage, CASE WHEN c.scaffold = e.scaffold THEN 1 ELSE 0 END AS exact, coalesce(mcs, 0) AS mcs FROM c LEFT JOIN e USING (query_index, cluster)),
+t AS (SELECT *, CASE WHEN mcs <= 0 THEN 0.0 ELSE 0.30 * support + 0.35 * overlap + 0.25 * coverage + 0.10 * exact END::DOUBLE AS score FROM s)"""
+
+
+def scored(spark, d) -> DataFrame:
+    line = table(spark, d, "lineitem")
+    c = line.select(
+        F.lit("m").alias("method"), F.col("l_orderkey").alias("query_index"), (F.col("l_linenumber") % 3).cast("long").alias("cluster"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("library_index"), (F.col("l_discount") * 10).alias("similarity"),
+        F.lit(0).cast("long").alias("rank"), F.concat(F.lit("S"), (F.col("l_partkey") % 4).cast("string")).alias("candidate_scaffold"), (F.col("l_quantity").cast("long") % 12).alias("candidate_scaffold_atoms"),
+    )
+    q = F.col("query_index")
+    e = c.select("method", "query_index", "cluster").distinct().where(q % 11 != 0).select(
+        "method", "query_index", "cluster", F.lit("").alias("smarts"), F.concat(F.lit("S"), (F.col("cluster") % 4).cast("string")).alias("scaffold_smiles"), (q % 150).alias("n_molecules"),
+        F.when(q % 3 == 0, (q % 10) / 10).alias("confidence"), ((q + F.col("cluster")) % 8).alias("mcs_num_atoms"), F.lit(0).cast("long").alias("mcs_num_bonds"),
+    )
+    return score.backbone_confidence(c, e)
+
+
+@query(f"WITH {CANDIDATES} SELECT query_index, cluster, library_index, round(support, 6) AS support, round(overlap, 6) AS overlap, coverage::INTEGER AS coverage, exact::INTEGER AS exact, round(score, 6) AS backbone_confidence, CASE WHEN mcs <= 0 THEN 'no_valid_mcs_or_scaffold' ELSE 'mcs_scaffold_supported' END AS reason FROM t")
+def backbone_confidence(spark, d):
+    return scored(spark, d).select("query_index", "cluster", "library_index", *[F.round(c, 6).alias(c) for c in ("support", "overlap")], "coverage", "exact", F.round("backbone_confidence", 6).alias("backbone_confidence"), "reason")
+
+
+@query(
+    f"""WITH {CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_index, cluster ORDER BY similarity DESC, library_index)::BIGINT AS k FROM t WHERE round(score, 9) >= 0.4)
+SELECT query_index, cluster, library_index, k AS recommendation_rank_in_cluster, round(similarity, 6) AS similarity FROM r WHERE k <= 3"""
+)
+def recommendations(spark, d):
+    rows = scored(spark, d).withColumn("backbone_confidence", F.round("backbone_confidence", 9))
+    return score.recommend(rows).select("query_index", "cluster", "library_index", "recommendation_rank_in_cluster", F.round("similarity", 6).alias("similarity"))
+
+
+EVALUATED = "r AS (SELECT o_orderkey AS query_index, 2 + o_orderkey % 2 AS t, 2 + o_custkey % 3 AS p FROM orders)"
+
+
+def _evaluated(spark, d) -> DataFrame:
+    o = table(spark, d, "orders")
+    return evaluate.accuracy(o.select(F.col("o_orderkey").alias("query_index"), (2 + F.col("o_orderkey") % 2).alias("true_component_count"), (2 + F.col("o_custkey") % 3).alias("predicted_component_count")))
+
+
+@query(
+    f"""WITH {EVALUATED} SELECT count(*)::BIGINT AS n_eval, round(avg((t = p)::INT), 6) AS overall_accuracy, round(avg((t = p)::INT) FILTER (t = 2), 6) AS accuracy_true_2, count(*) FILTER (t = 2 AND p = 2)::BIGINT AS correct_true_2, count(*) FILTER (t = 2)::BIGINT AS total_true_2,
+round(avg((t = p)::INT) FILTER (t = 3), 6) AS accuracy_true_3, count(*) FILTER (t = 3 AND p = 3)::BIGINT AS correct_true_3, count(*) FILTER (t = 3)::BIGINT AS total_true_3 FROM r"""
+)
+def component_accuracy(spark, d):
+    rows = _evaluated(spark, d)
+    return rows.select(*[F.round(c, 6).alias(c) if "accuracy" in c else c for c in rows.columns])
+
+
+@query(f"WITH {EVALUATED} SELECT t::VARCHAR AS true_count, round(avg((t = p)::INT), 6) AS accuracy FROM r GROUP BY t")
+def component_accuracy_long(spark, d):
+    return evaluate.long_accuracy(_evaluated(spark, d)).select("true_count", F.round("accuracy", 6).alias("accuracy"))
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id")
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Exact Top-10 of all vectors, then the three best of each label."""
+    topk = _topk(spark, d, "auto").join(vectors(spark, d, "library_index").select("library_index", "label"), "library_index")
+    rows = topk.select(F.lit("stored").alias("method"), "query_index", F.col("label").cast("long").alias("cluster"), "library_index", "rank", "similarity", F.lit(1.0).alias("backbone_confidence"))
+    return score.recommend(rows, prune=False).select("query_index", "cluster", "library_index", "recommendation_rank_in_cluster", "similarity")
