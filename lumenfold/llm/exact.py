@@ -16,7 +16,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .scratch import Scratch, shared_dir
+from .scratch import Scratch, shared_dir, without
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -73,6 +73,6 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None, buckets: int = 4
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup() keeps."""
+    """The rows of docs that exact_dedup() keeps, and those with a null doc_id."""
     dropped = exact_dedup(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, dropped)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, without
 from .text import SPACE, Block, blocks, column, mix, windows
 
 WORDS, HASHES, ROWS, BATCH, MISS = 5, 128, 4, 16, 1e-6
@@ -238,6 +238,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_near(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps."""
+    """The rows of docs that near_duplicates() keeps, and those with a null doc_id."""
     dropped = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, dropped)

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, columns
 
 #: Largest ratio of a source's passes to those of the least repeated source; tokens in a block.
 REPEATS, BLOCK_TOKENS, SEED = 2.0, 1 << 16, "mix1"
@@ -94,14 +94,14 @@ def plan_mix(docs: DataFrame, scratch: Scratch, target_entropy: float | None = N
 
 def realise(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The documents of the mixture, once per pass, with the columns `mix` struct: source, n_tokens, epoch, block, weight, exponent, slot."""
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("doc"), F.coalesce("source", F.lit("")).alias("source"), spread(F.col("doc_id")).alias("h"))
+    rows = docs.select(F.struct(*columns(docs)).alias("doc"), F.coalesce("source", F.lit("")).alias("source"), spread(F.col("doc_id")).alias("h"))
     rows = rows.join(plan, "source").withColumn("block", F.col("h") % F.col("n_blocks"))
     here = F.struct(spread(F.col("source"), F.col("block"), F.col("whole") + 1).alias("key"), "block", "h", F.col("doc.doc_id").alias("doc_id"))
     more = F.when(F.col("cut").isNotNull() & (here <= F.col("cut")), 1).otherwise(0)
     rows = rows.withColumn("times", F.col("whole").cast("int") + more).where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("times"))))
     key = spread(F.col("source"), F.col("block"), F.col("epoch"))
-    slot = F.round((F.col("epoch") - 1 + key / F.lit(float(1 << 60))) / F.col("passes"), 9)
+    part = F.when(F.col("epoch") > F.col("whole"), F.col("passes") - F.col("whole")).otherwise(1.0)  # of a pass that this one takes
+    slot = F.round((F.col("epoch") - 1 + key / F.lit(float(1 << 60)) * part) / F.col("passes"), 9)
     return rows.select("doc", F.struct("source", F.col("epoch").cast("long").alias("epoch"), "block", "weight", "exponent", slot.alias("slot"), "h").alias("mix"))
 
 
@@ -136,6 +136,6 @@ d AS (
 o AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY k, block, h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
 e AS (SELECT *, unnest(range(1, (whole + 1 + CASE WHEN before < rest THEN 1 ELSE 0 END)::BIGINT)) AS epoch FROM o)
 SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, epoch::BIGINT AS epoch, block::BIGINT AS block, weight, exponent,
-  round((epoch - 1 + ('0x' || substr(md5('mix1:' || source || ':' || block || ':' || epoch), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE) / passes, 9) AS slot
+  round((epoch - 1 + ('0x' || substr(md5('mix1:' || source || ':' || block || ':' || epoch), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE * CASE WHEN epoch > whole THEN passes - whole ELSE 1.0 END) / passes, 9) AS slot
 FROM e
 """

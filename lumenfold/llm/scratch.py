@@ -5,7 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def columns(df: DataFrame) -> list:
+    """All columns, whatever characters their names have."""
+    return [df[f"`{c.replace('`', '``')}`"] for c in df.columns]
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is not in `dropped`; rows with a null doc_id stay."""
+    return docs.join(dropped.select(F.col("doc_id").alias("_dropped")), F.col("doc_id") == F.col("_dropped"), "left_anti")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -39,7 +39,7 @@ class Block:
     """Some rows of a batch: their texts' bytes, each followed by a space, and where each text starts."""
 
     def __init__(self, rows: pa.RecordBatch, texts: pa.Array, lower: bool):
-        raw = texts.to_pylist() if not pa.types.is_binary(texts.type) else texts.to_pylist()
+        raw = texts.to_pylist()
         joined = b" ".join(raw) + b" "
         if lower:
             joined = joined.translate(LOWER)

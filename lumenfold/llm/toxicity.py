@@ -18,8 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .scratch import Scratch, columns
 from .text import PUNCT, Block, blocks, column, mix, word_hash, _MASK
 
 PER_CLASS, MOST, PENALTY, RIDGE, THRESHOLD = 9000, 4096, 1.0, 2e-4, 0.3
@@ -144,6 +145,8 @@ class Model:
 
 def minimise(rows: list, size: int, share: float, penalty: float = PENALTY, ridge: float = RIDGE, steps: int = 300) -> tuple[np.ndarray, float]:
     """Adam on the whole sample. rows: toxic, has, swapped; share: of toxic labels."""
+    if not rows:  # labelled documents that aren't in the table
+        return np.zeros(size), float(np.log(max(share, 1e-12) / max(1 - share, 1e-12)))
     y = np.array([r[0] for r in rows], float)
     flat = lambda xs: (np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.fromiter((k for x in xs for k in x), np.int64))
     doc, k = flat([r[1] for r in rows])
@@ -176,8 +179,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
     some = labels.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(labels.where("toxic = 0").orderBy(*order).limit(per_class))
     # at most 2 * per_class rows of a number and a flag
     sample = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("text", "toxic")
-    from .scratch import Scratch
-
     sample = Scratch(docs.sparkSession).keep(sample, "labelled")
     counts = count_features(sample).where("pos + neg >= 4")
     p, n = (min(sizes[c], per_class) for c in (1, 0))
@@ -190,28 +191,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
     return Model(vocabulary, *minimise(rows, len(vocabulary.sorted), share, penalty))
 
 
-def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns and `score` in [0, 1] for every row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """`doc`, a struct of all columns of docs, and `score` in [0, 1] for every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for block in blocks(batches, "_text", lower=True):
-            rows = block.rows.select([c for c in block.rows.schema.names if c != "_text"])
-            yield pa.record_batch([*rows.columns, pa.array(model.score(block))], [*rows.schema.names, "_score"])
+        for block in blocks(batches, lower=True):
+            yield pa.record_batch([column(block.rows, "doc"), pa.array(model.score(block))], ["doc", "score"])
 
-    rows = docs.select(*carry, F.col("text").cast("string").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
-    return rows.mapInArrow(run, f"{kinds}, _score double")
+    rows = docs.select(F.struct(*columns(docs)).alias("doc"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    rows = score(docs, fit(docs, labels))
-    return rows.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    rows = score(docs.select("doc_id", "text"), fit(docs, labels)).select("doc.doc_id", "score")
+    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that toxicity() does not reject."""
-    return score(docs, fit(docs, labels), tuple(docs.columns)).where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    return score(docs, fit(docs, labels)).where(F.col("score") < THRESHOLD).select("doc.*")

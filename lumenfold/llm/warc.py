@@ -27,6 +27,7 @@ from .text import column
 
 MAGIC = 0x184D2A5D
 ROLL, DICTIONARY, LEVEL, LEAST = 8 << 20, 64 << 10, 3, 1000
+PER_TASK = 4  # archives that one task reads
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -163,7 +164,8 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes all pages, reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     s = Scratch(pages.sparkSession)
     listed = s.keep(write_archives(decide(pages), folder or s.path("warc")), "archives")
-    rows = read_archives(listed.repartition(F.xxhash64("archive")))
+    # a given number, else tasks would be merged by the size of this list of names
+    rows = read_archives(listed.repartition(max(1, -(-listed.count() // PER_TASK)), "archive"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
