@@ -28,7 +28,9 @@ def _usable(df: DataFrame, key: str) -> DataFrame:
 
 
 def _matrix(values) -> np.ndarray:
-    x = np.array([np.asarray(v, np.float64) for v in values]).reshape(len(values), -1)
+    if not len(values):
+        return np.zeros((0, 0))
+    x = np.stack([np.asarray(v, np.float64) for v in values])
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 

@@ -142,10 +142,11 @@ def neutral_losses(spark, d):
 a AS (SELECT *, CASE WHEN mz - lag(mz) OVER w <= 0.05 THEN 0 ELSE 1 END AS n FROM p WINDOW w AS (PARTITION BY id ORDER BY mz, x)),
 b AS (SELECT *, sum(n) OVER (PARTITION BY id ORDER BY mz, x ROWS UNBOUNDED PRECEDING) AS g FROM a),
 c AS (SELECT id, g, sum(mz * x) / sum(x) AS mz, sum(x) AS x FROM b GROUP BY ALL)
-SELECT id, round(mz, 5) AS mz, round(x / max(x) OVER (PARTITION BY id) * 1000, 6) AS intensity FROM c"""
+SELECT id, floor(mz * 1e6 + 0.4999) / 1e6 AS mz, round(x / max(x) OVER (PARTITION BY id) * 1000, 6) AS intensity FROM c"""
 )
 def merge_peaks(spark, d):
-    return simulate.chain(peak_rows(spark, d, "l_suppkey"), "id", 0.05).select("id", F.round("mz", 5).alias("mz"), F.round("intensity", 6).alias("intensity"))
+    return simulate.chain(peak_rows(spark, d, "l_suppkey"), "id", 0.05).select("id", (F.floor(F.col("mz") * 1e6 + 0.4999) / 1e6).alias("mz"),  # halves down, whatever the order of summing
+         F.round("intensity", 6).alias("intensity"))
 
 
 @query(
