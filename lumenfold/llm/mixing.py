@@ -23,6 +23,8 @@ from .scratch import Scratch, columns
 
 #: Largest ratio of a source's passes to those of the least repeated source; tokens in a block.
 REPEATS, BLOCK_TOKENS, SEED = 2.0, 1 << 16, "mix1"
+#: Low bits of a block's 60-bit hash that don't tell its slice: 4,096 slices of a pass are summed before the blocks of one.
+SLICE_BITS = 48
 
 
 def tokens(text: str = "text") -> Column:
@@ -80,9 +82,16 @@ def plan_mix(docs: DataFrame, scratch: Scratch, target_entropy: float | None = N
     # blocks of the last, partial pass in their order; the block, then the document, at which the quota is reached
     dealt = t.join(plan.where("rest > 0").select("source", "n_blocks", "whole", "rest"), "source").withColumn("block", F.col("h") % F.col("n_blocks"))
     sums = dealt.groupBy("source", "block", "whole", "rest").agg(F.sum("n_tokens").alias("n_tokens")).withColumn("key", spread(F.col("source"), F.col("block"), F.col("whole") + 1))
-    order = Window.partitionBy("source").orderBy("key", "block").rowsBetween(Window.unboundedPreceding, -1)
-    last = sums.withColumn("before", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).where("before < rest and rest <= before + n_tokens")
-    last = last.select("source", "block", "key", "before")
+    sums = scratch.keep(sums.withColumn("slice", F.shiftright("key", SLICE_BITS)), "blocks")
+    reached = "before < rest and rest <= before + n_tokens"
+
+    def before(*by: str) -> Column:
+        return F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    # the slice of the hashes first, so that no task orders all blocks of a source
+    slices = sums.groupBy("source", "slice", "rest").agg(F.sum("n_tokens").alias("n_tokens")).withColumn("before", before("slice")).where(reached)
+    last = sums.join(slices.select("source", "slice", F.col("before").alias("base")), ["source", "slice"])
+    last = last.withColumn("before", F.col("base") + before("key", "block")).where(reached).select("source", "block", "key", "before")
     inside = Window.partitionBy("source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
         dealt.join(last, ["source", "block"])
