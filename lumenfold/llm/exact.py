@@ -2,7 +2,8 @@
 
 The index is a Parquet table bucketed and sorted by digest. New data is reduced to one row per digest
 (partial aggregation first, so a group of copies costs a row per task), anti-joined to the index by
-sort-merge without moving the index, and what is new is appended.
+sort-merge without moving the index, and what is new is appended. The number of buckets is set when an index
+is made (by the rows of its first batch, unless given) and kept beside it.
 
 Null and empty texts are both the empty text and so copies of each other. Of equal texts the row with the
 most code points in its original stays, then the smallest doc_id (a null doc_id counts as smallest). Rows
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .scratch import Scratch, shared_dir, without
 
 SPACES = " \t\n\x0b\x0c\r"
+#: Least buckets of an index, and rows of the first batch for each bucket beyond.
+BUCKETS, BUCKET_ROWS = 48, 1 << 21
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -30,8 +33,11 @@ def digests(docs: DataFrame) -> DataFrame:
 class DigestIndex:
     """A persistent set of digests with the document that stands for each."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 48, name: str | None = None):
-        self.spark, self.path, self.buckets, self.name = spark, path, buckets, name or f"digest_index_{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, name: str | None = None):
+        self.spark, self.path, self.name = spark, path, name or f"digest_index_{uuid.uuid4().hex}"
+        noted = f"{path}.buckets"
+        spark.range(0, 1, 1, 1).select(F.lit(buckets).alias("n")).write.mode("ignore").parquet(noted)
+        self.buckets = buckets = spark.read.schema("n int").parquet(noted).first().n
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet"
             f" CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
@@ -55,15 +61,15 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def exact_dedup(docs: DataFrame, index_path: str | None = None, buckets: int = 48) -> DataFrame:
+def exact_dedup(docs: DataFrame, index_path: str | None = None, buckets: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     With an index of earlier data, keep_id may be an earlier document and group_size is that of the batch
     which first brought the text.
     """
     spark = docs.sparkSession
-    index = DigestIndex(spark, index_path or f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}", buckets)
     mine = Scratch(spark).keep(digests(docs), "digests")
+    index = DigestIndex(spark, index_path or f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}", buckets or max(BUCKETS, -(-mine.count() // BUCKET_ROWS)))
     index.absorb(mine)
     rows = mine.join(index.read(), "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
