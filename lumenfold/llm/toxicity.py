@@ -6,8 +6,12 @@ weighted back to the classes' shares among all labels. Features are the `most` w
 between the classes. In labelled documents that name identity groups the terms are swapped for others of the
 same kind, and squared changes of the logit are penalised, so a neutral mention does not raise a score.
 
+The ridge is that of RIDGES with the least log loss on a fifth of the sample (by hash of doc_id), fitted on the
+rest, which also gives the features; then the whole sample is fitted. Held-out documents have no part in it.
+
 Every row and whole text is scored. Null and empty texts have no features and get the score of the intercept.
-Null labels are ignored, of several labels of one document the highest counts. Without labels of both classes
+Null labels are ignored, of several labels of one document the highest counts. Of different texts of one
+labelled doc_id the smallest is learned from. Without labels of both classes
 every score is the share of toxic labels (0 without any). Rows that repeat a doc_id are scored each. An empty
 table gives no rows. Other columns are ignored, whatever their names.
 """
@@ -23,7 +27,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .scratch import Scratch, columns
 from .text import PUNCT, Block, blocks, column, mix, word_hash, _MASK
 
-PER_CLASS, MOST, PENALTY, RIDGE, THRESHOLD = 9000, 4096, 1.0, 2e-4, 0.3
+PER_CLASS, MOST, PENALTY, THRESHOLD = 9000, 4096, 1.0, 0.3
+#: Largest first; the first serves where one of the two parts of the sample lacks a class.
+RIDGES = (3e-3, 1e-3, 3e-4, 1e-4, 3e-5, 1e-5)
 PREFIXES = (4, 5, 6)
 
 #: Identity terms by kind; terms of one kind can be swapped.
@@ -110,7 +116,7 @@ def count_features(sample: DataFrame) -> DataFrame:
 
 
 def examples(sample: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """sample: text, toxic. Gives toxic, has (feature numbers), swapped (those of each counterfactual)."""
+    """sample: text, toxic, aside. Gives toxic, has (feature numbers), swapped (those of each counterfactual), aside."""
 
     def numbers(texts: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
@@ -126,11 +132,11 @@ def examples(sample: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             swapped = [counterfactuals(t) for t in texts]
             flat = iter(numbers([x for xs in swapped for x in xs]))
             yield pa.record_batch(
-                [column(batch, "toxic"), pa.array(numbers(texts), pa.list_(pa.int32())), pa.array([[next(flat) for _ in xs] for xs in swapped], pa.list_(pa.list_(pa.int32())))],
-                ["toxic", "has", "swapped"],
+                [column(batch, "toxic"), pa.array(numbers(texts), pa.list_(pa.int32())), pa.array([[next(flat) for _ in xs] for xs in swapped], pa.list_(pa.list_(pa.int32()))), column(batch, "aside")],
+                ["toxic", "has", "swapped", "aside"],
             )
 
-    return sample.mapInArrow(run, "toxic int, has array<int>, swapped array<array<int>>")
+    return sample.mapInArrow(run, "toxic int, has array<int>, swapped array<array<int>>, aside boolean")
 
 
 class Model:
@@ -143,8 +149,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def minimise(rows: list, size: int, share: float, penalty: float = PENALTY, ridge: float = RIDGE, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Adam on the whole sample. rows: toxic, has, swapped; share: of toxic labels."""
+def minimise(rows: list, size: int, share: float, penalty: float = PENALTY, ridge: float = RIDGES[0], steps: int = 300) -> tuple[np.ndarray, float]:
+    """Adam on all rows. rows: toxic, has, swapped; share: of toxic labels."""
     if not rows:  # labelled documents that aren't in the table
         return np.zeros(size), float(np.log(max(share, 1e-12) / max(1 - share, 1e-12)))
     y = np.array([r[0] for r in rows], float)
@@ -169,6 +175,22 @@ def minimise(rows: list, size: int, share: float, penalty: float = PENALTY, ridg
     return w[:size], float(w[size])
 
 
+def log_loss(rows: list, share: float, weights: np.ndarray, bias: float) -> float:
+    """Mean over rows: toxic, has; the classes count by their share of labels."""
+    y = np.array([r[0] for r in rows])
+    x = bias + np.array([weights[r[1]].sum() for r in rows])
+    loss = np.logaddexp(0, np.where(y == 1, -x, x))
+    return share * loss[y == 1].mean() + (1 - share) * loss[y == 0].mean()
+
+
+def choose_ridge(rows: list, size: int, share: float, penalty: float = PENALTY) -> float:
+    """rows: toxic, has, swapped, aside."""
+    apart, rest = [r for r in rows if r[3]], [r for r in rows if not r[3]]
+    if any(len({r[0] for r in part}) < 2 for part in (apart, rest)):
+        return RIDGES[0]
+    return min(RIDGES, key=lambda ridge: log_loss(apart, share, *minimise(rest, size, share, penalty, ridge)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: int = MOST, penalty: float = PENALTY) -> Model:
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     sizes = dict(labels.groupBy("toxic").count().collect())
@@ -178,17 +200,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
     order = [F.xxhash64("doc_id"), "doc_id"]
     some = labels.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(labels.where("toxic = 0").orderBy(*order).limit(per_class))
     # at most 2 * per_class rows of a number and a flag
-    sample = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("text", "toxic")
-    sample = Scratch(docs.sparkSession).keep(sample, "labelled")
-    counts = count_features(sample).where("pos + neg >= 4")
-    p, n = (min(sizes[c], per_class) for c in (1, 0))
+    sample = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    aside = F.pmod(F.xxhash64("doc_id", F.lit("ridge")), F.lit(5)) == 0
+    sample = Scratch(docs.sparkSession).keep(sample.select("text", "toxic", aside.alias("aside")), "labelled")
+    rest = sample.where("not aside")
+    counts = count_features(rest).where("pos + neg >= 4")
+    found = dict(rest.groupBy("toxic").count().collect())
+    p, n = found.get(1, 0), max(1, found.get(0, 0))
     df = F.col("pos") + F.col("neg")
     chi = F.pow(F.col("pos") - df * (p / (p + n)), F.lit(2)) / (df * (1 - df / (p + n + 1)))
     best = counts.select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(most).select("feature").collect()
     named = np.array([word_hash(t.encode()) for kind in IDENTITY_TERMS for t in kind], np.uint64)
     vocabulary = Vocabulary(np.unique(np.append(np.array([r[0] for r in best], np.int64).view(np.uint64), named)))
     rows = examples(sample, vocabulary).collect()
-    return Model(vocabulary, *minimise(rows, len(vocabulary.sorted), share, penalty))
+    size = len(vocabulary.sorted)
+    return Model(vocabulary, *minimise(rows, size, share, penalty, choose_ridge(rows, size, share, penalty)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
