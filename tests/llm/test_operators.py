@@ -7,11 +7,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 pytest.importorskip("lumenfold.llm")
 
 from lumenfold.llm import brown, exact, license_scan, media, minhash, mixing, packing, substring, toxicity, warc  # noqa: E402
+from lumenfold.llm.scratch import Scratch  # noqa: E402
 
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 WORD = r"[^\x20\x09-\x0D]+"
@@ -135,6 +137,27 @@ def test_mixing_meets_entropy_and_budget(docs):
     assert sum(r.n_tokens for r in rows) >= 1000
 
 
+def test_last_pass_ends_where_a_running_sum_reaches_the_quota(spark):
+    # many small blocks, so that slices hold one, several or none
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 23)), "big" if i % 4 else f"s{i % 12}") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_table(d, block_tokens=64)
+    plan = {r.source: r for r in mixing.plan_mix(d, Scratch(spark), block_tokens=64).collect()}
+    last = defaultdict(list)
+    for r in got.where("epoch > 1").collect():
+        last[r.source].append(r)
+    assert any(p.rest for p in plan.values())
+    for s, p in plan.items():
+        key = lambda *x: int(hashlib.md5(":".join(["mix1", *map(str, x)]).encode()).hexdigest()[:15], 16)
+        mine = sorted((key(s, key(i) % p.n_blocks, p.whole + 1), key(i) % p.n_blocks, key(i), i, len(t.split()) + 1) for i, t, x in rows if x == s)
+        want, total = set(), 0
+        for *_, i, n in mine:
+            if total < p.rest:
+                want.add(i)
+            total += n
+        assert {r.doc_id for r in last[s] if r.epoch == p.whole + 1} == want
+
+
 def test_mixture_keeps_columns(docs):
     got = mixing.mixture(docs)
     assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == {i for i, _ in TEXTS}
@@ -250,6 +273,40 @@ def test_counterfactual_penalty_keeps_neutral_mentions_clean(spark):
     assert gap[1] < 0.5 * gap[0] and gap[1] < 0.05
 
 
+def test_ridge_is_chosen_without_held_out_labels(spark):
+    d = frame(spark, toxic_docs())
+    flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, q, t in LABELS]
+    a, b = (by_id(toxicity.toxicity(d, spark.createDataFrame(x, "doc_id long, quality int, toxic int"))) for x in (LABELS, flipped))
+    assert a == b
+
+
+def test_ridge_has_the_least_loss_aside():
+    rng = np.random.RandomState(3)
+    rows = []
+    for k in range(400):
+        y = k % 2
+        has = sorted({int(x) for x in rng.randint(1, 40, 6)} | ({0} if y and rng.rand() < 0.8 else set()))
+        rows.append((y, has, [], k % 5 == 0))
+    rest, apart = [r for r in rows if not r[3]], [r for r in rows if r[3]]
+
+    def loss(ridge):
+        w, bias = toxicity.minimise(rest, 40, 0.5, ridge=ridge)
+        p = [1 / (1 + math.exp(-bias - sum(w[k] for k in r[1]))) for r in apart]
+        return -sum(math.log(x if r[0] else 1 - x) for r, x in zip(apart, p, strict=True)) / len(apart)
+
+    losses = [loss(r) for r in toxicity.RIDGES]
+    chosen = toxicity.choose_ridge(rows, 40, 0.5)
+    assert losses[toxicity.RIDGES.index(chosen)] == pytest.approx(min(losses), rel=1e-6)
+    assert toxicity.choose_ridge(rest, 40, 0.5) == toxicity.RIDGES[0]  # none aside
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    d = frame(spark, toxic_docs())
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    once, often = by_id(toxicity.toxicity(d, labels)), by_id(toxicity.toxicity(d.unionByName(d.where("doc_id % 3 = 0")), labels))
+    assert once == often
+
+
 def test_labels_of_one_class(spark):
     d = frame(spark, TEXTS[:5])
     for labels, share in (([], 0.0), ([(1, 0, 1)], 1.0)):
@@ -303,6 +360,14 @@ def test_digest_index_persists(spark, tmp_path):
         assert r.kept <= (normal(dict(TEXTS)[r.doc_id - 1000]) not in old)
 
 
+def test_digest_index_keeps_its_number_of_buckets(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    exact.exact_dedup(frame(spark, TEXTS[:10]), path, buckets=5).count()
+    assert exact.DigestIndex(spark, path, 7).buckets == 5
+    second = frame(spark, [(1000 + i, t) for i, t in TEXTS[:30]])
+    assert not any(r.kept for r in exact.exact_dedup(second, path).collect() if r.doc_id < 1000 + TEXTS[9][0] + 1)
+
+
 def test_media(docs):
     got = by_id(media.media_features(docs))
     for i, t in TEXTS:
