@@ -188,11 +188,14 @@ class Scanner:
             by.setdefault(k, []).append(tuple(m))
         for k, ms in by.items():
             ms.sort()
-            ends: list[list[int]] = []  # open chains: text end, template end, first, covered
+            ends: list[list[int]] = []  # chains: text end, template end, first, covered, template start of the last match
+            near: list[list[int]] = []  # those that this match or a later one can still extend: a few, however long the text
             for d, t, n in ms:
-                best = max((c for c in ends if 0 <= d + n - c[0] and 0 < t + n - c[1] and t - c[1] <= MAX_GAP and d - c[0] <= MAX_GAP and t >= c[4]), default=None, key=lambda c: (c[3], -c[2]))
+                near = [c for c in near if d - c[0] <= MAX_GAP]
+                best = max((c for c in near if 0 <= d + n - c[0] and 0 < t + n - c[1] and t - c[1] <= MAX_GAP and t >= c[4]), default=None, key=lambda c: (c[3], -c[2]))
                 if best is None:
                     ends.append([d + n, t + n, d, n, t])
+                    near.append(ends[-1])
                 else:
                     best[3] += min(n, t + n - best[1])
                     best[0], best[1], best[4] = d + n, t + n, t

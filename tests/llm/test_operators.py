@@ -96,6 +96,17 @@ def test_license_notice_with_gap_is_one_span(spark):
     assert r.labels == "bsd" and len(r.spans) == 1 and r.spans[0].first == 1 and r.spans[0].cover > 0.9
 
 
+def test_license_chains_in_a_very_long_text():
+    """A chain ends where no later match can extend it, so time grows with the text and not with its square."""
+    import time
+
+    s = license_scan.Scanner()
+    k = s.labels.index("gpl")
+    began = time.perf_counter()
+    chains = s.chain([(k, 20 * i, 0, 3) for i in range(200_000)])
+    assert len(chains) == 200_000 and {c[3] for c in chains} == {3} and time.perf_counter() - began < 20
+
+
 def test_matching_statistics_against_brute_force():
     rng = random.Random(1)
     templates = [[rng.randint(0, 3) for _ in range(rng.randint(2, 12))] for _ in range(6)]
