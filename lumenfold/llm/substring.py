@@ -164,7 +164,9 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = s.keep(outline(docs, window), "outline")
     first = base.where("seq is not null").groupBy("seq").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    copies = base.join(first.where("n > 1"), "seq").where("doc_id != first").select("doc_id").distinct()
+    # a table of its own, as a join can split a large group of copies only between two plain inputs
+    first = s.keep(first.where("n > 1"), "first")
+    copies = base.join(first, "seq").where("doc_id != first").select("doc_id").distinct()
     copies = s.keep(copies, "copies")
     # the same exchange of whole texts serves the three joins
     whole = docs.where("doc_id is not null")
