@@ -153,10 +153,10 @@ def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def split_members(members: DataFrame, comps: DataFrame) -> DataFrame:
+def split_members(members: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, comp of the documents of buckets that hold more than one component."""
     m = members.join(comps.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    split = m.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    split = scratch.keep(m.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), "split")
     return m.join(split, "key", "left_semi").select("doc_id", "comp").distinct()
 
 
@@ -218,6 +218,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = all_.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     bands = reps.select(F.explode("bands").alias("key"), "doc_id").distinct()
     shared = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    # a table of its own, as a join can split a large bucket only between two plain inputs
+    shared = s.keep(shared, "shared")
     members = s.keep(bands.join(shared, "key").select("key", "doc_id", "hub"), "members")
     pool_ids = members.select("doc_id").distinct()
     sigs = s.keep(all_.select("doc_id", "sig").join(pool_ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sigs")
@@ -229,7 +231,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = components(links, s)
     links = links.unionByName(s.keep(verify(across(star, comps), texts), "links"))
     comps = components(links, s)
-    split = s.keep(texts.join(split_members(members, comps), "doc_id"), "split")
+    split = s.keep(texts.join(split_members(members, comps, s), "doc_id"), "split")
     links = links.unionByName(s.keep(verify(prune(prefix_pairs(split), sigs), texts), "links"))
     comps = components(links, s)
     classes = classes.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
