@@ -106,12 +106,14 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file://{path}")
 
 
-def decide(pages: DataFrame) -> DataFrame:
+def decide(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, html, refers_to (null: a response)."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     keys = rows.where(F.octet_length("html") >= LEAST).select(F.sha1(F.col("html").cast("binary")).alias("digest"), "page_id")
     last = keys.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
+    # a table of its own, as a join can split a large group of equal payloads only between two plain inputs
+    last = scratch.keep(last, "last")
     mine = F.when(F.octet_length("html") >= LEAST, F.sha1(F.col("html").cast("binary")))
     rows = rows.withColumn("digest", mine).join(last, "digest", "left")
     return rows.select("page_id", "url", "html", F.when(F.col("last") != F.coalesce("page_id", F.lit(-(2**63))), F.col("last")).alias("refers_to"))
@@ -163,7 +165,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes all pages, reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     s = Scratch(pages.sparkSession)
-    listed = s.keep(write_archives(decide(pages), folder or s.path("warc")), "archives")
+    listed = s.keep(write_archives(decide(pages, s), folder or s.path("warc")), "archives")
     # a given number, else tasks would be merged by the size of this list of names
     rows = read_archives(listed.repartition(max(1, -(-listed.count() // PER_TASK)), "archive"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
