@@ -22,15 +22,17 @@ def infer_ion_mode(*columns: Column, legacy: bool = False) -> Column:
 
 
 def normalize_ion_mode(text: Column, legacy: bool = False) -> Column:
-    """positive, negative or null. Numbers go by sign; legacy mode drops hyphens before it looks, so '-1' is positive."""
-    low = F.lower(F.trim(text))
-    number = F.expr("double('nan')") if legacy else low.try_cast("double")
+    """positive, negative or null. Finite numbers go by sign; legacy mode takes only numeric columns for numbers and drops hyphens, so the string '-1' is positive."""
+    low = F.lower(F.trim(text.cast("string")))
+    number = low.try_cast("double")
+    if legacy:
+        number = F.when(F.typeof(text).rlike("^(tinyint|smallint|int|bigint|float|double|decimal)"), number)
+    number = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
     bare = F.regexp_replace(low, "[ _/-]" if legacy else "[ _/]", "")
     return (
-        F.when(number < 0, "negative").when((number > 0) & ~F.isnan(number), "positive")
-        .when(bare.isin("negative", "neg", "n", "-", "-1", "esi-", "negativeion", "negativemode"), "negative")
-        .when(bare.isin("positive", "pos", "p", "+", "+1", "1", "esi+", "positiveion", "positivemode"), "positive")
-        .when(bare.contains("negative"), "negative").when(bare.contains("positive"), "positive")
+        F.when(number < 0, "negative").when(number > 0, "positive").when(number == 0, None)
+        .when(bare.isin("negative", "neg", "n", "-", "-1", "esi-"), "negative").when(bare.isin("positive", "pos", "p", "+", "+1", "1", "esi+"), "positive")
+        .when(bare.contains("positive") | bare.endswith("pos") | bare.contains("esi+"), "positive").when(bare.contains("negative") | bare.endswith("neg") | bare.contains("esi-"), "negative")
     )
 
 

@@ -56,42 +56,67 @@ def weights(k: int, rng: np.random.Generator, mode: str = "dirichlet", least: fl
     return [1.0 / k] * k
 
 
+def places(df: DataFrame, parts: int = 256) -> DataFrame:
+    """Numbers the members of each window from 1 as `place`; a window's members are ordered in `parts` tasks, not in one."""
+    dealt = df.withColumn("part", F.pmod(F.xxhash64("library_index"), F.lit(parts)))
+    before = F.sum("n").over(Window.partitionBy("window_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = dealt.groupBy("window_id", "part").agg(F.count("*").alias("n")).select("window_id", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("window_id", "part").orderBy("library_index"))
+    return dealt.join(base, ["window_id", "part"]).withColumn("place", (own + F.col("base")).cast("long")).drop("part", "base")
+
+
 def draw(df: DataFrame, n_two: int, n_three: int, seed: int = 42, mode: str = "dirichlet", tries: int = 1000) -> DataFrame:
     """query_index, kind, slot, weight, window_id, place: which members of which window make each mixture.
 
-    df: windows() with `place` (from 1 in its window) and inchikey. A window is drawn uniformly over windows, then
-    distinct members with distinct inchikeys; each draw is taken by the index of the output.
+    df: window_id, place (from 1 in its window), inchikey. A window is drawn uniformly over windows, then distinct
+    members; a draw that repeats an inchikey is drawn again. Members are drawn by their number alone and only those
+    drawn are looked up, so no task holds a window. Each draw is seeded by the output's index and the attempt.
     """
-    sizes = df.groupBy("window_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("place", "inchikey"))).alias("m"))
+    sizes = df.groupBy("window_id").agg(F.count("*").alias("n"))
     numbered = sizes.withColumn("w", F.row_number().over(Window.orderBy("window_id")) - 1)  # one row per window
     n_windows = numbered.count()
     if not n_windows:
         raise ValueError("no window has enough spectra")
     picks = df.sparkSession.range(n_two + n_three).withColumnRenamed("id", "query_index")
     pick = F.pmod(F.xxhash64(F.lit(seed) + F.when(F.col("query_index") >= n_two, SHIFT).otherwise(0), "query_index"), F.lit(n_windows))
-    rows = picks.withColumn("w", pick).join(numbered, "w").select("query_index", "window_id", "m")
-
-    def choose(batches):
-        for b in batches:
-            out = []
-            for i, window, m in zip(b["query_index"], b["window_id"], b["m"], strict=True):
-                k = 2 if i < n_two else 3
-                rng = np.random.default_rng([seed + (SHIFT if k == 3 else 0), int(i), 1])
-                for _ in range(tries):
-                    at = rng.choice(len(m), k, replace=False)
-                    keys = [m[a]["inchikey"] for a in at]
-                    if len({x or f"#{a}" for x, a in zip(keys, at, strict=True)}) == k:
-                        out += [(i, "AB" if k == 2 else "ABC", s, w, window, m[a]["place"]) for s, (a, w) in enumerate(zip(at, weights(k, rng, mode), strict=True))]
-                        break
-            yield pd.DataFrame(out, columns=["query_index", "kind", "slot", "weight", "window_id", "place"])
-
-    return rows.mapInPandas(choose, "query_index long, kind string, slot int, weight double, window_id long, place long")
+    left = picks.withColumn("w", pick).join(numbered, "w").select("query_index", "window_id", "n")
+    own = F.coalesce(F.when(F.col("inchikey") != "", F.concat(F.lit("k"), "inchikey")), F.concat(F.lit("#"), F.col("place").cast("string")))
+    keys = df.select("window_id", "place", own.alias("key"))
+
+    def attempts(first: int, last: int):
+        def run(batches):
+            for b in batches:
+                out = []
+                for i, window, n in zip(b["query_index"], b["window_id"], b["n"], strict=True):
+                    k = 2 if i < n_two else 3
+                    for t in range(first, last):
+                        rng = np.random.default_rng([seed + (SHIFT if k == 3 else 0), int(i), t])
+                        at = rng.choice(int(n), k, replace=False) + 1
+                        out += [(i, t, "AB" if k == 2 else "ABC", s, w, window, p) for s, (p, w) in enumerate(zip(at, weights(k, rng, mode), strict=True))]
+                yield pd.DataFrame(out, columns=["query_index", "attempt", "kind", "slot", "weight", "window_id", "place"])
+
+        return run
+
+    found = []
+    # nearly all succeed at once; what repeats a key 30 times is mostly a window of one key
+    for first, last in ((0, 1), (1, 30), (30, tries)):
+        if first >= min(last, tries):
+            break
+        drawn = left.mapInPandas(attempts(first, min(last, tries)), "query_index long, attempt int, kind string, slot int, weight double, window_id long, place long").join(keys, ["window_id", "place"])
+        slot = F.struct("slot", "kind", "weight", "window_id", "place")
+        good = drawn.groupBy("query_index", "attempt").agg(F.collect_list(slot).alias("slots"), F.count_distinct("key").alias("kinds")).where(F.col("kinds") == F.size("slots"))
+        good = good.groupBy("query_index").agg(F.min_by("slots", "attempt").alias("slots"))
+        found.append(good.select("query_index", F.explode("slots").alias("s")).select("query_index", "s.kind", "s.slot", "s.weight", "s.window_id", "s.place"))
+        left = left.join(good.select("query_index"), "query_index", "left_anti")
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return rows
 
 
 def simulate(library: DataFrame, n_two: int, n_three: int, seed: int = 42, width: float = 20.0, tolerance: float = 0.01, mode: str = "dirichlet", size: int = 128) -> DataFrame:
     """Mixtures with their truth. library: library_index, precursor_mz, charge, peaks, inchikey, smiles, name, adduct."""
-    held = windows(library, width)
-    held = held.withColumn("place", F.row_number().over(Window.partitionBy("window_id").orderBy("library_index")).cast("long"))
+    held = places(windows(library, width))
     parts = draw(held.select("window_id", "place", "inchikey"), n_two, n_three, seed, mode).join(held, ["window_id", "place"])
     peaks = parts.select("query_index", F.col("slot").alias("component"), "weight", F.explode(first_valid(F.col("peaks"))).alias("p")).select("query_index", "component", "weight", "p.mz", "p.intensity")
     merged = merge_peaks(peaks, "query_index", tolerance).groupBy("query_index").agg(F.collect_list(F.struct("mz", "intensity")).alias("peaks")).withColumn("peaks", pack(F.col("peaks"), size))

@@ -180,7 +180,7 @@ def metadata_functions(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(*map(F.lit, kinds))[(F.col("o_orderkey") % 6).cast("int")].alias("a"), F.col("o_orderpriority").alias("s"))
     a = F.col("a")
     return rows.select(
-        "id", F.when(a == "-1", "unknown").otherwise(M.infer_ion_mode(a)).alias("mode"), M.infer_ion_mode(a, legacy=True).alias("legacy_mode"), M.normalize_ion_mode(a).alias("normal"), M.normalize_ion_mode(a, True).alias("legacy_normal"),
+        "id", M.infer_ion_mode(a).alias("mode"), M.infer_ion_mode(a, legacy=True).alias("legacy_mode"), M.normalize_ion_mode(a).alias("normal"), M.normalize_ion_mode(a, True).alias("legacy_normal"),
         M.structure(a).alias("structure"), M.safe_long(a).alias("number"), M.joined(F.array("a", "s")).alias("joined"), M.chimera_id(F.lit("AB"), F.col("id")).alias("name"),
     )
 

@@ -62,6 +62,12 @@ def test_ion_modes(spark):
     assert list(got) == ["negative", "positive", "positive", "negative", "negative"]
 
 
+def test_normalized_ion_modes(spark):
+    row = lambda legacy: list(spark.range(1).select(*[M.normalize_ion_mode(F.lit(x), legacy).alias(str(k)) for k, x in enumerate(("ESI pos", "esi+ms", "mode neg", "n/a", "inf", "0", "-1", -1, 2.0, 0))]).first())
+    assert row(False) == ["positive", "positive", "negative", None, None, None, "negative", "negative", "positive", None]
+    assert row(True) == ["positive", "positive", "negative", None, None, None, "positive", "negative", "positive", None]
+
+
 def test_empty_and_invalid_peaks(spark):
     df = peaks(spark, [], [(0, 5), (10, 0), (float("nan"), 1), (20, float("inf"))], [(5, 4), (7, 4), (6, 4)])
     clean, modes = df.select(P.clean_peaks(F.col("peaks"), 2).alias("p")).collect(), [df.select(P.scale(F.col("peaks"), m)).count() for m in ("max", "sum", "sqrt", "log1p", "none")]
@@ -143,6 +149,25 @@ def test_simulation_is_the_same_at_any_partitioning(spark):
         assert r.chimera_id == f"chimera_{'AB' if k == 2 else 'ABC'}_{i:06d}"
 
 
+def test_draws_have_distinct_keys_or_are_left_out(spark):
+    """Window 1 has one key, window 2 two keys of unequal share, window 3 members without keys."""
+    rows = [(1, i, "A") for i in range(1, 5)] + [(2, i, "A") for i in range(1, 8)] + [(2, 8, "B")] + [(3, i, "") for i in range(1, 4)]
+    lib = spark.createDataFrame(rows, "window_id long, place long, inchikey string")
+    drawn: dict[int, list] = {}
+    for r in simulate.draw(lib, 60, 60).collect():
+        drawn.setdefault(r.query_index, []).append(r)
+    assert {(x[0].window_id, x[0].kind) for x in drawn.values()} == {(2, "AB"), (3, "AB"), (3, "ABC")}
+    key = {(w, p): k or p for w, p, k in rows}
+    assert all(len({key[r.window_id, r.place] for r in x}) == len(x) == (2 if i < 60 else 3) for i, x in drawn.items())
+    assert all(len({r.window_id for r in x}) == 1 and math.isclose(sum(r.weight for r in x), 1) for x in drawn.values())
+
+
+def test_places_number_every_member_once(spark):
+    df = spark.range(1000).select(F.col("id").alias("library_index"), (F.col("id") % 3).alias("window_id"))
+    for r in simulate.places(df, 16).groupBy("window_id").agg(F.array_sort(F.collect_list("place")).alias("p")).collect():
+        assert r.p == list(range(1, len(r.p) + 1)) and len(r.p) in (333, 334)
+
+
 def test_npy_npz_and_pairs(spark, tmp_path):
     np.save(tmp_path / "library_binned.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
     np.savez(tmp_path / "q.other.npz", embedding=np.ones((2, 1, 2)), method="binned", precursor_mz=[1.0, 2.0], smiles=["C", "O"])
