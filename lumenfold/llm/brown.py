@@ -1,14 +1,16 @@
 """Class-based bigram model: exchange clustering assigns words to classes.
 
-Counts of all words of all training documents are kept as a table by word hash. The `items` of the clustering
-are the TOP most frequent words, TAILS groups of all other words by their last two bytes, and the document
-end. Bigrams of items are counted over all training documents; the matrix (a square of a parameter, not of the
-data) is clustered on the driver by the exchange algorithm: each item moves to the class that raises the class
-bigram likelihood most. A word's probability is P(class | class before) * P(item | class), and for a word of a
-group also (c + 1) / (tokens + words + 1) of that group; so unseen words have a probability too.
-
-The FREQUENT most frequent words' counts go to every task (a bounded table); counts of all other words come by
-a join on the hash.
+Counts of all words of all training documents are kept as a table by word hash, and so are the counts of all
+neighbouring words. Every training word is given a class. The TOP most frequent words and the document end are
+clustered on the driver (a square of a parameter, not of the data). Sweeps over the table of neighbours then move
+all words, those included: a word's counts by neighbour class come from the table, and it goes to the class that
+raises the class bigram likelihood most against the matrix of classes, which alone the driver holds. The words of
+one half move at a time; sweeps end when a round gains little, and a sweep that loses is undone. A word's
+probability is P(class | class before) * P(word | class); a word that training lacks has the class that most words
+seen once have, and the probability that each class leaves for a word of count 0.
+
+The FREQUENT most frequent words' counts and classes go to every task (a bounded table); those of all other words
+come by joins.
 
 Null and empty texts have one token, the end. Rows that repeat a doc_id are scored each. Without training
 documents all scores are finite: c, N and V are 0. An empty table gives no rows. Other columns are ignored,
@@ -25,9 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import Scratch
-from .text import SPACE, Block, blocks, column, concat_ranges, mix
+from .text import SPACE, Block, blocks, column, concat_ranges
 
-TOP, TAILS, CLASSES, FREQUENT = 1000, 127, 64, 1 << 18
+TOP, CLASSES, FREQUENT = 1000, 64, 1 << 18
+ROUNDS, GAIN = 10, 0.02  # most rounds of two sweeps, and the share of the mutual information that a round must gain
 END = np.uint64(0x5EED_0E4D_0000_0001)
 
 
@@ -35,105 +38,207 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and group numbers of all tokens, ends included, and where each document starts."""
+def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, ends included, and where each document starts."""
     starts, ends, first = block.words(SPACE)
     n = np.diff(first)
     at = first + np.arange(len(first))  # one more token for each document before
-    h, tail = np.full(at[-1], END), np.zeros(at[-1], np.int64)
-    place = concat_ranges(at[:-1], n)
-    h[place] = block.hashes(starts, ends)
-    last = block.heads(ends - 1) & np.uint64(255)
-    before = np.where(ends - starts > 1, block.heads(np.maximum(ends - 2, 0)) & np.uint64(255), np.uint64(0))
-    tail[place] = (mix(last * np.uint64(256) + before) % np.uint64(TAILS)).astype(np.int64)
-    return h, tail, at
+    h = np.full(at[-1], END)
+    h[concat_ranges(at[:-1], n)] = block.hashes(starts, ends)
+    return h, at
+
+
+def summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sums of n by distinct keys."""
+    if not len(n):
+        return keys, n
+    order = np.lexsort(keys)
+    keys = [k[order] for k in keys]
+    at = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+    return [k[at] for k in keys], np.add.reduceat(n[order], at)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """h, tail, c: every distinct token's hash, group and count."""
+    """h, c: every distinct token's hash and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for block in blocks([batch], lower=True):
-                h, tail, _ = tokens(block)
-                u, at, n = np.unique(h, return_index=True, return_counts=True)
-                parts.append((u, tail[at], n))
-            u, tail, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-            order = np.argsort(u, kind="stable")
-            u, tail, n = u[order], tail[order], n[order]
-            at = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
-            n = np.add.reduceat(n, at) if len(u) else n
-            yield pa.record_batch([pa.array(u[at].view(np.int64)), pa.array(tail[at].astype(np.int32)), pa.array(n.astype(np.int64))], ["h", "tail", "c"])
+            parts = [np.unique(tokens(block)[0], return_counts=True) for block in blocks([batch], lower=True)]
+            if parts:
+                (h,), n = summed([np.concatenate([x[0] for x in parts])], np.concatenate([x[1] for x in parts]))
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "c"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, tail int, c long")
-    return rows.groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, c long")
+    return rows.groupBy("h").agg(F.sum("c").alias("c"))
 
 
 class Words:
-    """The most frequent words' counts, and the numbers of the items: TOP words, then groups, then the end."""
-
-    def __init__(self, h: np.ndarray, c: np.ndarray, ends: int, top: int = TOP):
-        h, c = h[h != END], c[h != END]
-        self.ends = ends  # training documents
-        order = np.argsort(h)
-        self.h, self.c = h[order], c[order]
-        rank = np.empty(len(h), np.int64)
-        rank[order] = np.arange(len(h))
-        self.top = np.full(len(h), -1, np.int64)
-        self.top[rank[:top]] = np.arange(min(top, len(h)))  # h comes most frequent first
-        self.n_top, self.size = top, top + TAILS + 1
-
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the table, and whether it is there."""
-        if not len(self.h):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    """The most frequent words and their counts. A word's id is its rank here, 0 is the end; others' ids are negative."""
+
+    def __init__(self, h: np.ndarray, c: np.ndarray, ends: int):
+        self.c = np.concatenate([[ends], c[h != END]])  # most frequent first, behind the end
+        h = np.concatenate([np.array([END]), h[h != END]])
+        self.rank = np.argsort(h)
+        self.h = h[self.rank]
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
         k = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return k, self.h[k] == h
+        return np.where(self.h[k] == h, self.rank[k], ~(h >> np.uint64(1)).view(np.int64))
 
-    def items(self, h: np.ndarray, tail: np.ndarray, k: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        out = self.n_top + tail
-        out[h == END] = self.size - 1
-        top = np.full(len(h), -1, np.int64)
-        top[hit] = self.top[k[hit]]
-        return np.where(top >= 0, top, out)
 
+def neighbours(docs: DataFrame, shared) -> DataFrame:
+    """a, b, n: how often id b follows id a; before a document's first word stands an end."""
 
-def bigrams(docs: DataFrame, shared, size: int) -> np.ndarray:
-    """Counts of neighbouring items; before a document's first word stands an end."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for block in blocks([batch], lower=True):
+                i = shared.value.ids(tokens(block)[0])
+                parts.append(np.stack([np.concatenate([[0], i[:-1]]), i]))
+            if parts:
+                a, b = np.concatenate(parts, axis=1)
+                (b, a), n = summed([b, a], np.ones(len(a), np.int64))
+                yield pa.record_batch([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums = shared.value, np.zeros(size * size, np.int64)
-        for block in blocks(batches, lower=True):
-            h, tail, at = tokens(block)
-            items = words.items(h, tail, *words.look(h))
-            before = np.concatenate([[size - 1], items[:-1]])
-            sums += np.bincount(before * size + items, minlength=size * size)
-        rows = sums.reshape(size, size)
-        some = np.flatnonzero(rows.any(axis=1))
-        yield pa.record_batch([pa.array(some), pa.array(list(rows[some]), pa.list_(pa.int64()))], ["item", "n"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "a long, b long, n long")
+    return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def with_classes(rows: DataFrame, rare: DataFrame, *more: str) -> DataFrame:
+    """Adds ka and kb, the classes of ids a and b that are not frequent, and more columns of them."""
+    for x in "ab":
+        # a frequent word meets no row; its rows are spread over the tasks
+        key = F.when(F.col(x) < 0, F.col(x)).otherwise(F.shiftrightunsigned(F.xxhash64("a", "b"), 1))
+        own = rare.select(F.col("id").alias("_id"), F.col("k").alias(f"k{x}"), *[F.col(c).alias(f"{c}{x}") for c in more])
+        rows = rows.withColumn("_key", key).join(own, F.col("_key") == F.col("_id"), "left").drop("_key", "_id")
+    return rows
+
+
+def cells(rows: DataFrame, shared) -> DataFrame:
+    """w, own, cell, n: counts of each word by the class of the right neighbour, or CLASSES on by that of the left one.
+
+    rows: a, b, n, ka, kb. A word without a class has own -1; it counts for no neighbour.
+    """
+
+    def part(a, b, n, ka, kb):
+        of, classes = shared.value
+        ka, kb = (np.where(i >= 0, of[np.maximum(i, 0)], k) for i, k in ((a, ka), (b, kb)))
+        w, own, cell = np.concatenate([a, b]), np.concatenate([ka, kb]), np.concatenate([kb, np.where(ka >= 0, ka + classes, -1)])
+        some = cell >= 0
+        (cell, own, w), n = summed([cell[some], own[some], w[some]], np.concatenate([n, n])[some])
+        return pa.record_batch([pa.array(w), pa.array(own.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(n)], ["w", "own", "cell", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for i, n in zip(column(batch, "item").to_pylist(), column(batch, "n"), strict=True):
-                n = n.values.to_numpy()
-                sums[i] = sums[i] + n if i in sums else n
-        yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["item", "n"])
-
-    kind = "item long, n array<bigint>"
-    out = np.zeros((size, size), np.int64)
-    for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, kind).repartition("item").mapInArrow(add, kind).toLocalIterator():
-        out[r.item] += np.array(r.n, np.int64)
+            held.append([column(batch, x).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("a", "b", "n", "ka", "kb")])
+            size += batch.num_rows
+            if size >= 1 << 20:
+                yield part(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield part(*map(np.concatenate, zip(*held, strict=True)))
+
+    return rows.mapInArrow(run, "w long, own int, cell int, n long").groupBy("w", "own", "cell").agg(F.sum("n").alias("n"))
+
+
+def g(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def gains(own: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What the log likelihood gains if a word joins each class, having left its own. word, cell, n: the words' counts.
+
+    The word's meetings with its own class are counted at the rows and columns of that class as they stand.
+    """
+    k = len(m)
+    both = np.concatenate([m, m.T], axis=1).T  # by cell, then by the class to join
+    left = np.eye(k)[own] * (own >= 0)[:, None]  # where the word has to be taken out
+    x = n[:, None]
+    base = np.maximum(both[cell] - left[word] * x, 0)
+    out = np.zeros((len(own), k))
+    edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    out[word[edge]] = np.add.reduceat(g(base + x) - g(base), edge, axis=0)
+    for side, total in ((cell < k, m.sum(1)), (cell >= k, m.sum(0))):
+        t = np.bincount(word[side], n[side], len(own))[:, None]
+        base = np.maximum(total - left * t, 0)
+        out -= g(base + t) - g(base)
     return out
 
 
+def moves(lists: DataFrame, shared, half: int | None) -> DataFrame:
+    """w, k: every word's class after a sweep in which the words of one half, or all, move. lists: w, own, cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                rows = batch.slice(at, 2000)
+                w, own, held = column(rows, "w").to_numpy(), column(rows, "own").to_numpy().astype(np.int64), column(rows, "cells")
+                word = np.repeat(np.arange(len(w)), held.value_lengths().to_numpy())
+                flat = held.flatten()
+                gain = gains(own, word, flat.field("cell").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(float), m)
+                k = gain.argmax(1)
+                stay = (own >= 0) & ((gain.max(1) <= gain[np.arange(len(w)), own] + 1e-6) | ((half is not None) & ((w & 1) != half)))
+                yield pa.record_batch([pa.array(w), pa.array(np.where(stay, own, k).astype(np.int32))], ["w", "k"])
+
+    return lists.mapInArrow(run, "w long, k int")
+
+
+def information(m: np.ndarray) -> float:
+    """Mutual information of neighbouring classes: the log likelihood a pair, but for a part that no move changes."""
+    total = m.sum()
+    return float((g(m).sum() - g(m.sum(0)).sum() - g(m.sum(1)).sum()) / max(total, 1) + np.log(max(total, 1)))
+
+
+def cluster(pairs: DataFrame, size: int, classes: int, s: Scratch, rounds: int = ROUNDS, top: int = TOP) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """Classes of the `size` frequent ids, a table id, k of the others, and the matrix of classes. pairs: a, b, n."""
+    spark, few = pairs.sparkSession, min(top + 1, size)
+    n = np.zeros((few, few), np.int64)
+    known = pairs.where((F.col("a") >= 0) & (F.col("a") < few) & (F.col("b") >= 0) & (F.col("b") < few)).toArrow()
+    n[known["a"].to_numpy(), known["b"].to_numpy()] = known["n"].to_numpy()
+    of = np.full(size, -1, np.int64)
+    of[:few] = exchange(n, classes)
+    rare, never = spark.createDataFrame([], "id long, k int"), F.lit(None).cast("int")
+    both = (F.col("a") >= 0) & (F.col("b") >= 0)
+    plain = lambda x: x.withColumns({"ka": never, "kb": never})
+    best, before, sweep, written = None, None, 0, []
+    while True:
+        rows = plain(pairs) if not sweep else plain(pairs.where(both)).unionByName(with_classes(pairs.where(~both), rare))
+        held = s.keep(cells(rows, spark.sparkContext.broadcast((of, classes))), "cells")
+        m = np.zeros((classes, classes))
+        for r in held.where((F.col("own") >= 0) & (F.col("cell") < classes)).groupBy("own", "cell").agg(F.sum("n").alias("n")).collect():
+            m[r.own, r.cell] = r.n
+        # the first two sweeps give classes to words that had none, so they have nothing to lose
+        now = information(m)
+        lost = sweep > 2 and now <= best[2]
+        if lost:
+            of, rare, _, m = best
+        else:
+            best = of, rare, now, m
+        if sweep == 2:
+            before = now
+        done = lost or sweep >= 2 * rounds
+        if sweep > 2 and sweep % 2 == 0 and not done:
+            done, before = now - before < GAIN * now, now
+        if done:
+            return of, rare, m
+        lists = held.groupBy("w", "own").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+        new = s.keep(moves(lists, spark.sparkContext.broadcast(m), sweep % 2 if sweep > 1 else None), "classes")
+        s.drop(held)
+        written.append(new)
+        if len(written) > 2:
+            s.drop(written.pop(0))
+        found = new.where(F.col("w") >= 0).toArrow()
+        of = of.copy()
+        of[found["w"].to_numpy()] = found["k"].to_numpy()
+        rare = new.where(F.col("w") < 0).select(F.col("w").alias("id"), "k")
+        sweep += 1
+
+
 def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np.ndarray:
     """The class of each item. n: bigram counts of items."""
 
-    def g(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1))
-
     size, n = len(n), n.astype(float)
     classes = min(classes, size)
     order = np.lexsort((np.arange(size), -(n.sum(0) + n.sum(1))))
@@ -179,91 +284,102 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np.ndarr
 
 
 class Model:
-    """Tables of log10 probabilities."""
+    """Tables of log10 probabilities, by class."""
 
-    def __init__(self, n: np.ndarray, of: np.ndarray, tail_tokens: np.ndarray, tail_words: np.ndarray, top: int):
-        classes = int(of.max()) + 1
-        one = np.eye(classes)[of]
-        m = one.T @ n @ one
-        self.of = of
-        self.step = np.log10((m + 0.5) / (m.sum(1, keepdims=True) + 0.5 * classes))
-        item = n.sum(0)
-        members = np.bincount(of, minlength=classes)
-        self.emit = np.log10((item + 0.5) / (np.bincount(of, item, classes)[of] + 0.5 * members[of]))
-        self.emit[top : top + len(tail_tokens)] -= np.log10(tail_tokens + tail_words + 1)
-        self.top, self.tails = top, len(tail_tokens)
+    def __init__(self, m: np.ndarray, of: np.ndarray, totals: np.ndarray, members: np.ndarray, unseen: int):
+        self.of, self.unseen = np.where(of >= 0, of, unseen), unseen
+        self.step = np.log10((m + 0.5) / (m.sum(1, keepdims=True) + 0.5 * len(m)))
+        self.rest = np.log10(totals + 0.5 * (members + 1))  # one more for words of count 0
 
 
-LOCAL = "doc_id long, uid long, n_tokens long, known long, logs double, model double, rare array<bigint>, times array<int>"
+LOCAL = "doc_id long, uid long, n_tokens long, known long, logs double, model double, a array<bigint>, b array<bigint>, times array<int>"
 
 
 def local(docs: DataFrame, shared) -> DataFrame:
-    """What a document's own task can tell; the hashes and numbers of words whose count it lacks."""
+    """What a document's own task can tell; the pairs of neighbouring ids of which one is not frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model = shared.value
         uid = TaskContext.get().partitionId() << 40
         logs = np.log10(words.c + 1.0)
+        emit = np.log10(words.c + 0.5) - model.rest[model.of]
         for block in blocks(batches, lower=True):
-            h, tail, at = tokens(block)
+            h, at = tokens(block)
             doc = np.repeat(np.arange(len(block)), np.diff(at))
-            k, hit = words.look(h)
-            items = words.items(h, tail, k, hit)
-            cls = model.of[items]
-            before = np.concatenate([[model.of[-1]], cls[:-1]])
-            p = model.step[before, cls] + model.emit[items]
-            c, end = np.zeros(len(h)), h == END
-            c[hit] = logs[k[hit]]
-            c[end] = np.log10(words.ends + 1.0)
-            grouped = (items >= model.top) & (items < model.top + model.tails)
-            total = np.bincount(doc, c, len(block))
-            score = np.bincount(doc, p + np.where(grouped, c, 0), len(block))
-            rare = ~hit & ~end
-            seen = hit | end & (words.ends > 0)
-            pairs = np.lexsort((h[rare], doc[rare]))
-            rh, rd = h[rare][pairs], doc[rare][pairs]
-            new = np.flatnonzero(np.concatenate([[True], (rh[1:] != rh[:-1]) | (rd[1:] != rd[:-1])])) if len(rh) else np.zeros(0, np.int64)
-            times = np.diff(np.append(new, len(rh))).astype(np.int32)
-            to = pa.array(np.searchsorted(rd[new], np.arange(len(block) + 1)).astype(np.int32))
+            b = words.ids(h)
+            a = np.concatenate([[0], b[:-1]])
+            hit = b >= 0
+            own = np.where(hit, b, 0)
+            both = hit & (a >= 0)
+            p = np.where(both, model.step[model.of[np.maximum(a, 0)], model.of[own]], 0) + np.where(hit, emit[own], 0)
+            total = np.bincount(doc, np.where(hit, logs[own], 0), len(block))
+            score = np.bincount(doc, p, len(block))
+            (rb, ra, rd), times = summed([b[~both], a[~both], doc[~both]], np.ones(int((~both).sum()), np.int64))
+            to = pa.array(np.searchsorted(rd, np.arange(len(block) + 1)).astype(np.int32))
             yield pa.record_batch(
                 [
-                    column(block.rows, "doc_id"), pa.array(uid + np.arange(len(block))), pa.array(np.diff(at)), pa.array(np.bincount(doc, seen, len(block)).astype(np.int64)), pa.array(total), pa.array(score),
-                    pa.ListArray.from_arrays(to, pa.array(rh[new].view(np.int64))), pa.ListArray.from_arrays(to, pa.array(times)),
+                    column(block.rows, "doc_id"), pa.array(uid + np.arange(len(block))), pa.array(np.diff(at)), pa.array(np.bincount(doc, hit & (words.c[own] > 0), len(block)).astype(np.int64)), pa.array(total), pa.array(score),
+                    pa.ListArray.from_arrays(to, pa.array(ra)), pa.ListArray.from_arrays(to, pa.array(rb)), pa.ListArray.from_arrays(to, pa.array(times.astype(np.int32))),
                 ],
-                ["doc_id", "uid", "n_tokens", "known", "logs", "model", "rare", "times"],
+                ["doc_id", "uid", "n_tokens", "known", "logs", "model", "a", "b", "times"],
             )
             uid += len(block)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, LOCAL)
 
 
+def rare_scores(rows: DataFrame, shared) -> DataFrame:
+    """uid, more, seen, add: what the pairs with a word that is not frequent add. rows: uid, a, b, times, ka, kb, cb."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            a, b, times, uid = (column(batch, x).to_numpy() for x in ("a", "b", "times", "uid"))
+            ka, kb = (np.where(i >= 0, model.of[np.maximum(i, 0)], column(batch, k).fill_null(model.unseen).to_numpy(zero_copy_only=False)) for i, k in ((a, "ka"), (b, "kb")))
+            c, own = column(batch, "cb").fill_null(0).to_numpy(zero_copy_only=False), b < 0
+            add = times * (model.step[ka, kb] + np.where(own, np.log10(c + 0.5) - model.rest[kb], 0))
+            more, seen = times * np.where(own, np.log10(c + 1.0), 0), times * (own & (c > 0))
+            yield pa.record_batch([pa.array(uid), pa.array(more), pa.array(seen.astype(np.int64)), pa.array(add)], ["uid", "more", "seen", "add"])
+
+    return rows.mapInArrow(run, "uid long, more double, seen long, add double").groupBy("uid").agg(*[F.sum(x).alias(x) for x in ("more", "seen", "add")])
+
+
 def class_scores(docs: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark, s = docs.sparkSession, Scratch(docs.sparkSession)
-    train = docs.where(~held_out())
+    train, end = docs.where(~held_out()), int(END.astype(np.int64))
     counts = s.keep(count_words(train), "counts")
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
-    often = counts.orderBy(F.desc("c"), "h").limit(frequent).select("h", "c", "tail").toArrow()
-    h, c, tail = (often[x].to_numpy() for x in ("h", "c", "tail"))
-    h = h.view(np.uint64)
-    ends = counts.where(F.col("h") == int(END.astype(np.int64))).select("c").first()
-    words = Words(h, c, ends[0] if ends else 0)
-    by_tail = counts.where(F.col("h") != int(END.astype(np.int64))).groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
-    tail_tokens, tail_words = np.zeros(TAILS), np.zeros(TAILS)
-    for r in by_tail:
-        tail_tokens[r.tail], tail_words[r.tail] = r.c, r.n
-    own = np.flatnonzero(h != END)[:TOP]
-    np.subtract.at(tail_tokens, tail[own], c[own])
-    np.subtract.at(tail_words, tail[own], 1)
-    n = bigrams(train, spark.sparkContext.broadcast(words), words.size)
-    model = Model(n, exchange(n, classes), tail_tokens, tail_words, words.n_top)
-    rows = s.keep(local(docs, spark.sparkContext.broadcast((words, model))), "local")
-    rare = rows.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    rare = rare.join(counts.select("h", "c"), "h", "left")
-    rare = rare.groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("seen"))
-    rows = rows.drop("rare", "times").join(rare, "uid", "left")
-    more, score = F.coalesce("more", F.lit(0.0)), F.col("model") + F.coalesce("more", F.lit(0.0))
+    often = counts.orderBy(F.desc("c"), "h").limit(frequent).select("h", "c").toArrow()
+    ends = counts.where(F.col("h") == end).select("c").first()
+    words = Words(often["h"].to_numpy().view(np.uint64), often["c"].to_numpy(), ends[0] if ends else 0)
+    pairs = s.keep(neighbours(train, spark.sparkContext.broadcast(words)), "pairs")
+    of, rare, m = cluster(pairs, len(words.c), classes, s)
+    s.drop(pairs)
+    shared = spark.sparkContext.broadcast(words)
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = shared.value.ids(column(batch, "h").to_numpy().view(np.uint64))
+            yield pa.record_batch([pa.array(i), column(batch, "c")], ["id", "c"])
+
+    others = counts.select("h", "c").mapInArrow(ids, "id long, c long").where("id < 0")
+    others = s.keep(others.join(rare, "id", "left"), "others")
+    of, members, totals, once = np.where(of >= 0, of, -1), np.zeros(classes + 1), np.zeros(classes + 1), np.zeros(classes + 1)
+    for x, n in ((members, np.ones(len(of))), (totals, words.c), (once, words.c == 1)):
+        x += np.bincount(np.where(of >= 0, of, classes), n, classes + 1)
+    for r in others.groupBy("k").agg(F.count("*").alias("members"), F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect():
+        k = classes if r.k is None else r.k
+        members[k], totals[k], once[k] = members[k] + r.members, totals[k] + r.c, once[k] + r.once
+    unseen = int(once[:-1].argmax())  # its class also holds a word that no sweep could place
+    members[unseen], totals[unseen] = members[unseen] + members[-1], totals[unseen] + totals[-1]
+    model = spark.sparkContext.broadcast(Model(m, of, totals[:-1], members[:-1], unseen))
+    rows = s.keep(local(docs, spark.sparkContext.broadcast((words, model.value))), "local")
+    some = rows.select("uid", F.explode(F.arrays_zip("a", "b", "times")).alias("x")).select("uid", "x.a", "x.b", "x.times")
+    more = rare_scores(with_classes(some, others, "c"), model)
+    rows = rows.drop("a", "b", "times").join(more, "uid", "left")
+    more, score = F.coalesce("more", F.lit(0.0)), F.col("model") + F.coalesce("add", F.lit(0.0))
     return rows.select(
         "doc_id", held_out().alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).alias("train_tokens"),
         (F.col("logs") + more - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),

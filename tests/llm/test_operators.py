@@ -441,6 +441,34 @@ def test_exchange_finds_classes():
     assert len({(a, b) for a, b in zip(true, of, strict=True)}) == 4
 
 
+def test_words_of_every_rank_get_classes(spark):
+    """Words of two kinds alternate; most are beyond the TOP most frequent, and their endings don't tell the kind."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{'ab'[k % 2]}{rng.randrange(1500)}x" for k in range(100))) for i in range(600)]
+    held = [r for r in by_id(brown.class_scores(frame(spark, rows), frequent=1200)).values() if r.held_out]
+    assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.15  # log10(2) is 0.30 at best; with classes for 1,000 words it was 0.003
+
+
+def test_gains_follow_the_likelihood():
+    """Against the likelihood of the changed matrix, for a word that doesn't meet its own class."""
+    rng = np.random.default_rng(1)
+    m, own, n = rng.integers(5, 50, (4, 4)).astype(float), 3, np.array([2.0, 1.0, 3.0])
+    cell = np.array([0, 1, 4 + 2])  # right neighbours of classes 0 and 1, a left one of class 2
+    got = brown.gains(np.array([own]), np.zeros(3, np.int64), cell, n, m)[0]
+
+    def joined(k):
+        x = m.copy()
+        for c, y in zip(cell, n, strict=True):
+            for to, sign in ((own, -1), (k, 1)):
+                at = (to, c) if c < 4 else (c - 4, to)
+                x[at] += sign * y
+        return brown.g(x).sum() - brown.g(x.sum(1)).sum() - brown.g(x.sum(0)).sum()
+
+    # counts where the class left and the class joined meet are taken as they stand, so the gains are near, not equal
+    base = joined(own)
+    assert got.argmax() == np.argmax([joined(k) for k in range(4)]) and got[3] - got.min() == pytest.approx(base - min(joined(k) for k in range(4)), rel=0.2)
+
+
 def test_near_duplicates(docs):
     got, want = by_id(minhash.near_duplicates(docs)), near_components(TEXTS)
     for i, t in TEXTS:
