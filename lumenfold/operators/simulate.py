@@ -69,47 +69,54 @@ def draw(df: DataFrame, n_two: int, n_three: int, seed: int = 42, mode: str = "d
     """query_index, kind, slot, weight, window_id, place: which members of which window make each mixture.
 
     df: window_id, place (from 1 in its window), inchikey. A window is drawn uniformly over windows, then distinct
-    members; a draw that repeats an inchikey is drawn again. Members are drawn by their number alone and only those
-    drawn are looked up, so no task holds a window. Each draw is seeded by the output's index and the attempt.
+    members; where these repeat an inchikey, window and members are drawn again. Reading the rows fails if an output
+    finds none in all tries. Members are drawn by their number alone and only those drawn are looked up, so no task
+    holds a window. Each draw is seeded by the output's index and the attempt.
     """
     sizes = df.groupBy("window_id").agg(F.count("*").alias("n"))
     numbered = sizes.withColumn("w", F.row_number().over(Window.orderBy("window_id")) - 1)  # one row per window
     n_windows = numbered.count()
     if not n_windows:
         raise ValueError("no window has enough spectra")
-    picks = df.sparkSession.range(n_two + n_three).withColumnRenamed("id", "query_index")
-    pick = F.pmod(F.xxhash64(F.lit(seed) + F.when(F.col("query_index") >= n_two, SHIFT).otherwise(0), "query_index"), F.lit(n_windows))
-    left = picks.withColumn("w", pick).join(numbered, "w").select("query_index", "window_id", "n")
+    left = df.sparkSession.range(n_two + n_three).withColumnRenamed("id", "query_index")
+    shifted = F.lit(seed) + F.when(F.col("query_index") >= n_two, SHIFT).otherwise(0)
+    pick = F.pmod(F.xxhash64(shifted, "query_index", "attempt"), F.lit(n_windows))
     own = F.coalesce(F.when(F.col("inchikey") != "", F.concat(F.lit("k"), "inchikey")), F.concat(F.lit("#"), F.col("place").cast("string")))
     keys = df.select("window_id", "place", own.alias("key"))
-
-    def attempts(first: int, last: int):
-        def run(batches):
-            for b in batches:
-                out = []
-                for i, window, n in zip(b["query_index"], b["window_id"], b["n"], strict=True):
-                    k = 2 if i < n_two else 3
-                    for t in range(first, last):
-                        rng = np.random.default_rng([seed + (SHIFT if k == 3 else 0), int(i), t])
-                        at = rng.choice(int(n), k, replace=False) + 1
-                        out += [(i, t, "AB" if k == 2 else "ABC", s, w, window, p) for s, (p, w) in enumerate(zip(at, weights(k, rng, mode), strict=True))]
-                yield pd.DataFrame(out, columns=["query_index", "attempt", "kind", "slot", "weight", "window_id", "place"])
-
-        return run
+    kind = "query_index long, attempt int, kind string, slot int, weight double, window_id long, place long"
+
+    def members(batches):
+        for b in batches:
+            out = []
+            for i, t, window, n in zip(b["query_index"], b["attempt"], b["window_id"], b["n"], strict=True):
+                k = 2 if i < n_two else 3
+                if n < k:
+                    continue
+                rng = np.random.default_rng([seed + (SHIFT if k == 3 else 0), int(i), int(t)])
+                at = rng.choice(int(n), k, replace=False) + 1
+                out += [(i, t, "AB" if k == 2 else "ABC", s, w, window, p) for s, (p, w) in enumerate(zip(at, weights(k, rng, mode), strict=True))]
+            yield pd.DataFrame(out, columns=["query_index", "attempt", "kind", "slot", "weight", "window_id", "place"])
+
+    def fail(batches):
+        for b in batches:
+            if len(b):
+                raise RuntimeError(f"{tries} tries gave no members with distinct keys for mixture {b['query_index'].iloc[0]}")
+        yield from ()
 
     found = []
-    # nearly all succeed at once; what repeats a key 30 times is mostly a window of one key
+    # nearly all succeed at once
     for first, last in ((0, 1), (1, 30), (30, tries)):
         if first >= min(last, tries):
             break
-        drawn = left.mapInPandas(attempts(first, min(last, tries)), "query_index long, attempt int, kind string, slot int, weight double, window_id long, place long").join(keys, ["window_id", "place"])
+        tried = left.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(min(last, tries) - 1)))).withColumn("w", pick)
+        drawn = tried.join(numbered, "w").select("query_index", "attempt", "window_id", "n").mapInPandas(members, kind).join(keys, ["window_id", "place"])
         slot = F.struct("slot", "kind", "weight", "window_id", "place")
         good = drawn.groupBy("query_index", "attempt").agg(F.collect_list(slot).alias("slots"), F.count_distinct("key").alias("kinds")).where(F.col("kinds") == F.size("slots"))
         good = good.groupBy("query_index").agg(F.min_by("slots", "attempt").alias("slots"))
         found.append(good.select("query_index", F.explode("slots").alias("s")).select("query_index", "s.kind", "s.slot", "s.weight", "s.window_id", "s.place"))
         left = left.join(good.select("query_index"), "query_index", "left_anti")
-    rows = found[0]
-    for more in found[1:]:
+    rows = left.mapInPandas(fail, "query_index long, kind string, slot int, weight double, window_id long, place long")
+    for more in found:
         rows = rows.unionByName(more)
     return rows
 

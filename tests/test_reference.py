@@ -162,6 +162,18 @@ def test_draws_have_distinct_keys_or_are_left_out(spark):
     assert all(len({r.window_id for r in x}) == 1 and math.isclose(sum(r.weight for r in x), 1) for x in drawn.values())
 
 
+def test_every_mixture_is_drawn_beside_windows_of_one_key(spark):
+    rows = [(1, i, "A") for i in range(1, 9)] + [(2, i, k) for i, k in enumerate("AAAB", 1)] + [(3, i, k) for i, k in enumerate("ABC", 1)]
+    frame = lambda x: spark.createDataFrame(x, "window_id long, place long, inchikey string")
+    key = {(w, p): k for w, p, k in rows}
+    drawn: dict[int, list] = {}
+    for r in simulate.draw(frame(rows), 40, 40).collect():
+        drawn.setdefault(r.query_index, []).append(key[r.window_id, r.place])
+    assert set(drawn) == set(range(80)) and all(len(x) == len(set(x)) == (2 if i < 40 else 3) for i, x in drawn.items())
+    with pytest.raises(Exception, match="distinct keys"):
+        simulate.draw(frame(rows[:12]), 2, 2).collect()
+
+
 def test_places_number_every_member_once(spark):
     df = spark.range(1000).select(F.col("id").alias("library_index"), (F.col("id") % 3).alias("window_id"))
     for r in simulate.places(df, 16).groupBy("window_id").agg(F.array_sort(F.collect_list("place")).alias("p")).collect():
