@@ -318,7 +318,7 @@ def simulated_mixtures(spark, d):
     rows = with_precursor(spark, d).select(
         F.col("id").alias("library_index"), "precursor_mz", "peaks", F.lit(1).cast("long").alias("charge"), F.concat(F.lit("key"), "id").alias("inchikey"), F.concat(F.lit("C"), "id").alias("smiles"), F.concat(F.lit("name"), "id").alias("name"), F.lit("[M+H]+").alias("adduct"),
     )
-    return simulate.simulate(rows, 1000, 1000)
+    return simulate.simulate(rows, 100_000, 100_000)
 
 
 def neighbors(spark, d) -> DataFrame:

@@ -174,6 +174,13 @@ def test_every_mixture_is_drawn_beside_windows_of_one_key(spark):
         simulate.draw(frame(rows[:12]), 2, 2).collect()
 
 
+def test_registered_simulation_has_production_numbers(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(simulate, "simulate", lambda rows, *n: asked.append(n))
+    Q.QUERIES["simulated_mixtures"](spark, SF)
+    assert asked == [(100_000, 100_000)]
+
+
 def test_places_number_every_member_once(spark):
     df = spark.range(1000).select(F.col("id").alias("library_index"), (F.col("id") % 3).alias("window_id"))
     for r in simulate.places(df, 16).groupBy("window_id").agg(F.array_sort(F.collect_list("place")).alias("p")).collect():
