@@ -34,7 +34,7 @@ SIGNATURES = (
     (b"GIF87a", 0, "image/gif"),
     (b"GIF89a", 0, "image/gif"),
     (b"BM", 0, "image/bmp"),
-    (b"WAVEfmt ", 8, "audio/wav"),
+    (b"WAVE", 8, "audio/wav"),
     (b"\xff\xd8\xff", 0, "image/jpeg"),
     (b"\x1f\x8b\x08", 0, "application/gzip"),
     (b"PK\x03\x04", 0, "application/zip"),
@@ -89,14 +89,14 @@ def bmp_length(v: bytes) -> int:
 def wav_length(v: bytes) -> int:
     if len(v) < 44 or v[:4] != b"RIFF" or v[8:12] != b"WAVE":
         return 0
-    end, at, data = 8 + struct.unpack_from("<I", v, 4)[0], 12, False
+    end, at, names = 8 + struct.unpack_from("<I", v, 4)[0], 12, set()
     if end > len(v):
         return 0
     while at + 8 <= end:
         n = struct.unpack_from("<I", v, at + 4)[0]
-        data |= v[at : at + 4] == b"data"
+        names.add(v[at : at + 4])
         at += 8 + n + (n & 1)
-    return end if data and at == end else 0
+    return end if names >= {b"fmt ", b"data"} and at == end else 0
 
 
 def jpeg_length(v: bytes) -> int:
@@ -136,8 +136,15 @@ def zip_length(v: bytes) -> int:
 
 
 def pdf_length(v: bytes) -> int:
-    at = v.find(b"%%EOF")
-    return at + 5 if at > 0 and v.rfind(b"startxref", 0, at) > 0 else 0
+    """Up to the last end mark with a startxref of its own before the next header; later revisions add such marks."""
+    stop = v.find(b"%PDF-", 5)
+    at = v.rfind(b"%%EOF", 0, stop if stop > 0 else len(v))
+    while at > 0:
+        before = v.rfind(b"%%EOF", 0, at)
+        if v.rfind(b"startxref", max(before, 0), at) > 0:
+            return at + 5
+        at = before
+    return 0
 
 
 def flac_length(v: bytes) -> int:

@@ -413,6 +413,19 @@ def test_sniffing_corrects_and_carves(spark):
     assert [(p.type, bytes(p.bytes)) for p in got[2].parts] == [("image/png", png), ("audio/wav", w.getvalue()), ("application/gzip", gz)]
 
 
+def test_revised_pdfs_and_waves_with_other_chunks_first():
+    import struct
+
+    first = b"%PDF-1.4\nstartxref\n0\n%%EOF"
+    pdf = first + b"\nmore\nstartxref\n9\n%%EOF"
+    fmt, data = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8), b"data" + struct.pack("<I", 4) + b"\x80" * 4
+    wave = lambda chunks: b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
+    junk = b"JUNK" + struct.pack("<I", 6) + b"\0" * 6
+    value = pdf + b" tail %%EOF " + first + b" WAVE " + wave(junk + fmt + data) + wave(junk + data + junk)
+    got = [(kind, value[at : at + n]) for kind, at, n in media.Sniffer().parts(value)]
+    assert got == [("application/pdf", pdf), ("application/pdf", first), ("audio/wav", wave(junk + fmt + data))]
+
+
 def test_class_scores(docs):
     got, c = by_id(brown.class_scores(docs, frequent=50)), Counter()
     tokens = lambda t: [*re.findall(WORD, (t or "").translate(LOW)), None]
