@@ -32,7 +32,7 @@ PER_CLASS, MOST, PENALTY, THRESHOLD = 9000, 4096, 1.0, 0.3
 RIDGES = (3e-3, 1e-3, 3e-4, 1e-4, 3e-5, 1e-5)
 PREFIXES = (4, 5, 6)
 
-#: Identity terms by kind; terms of one kind can be swapped.
+#: Identity terms by kind, English, French, German and Spanish; terms of one kind can be swapped.
 IDENTITY_TERMS = (
     ("women", "men"),
     ("woman", "man"),
@@ -42,6 +42,18 @@ IDENTITY_TERMS = (
     ("gay", "lesbian", "straight", "bisexual", "transgender"),
     ("immigrants", "citizens", "refugees"),
     ("blind", "deaf", "disabled"),
+    ("femmes", "hommes"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("immigrés", "citoyens", "réfugiés"),
+    ("aveugles", "sourds", "handicapés"),
+    ("frauen", "männer"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("einwanderer", "bürger", "flüchtlinge"),
+    ("blinde", "gehörlose", "behinderte"),
+    ("mujeres", "hombres"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("inmigrantes", "ciudadanos", "refugiados"),
+    ("ciegos", "sordos", "discapacitados"),
 )
 
 

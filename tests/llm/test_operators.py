@@ -284,6 +284,13 @@ def test_counterfactual_penalty_keeps_neutral_mentions_clean(spark):
     assert gap[1] < 0.5 * gap[0] and gap[1] < 0.05
 
 
+def test_identity_terms_of_every_language_are_swapped():
+    for text, other in (("Les femmes marchent", "les hommes marchent"), ("Die Männer gehen", "die frauen gehen"), ("Los refugiados andan", "los ciudadanos andan"), ("women walk", "men walk")):
+        assert other in toxicity.counterfactuals(text)
+    terms = [t for kind in toxicity.IDENTITY_TERMS for t in kind]
+    assert len(terms) == len(set(terms))
+
+
 def test_ridge_is_chosen_without_held_out_labels(spark):
     d = frame(spark, toxic_docs())
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, q, t in LABELS]
