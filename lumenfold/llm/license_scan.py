@@ -2,11 +2,13 @@
 
 All templates go into one automaton. Streaming a text through it gives matching statistics: for each word the
 longest template substring that ends there. A match of two or more words never crosses a pair of words that is
-adjacent in no template, so only runs of adjacent pairs are streamed; everywhere else the statistic is 0 or 1.
-Right-maximal matches of at least MIN_MATCH words (or a whole shorter template) are chained per template,
+adjacent in no template, so only runs of adjacent pairs are streamed that have MIN_MATCH words or a pair of a shorter
+template; elsewhere the statistic is below MIN_MATCH and ends no whole template. Words are found by hash, then compared
+byte by byte. Right-maximal matches of at least MIN_MATCH words (or a whole shorter template) are chained per template,
 collinearly and over gaps of at most MAX_GAP words; a chain that covers COVER of its template is a span.
 
-Null and empty texts have no words, count 0, null places, empty labels and score 0. Rows that repeat a doc_id
+Null and empty texts have no words, count 0, null places, empty labels and score 0. Very long texts are scanned whole,
+in time that grows with their length. Rows that repeat a doc_id
 are scanned each. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import LOWER, PUNCT, blocks, column, word_hash
+from .text import LOWER, MASK, PUNCT, Block, blocks, column, word_hash
 
 MIN_MATCH, MAX_GAP, COVER = 5, 12, 0.6
 
@@ -129,6 +131,9 @@ class Scanner:
         hashes = np.array([word_hash(w) for w in vocabulary], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.number = hashes[order], order
+        self.lengths = np.array([len(w) for w in vocabulary])
+        width = -(-int(self.lengths.max()) // 8)
+        self.letters = np.array([np.frombuffer(w.ljust(8 * width, b"\0"), "<u8") for w in vocabulary])
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(hashes >> np.uint64(48)).astype(np.int64)] = True
         ids = {w: k for k, w in enumerate(vocabulary)}
@@ -141,12 +146,19 @@ class Scanner:
                 self.pair[a, b] = True
                 self.short[a, b] |= len(t) < MIN_MATCH
 
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int64)
+    def numbers(self, block: Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The template word that each word is, or -1."""
+        h, out = block.hashes(starts, ends), np.full(len(starts), -1, np.int64)
         some = np.flatnonzero(self.seen[(h >> np.uint64(48)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
-        ok = self.hashes[k] == h[some]
-        out[some[ok]] = self.number[k[ok]]
+        hit = self.hashes[k] == h[some]
+        some, k = some[hit], self.number[k[hit]]
+        n = ends[some] - starts[some]
+        ok = n == self.lengths[k]
+        for c in range(self.letters.shape[1]):
+            at = np.minimum(starts[some] + 8 * c, len(block.bytes))
+            ok &= (n <= 8 * c) | (block.heads(at) & MASK[np.clip(n - 8 * c, 0, 8)] == self.letters[k, c])
+        out[some[ok]] = k[ok]
         return out
 
     def runs(self, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +226,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
         for block in blocks(batches, lower=True):
             starts, ends, first = block.words(PUNCT)
             doc = np.repeat(np.arange(len(block)), np.diff(first))
-            ids = scanner.numbers(block.hashes(starts, ends))
+            ids = scanner.numbers(block, starts, ends)
             got: dict[int, tuple[list, list]] = {}
             for a, b in zip(*(x.tolist() for x in scanner.runs(ids, doc)), strict=True):
                 places, matches = scanner.scan(ids[a : b + 1].tolist(), a - int(first[doc[a]]))

@@ -22,7 +22,7 @@ PUNCT[48:58] = PUNCT[97:123] = PUNCT[128:] = False
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_MASK = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+MASK = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,16 +70,16 @@ class Block:
         return self._view[starts + skip]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the words' bytes; words of up to eight bytes never collide with each other."""
+        """64-bit hashes of the words' bytes. Unequal words can have equal hashes; same() tells them apart."""
         n = ends - starts
         h = n.astype(np.uint64) * _C1
-        h ^= self.heads(starts) & _MASK[np.minimum(n, 8)]
+        h ^= self.heads(starts) & MASK[np.minimum(n, 8)]
         h *= _C1
         h ^= h >> np.uint64(32)
         k = 8
         left = np.flatnonzero(n > k)
         while len(left):
-            w = self.heads(starts[left], k) & _MASK[np.minimum(n[left] - k, 8)]
+            w = self.heads(starts[left], k) & MASK[np.minimum(n[left] - k, 8)]
             x = (h[left] ^ w) * _C2
             h[left] = x ^ (x >> np.uint64(29))
             k += 8
@@ -87,6 +87,29 @@ class Block:
         return mix(h)
 
 
+    def same(self, starts: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether words i and j have the same bytes."""
+        a, b, n = starts[i], starts[j], ends[i] - starts[i]
+        out = n == ends[j] - b
+        k, left = 0, np.flatnonzero(out)
+        while len(left):
+            mask = MASK[np.minimum(n[left] - k, 8)]
+            ok = (self.heads(a[left], k) & mask) == (self.heads(b[left], k) & mask)
+            out[left[~ok]] = False
+            k += 8
+            left = left[ok & (n[left] > k)]
+        return out
+
+
+def distinct_words(block: Block, starts: np.ndarray, ends: np.ndarray, separators: np.ndarray = SPACE) -> tuple[pa.Array, np.ndarray]:
+    """The block's distinct words as bytes, and for each word its number among them."""
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=at[1:])
+    letters = block.buf[~separators[block.buf]]
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy()
+
+
 def word_hash(word: bytes) -> int:
     """The hash that Block.hashes() gives this word."""
     b = Block(None, pa.array([word], pa.binary()), False)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .scratch import Scratch, columns
-from .text import PUNCT, Block, blocks, column, mix, word_hash, _MASK
+from .text import MASK, PUNCT, Block, blocks, column, mix, word_hash
 
 PER_CLASS, MOST, PENALTY, THRESHOLD = 9000, 4096, 1.0, 0.3
 #: Largest first; the first serves where one of the two parts of the sample lacks a class.
@@ -70,7 +70,7 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     heads = block.heads(starts)
     for k in PREFIXES:
         long = n > k
-        parts.append(mix((heads[long] & _MASK[k]) + np.uint64(k << 56)))
+        parts.append(mix((heads[long] & MASK[k]) + np.uint64(k << 56)))
         docs.append(doc[long])
     return np.concatenate(parts), np.concatenate(docs)
 
