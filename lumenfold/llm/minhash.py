@@ -1,33 +1,33 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Documents with the same shingle set form a class at once; only the smallest document of each goes on. Bands of
-its signature are bucketed. In a bucket all members are paired with the smallest one only, never with each
-other. Pairs are judged batch by batch of the signature: under a uniform prior, a pair is pruned once the
+Documents with the same text (by SHA-256) form a class at once; one of each goes on. Bands of its signature are
+bucketed. In a bucket all members are paired with the first one only, never with each other. Pairs are judged batch by batch of the signature: under a uniform prior, a pair is pruned once the
 posterior probability of reaching the threshold is below `miss`; survivors are verified on whole texts. First
 each document's likeliest hub is verified, then other hubs in other components. The documents of buckets that
 still hold several components are joined by an exact prefix filter on their shingles. So every pair that shares
 a bucket is either in one component already, ruled out by the filter, or judged.
 
-A band has 4 of 128 hashes: a pair of similarity 0.75 shares none of 32 buckets with probability 5e-6.
+A band has 4 of 128 hashes: a pair of similarity 0.75 shares none of 32 buckets with probability 5e-6. Hashes only
+find candidates: sizes of sets are counted, and links confirmed, on the words' bytes.
 
 Null, empty and blank texts have no shingles and are linked with nothing. Texts with fewer words than a
-shingle have one, their whole sequence. Rows that repeat a doc_id and its text share its result; a null doc_id
-is ignored when others share its set. An empty
-table gives no rows. Other columns are ignored, whatever their names.
+shingle have one, their whole sequence. Very long texts are handled whole. Rows that repeat a doc_id and its text
+share its result. Rows of one doc_id with different texts are documents of their own; component_id is the smallest
+doc_id of a component's rows, null only where none has one. An empty table gives no rows. Other columns are ignored
+or carried, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import components
-from .scratch import Scratch, without
+from .scratch import Scratch, chosen
 from .text import SPACE, Block, blocks, column, mix, windows
 
 WORDS, HASHES, ROWS, BATCH, MISS = 5, 128, 4, 16, 1e-6
@@ -37,19 +37,60 @@ MUL = (_rng.randint(0, 2**31, HASHES).astype(np.uint32) << np.uint32(1)) | np.ui
 XOR = _rng.randint(0, 2**32, HASHES, np.uint64).astype(np.uint32)
 
 
-def shingle_sets(block: Block, words: int = WORDS) -> list[np.ndarray]:
-    """For each text of a lower-cased block its distinct shingles' hashes, sorted."""
+class Shingles:
+    """One text's distinct shingles: hashes (sorted), the word at which each first starts, and their exact number.
+
+    A shingle is `words` words, or the whole text if it has fewer.
+    """
+
+    def __init__(self, block: Block, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, a: int, b: int, words: int):
+        self.block, self.starts, self.ends, self.first, self.words = block, starts, ends, a, min(words, b - a)
+        order = np.argsort(h, kind="stable")
+        new = np.ones(len(h), bool)
+        new[1:] = h[order[1:]] != h[order[:-1]]
+        self.h, self.at, self.n, self.count = h[order[new]], order[new], int(new.sum()), len(h)
+        i, j = order[1:][~new[1:]] + a, order[:-1][~new[1:]] + a
+        self.plain = not len(i) or all(block.same(starts, ends, i + k, j + k).all() for k in range(self.words))
+        if not self.plain:  # unequal shingles with one hash
+            self.n = len(self.tuples())
+
+    def text(self, at: int, n: int) -> list[bytes]:
+        """n words from the given one."""
+        return self.block.bytes[self.starts[self.first + at] : self.ends[self.first + at + n - 1]].split()
+
+    def tuples(self) -> set[tuple[bytes, ...]]:
+        w = self.text(0, self.count + self.words - 1) if self.count else []
+        return {tuple(w[k : k + self.words]) for k in range(self.count)}
+
+    def common(self, other: Shingles) -> int:
+        """Number of shingles that both have."""
+        if not (self.plain and other.plain):
+            return len(self.tuples() & other.tuples())
+        if self.words != other.words:
+            return 0
+        _, i, j = np.intersect1d(self.h, other.h, assume_unique=True, return_indices=True)
+        i, j = self.at[i], other.at[j]
+        order = np.argsort(i)
+        i, j = i[order], j[order]
+        cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1  # runs of neighbours are compared at once
+        for x, y in zip(np.split(i, cut), np.split(j, cut), strict=True):
+            if len(x) and self.text(x[0], len(x) + self.words - 1) != other.text(y[0], len(y) + self.words - 1):
+                return len(self.tuples() & other.tuples())
+        return len(i)
+
+
+def shingle_sets(block: Block, words: int = WORDS) -> list[Shingles]:
+    """The shingles of each text of a lower-cased block."""
     starts, ends, first = block.words(SPACE)
     h = block.hashes(starts, ends)
     w = windows(h, words)
     out = []
-    for a, b in zip(first[:-1], first[1:], strict=True):
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:
-            out.append(np.unique(w[a : b - words + 1]))
-        elif b > a:
-            out.append(windows(h[a:b], int(b - a)) ^ np.uint64(b - a))
+            mine = w[a : b - words + 1]
         else:
-            out.append(np.zeros(0, np.uint64))
+            mine = windows(h[a:b], b - a) ^ np.uint64(b - a) if b > a else np.zeros(0, np.uint64)
+        out.append(Shingles(block, starts, ends, mine, a, b, words))
     return out
 
 
@@ -62,30 +103,35 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-SKETCH = "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"
+SKETCH = "doc_id long, key binary, n_shingles long, sig binary, bands array<long>"
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, lower=True):
             sets = shingle_sets(block)
-            full = np.array([len(s) > 0 for s in sets])
-            sigs = np.array([signature(s) for s in sets if len(s)], np.uint32).reshape(-1, HASHES)
+            full = np.array([len(s.h) > 0 for s in sets])
+            sigs = np.array([signature(s.h) for s in sets if len(s.h)], np.uint32).reshape(-1, HASHES)
             keys = mix(np.arange(1, HASHES // ROWS + 1, dtype=np.uint64))[None, :].repeat(len(sigs), 0)
             for k in range(ROWS):
                 keys = mix(keys ^ sigs[:, k::ROWS].astype(np.uint64))
             at = np.concatenate([[0], np.cumsum(full * (HASHES // ROWS))]).astype(np.int32)
-            short, ids = iter(sigs.astype("<u2")), [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            short = iter(sigs.astype("<u2"))
             yield pa.record_batch(
                 [
-                    column(block.rows, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()),
+                    column(block.rows, "doc_id"), column(block.rows, "key"), pa.array([s.n for s in sets], pa.int64()),
                     pa.array([next(short).tobytes() if f else None for f in full], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel().view(np.int64))),
                 ],
-                ["doc_id", "n_shingles", "set_key", "sig", "bands"],
+                ["doc_id", "key", "n_shingles", "sig", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text")).mapInArrow(run, SKETCH)
 
 
 def least_matches(n: int, miss: float = MISS, threshold: float = PERCENT / 100) -> int:
@@ -115,7 +161,7 @@ def prune(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
                 live = live[m[live] >= need]
             yield pa.record_batch([column(batch, "a").take(pa.array(live)), column(batch, "b").take(pa.array(live)), pa.array(m[live])], ["a", "b", "m"])
 
-    a, b = (sigs.select(F.col("doc_id").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
+    a, b = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
     return pairs.join(b, "b").join(a, "a").select("a", "sa", "b", "sb").mapInArrow(run, "a long, b long, m long")
 
 
@@ -125,24 +171,21 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (column(batch, c).to_pylist() for c in "ab")
-            sets: dict[int, np.ndarray] = {}
+            sets: dict[int, Shingles | None] = {}
             for ids, name in ((a, "ta"), (b, "tb")):
                 new = [k for k, i in enumerate(ids) if i not in sets and sets.setdefault(i, None) is None]
                 some = pa.record_batch([pa.array([ids[k] for k in new], pa.int64()), column(batch, name).take(pa.array(new, pa.int64()))], ["i", "text"])
                 for block in blocks([some], lower=True):
                     sets.update(zip(column(block.rows, "i").to_pylist(), shingle_sets(block), strict=True))
             ok = []
-            for i, j in zip(a, b, strict=True):
-                x, y = sets[i], sets[j]
-                if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            for x, y in zip((sets[i] for i in a), (sets[i] for i in b), strict=True):
+                near = 100 * min(x.n, y.n) >= PERCENT * max(x.n, y.n)
+                both = x.common(y) if near else 0
+                ok.append(near and 100 * both >= PERCENT * (x.n + y.n - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.record_batch([column(batch, c).filter(keep) for c in "ab"], ["a", "b"])
 
-    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "ta", "b", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -154,10 +197,10 @@ def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def split_members(members: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, comp of the documents of buckets that hold more than one component."""
-    m = members.join(comps.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    split = scratch.keep(m.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), "split")
-    return m.join(split, "key", "left_semi").select("doc_id", "comp").distinct()
+    """node, comp of the documents of buckets that hold more than one component."""
+    m = members.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    split = scratch.keep(m.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket"), "split")
+    return m.join(split, "bucket", "left_semi").select("node", "comp").distinct()
 
 
 def slots(shingles: np.ndarray) -> np.ndarray:
@@ -170,7 +213,7 @@ def slot_counts(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << SLOT_BITS, np.int32)
         for block in blocks(batches, lower=True):
-            sums += np.bincount(np.concatenate([slots(x) for x in shingle_sets(block)]), minlength=1 << SLOT_BITS).astype(np.int32)
+            sums += np.bincount(np.concatenate([slots(x.h) for x in shingle_sets(block)]), minlength=1 << SLOT_BITS).astype(np.int32)
         some = np.flatnonzero(sums)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(sums[some])], ["slot", "n"])
 
@@ -180,12 +223,13 @@ def slot_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_pairs(texts: DataFrame) -> DataFrame:
-    """texts: doc_id, text, comp. Pairs a, b of different components that a prefix filter can't rule out.
+def prefixes(texts: DataFrame) -> DataFrame:
+    """texts: node, text, comp. Each document's tokens of the prefix filter: token, node, comp, n (shingles), most.
 
     Shingles are ordered rarest slot first. Two sets that reach the threshold share a shingle in the first
     n - ceil(0.75 n) + 1 of each, and behind their first common one both have enough left for the overlap that
-    their sizes ask for. Any order gives all pairs; this one makes copies with edits of their own differ early.
+    their sizes ask for: `most` is the largest partner for which this one has. Any order gives all pairs; this one
+    makes copies with edits of their own differ early.
     """
     shared = texts.sparkSession.sparkContext.broadcast(slot_counts(texts))
 
@@ -193,53 +237,89 @@ def prefix_pairs(texts: DataFrame) -> DataFrame:
         counts = shared.value
         for block in blocks(batches, lower=True):
             parts = []
-            for k, x in enumerate(shingle_sets(block)):
+            for k, x in enumerate(s.h for s in shingle_sets(block)):
                 often = counts[slots(x)]
                 order = np.lexsort((x, often))[: len(x) - -(-PERCENT * len(x) // 100) + 1]
                 at = np.flatnonzero(often[order] > 1)  # the rest is in no other set
-                parts.append((np.full(len(at), k), x[order[at]], at, np.full(len(at), len(x))))
-            k, token, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                most = ((100 + PERCENT) * (len(x) - at) - PERCENT * len(x)) // PERCENT
+                parts.append((np.full(len(at), k), x[order[at]], np.full(len(at), len(x)), most))
+            k, token, n, most = (np.concatenate(x) for x in zip(*parts, strict=True))
             k = pa.array(k)
-            yield pa.record_batch([pa.array(token.view(np.int64)), column(block.rows, "doc_id").take(k), column(block.rows, "comp").take(k), pa.array(n), pa.array(at)], ["token", "doc", "comp", "n", "at"])
+            yield pa.record_batch([pa.array(token.view(np.int64)), column(block.rows, "node").take(k), column(block.rows, "comp").take(k), pa.array(n), pa.array(most)], ["token", "node", "comp", "n", "most"])
 
-    rows = texts.select("doc_id", "text", "comp").mapInArrow(run, "token long, doc long, comp long, n long, at long")
-    a, b = (rows.select("token", *[F.col(c).alias(c + x) for c in ("doc", "comp", "n", "at")]) for x in "ab")
-    left = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
-    enough = (100 + PERCENT) * left >= PERCENT * (F.col("na") + F.col("nb"))
-    pairs = a.join(b, (a.token == b.token) & (F.col("doca") < F.col("docb")) & (F.col("compa") != F.col("compb")) & enough)
-    return pairs.select(F.col("doca").alias("a"), F.col("docb").alias("b")).distinct()
+    return texts.select("node", "text", "comp").mapInArrow(run, "token long, node long, comp long, n long, most long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    s = Scratch(docs.sparkSession)
+def prefix_pairs(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs a, b of different components that a prefix filter can't rule out.
+
+    Tokens of one component alone are left out. The others are joined by token and class of length, the smaller
+    document's row standing in every class that its largest partner allows. So a token that very many documents
+    hold costs pairs only where sizes and places leave room for the threshold, and is dealt by length; its rows are a
+    plain table, so that the join can split it further.
+    """
+    rows = scratch.keep(prefixes(texts), "prefixes")
+    mixed = scratch.keep(rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token"), "mixed")
+    rows = scratch.keep(rows.join(mixed, "token", "left_semi"), "tokens")
+    size = lambda n: F.floor(F.log(F.col(n)) / F.log(F.lit(1.1)) + 1e-9).cast("int")
+    a, b = (rows.select("token", *[F.col(c).alias(c + x) for c in ("node", "comp", "n", "most")]) for x in "ab")
+    a = a.where("mosta >= na").withColumn("size", F.explode(F.sequence(size("na"), size("mosta"))))
+    b = b.withColumn("size", size("nb"))
+    room = "nb <= mosta and na <= mostb and (na < nb or (na = nb and nodea < nodeb)) and compa != compb"
+    pairs = a.join(b, ["token", "size"]).where(room)
+    return pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+
+
+def groups(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key, n_shingles of every row; key, rep (none, doc_id), comp of every text that has a word.
+
+    rep is the smallest doc_id with the text, a null one last; comp is a number of the component.
+    """
     all_ = s.keep(sketch(docs), "sketch")
-    classes = s.keep(all_.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = all_.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    bands = reps.select(F.explode("bands").alias("key"), "doc_id").distinct()
-    shared = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("rep")
+    classes = all_.where("n_shingles > 0").groupBy("key").agg(rep, F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = s.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so numbered once
+    bands = classes.select(F.explode("bands").alias("bucket"), "node")
+    shared = bands.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
     # a table of its own, as a join can split a large bucket only between two plain inputs
     shared = s.keep(shared, "shared")
-    members = s.keep(bands.join(shared, "key").select("key", "doc_id", "hub"), "members")
-    pool_ids = members.select("doc_id").distinct()
-    sigs = s.keep(all_.select("doc_id", "sig").join(pool_ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sigs")
-    texts = s.keep(docs.select("doc_id", "text").join(pool_ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    star = members.where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    members = s.keep(bands.join(shared, "bucket"), "members")
+    pool = classes.select("node", "key", "rep.*", "sig").join(members.select("node").distinct(), "node", "left_semi")
+    pool = s.keep(pool.select("node", "key", F.coalesce("doc_id", F.lit(0)).alias("id"), "none", "sig"), "pool")
+    sigs, row = pool.select("node", "sig"), ["key", "id", "none"]
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    texts = docs.select(text_key(text).alias("key"), F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"), text.alias("text"))
+    texts = s.keep(texts.join(pool.drop("sig"), row).dropDuplicates(row).select("node", "text"), "texts")
+    star = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     star = s.keep(prune(star, sigs), "star")
     first = star.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("m"), "a"))).where("k = 1")
     links = s.keep(verify(first, texts), "links")
     comps = components(links, s)
     links = links.unionByName(s.keep(verify(across(star, comps), texts), "links"))
     comps = components(links, s)
-    split = s.keep(texts.join(split_members(members, comps, s), "doc_id"), "split")
-    links = links.unionByName(s.keep(verify(prune(prefix_pairs(split), sigs), texts), "links"))
+    split = s.keep(texts.join(split_members(members, comps, s), "node"), "split")
+    links = links.unionByName(s.keep(verify(prune(prefix_pairs(split, s), sigs), texts), "links"))
     comps = components(links, s)
-    classes = classes.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
-    rows = all_.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+    return all_.select("doc_id", "key", "n_shingles"), classes.select("key", "rep", "node").join(comps, "node", "left").select("key", "rep", F.coalesce("comp", "node").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    s = Scratch(docs.sparkSession)
+    rows, classes = groups(docs, s)
+    least = classes.groupBy("comp").agg(F.min("rep").alias("least"))
+    # a table of its own, so that the join on a text with very many copies can be split
+    classes = s.keep(classes.join(least, "comp").select("key", F.col("least.doc_id").alias("component_id")), "least")
+    rows = rows.join(classes.withColumn("some", F.lit(True)), "key", "left")
+    rows = rows.select("doc_id", "n_shingles", F.when(F.col("some"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one_of_near(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, and those with a null doc_id."""
-    dropped = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id")
-    return without(docs, dropped)
+    """One row of docs of each component, that of the smallest doc_id (then of the smallest SHA-256), and all rows without words."""
+    s = Scratch(docs.sparkSession)
+    _, classes = groups(docs.select("doc_id", "text"), s)
+    best = classes.groupBy("comp").agg(F.min(F.struct("rep.none", "rep.doc_id", "key")).alias("best"))
+    keepers = s.keep(best.select("best.key", "best.doc_id"), "keepers")
+    words = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    return chosen(docs.where(words), text_key(F.col("text").cast("string")), keepers).union(docs.where(~words))
