@@ -1,20 +1,22 @@
 """Class-based bigram model: exchange clustering assigns words to classes.
 
-Counts of all words of all training documents are kept as a table by word hash, and so are the counts of all
-neighbouring words. Every training word is given a class. The TOP most frequent words and the document end are
-clustered on the driver (a square of a parameter, not of the data). Sweeps over the table of neighbours then move
-all words, those included: a word's counts by neighbour class come from the table, and it goes to the class that
-raises the class bigram likelihood most against the matrix of classes, which alone the driver holds. The words of
-one half move at a time; sweeps end when a round gains little, and a sweep that loses is undone. A word's
-probability is P(class | class before) * P(word | class); a word that training lacks has the class that most words
-seen once have, and the probability that each class leaves for a word of count 0.
-
-The FREQUENT most frequent words' counts and classes go to every task (a bounded table); those of all other words
-come by joins.
-
-Null and empty texts have one token, the end. Rows that repeat a doc_id are scored each. Without training
-documents all scores are finite: c, N and V are 0. An empty table gives no rows. Other columns are ignored,
-whatever their names.
+Counts of all words of all training documents are a table by the words' bytes. Words seen at least LEAST times are
+clustered; rarer ones are one item together, as usual for class models: a word seen a few times has no neighbours that
+tell its class. The FREQUENT most frequent words get numbers that go to every task (a bounded table). Of these the
+core, the TOP most frequent words with the document end and the rare item, is clustered on the driver by exchange (a
+square of a parameter, not of the data). Pairs of neighbours with any other frequent word are counted in a table that
+is dealt by that word, so sweeps over it move nothing: a word's counts by neighbour class come from its own part, and
+it goes to the class that raises the class bigram likelihood most against the matrix of classes, which alone the driver
+holds; before each sweep the core moves too, by all its neighbours. The words of one half move at a time; sweeps end when a round gains little, and a sweep that loses is undone.
+Words of at least LEAST beyond the FREQUENT are then placed by one more pass over the texts, so every such word gets
+its class by exchange, however many there are.
+
+A word's probability is P(class | class of the word before) * P(word | class). A word that training lacks has count 0
+in the rare item's class, where a place is left for it; each class leaves one.
+
+Null and empty texts have one token, the end. Very long texts are handled whole. Rows that repeat a doc_id are scored
+each, by their own texts; a null doc_id is not held out. Without training documents all scores are finite: c, N and V
+are 0. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,123 +25,154 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import Scratch
-from .text import SPACE, Block, blocks, column, concat_ranges
+from .text import SPACE, Block, blocks, column, concat_ranges, distinct_words
 
-TOP, CLASSES, FREQUENT = 1000, 64, 1 << 18
-ROUNDS, GAIN = 10, 0.02  # most rounds of two sweeps, and the share of the mutual information that a round must gain
-END = np.uint64(0x5EED_0E4D_0000_0001)
+TOP, CLASSES, FREQUENT, LEAST = 1000, 64, 1 << 18, 8
+ROUNDS, GAIN = 3, 0.02  # most rounds of two sweeps, and the share of the mutual information that a round must gain
+END, RARE, FIRST = 0, 1, 2  # numbers of the document end, of all words without a number, and of the first frequent word
+BITS = 20  # of a number
+BLOCK, HELD, PART = 1 << 24, 1 << 22, 1 << 21  # bytes of text handled at once, pairs held by a task, training tokens for each part of the table
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, ends included, and where each document starts."""
-    starts, ends, first = block.words(SPACE)
-    n = np.diff(first)
-    at = first + np.arange(len(first))  # one more token for each document before
-    h = np.full(at[-1], END)
-    h[concat_ranges(at[:-1], n)] = block.hashes(starts, ends)
-    return h, at
-
-
-def summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sums of n by distinct keys."""
-    if not len(n):
-        return keys, n
-    order = np.lexsort(keys)
-    keys = [k[order] for k in keys]
-    at = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
-    return [k[at] for k in keys], np.add.reduceat(n[order], at)
+def texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("text").cast("string").alias("text"))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """h, c: every distinct token's hash and count."""
+    """word, c: every distinct word's count; the empty word stands for the document end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [np.unique(tokens(block)[0], return_counts=True) for block in blocks([batch], lower=True)]
-            if parts:
-                (h,), n = summed([np.concatenate([x[0] for x in parts])], np.concatenate([x[1] for x in parts]))
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "c"])
+        for block in blocks(batches, lower=True, size=BLOCK):
+            starts, ends, _ = block.words(SPACE)
+            words, i = distinct_words(block, starts, ends)
+            words = pa.concat_arrays([words.cast(pa.binary()), pa.array([b""], pa.binary())])
+            yield pa.record_batch([words, pa.array(np.append(np.bincount(i, minlength=len(words) - 1), len(block)).astype(np.int64))], ["word", "c"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, c long")
-    return rows.groupBy("h").agg(F.sum("c").alias("c"))
+    return texts(docs).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Words:
-    """The most frequent words and their counts. A word's id is its rank here, 0 is the end; others' ids are negative."""
+    """Numbers of the frequent words, most frequent first."""
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, ends: int):
-        self.c = np.concatenate([[ends], c[h != END]])  # most frequent first, behind the end
-        h = np.concatenate([np.array([END]), h[h != END]])
-        self.rank = np.argsort(h)
-        self.h = h[self.rank]
+    def __init__(self, words: pa.Array, c: np.ndarray, ends: int, rare: int):
+        """rare: all tokens of words that aren't frequent."""
+        self.words, self.c = words, np.concatenate([[ends, rare], c])
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        k = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[k] == h, self.rank[k], ~(h >> np.uint64(1)).view(np.int64))
+    def ids(self, block: Block) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Numbers of all tokens, ends included, where each document starts, the block's distinct words, and which each RARE token is."""
+        starts, ends, first = block.words(SPACE)
+        distinct, i = distinct_words(block, starts, ends)
+        known = pc.index_in(distinct, value_set=self.words.cast(distinct.type)).fill_null(RARE - FIRST).to_numpy() + FIRST
+        at = first + np.arange(len(first))  # one more token for each document before
+        out, which = np.full(at[-1], END, np.int64), np.full(at[-1], -1, np.int64)
+        place = concat_ranges(at[:-1], np.diff(first))
+        out[place], which[place] = known[i], i
+        return out, at, distinct, which
 
 
-def neighbours(docs: DataFrame, shared) -> DataFrame:
-    """a, b, n: how often id b follows id a; before a document's first word stands an end."""
+def before(ids: np.ndarray) -> np.ndarray:
+    """Each token's neighbour to the left; before a document's first word stands an end, as before a block's first."""
+    return np.concatenate([[END], ids[:-1]])
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of n."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(n[order], at)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for block in blocks([batch], lower=True):
-                i = shared.value.ids(tokens(block)[0])
-                parts.append(np.stack([np.concatenate([[0], i[:-1]]), i]))
-            if parts:
-                a, b = np.concatenate(parts, axis=1)
-                (b, a), n = summed([b, a], np.ones(len(a), np.int64))
-                yield pa.record_batch([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "a long, b long, n long")
-    return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
+def squeeze(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys and their numbers as compressed bytes."""
+    planes = [x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (np.diff(keys, prepend=0), n)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def with_classes(rows: DataFrame, rare: DataFrame, *more: str) -> DataFrame:
-    """Adds ka and kb, the classes of ids a and b that are not frequent, and more columns of them."""
-    for x in "ab":
-        # a frequent word meets no row; its rows are spread over the tasks
-        key = F.when(F.col(x) < 0, F.col(x)).otherwise(F.shiftrightunsigned(F.xxhash64("a", "b"), 1))
-        own = rare.select(F.col("id").alias("_id"), F.col("k").alias(f"k{x}"), *[F.col(c).alias(f"{c}{x}") for c in more])
-        rows = rows.withColumn("_key", key).join(own, F.col("_key") == F.col("_id"), "left").drop("_key", "_id")
-    return rows
+def unsqueeze(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    steps, n = (np.ascontiguousarray(x.reshape(8, -1).T).view("<u8").ravel().astype(np.int64) for x in (raw[: len(raw) // 2], raw[len(raw) // 2 :]))
+    return np.cumsum(steps), n
 
 
-def cells(rows: DataFrame, shared) -> DataFrame:
-    """w, own, cell, n: counts of each word by the class of the right neighbour, or CLASSES on by that of the left one.
+def neighbours(docs: DataFrame, shared, few: int, parts: int) -> DataFrame:
+    """part, blob: counts of pairs, keyed by the word (not of the core), the side of its neighbour and the neighbour.
 
-    rows: a, b, n, ka, kb. A word without a class has own -1; it counts for no neighbour.
+    Side 0 is the neighbour to the right, 1 that to the left. Pairs inside the core are in parts below 0, keyed by both.
+    Part p holds the words whose numbers leave p; equal keys of several tasks come in several blobs.
     """
 
-    def part(a, b, n, ka, kb):
-        of, classes = shared.value
-        ka, kb = (np.where(i >= 0, of[np.maximum(i, 0)], k) for i, k in ((a, ka), (b, kb)))
-        w, own, cell = np.concatenate([a, b]), np.concatenate([ka, kb]), np.concatenate([kb, np.where(ka >= 0, ka + classes, -1)])
-        some = cell >= 0
-        (cell, own, w), n = summed([cell[some], own[some], w[some]], np.concatenate([n, n])[some])
-        return pa.record_batch([pa.array(w), pa.array(own.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(n)], ["w", "own", "cell", "n"])
+    def deal(held: list[tuple[np.ndarray, np.ndarray]], core: np.ndarray | None) -> pa.RecordBatch:
+        a_b, n = summed(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else (np.zeros(0, np.int64),) * 2
+        a, b = a_b >> BITS, a_b & ((1 << BITS) - 1)
+        right, left = a >= few, b >= few
+        keys = np.concatenate([(a[right] << BITS + 1) | b[right], (b[left] << BITS + 1) | (1 << BITS) | a[left]])
+        keys, n = summed(keys, np.concatenate([n[right], n[left]]))
+        part = (keys >> BITS + 1) % parts
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, squeeze(keys[order[x:y]], n[order[x:y]])) for p, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y]
+        if core is not None:
+            cells = np.flatnonzero(core)
+            rows += [(-1 - p, squeeze(cells[mine], core[cells[mine]])) for p in range(16) if (mine := cells // few % 16 == p).any()]
+        return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append([column(batch, x).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("a", "b", "n", "ka", "kb")])
-            size += batch.num_rows
-            if size >= 1 << 20:
-                yield part(*map(np.concatenate, zip(*held, strict=True)))
+        words, core, held, size = shared.value, np.zeros(few * few, np.int64), [], 0
+        for block in blocks(batches, lower=True, size=BLOCK):
+            b = words.ids(block)[0]
+            a = before(b)
+            inside = (a < few) & (b < few)
+            core += np.bincount(a[inside] * few + b[inside], minlength=few * few)
+            keys, n = np.unique((a[~inside] << BITS) | b[~inside], return_counts=True)
+            held.append((keys, n))
+            size += len(keys)
+            if size > HELD:
+                yield deal(held, None)
                 held, size = [], 0
-        if size:
-            yield part(*map(np.concatenate, zip(*held, strict=True)))
+        yield deal(held, core)
+
+    return texts(docs).mapInArrow(run, "part int, blob binary")
+
 
-    return rows.mapInArrow(run, "w long, own int, cell int, n long").groupBy("w", "own", "cell").agg(F.sum("n").alias("n"))
+def merge(rows: DataFrame, parts: int) -> DataFrame:
+    """One blob for each part, of distinct keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def total(held):
+            return summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+        def row(part, held):
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([squeeze(*total(held))], pa.binary())], ["part", "blob"])
+
+        now, held, size = None, [], 0
+        for batch in batches:
+            for part, blob in zip(column(batch, "part").to_pylist(), column(batch, "blob"), strict=True):
+                if part != now and held:
+                    yield row(now, held)
+                    held, size = [], 0
+                now = part
+                held.append(unsqueeze(blob.as_py()))
+                size += len(held[-1][0])
+                if size > 2 * HELD and len(held) > 1:
+                    held = [total(held)]
+                    size = len(held[0][0])
+        if held:
+            yield row(now, held)
+
+    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "part int, blob binary")
 
 
 def g(x: np.ndarray) -> np.ndarray:
@@ -147,18 +180,23 @@ def g(x: np.ndarray) -> np.ndarray:
 
 
 def gains(own: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """What the log likelihood gains if a word joins each class, having left its own. word, cell, n: the words' counts.
+    """What the log likelihood gains if a word joins each class, having left its own (-1: none).
 
-    The word's meetings with its own class are counted at the rows and columns of that class as they stand.
+    word, cell, n: the words' counts in order of words, by the class of the right neighbour, or from len(m) on by that
+    of the left one. A word's meetings with its own class are counted at the rows and columns of that class as they stand.
     """
     k = len(m)
     both = np.concatenate([m, m.T], axis=1).T  # by cell, then by the class to join
-    left = np.eye(k)[own] * (own >= 0)[:, None]  # where the word has to be taken out
-    x = n[:, None]
-    base = np.maximum(both[cell] - left[word] * x, 0)
     out = np.zeros((len(own), k))
-    edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    out[word[edge]] = np.add.reduceat(g(base + x) - g(base), edge, axis=0)
+    if len(word):
+        x = n[:, None]
+        part = g(both[cell] + x) - g(both)[cell]
+        had = np.flatnonzero(own[word] >= 0)  # where the word has to be taken out
+        old = both[cell[had], own[word[had]]]
+        part[had, own[word[had]]] = g(np.maximum(old - n[had], 0) + n[had]) - g(np.maximum(old - n[had], 0))
+        edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        out[word[edge]] = np.add.reduceat(part, edge, axis=0)
+    left = np.eye(k)[own] * (own >= 0)[:, None]
     for side, total in ((cell < k, m.sum(1)), (cell >= k, m.sum(0))):
         t = np.bincount(word[side], n[side], len(own))[:, None]
         base = np.maximum(total - left * t, 0)
@@ -166,23 +204,68 @@ def gains(own: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarray, m:
     return out
 
 
-def moves(lists: DataFrame, shared, half: int | None) -> DataFrame:
-    """w, k: every word's class after a sweep in which the words of one half, or all, move. lists: w, own, cells."""
+def cells(keys: np.ndarray, n: np.ndarray, of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a blob, and their counts by neighbour class: word (place among these), cell, n. Neighbours without a class count for none."""
+    w, k = keys >> BITS + 1, of[keys & ((1 << BITS) - 1)]
+    words, place = np.unique(w, return_inverse=True)
+    some = k >= 0
+    cell = place[some] * 2 * classes + (keys[some] >> BITS & 1) * classes + k[some]
+    sums = np.bincount(cell, n[some], len(words) * 2 * classes)
+    at = np.flatnonzero(sums)
+    return words, at // (2 * classes), at % (2 * classes), sums[at]
+
+
+def sweep(table: DataFrame, of: np.ndarray, m: np.ndarray, half: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the table and their classes after the words of one half, or all, have moved."""
+    shared, classes = table.sparkSession.sparkContext.broadcast((of, m)), len(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        of, m = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                rows = batch.slice(at, 2000)
-                w, own, held = column(rows, "w").to_numpy(), column(rows, "own").to_numpy().astype(np.int64), column(rows, "cells")
-                word = np.repeat(np.arange(len(w)), held.value_lengths().to_numpy())
-                flat = held.flatten()
-                gain = gains(own, word, flat.field("cell").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(float), m)
-                k = gain.argmax(1)
-                stay = (own >= 0) & ((gain.max(1) <= gain[np.arange(len(w)), own] + 1e-6) | ((half is not None) & ((w & 1) != half)))
-                yield pa.record_batch([pa.array(w), pa.array(np.where(stay, own, k).astype(np.int32))], ["w", "k"])
+            for blob in column(batch, "blob"):
+                words, word, cell, n = cells(*unsqueeze(blob.as_py()), of, classes)
+                own, k = of[words], np.empty(len(words), np.int64)
+                for a in range(0, len(words), 1000):
+                    i, j = np.searchsorted(word, (a, a + 1000))
+                    mine = own[a : a + 1000]
+                    gain = gains(mine, word[i:j] - a, cell[i:j], n[i:j], m)
+                    best = gain.argmax(1)
+                    stay = (mine >= 0) & (gain.max(1) <= gain[np.arange(len(mine)), mine] + 1e-6)
+                    k[a : a + 1000] = np.where(stay, mine, best)
+                if half is not None:
+                    k = np.where((own >= 0) & (words % 2 != half), own, k)
+                yield pa.record_batch([pa.array(words), pa.array(k)], ["w", "k"])
+
+    found = table.where("part >= 0").mapInArrow(run, "w long, k long").toArrow()  # at most FREQUENT rows of two numbers
+    return found["w"].to_numpy(), found["k"].to_numpy()
+
+
+def matrix(table: DataFrame, core: np.ndarray, of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each class follows each, over pairs of frequent words that both have a class, and the counts of
+    each word of the core by the class of its neighbours outside it (to the right, then to the left)."""
+    few, shared, square = len(core), table.sparkSession.sparkContext.broadcast(of), classes * classes
 
-    return lists.mapInArrow(run, "w long, k int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, sums = shared.value, np.zeros(square + few * 2 * classes)
+        for batch in batches:
+            for blob in column(batch, "blob"):
+                keys, n = unsqueeze(blob.as_py())
+                w, other, left = of[keys >> BITS + 1], keys & ((1 << BITS) - 1), keys >> BITS & 1
+                k = of[other]
+                inner = (other < few) & (w >= 0)
+                # a pair of two words of the table stands there twice; the row of its left word counts
+                use = (w >= 0) & (k >= 0) & ((left == 0) | (other < few))
+                a, b = np.where(left, k, w)[use], np.where(left, w, k)[use]
+                sums += np.bincount(np.concatenate([a * classes + b, square + (2 * other + 1 - left)[inner] * classes + w[inner]]), np.concatenate([n[use], n[inner]]), len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.record_batch([pa.array(at), pa.array(sums[at].astype(np.int64))], ["cell", "n"])
+
+    sums = np.zeros(square + few * 2 * classes)
+    rows = table.where("part >= 0").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # as many as `sums` has at most
+    sums[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    m, (a, b) = sums[:square], np.nonzero(core)
+    m = m + np.bincount(of[a] * classes + of[b], core[a, b], square)
+    return m.reshape(classes, classes), sums[square:].reshape(few, 2 * classes)
 
 
 def information(m: np.ndarray) -> float:
@@ -191,62 +274,56 @@ def information(m: np.ndarray) -> float:
     return float((g(m).sum() - g(m.sum(0)).sum() - g(m.sum(1)).sum()) / max(total, 1) + np.log(max(total, 1)))
 
 
-def cluster(pairs: DataFrame, size: int, classes: int, s: Scratch, rounds: int = ROUNDS, top: int = TOP) -> tuple[np.ndarray, DataFrame, np.ndarray]:
-    """Classes of the `size` frequent ids, a table id, k of the others, and the matrix of classes. pairs: a, b, n."""
-    spark, few = pairs.sparkSession, min(top + 1, size)
-    n = np.zeros((few, few), np.int64)
-    known = pairs.where((F.col("a") >= 0) & (F.col("a") < few) & (F.col("b") >= 0) & (F.col("b") < few)).toArrow()
-    n[known["a"].to_numpy(), known["b"].to_numpy()] = known["n"].to_numpy()
+def cluster(table: DataFrame, size: int, few: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the `size` numbers, and the matrix of classes. table: merged parts; few: numbers of the core."""
+    core = np.zeros(few * few, np.int64)
+    for blob in table.where("part < 0").select("blob").toArrow()["blob"]:  # at most a square of the core
+        at, n = unsqueeze(blob.as_py())
+        core[at] = n
+    core = core.reshape(few, few)
     of = np.full(size, -1, np.int64)
-    of[:few] = exchange(n, classes)
-    rare, never = spark.createDataFrame([], "id long, k int"), F.lit(None).cast("int")
-    both = (F.col("a") >= 0) & (F.col("b") >= 0)
-    plain = lambda x: x.withColumns({"ka": never, "kb": never})
-    best, before, sweep, written = None, None, 0, []
+    of[:few] = exchange(core, classes)
+    best, last, k = None, None, 0
     while True:
-        rows = plain(pairs) if not sweep else plain(pairs.where(both)).unionByName(with_classes(pairs.where(~both), rare))
-        held = s.keep(cells(rows, spark.sparkContext.broadcast((of, classes))), "cells")
-        m = np.zeros((classes, classes))
-        for r in held.where((F.col("own") >= 0) & (F.col("cell") < classes)).groupBy("own", "cell").agg(F.sum("n").alias("n")).collect():
-            m[r.own, r.cell] = r.n
-        # the first two sweeps give classes to words that had none, so they have nothing to lose
+        m, more = matrix(table, core, of, classes)
         now = information(m)
-        lost = sweep > 2 and now <= best[2]
-        if lost:
-            of, rare, _, m = best
-        else:
-            best = of, rare, now, m
-        if sweep == 2:
-            before = now
-        done = lost or sweep >= 2 * rounds
-        if sweep > 2 and sweep % 2 == 0 and not done:
-            done, before = now - before < GAIN * now, now
-        if done:
-            return of, rare, m
-        lists = held.groupBy("w", "own").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
-        new = s.keep(moves(lists, spark.sparkContext.broadcast(m), sweep % 2 if sweep > 1 else None), "classes")
-        s.drop(held)
-        written.append(new)
-        if len(written) > 2:
-            s.drop(written.pop(0))
-        found = new.where(F.col("w") >= 0).toArrow()
-        of = of.copy()
-        of[found["w"].to_numpy()] = found["k"].to_numpy()
-        rare = new.where(F.col("w") < 0).select(F.col("w").alias("id"), "k")
-        sweep += 1
-
-
-def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np.ndarray:
-    """The class of each item. n: bigram counts of items."""
-
+        # the first sweep gives classes to words that had none, so it has nothing to lose
+        if k > 1 and now <= best[1]:
+            return best[0], best[2]
+        best = of, now, m
+        if few == size or k > 2 * rounds:
+            return of, m
+        if k % 2 == 1:
+            if last is not None and now - last < GAIN * now:
+                return of, m
+            last = now
+        of, m = of.copy(), m.copy()
+        if k:
+            of[:few] = exchange(core, classes, 1, of[:few], more, m)
+        words, new = sweep(table, of, m, None if k == 0 else k % 2)
+        of[words] = new
+        k += 1
+
+
+def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = 6, of: np.ndarray | None = None, more: np.ndarray | None = None, m: np.ndarray | None = None) -> np.ndarray:
+    """The class of each item. n: bigram counts of items.
+
+    of: classes to start from; more: the items' counts by the class of neighbours that stay (to the right, then to the
+    left); m: the matrix of classes with these, which follows the moves.
+    """
     size, n = len(n), n.astype(float)
-    classes = min(classes, size)
+    if of is None:
+        classes = min(classes, size)
     order = np.lexsort((np.arange(size), -(n.sum(0) + n.sum(1))))
-    of = np.empty(size, np.int64)
-    of[order] = np.arange(size) % classes
-    one = np.eye(classes)[of]
+    if of is None:
+        of = np.empty(size, np.int64)
+        of[order] = np.arange(size) % classes
+    of, one = of.copy(), np.eye(classes)[of]
     left, right = n @ one, n.T @ one  # of each item, by the class of its right and left neighbour
-    m = one.T @ left
+    if m is None:
+        m = one.T @ left
+    if more is not None:
+        left, right = left + more[:, :classes], right + more[:, classes:]
     eye = np.arange(classes)
     for _ in range(rounds):
         moved = 0
@@ -283,104 +360,205 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np.ndarr
     return of
 
 
+def beyond(docs: DataFrame, words, of: np.ndarray, classes: int) -> DataFrame:
+    """word, code, second: for words that aren't frequent their counts by neighbour, code being n * cells + cell, and for
+    pairs of two such words code being n."""
+    shared, cells = docs.sparkSession.sparkContext.broadcast((words.value, of)), 2 * classes + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, of = shared.value
+        for block in blocks(batches, lower=True, size=BLOCK):
+            b, _, distinct, which = words.ids(block)
+            at = np.flatnonzero(b == RARE)
+            right, left = b[at + 1], before(b)[at]  # an end stands last
+            # the last two cells are neighbours that have no number themselves
+            keys = np.concatenate([which[at] * cells + np.where(right == RARE, 2 * classes, of[right]), which[at] * cells + np.where(left == RARE, 2 * classes + 1, classes + of[left])])
+            keys, n = np.unique(keys, return_counts=True)
+            twin = at[left == RARE]
+            pairs, times = np.unique(which[twin - 1] * max(len(distinct), 1) + which[twin], return_counts=True)
+            first, second = (distinct.take(pa.array(x)).cast(pa.binary()) for x in (pairs // max(len(distinct), 1), pairs % max(len(distinct), 1)))
+            own = distinct.take(pa.array(keys // cells)).cast(pa.binary())
+            code = np.concatenate([n * cells + keys % cells, times])
+            yield pa.record_batch([pa.concat_arrays([own, first]), pa.array(code), pa.concat_arrays([pa.nulls(len(own), pa.binary()), second])], ["word", "code", "second"])
+
+    return texts(docs).mapInArrow(run, "word binary, code long, second binary")
+
+
+def place(rows: DataFrame, of: np.ndarray, m: np.ndarray, least: int) -> DataFrame:
+    """word, c, k, cells: the class of each word that isn't frequent but has `least` counts, and its frequent neighbours by side and class."""
+    classes = len(m)
+    shared, cells = rows.sparkSession.sparkContext.broadcast((of, m)), 2 * classes + 2
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, m = shared.value
+        to = np.append(np.arange(2 * classes), [of[RARE], classes + of[RARE]])
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                rows = batch.slice(a, 1000)
+                codes = column(rows, "codes")
+                word, code = np.repeat(np.arange(len(codes)), codes.value_lengths().to_numpy()), codes.flatten().to_numpy()
+                sums = np.bincount(word * cells + code % cells, code // cells, len(codes) * cells).reshape(-1, cells)
+                known, c = sums[:, : 2 * classes].astype(np.int64), (sums[:, classes : 2 * classes].sum(1) + sums[:, -1]).astype(np.int64)
+                keys, n = summed(word * 2 * classes + to[code % cells], (code // cells).astype(float))
+                k = gains(np.full(len(codes), -1), keys // (2 * classes), keys % (2 * classes), n, m).argmax(1)
+                found = pa.record_batch([column(rows, "word"), pa.array(c), pa.array(k), pa.array(list(known), pa.list_(pa.int64()))], ["word", "c", "k", "cells"])
+                yield found.filter(pa.array(c >= least))
+
+    # a word beyond the frequent ones has few occurrences, so its list is short
+    lists = rows.where("second is null").groupBy("word").agg(F.collect_list("code").alias("codes"))
+    return lists.mapInArrow(choose, "word binary, c long, k long, cells array<long>")
+
+
 class Model:
     """Tables of log10 probabilities, by class."""
 
-    def __init__(self, m: np.ndarray, of: np.ndarray, totals: np.ndarray, members: np.ndarray, unseen: int):
-        self.of, self.unseen = np.where(of >= 0, of, unseen), unseen
+    def __init__(self, m: np.ndarray, of: np.ndarray, totals: np.ndarray, members: np.ndarray):
+        self.of, self.rare = of, int(of[RARE])
         self.step = np.log10((m + 0.5) / (m.sum(1, keepdims=True) + 0.5 * len(m)))
         self.rest = np.log10(totals + 0.5 * (members + 1))  # one more for words of count 0
 
 
-LOCAL = "doc_id long, uid long, n_tokens long, known long, logs double, model double, a array<bigint>, b array<bigint>, times array<int>"
+class Trained:
+    """What training leaves: total and distinct tokens, numbers of the frequent words, the model, word, c, k of all other words, and whether any of these were placed."""
+
+    def __init__(self, total: int, distinct: int, words, model: Model, others: DataFrame, placed: bool):
+        self.total, self.distinct, self.words, self.model, self.others, self.placed = total, distinct, words, model, others, placed
+
+
+def train(docs: DataFrame, s: Scratch, classes: int = CLASSES, frequent: int = FREQUENT, least: int = LEAST, top: int = TOP) -> Trained:
+    spark = docs.sparkSession
+    counts = s.keep(count_words(docs), "counts")
+    total, distinct, ends = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.length("word") == 0, F.col("c")))).first()
+    total, ends = total or 0, ends or 0
+    # where the counts of the most frequent words end, by classes of counts; of the last class a share by hash
+    step, share = F.floor(F.log2("c") * 8), F.pmod(F.xxhash64("word"), F.lit(1 << 20))
+    some = (F.length("word") > 0) & (F.col("c") >= least)
+    low, part, left = 0, 1 << 20, frequent
+    for r in counts.where(some).groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        low, part = r.step, min(1 << 20, (left << 20) // r["count"])
+        left -= r["count"]
+        if left <= 0:
+            break
+    often = some & ((step > low) | ((step == low) & (share < part)))
+    found = counts.where(often).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    c = found["c"].to_numpy().astype(np.int64)
+    shared = spark.sparkContext.broadcast(Words(found["word"].combine_chunks(), c, ends, total - ends - int(c.sum())))
+    size, few = FIRST + len(c), min(FIRST + top, FIRST + len(c))
+    parts = max(1, min(1 << 16, -(-total // PART)))
+    table = s.keep(merge(neighbours(docs, shared, few, parts), parts), "pairs")
+    of, m = cluster(table, size, few, classes)
+    others = counts.where((F.length("word") > 0) & ~often)
+    k = int(of[RARE])
+    members, totals = (np.bincount(of, x, classes) for x in (np.where(np.arange(size) == RARE, 0, 1), shared.value.c))
+    members[k] += distinct - (ends > 0) - len(c)
+    if left < 0:  # words of `least` counts that aren't frequent
+        rows = s.keep(beyond(docs, shared, of, classes), "beyond")
+        placed = s.keep(place(rows, of, m, least), "placed")
+        sums = placed.groupBy("k").agg(F.count("*").alias("members"), F.sum("c").alias("c"), *[F.sum(F.get("cells", F.lit(j))).alias(f"c{j}") for j in range(2 * classes)])
+        m = m.copy()
+        for r in sums.collect():
+            here = np.array([r[f"c{j}"] for j in range(2 * classes)], float)
+            for to, sign in ((r.k, 1), (k, -1)):
+                members[to] += sign * r.members
+                totals[to] += sign * r.c
+                m[to] += sign * here[:classes]
+                m[:, to] += sign * here[classes:]
+        pairs = rows.where("second is not null").select("word", "second", F.col("code").alias("n"))
+        for x, kx in (("word", "ka"), ("second", "kb")):
+            pairs = pairs.join(placed.select(F.col("word").alias(x), F.col("k").alias(kx)), x, "left")
+        for r in pairs.groupBy(F.coalesce("ka", F.lit(k)).alias("ka"), F.coalesce("kb", F.lit(k)).alias("kb")).agg(F.sum("n").alias("n")).collect():
+            m[k, k] -= r.n
+            m[r.ka, r.kb] += r.n
+        others = others.join(placed.select("word", "k"), "word", "left")
+    else:
+        others = others.withColumn("k", F.lit(k).cast("long"))
+    others = s.keep(others.select("word", "c", F.coalesce("k", F.lit(k).cast("long")).alias("k")), "others")
+    return Trained(total, distinct, shared, Model(np.maximum(m, 0), of, totals, members), others, left < 0)
+
+
+LOCAL = "doc_id long, uid long, n_tokens long, known long, logs double, model double, words array<binary>, sides array<int>, times array<int>, first array<binary>, second array<binary>, both array<int>"
+
+
+def grouped(keys: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Distinct keys of each document, where each document's start, and how often each stands. keys are below 2**40."""
+    order = np.lexsort((keys, doc))
+    keys, doc = keys[order], doc[order]
+    at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    times = np.diff(np.append(at, len(keys)))
+    return keys[at], pa.array(np.searchsorted(doc[at], np.arange(docs + 1)).astype(np.int32)), pa.array(times.astype(np.int32))
 
 
 def local(docs: DataFrame, shared) -> DataFrame:
-    """What a document's own task can tell; the pairs of neighbouring ids of which one is not frequent."""
+    """What a document's own task can tell; its words that are not frequent, each with the classes on both sides, and pairs of two such.
+
+    Unless words were placed, all that aren't frequent have the rare item's class, and only their counts are left open.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = shared.value
-        uid = TaskContext.get().partitionId() << 40
-        logs = np.log10(words.c + 1.0)
-        emit = np.log10(words.c + 0.5) - model.rest[model.of]
-        for block in blocks(batches, lower=True):
-            h, at = tokens(block)
-            doc = np.repeat(np.arange(len(block)), np.diff(at))
-            b = words.ids(h)
-            a = np.concatenate([[0], b[:-1]])
-            hit = b >= 0
-            own = np.where(hit, b, 0)
-            both = hit & (a >= 0)
-            p = np.where(both, model.step[model.of[np.maximum(a, 0)], model.of[own]], 0) + np.where(hit, emit[own], 0)
-            total = np.bincount(doc, np.where(hit, logs[own], 0), len(block))
-            score = np.bincount(doc, p, len(block))
-            (rb, ra, rd), times = summed([b[~both], a[~both], doc[~both]], np.ones(int((~both).sum()), np.int64))
-            to = pa.array(np.searchsorted(rd, np.arange(len(block) + 1)).astype(np.int32))
+        words, model, placed = shared.value
+        classes, uid = len(model.step), TaskContext.get().partitionId() << 40
+        logs, emit = np.log10(words.c + 1.0), np.log10(words.c + 0.5) - model.rest[model.of]
+        for block in blocks(batches, lower=True, size=BLOCK):
+            b, at, distinct, which = words.ids(block)
+            a, doc, n = before(b), np.repeat(np.arange(len(block)), np.diff(at)), len(block)
+            hit, ka, kb = b != RARE, model.of[before(b)], model.of[b]
+            sure = (hit & (a != RARE)) | (not placed)
+            score = np.bincount(doc, np.where(hit, emit[b], 0) + np.where(sure, model.step[ka, kb], 0), n)
+            rare = np.flatnonzero(~hit)
+            side = np.zeros(len(rare), np.int64)
+            if placed:  # 0: no class to meet there
+                side = np.where(a[rare] != RARE, ka[rare] + 1, 0) * (classes + 1) + np.where(b[rare + 1] != RARE, kb[rare + 1] + 1, 0)
+            size = (classes + 1) ** 2
+            keys, to, times = grouped(which[rare] * size + side, doc[rare], n)
+            lists = [(to, distinct.take(pa.array(keys // size)).cast(pa.binary())), (to, pa.array((keys % size).astype(np.int32))), (to, times)]
+            twin = np.flatnonzero(~hit & (a == RARE) & placed)
+            keys, to, times = grouped(which[twin - 1] * len(distinct) + which[twin], doc[twin], n)
+            lists += [(to, distinct.take(pa.array(x)).cast(pa.binary())) for x in (keys // max(len(distinct), 1), keys % max(len(distinct), 1))] + [(to, times)]
+            known = np.bincount(doc, hit & (words.c[b] > 0), n).astype(np.int64)
             yield pa.record_batch(
-                [
-                    column(block.rows, "doc_id"), pa.array(uid + np.arange(len(block))), pa.array(np.diff(at)), pa.array(np.bincount(doc, hit & (words.c[own] > 0), len(block)).astype(np.int64)), pa.array(total), pa.array(score),
-                    pa.ListArray.from_arrays(to, pa.array(ra)), pa.ListArray.from_arrays(to, pa.array(rb)), pa.ListArray.from_arrays(to, pa.array(times.astype(np.int32))),
-                ],
-                ["doc_id", "uid", "n_tokens", "known", "logs", "model", "a", "b", "times"],
-            )
-            uid += len(block)
+                [column(block.rows, "doc_id"), pa.array(uid + np.arange(n)), pa.array(np.diff(at)), pa.array(known), pa.array(np.bincount(doc, np.where(hit, logs[b], 0), n)), pa.array(score), *(pa.ListArray.from_arrays(*x) for x in lists)],
+                [x.split()[0] for x in LOCAL.split(", ")],
+            )
+            uid += n
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, LOCAL)
 
 
-def rare_scores(rows: DataFrame, shared) -> DataFrame:
-    """uid, more, seen, add: what the pairs with a word that is not frequent add. rows: uid, a, b, times, ka, kb, cb."""
+def rare_scores(rows: DataFrame, others: DataFrame, shared) -> DataFrame:
+    """uid, more, seen, add: what the words that are not frequent add. rows: those of local()."""
+    word = lambda x: F.col(x).alias("word")
+    some = rows.select("uid", F.explode(F.arrays_zip("words", "sides", "times")).alias("x")).select("uid", word("x.words"), "x.sides", "x.times").join(others, "word", "left")
+    pairs = rows.select("uid", F.explode(F.arrays_zip("first", "second", "both")).alias("x")).select("uid", word("x.first"), "x.second", F.col("x.both").alias("times"))
+    pairs = pairs.join(others.select("word", F.col("k").alias("ka")), "word", "left").select("uid", word("second"), "times", "ka").join(others, "word", "left")
+    rows = some.select("uid", "times", "c", "k", "sides", F.lit(None).cast("long").alias("ka"))
+    if shared.value[2]:
+        rows = rows.unionByName(pairs.select("uid", "times", "c", "k", F.lit(-1).alias("sides"), "ka"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        _, model, _ = shared.value
+        rare, classes = int(model.of[RARE]), len(model.step)
         for batch in batches:
-            a, b, times, uid = (column(batch, x).to_numpy() for x in ("a", "b", "times", "uid"))
-            ka, kb = (np.where(i >= 0, model.of[np.maximum(i, 0)], column(batch, k).fill_null(model.unseen).to_numpy(zero_copy_only=False)) for i, k in ((a, "ka"), (b, "kb")))
-            c, own = column(batch, "cb").fill_null(0).to_numpy(zero_copy_only=False), b < 0
-            add = times * (model.step[ka, kb] + np.where(own, np.log10(c + 0.5) - model.rest[kb], 0))
-            more, seen = times * np.where(own, np.log10(c + 1.0), 0), times * (own & (c > 0))
-            yield pa.record_batch([pa.array(uid), pa.array(more), pa.array(seen.astype(np.int64)), pa.array(add)], ["uid", "more", "seen", "add"])
+            uid, times, sides = (column(batch, x).to_numpy() for x in ("uid", "times", "sides"))
+            c, k, ka = (column(batch, x).fill_null(none).to_numpy(zero_copy_only=False) for x, none in (("c", 0), ("k", rare), ("ka", rare)))
+            own = sides >= 0
+            left, right = sides // (classes + 1) - 1, sides % (classes + 1) - 1
+            add = np.where(own, np.log10(c + 0.5) - model.rest[k], model.step[ka, k])
+            add += np.where(own & (left >= 0), model.step[left, k], 0) + np.where(own & (right >= 0), model.step[k, right], 0)
+            yield pa.record_batch([pa.array(uid), pa.array(np.where(own, times * np.log10(c + 1.0), 0)), pa.array((times * (own & (c > 0))).astype(np.int64)), pa.array(times * add)], ["uid", "more", "seen", "add"])
 
     return rows.mapInArrow(run, "uid long, more double, seen long, add double").groupBy("uid").agg(*[F.sum(x).alias(x) for x in ("more", "seen", "add")])
 
 
-def class_scores(docs: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT) -> DataFrame:
+def class_scores(docs: DataFrame, **how) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark, s = docs.sparkSession, Scratch(docs.sparkSession)
-    train, end = docs.where(~held_out()), int(END.astype(np.int64))
-    counts = s.keep(count_words(train), "counts")
-    total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    total = total or 0
-    often = counts.orderBy(F.desc("c"), "h").limit(frequent).select("h", "c").toArrow()
-    ends = counts.where(F.col("h") == end).select("c").first()
-    words = Words(often["h"].to_numpy().view(np.uint64), often["c"].to_numpy(), ends[0] if ends else 0)
-    pairs = s.keep(neighbours(train, spark.sparkContext.broadcast(words)), "pairs")
-    of, rare, m = cluster(pairs, len(words.c), classes, s)
-    s.drop(pairs)
-    shared = spark.sparkContext.broadcast(words)
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            i = shared.value.ids(column(batch, "h").to_numpy().view(np.uint64))
-            yield pa.record_batch([pa.array(i), column(batch, "c")], ["id", "c"])
-
-    others = counts.select("h", "c").mapInArrow(ids, "id long, c long").where("id < 0")
-    others = s.keep(others.join(rare, "id", "left"), "others")
-    of, members, totals, once = np.where(of >= 0, of, -1), np.zeros(classes + 1), np.zeros(classes + 1), np.zeros(classes + 1)
-    for x, n in ((members, np.ones(len(of))), (totals, words.c), (once, words.c == 1)):
-        x += np.bincount(np.where(of >= 0, of, classes), n, classes + 1)
-    for r in others.groupBy("k").agg(F.count("*").alias("members"), F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect():
-        k = classes if r.k is None else r.k
-        members[k], totals[k], once[k] = members[k] + r.members, totals[k] + r.c, once[k] + r.once
-    unseen = int(once[:-1].argmax())  # its class also holds a word that no sweep could place
-    members[unseen], totals[unseen] = members[unseen] + members[-1], totals[unseen] + totals[-1]
-    model = spark.sparkContext.broadcast(Model(m, of, totals[:-1], members[:-1], unseen))
-    rows = s.keep(local(docs, spark.sparkContext.broadcast((words, model.value))), "local")
-    some = rows.select("uid", F.explode(F.arrays_zip("a", "b", "times")).alias("x")).select("uid", "x.a", "x.b", "x.times")
-    more = rare_scores(with_classes(some, others, "c"), model)
-    rows = rows.drop("a", "b", "times").join(more, "uid", "left")
+    t = train(docs.where(~held_out()), s, **how)
+    shared = spark.sparkContext.broadcast((t.words.value, t.model, t.placed))
+    rows = s.keep(local(docs, shared), "local")
+    more = rare_scores(rows, t.others, shared)
+    rows = rows.select("doc_id", "uid", "n_tokens", "known", "logs", "model").join(more, "uid", "left")
     more, score = F.coalesce("more", F.lit(0.0)), F.col("model") + F.coalesce("add", F.lit(0.0))
     return rows.select(
-        "doc_id", held_out().alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).alias("train_tokens"),
-        (F.col("logs") + more - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        "doc_id", held_out().alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"), F.lit(int(t.total)).alias("train_tokens"),
+        (F.col("logs") + more - F.col("n_tokens") * F.log10(F.lit(float(t.total + t.distinct + 1)))).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )
