@@ -1,6 +1,7 @@
 """Packing of tokenised documents into sequences by bounded-space online best-fit.
 
-Pieces arrive in hash order. A fixed number of bins is open; a bitset has a bit for each amount of free space
+Pieces arrive in hash order, in runs that each come longest first: best-fit leaves least room so, as long as a run
+isn't much larger than the open bins. A fixed number of bins is open; a bitset has a bit for each amount of free space
 that some open bin has, so the tightest bin that holds a piece is found by one shift and a lowest-bit. When no
 bin fits, one is opened, and if that is one too many the fullest open bin closes. Only documents longer than a
 sequence are cut; their first piece is the short one. Each task packs a hash share of the pieces by itself.
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .text import column
 
-#: Tokens in a sequence, bins open in a task.
-LENGTH, OPEN = 2048, 4096
+#: Tokens in a sequence, bins open in a task, pieces in a run.
+LENGTH, OPEN, RUN = 2048, 4096, 10_000
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
 
@@ -126,14 +127,38 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, ra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
+def runs(batches: Iterator[pa.RecordBatch], size: int = RUN) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `size`."""
+    held, n = [], 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, size - n)
+            held.append(part)
+            at, n = at + part.num_rows, n + part.num_rows
+            if n == size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def pack_run(packer: Packer, lengths: np.ndarray) -> np.ndarray:
+    """Bin and offset of each piece of a run."""
+    out = np.empty((len(lengths), 2), np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    out[order] = [packer.put(n) for n in lengths[order].tolist()]
+    return out
+
+
 def pack(rows: DataFrame, length: int = LENGTH, most: int = OPEN, tasks: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, high = Packer(length, most), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            got = [packer.put(n) for n in column(batch, "length").to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array([high + b for b, _ in got], pa.int64()), pa.array([o for _, o in got], pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
+        for batch in runs(batches):
+            got = pack_run(packer, column(batch, "length").to_numpy())
+            yield pa.record_batch([*batch.columns, pa.array(high + got[:, 0]), pa.array(got[:, 1])], [*batch.schema.names, "sequence_id", "offset"])
 
     order = F.xxhash64("doc_id", "piece")
     dealt = rows.repartition(tasks, order) if tasks else rows.repartition(order)
