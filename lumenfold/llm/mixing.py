@@ -1,14 +1,16 @@
 """Temperature mixing of sources, with DataFrame functions only.
 
 A source's share p is its part of all tokens (words and one end per document). Weights are p**a / sum(p**a).
-The exponent a is bisected in [0, 1]: either to a target entropy of the weights, or to the smallest (flattest)
-exponent at which no source is passed more often than a repetition limit. Each pass over the source table
-evaluates all fifteen midpoints of four bisection steps in one aggregate.
+The exponent a is bisected: in [0, 1] to the smallest (flattest) one at which no source is passed more often than
+a repetition limit, or in [0, 64] to a target entropy of the weights. Each pass over the source table evaluates all
+fifteen midpoints of four bisection steps in one aggregate. A limit or target that can't be met is refused with a
+ValueError; the limit holds for a target entropy too.
 
 The weights are realised as block permutations under a token budget. A source's documents are dealt by hash
 into blocks of about block_tokens; each epoch orders the blocks by a hash of their own, and documents inside
-a block by another. A source gets as many whole epochs as its quota holds, then the start of one more, cut at
-the document that reaches the quota. Without a budget it is the least at which every source is passed once, so
+a block by another. A source gets as many whole epochs as its quota holds, then the start of one more up to
+the last document that fits, so no quota is passed; only a source that would be left empty has its first document
+whole. Without a budget it is the least at which every source is passed once, so
 that no document is dropped. `slot` orders the whole mixture: sources advance through it in proportion.
 
 Rows with a null source form the source ''. Null and empty texts have one token. Repeated rows are dealt
@@ -17,12 +19,16 @@ alike and each kept. An empty table gives no rows. Other columns are carried, wh
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .scratch import Scratch, columns
 
 #: Largest ratio of a source's passes to those of the least repeated source; tokens in a block.
 REPEATS, BLOCK_TOKENS, SEED = 2.0, 1 << 16, "mix1"
+#: Largest exponent that a target entropy may need.
+STEEPEST = 64.0
 #: Low bits of a block's 60-bit hash that don't tell its slice: 4,096 slices of a pass are summed before the blocks of one.
 SLICE_BITS = 48
 
@@ -37,33 +43,51 @@ def spread(*parts: Column) -> Column:
 
 
 def bisect(sources: DataFrame, target_entropy: float | None, repeats: float, budget: float | None, steps: int = 8) -> float:
-    """The exponent, to 2**-32, rounded up to six digits. sources: p."""
-    total, least, most = sources.agg(F.sum("n"), F.min("p"), F.max("p")).first()
-    if not total or least == most:
+    """The exponent, to 2**-32 of its range, rounded up to six digits. sources: p, n."""
+    total, least, most, k = sources.agg(F.sum("n"), F.min("p"), F.max("p"), F.count("*")).first()
+    if not total:
         return 1.0
-    low, high = 0.0, 1.0
-    p = F.col("p")
+    scale = 1.0 if budget is None else budget / total
+    q = F.col("p") / F.lit(most)  # relative to the largest share, so that no power vanishes from every sum
+
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        """For each: the sum of q**a, and that of q**a * ln q."""
+        row = sources.agg(*[c for a in exponents for c in (F.sum(F.pow(q, F.lit(a))), F.sum(F.pow(q, F.lit(a)) * F.log(q)))]).first()
+        return [(row[2 * j], row[2 * j + 1]) for j in range(len(exponents))]
 
-    def reached(z: float, dot: float, lo: float, hi: float) -> bool:
-        """At exponent a: z = sum(p**a), dot = sum(p**a * ln p), lo and hi: least and largest p**(a-1)."""
-        if target_entropy is not None:
-            import math
+    def passes(a: float, z: float) -> float:
+        """The largest number of passes; without a budget the least one is 1."""
+        steep = max(1.0, (least / most) ** (a - 1))  # the largest q**(a - 1)
+        return steep / min(1.0, (least / most) ** (a - 1)) if budget is None else scale * steep / (z * most)
 
-            return math.log(z) - dot <= target_entropy
-        return (hi / lo if budget is None else budget / total * hi / z) <= repeats
+    def entropy(a: float, z: float, dot: float) -> float:
+        return math.log(z) - a * dot / z
 
-    for _ in range(steps):
-        mids = [low + (high - low) * k / 16 for k in range(1, 16)]
-        # the entropy is ln z - a * dot / z
-        row = sources.agg(*[c for a in mids for c in (F.sum(F.pow(p, F.lit(a))), F.sum(F.pow(p, F.lit(a)) * F.log(p)), F.min(F.pow(p, F.lit(a - 1))), F.max(F.pow(p, F.lit(a - 1))))]).first()
-        ok = [reached(z := row[4 * k], a * row[4 * k + 1] / z, row[4 * k + 2], row[4 * k + 3]) for k, a in enumerate(mids)]
+    def reached(a: float, z: float, dot: float) -> bool:
+        return entropy(a, z, dot) <= target_entropy if target_entropy is not None else passes(a, z) <= repeats
+
+    low, high = 0.0, 1.0
+    (z, dot), (steep_z, steep_dot) = sums([1.0, STEEPEST])
+    if target_entropy is None:
+        if passes(1.0, z) > repeats * (1 + 1e-9):
+            raise ValueError(f"{budget} tokens are {scale:.3f} passes of all sources, above the repetition limit {repeats}")
+    elif not entropy(STEEPEST, steep_z, steep_dot) <= target_entropy + 1e-3 or target_entropy > math.log(k) + 1e-9:
+        raise ValueError(f"{k} sources can't be given an entropy of {target_entropy}")
+    elif not reached(1.0, z, dot):
+        low, high = 1.0, STEEPEST
+    for _ in range(0 if least == most else steps):
+        mids = [low + (high - low) * j / 16 for j in range(1, 16)]
+        ok = [reached(a, *x) for a, x in zip(mids, sums(mids), strict=True)]
         at, width = 0, 16
         while width > 1:  # four steps of bisection
             width //= 2
             if not ok[at + width - 1]:
                 at += width
         low, high = low + (high - low) * at / 16, low + (high - low) * (at + 1) / 16
-    return min(1.0, -(-round(high * 1e6, 3) // 1) / 1e6)
+    a = -(-round(high * 1e6, 3) // 1) / 1e6
+    if target_entropy is not None and (most_passes := passes(a, sums([a])[0][0])) > repeats * (1 + 1e-6):
+        raise ValueError(f"an entropy of {target_entropy} takes {most_passes:.3f} passes of a source, above the repetition limit {repeats}")
+    return a
 
 
 def plan_mix(docs: DataFrame, scratch: Scratch, target_entropy: float | None = None, repeats: float = REPEATS, budget: float | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -93,10 +117,12 @@ def plan_mix(docs: DataFrame, scratch: Scratch, target_entropy: float | None = N
     last = sums.join(slices.select("source", "slice", F.col("before").alias("base")), ["source", "slice"])
     last = last.withColumn("before", F.col("base") + before("key", "block")).where(reached).select("source", "block", "key", "before")
     inside = Window.partitionBy("source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    fits = F.expr("before + n_tokens <= rest or (whole = 0 and before = 0)")
+    none = F.struct(F.lit(-1).cast("long").alias("h"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"))  # before all of the block
     cut = (
         dealt.join(last, ["source", "block"])
         .withColumn("before", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-        .where("before < rest").groupBy("source", "block", "key").agg(F.max(F.struct("h", "doc_id")).alias("end"))
+        .groupBy("source", "block", "key").agg(F.coalesce(F.max(F.when(fits, F.struct("h", "doc_id"))), none).alias("end"))
     )
     return scratch.keep(plan.join(cut.select("source", F.struct("key", "block", "end.h", "end.doc_id").alias("cut")), "source", "left"), "cuts")
 
@@ -143,7 +169,7 @@ d AS (
     ('0x' || substr(md5('mix1:' || t.source || ':' || (h % n_blocks) || ':' || (whole + 1)), 1, 15))::BIGINT AS k
   FROM t JOIN x USING (source)),
 o AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY k, block, h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
-e AS (SELECT *, unnest(range(1, (whole + 1 + CASE WHEN before < rest THEN 1 ELSE 0 END)::BIGINT)) AS epoch FROM o)
+e AS (SELECT *, unnest(range(1, (whole + 1 + CASE WHEN before + n_tokens <= rest THEN 1 ELSE 0 END)::BIGINT)) AS epoch FROM o)
 SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, epoch::BIGINT AS epoch, block::BIGINT AS block, weight, exponent,
   round((epoch - 1 + ('0x' || substr(md5('mix1:' || source || ':' || block || ':' || epoch), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE * CASE WHEN epoch > whole THEN passes - whole ELSE 1.0 END) / passes, 9) AS slot
 FROM e
