@@ -4,7 +4,8 @@ A logistic model over the presence of words and word beginnings (4 to 6 bytes, w
 fitted on at most `per_class` labelled documents of each class (those with the smallest hash of doc_id),
 weighted back to the classes' shares among all labels. Features are the `most` with the largest chi-square
 between the classes. In labelled documents that name identity groups the terms are swapped for others of the
-same kind, and squared changes of the logit are penalised, so a neutral mention does not raise a score.
+same kind; into each of the others one term is inserted, chosen by a hash of the text. Squared changes of the logit
+are penalised, those of swaps and of insertions each by their mean, so a neutral mention does not raise a score.
 
 The ridge is that of RIDGES with the least log loss on a fifth of the sample (by hash of doc_id), fitted on the
 rest, which also gives the features; then the whole sample is fitted. Held-out documents have no part in it.
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -55,6 +58,7 @@ IDENTITY_TERMS = (
     ("inmigrantes", "ciudadanos", "refugiados"),
     ("ciegos", "sordos", "discapacitados"),
 )
+TERMS = [t for kind in IDENTITY_TERMS for t in kind]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -128,7 +132,11 @@ def count_features(sample: DataFrame) -> DataFrame:
 
 
 def examples(sample: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """sample: text, toxic, aside. Gives toxic, has (feature numbers), swapped (those of each counterfactual), aside."""
+    """sample: text, toxic, aside. Gives toxic, has (feature numbers), pairs, aside.
+
+    A pair is a counterfactual of the text: the features that it lacks, those that it has more, and whether a term was
+    inserted (or else swapped).
+    """
 
     def numbers(texts: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
@@ -139,16 +147,17 @@ def examples(sample: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, some = numbers(TERMS), pa.list_(pa.int32())
+        pair = pa.list_(pa.struct([("less", some), ("more", some), ("inserted", pa.bool_())]))
         for batch in batches:
             texts = [t or "" for t in column(batch, "text").to_pylist()]
-            swapped = [counterfactuals(t) for t in texts]
-            flat = iter(numbers([x for xs in swapped for x in xs]))
-            yield pa.record_batch(
-                [column(batch, "toxic"), pa.array(numbers(texts), pa.list_(pa.int32())), pa.array([[next(flat) for _ in xs] for xs in swapped], pa.list_(pa.list_(pa.int32()))), column(batch, "aside")],
-                ["toxic", "has", "swapped", "aside"],
-            )
+            has, pairs = numbers(texts), []
+            for text, mine in zip(texts, map(set, has), strict=True):
+                others = [(set(x), False) for x in numbers(counterfactuals(text))] or [(mine.union(own[zlib.crc32(text.encode()) % len(own)]), True)]
+                pairs.append([{"less": sorted(mine - x), "more": sorted(x - mine), "inserted": new} for x, new in others])
+            yield pa.record_batch([column(batch, "toxic"), pa.array(has, some), pa.array(pairs, pair), column(batch, "aside")], ["toxic", "has", "pairs", "aside"])
 
-    return sample.mapInArrow(run, "toxic int, has array<int>, swapped array<array<int>>, aside boolean")
+    return sample.mapInArrow(run, "toxic int, has array<int>, pairs array<struct<less:array<int>,more:array<int>,inserted:boolean>>, aside boolean")
 
 
 class Model:
@@ -162,14 +171,16 @@ class Model:
 
 
 def minimise(rows: list, size: int, share: float, penalty: float = PENALTY, ridge: float = RIDGES[0], steps: int = 300) -> tuple[np.ndarray, float]:
-    """Adam on all rows. rows: toxic, has, swapped; share: of toxic labels."""
+    """Adam on all rows. rows: toxic, has, pairs (less, more, inserted); share: of toxic labels."""
     if not rows:  # labelled documents that aren't in the table
         return np.zeros(size), float(np.log(max(share, 1e-12) / max(1 - share, 1e-12)))
     y = np.array([r[0] for r in rows], float)
-    flat = lambda xs: (np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.fromiter((k for x in xs for k in x), np.int64))
+    flat = lambda xs: (np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in xs]]))
     doc, k = flat([r[1] for r in rows])
-    pairs = [(r[1], s) for r in rows for s in r[2]]
+    pairs = [p for r in rows for p in r[2]]
     a, b = flat([p[0] for p in pairs]), flat([p[1] for p in pairs])
+    inserted = np.array([p[2] for p in pairs], bool)
+    share_of = penalty / np.maximum(np.where(inserted, inserted.sum(), (~inserted).sum()), 1)
     cf_doc, cf_k, cf_v = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.concatenate([np.ones(len(a[0])), -np.ones(len(b[0]))])
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) / len(y)
     w, bias = np.zeros(size + 1), np.log(max(share, 1e-6) / max(1 - share, 1e-6))
@@ -180,8 +191,8 @@ def minimise(rows: list, size: int, share: float, penalty: float = PENALTY, ridg
         g = (1 / (1 + np.exp(-x)) - y) * weight
         grad = np.append(np.bincount(k, g[doc], size) + ridge * w[:size], g.sum())
         if pairs:
-            d = np.bincount(cf_doc, cf_v * w[cf_k], len(pairs))
-            grad[:size] += 2 * penalty / len(pairs) * np.bincount(cf_k, cf_v * d[cf_doc], size)
+            d = np.bincount(cf_doc, cf_v * w[cf_k], len(pairs)) * share_of
+            grad[:size] += 2 * np.bincount(cf_k, cf_v * d[cf_doc], size)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.1 / (1 + 5 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:size], float(w[size])
@@ -196,7 +207,7 @@ def log_loss(rows: list, share: float, weights: np.ndarray, bias: float) -> floa
 
 
 def choose_ridge(rows: list, size: int, share: float, penalty: float = PENALTY) -> float:
-    """rows: toxic, has, swapped, aside."""
+    """rows: toxic, has, pairs, aside."""
     apart, rest = [r for r in rows if r[3]], [r for r in rows if not r[3]]
     if any(len({r[0] for r in part}) < 2 for part in (apart, rest)):
         return RIDGES[0]
@@ -210,7 +221,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
     if not (sizes.get(0) and sizes.get(1)):
         return Model(Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))))
     order = [F.xxhash64("doc_id"), "doc_id"]
-    some = labels.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(labels.where("toxic = 0").orderBy(*order).limit(per_class))
+
+    def first(toxic: int) -> DataFrame:
+        # a share of the hashes that holds half as many again, so that the task which orders them isn't sent all labels
+        high = min(2**63 - 1, -(2**63) + (2**64 * (per_class + per_class // 2 + 100)) // sizes[toxic])
+        return labels.where((F.col("toxic") == toxic) & (order[0] <= high)).orderBy(*order).limit(per_class)
+
+    some = first(1).unionByName(first(0))
     # at most 2 * per_class rows of a number and a flag
     sample = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
     sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
@@ -223,9 +240,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
     df = F.col("pos") + F.col("neg")
     chi = F.pow(F.col("pos") - df * (p / (p + n)), F.lit(2)) / (df * (1 - df / (p + n + 1)))
     best = counts.select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(most).select("feature").collect()
-    named = np.array([word_hash(t.encode()) for kind in IDENTITY_TERMS for t in kind], np.uint64)
+    named = np.array([word_hash(t.encode()) for t in TERMS], np.uint64)
     vocabulary = Vocabulary(np.unique(np.append(np.array([r[0] for r in best], np.int64).view(np.uint64), named)))
-    rows = examples(sample, vocabulary).collect()
+    # at most 2 * per_class rows of at most `most` numbers and the terms'
+    found = examples(sample, vocabulary).toArrow().combine_chunks()
+    has = found["has"].combine_chunks()
+    lists = np.split(has.flatten().to_numpy(), np.cumsum(has.value_lengths().to_numpy())[:-1]) if len(has) else []
+    pairs = [[(p["less"], p["more"], p["inserted"]) for p in x] for x in found["pairs"].to_pylist()]
+    rows = list(zip(found["toxic"].to_pylist(), lists, pairs, found["aside"].to_pylist(), strict=True))
     size = len(vocabulary.sorted)
     return Model(vocabulary, *minimise(rows, size, share, penalty, choose_ridge(rows, size, share, penalty)))
 
