@@ -3,10 +3,12 @@
 One Aho-Corasick automaton over all magic bytes scans a value; at each hit the format's validator confirms
 structure and tells the length. A valid hit at the start gives the value's type, which corrects the declared
 one; valid hits further on are embedded media and are carved. Formats: PNG, GIF, BMP, WAVE, JPEG, gzip, ZIP, PDF,
-FLAC. A validator never reads outside the value, and a hit that fails it is no media.
+FLAC. A validator never reads outside the value, and a hit that fails it is no media. Values are never copied for a
+hit; end marks are located once for a value, and gzip members are inflated in pieces that are thrown away.
 
 For documents, the UTF-8 bytes, padded with 255 to a positive multiple of 576, are stored as 8-bit grey samples
-of a 24-wide PNG (equal texts give equal bytes), then sniffed, carved, decoded and described.
+of a 24-wide PNG (equal texts give equal bytes), then sniffed, carved, decoded and described. The payload itself is
+sniffed too: media that a text holds (ASCII-only ones such as a PDF) are given by type, start and length.
 
 Null and empty texts are 576 bytes of padding. Values that are null or no media have type null and no parts.
 Rows that repeat a doc_id are handled each. An empty table gives no rows. Other columns are ignored, whatever
@@ -18,15 +20,18 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from .scratch import columns
 from .text import column
 
 UNIT, WIDTH = 576, 24
+PIECE, NAME = 1 << 20, 1 << 14  # bytes of a gzip member taken and inflated at once, and of its name at most
 
 #: Magic bytes of formats, where in the value they stand, and media types.
 SIGNATURES = (
@@ -43,21 +48,23 @@ SIGNATURES = (
 )
 
 
-def png_length(v: bytes) -> int:
+def png_length(v: memoryview) -> int:
     at, names = 8, []
+    if v[8:16] != b"\0\0\0\rIHDR":
+        return 0
     while at + 12 <= len(v):
         (n,) = struct.unpack_from(">I", v, at)
         name, end = v[at + 4 : at + 8], at + 12 + n
         if end > len(v) or zlib.crc32(v[at + 4 : end - 4]) != struct.unpack_from(">I", v, end - 4)[0]:
             return 0
-        names.append(name)
+        names.append(bytes(name))
         if name == b"IEND":
             return end if names[0] == b"IHDR" and b"IDAT" in names else 0
         at = end
     return 0
 
 
-def gif_length(v: bytes) -> int:
+def gif_length(v: memoryview) -> int:
     if len(v) < 14:
         return 0
     at = 13 + (3 << (v[10] & 7) + 1 if v[10] & 128 else 0)
@@ -78,7 +85,7 @@ def gif_length(v: bytes) -> int:
     return 0
 
 
-def bmp_length(v: bytes) -> int:
+def bmp_length(v: memoryview) -> int:
     if len(v) < 54:
         return 0
     size, zero, start, head, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", v, 2)
@@ -86,7 +93,7 @@ def bmp_length(v: bytes) -> int:
     return size if ok and size - start >= (width * bits + 31) // 32 * 4 * abs(height) else 0
 
 
-def wav_length(v: bytes) -> int:
+def wav_length(v: memoryview) -> int:
     if len(v) < 44 or v[:4] != b"RIFF" or v[8:12] != b"WAVE":
         return 0
     end, at, names = 8 + struct.unpack_from("<I", v, 4)[0], 12, set()
@@ -94,60 +101,94 @@ def wav_length(v: bytes) -> int:
         return 0
     while at + 8 <= end:
         n = struct.unpack_from("<I", v, at + 4)[0]
-        names.add(v[at : at + 4])
+        names.add(bytes(v[at : at + 4]))
         at += 8 + n + (n & 1)
     return end if names >= {b"fmt ", b"data"} and at == end else 0
 
 
-def jpeg_length(v: bytes) -> int:
-    at = 2
-    while at + 4 <= len(v) and v[at] == 0xFF:
-        marker = v[at + 1]
-        at += 2 + struct.unpack_from(">H", v, at + 2)[0]
-        if marker == 0xDA:  # entropy-coded data up to the end marker
-            while (at := v.find(b"\xff", at)) >= 0 and at + 1 < len(v):
-                if v[at + 1] == 0xD9:
-                    return at + 2
-                if v[at + 1] not in (0, *range(0xD0, 0xD8)):
-                    break
-                at += 2
-            else:
+def gzip_length(v: memoryview) -> int:
+    """A member whose name and comment have at most NAME bytes each."""
+    if len(v) < 18 or v[3] & 0xE0:
+        return 0
+    at = 10 + (2 + struct.unpack_from("<H", v, 10)[0] if v[3] & 4 else 0)
+    for flag in (8, 16):
+        if v[3] & flag:
+            end = bytes(v[at : at + NAME]).find(b"\0")
+            if end < 0:
                 return 0
-    return 0
-
-
-def gzip_length(v: bytes) -> int:
-    one = zlib.decompressobj(31)
+            at += end + 1
+    one, at, size = zlib.decompressobj(31), 0, 1 << 12
     try:
-        one.decompress(v)
+        while at < len(v) and not one.eof:
+            part = v[at : at + size]
+            at += len(part)
+            one.decompress(part, PIECE)
+            while one.unconsumed_tail and not one.eof:
+                one.decompress(one.unconsumed_tail, PIECE)
+            size = min(2 * size, PIECE)
     except zlib.error:
         return 0
-    return len(v) - len(one.unused_data) if one.eof else 0
+    return at - len(one.unused_data) if one.eof else 0
 
 
-def zip_length(v: bytes) -> int:
-    at = v.find(b"PK\x05\x06")
-    while at >= 0 and at + 22 <= len(v):
-        n, size, start, note = struct.unpack_from("<HIIH", v, at + 10)
-        if start + size == at and v[start : start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and at + 22 + note <= len(v):
-            return at + 22 + note
-        at = v.find(b"PK\x05\x06", at + 1)
-    return 0
+class Marks:
+    """Where the formats that are told by marks further on can end; each mark of a value is found once."""
 
+    def __init__(self, value: bytes):
+        self.value, self.zips, self.pdf, self.dead = value, None, None, set()
 
-def pdf_length(v: bytes) -> int:
-    """Up to the last end mark with a startxref of its own before the next header; later revisions add such marks."""
-    stop = v.find(b"%PDF-", 5)
-    at = v.rfind(b"%%EOF", 0, stop if stop > 0 else len(v))
-    while at > 0:
-        before = v.rfind(b"%%EOF", 0, at)
-        if v.rfind(b"startxref", max(before, 0), at) > 0:
-            return at + 5
-        at = before
-    return 0
+    def all(self, mark: bytes) -> list[int]:
+        out, at = [], self.value.find(mark)
+        while at >= 0:
+            out.append(at)
+            at = self.value.find(mark, at + 1)
+        return out
 
+    def jpeg(self, start: int) -> int:
+        """Segments from one place are the same for every start that reaches it, so a place that fails is looked at once."""
+        v, at, been = self.value, start + 2, []
+        while at + 4 <= len(v) and v[at] == 0xFF and at not in self.dead:
+            been.append(at)
+            marker = v[at + 1]
+            at += 2 + struct.unpack_from(">H", v, at + 2)[0]
+            if marker == 0xDA:  # entropy-coded data up to the end marker
+                while (at := v.find(b"\xff", at)) >= 0 and at + 1 < len(v):
+                    if v[at + 1] == 0xD9:
+                        return at + 2 - start
+                    if v[at + 1] not in (0, *range(0xD0, 0xD8)):
+                        break
+                    at += 2
+                else:
+                    break
+        self.dead.update(been)
+        return 0
 
-def flac_length(v: bytes) -> int:
+    def zip(self, start: int) -> int:
+        """By the end records: each tells where its archive starts."""
+        v = self.value
+        if self.zips is None:
+            self.zips = {}
+            for at in self.all(b"PK\x05\x06"):
+                if at + 22 <= len(v):
+                    _, size, before, note = struct.unpack_from("<HIIH", v, at + 10)
+                    first = at - size - before
+                    if first >= 0 and v[first + before : first + before + 4] in (b"PK\x01\x02", b"PK\x05\x06") and at + 22 + note <= len(v):
+                        self.zips.setdefault(first, at + 22 + note)
+        return self.zips.get(start, start) - start
+
+    def pdf_end(self, start: int) -> int:
+        """Up to the last end mark with a startxref of its own before the next header; later revisions add such marks."""
+        if self.pdf is None:
+            ends, tables = self.all(b"%%EOF"), self.all(b"startxref")
+            own = [(e, tables[k - 1]) for e, before in zip(ends, [-1, *ends], strict=False) if (k := bisect(tables, e)) and tables[k - 1] > before]
+            self.pdf = self.all(b"%PDF-"), own
+        heads, own = self.pdf
+        k = bisect(heads, start)
+        e = bisect(own, (heads[k] if k < len(heads) else len(self.value),))
+        return own[e - 1][0] + 5 - start if e and own[e - 1][1] > start else 0
+
+
+def flac_length(v: memoryview) -> int:
     """Frames have no total length: the stream reaches to the end of the value if its metadata is sound."""
     at = 4
     while at + 4 <= len(v):
@@ -160,10 +201,9 @@ def flac_length(v: bytes) -> int:
     return 0
 
 
-LENGTHS: dict[str, Callable[[bytes], int]] = {
-    "image/png": png_length, "image/gif": gif_length, "image/bmp": bmp_length, "audio/wav": wav_length, "image/jpeg": jpeg_length,
-    "application/gzip": gzip_length, "application/zip": zip_length, "application/pdf": pdf_length, "audio/flac": flac_length,
-}
+#: By the bytes from the start on, and by the marks of the whole value.
+LENGTHS: dict[str, Callable[[memoryview], int]] = {"image/png": png_length, "image/gif": gif_length, "image/bmp": bmp_length, "audio/wav": wav_length, "application/gzip": gzip_length, "audio/flac": flac_length}
+MARKED: dict[str, Callable[[Marks, int], int]] = {"image/jpeg": Marks.jpeg, "application/zip": Marks.zip, "application/pdf": Marks.pdf_end}
 
 
 class Sniffer:
@@ -177,31 +217,33 @@ class Sniffer:
 
     def parts(self, value: bytes) -> list[tuple[str, int, int]]:
         """Type, start and length of each media part; parts inside a part before them are not looked at."""
-        out, free = [], 0
+        out, free, view, marks = [], 0, memoryview(value), Marks(value)
         for last, (back, kind) in self.automaton.iter(value.decode("latin-1")):
             start = last + 1 - back
-            if start >= free and (n := LENGTHS[kind](value[start:])):
+            if start >= free and (n := LENGTHS[kind](view[start:]) if kind in LENGTHS else MARKED[kind](marks, start)):
                 out.append((kind, start, n))
                 free = start + n
         return out
 
 
 def sniff(media: DataFrame, value: str = "value", declared: str = "declared") -> DataFrame:
-    """Adds to the two columns: media_type (of a part at the start), corrected, parts (type, start, bytes)."""
+    """`doc`, a struct of all columns of the table, media_type (of a part at the start), corrected, parts (type, start, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sniffer = Sniffer()
         part = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("bytes", pa.binary())]))
         for batch in batches:
-            values = [v or b"" for v in column(batch, value).to_pylist()]
+            values = [v or b"" for v in column(batch, "value").to_pylist()]
             found = [sniffer.parts(v) for v in values]
             kinds = [p[0][0] if p and p[0][1] == 0 else None for p in found]
-            said = column(batch, declared).to_pylist()
+            said = column(batch, "declared").to_pylist()
             cut = [[{"type": k, "start": s, "bytes": v[s : s + n]} for k, s, n in p] for p, v in zip(found, values, strict=True)]
-            yield pa.record_batch([*batch.columns, pa.array(kinds, pa.string()), pa.array([k is not None and k != d for k, d in zip(kinds, said, strict=True)]), pa.array(cut, part)], [*batch.schema.names, "media_type", "corrected", "parts"])
+            yield pa.record_batch([column(batch, "doc"), pa.array(kinds, pa.string()), pa.array([k is not None and k != d for k, d in zip(kinds, said, strict=True)], pa.bool_()), pa.array(cut, part)], ["doc", "media_type", "corrected", "parts"])
 
-    rows = media.select(F.col(value).cast("binary").alias(value), F.col(declared).cast("string").alias(declared))
-    return rows.mapInArrow(run, f"`{value}` binary, `{declared}` string, media_type string, corrected boolean, parts array<struct<type:string,start:long,bytes:binary>>")
+    given = dict(zip(media.columns, columns(media), strict=True))
+    rows = media.select(F.struct(*given.values()).alias("doc"), given[value].cast("binary").alias("value"), given[declared].cast("string").alias("declared"))
+    found = T.StructType.fromDDL("media_type string, corrected boolean, parts array<struct<type:string,start:long,bytes:binary>>")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *found.fields]))
 
 
 def chunk(name: bytes, data: bytes) -> bytes:
@@ -243,11 +285,14 @@ def describe(kind: str, samples: np.ndarray) -> str:
     return f"{kind};{samples.shape[1]}x{samples.shape[0]};mean={flat.mean():.4f};std={flat.std():.4f};step={steps.mean():.4f};hist=" + ",".join(f"{x:.4f}" for x in share)
 
 
-OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, corrected boolean"
+OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, corrected boolean, text_type string, embedded string"
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, corrected."""
+    """One row per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, corrected.
+
+    text_type and embedded tell what the text itself is, and which media stand in it (type@start+length, comma-joined).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sniffer = Sniffer()
@@ -261,9 +306,11 @@ def media_features(docs: DataFrame) -> DataFrame:
                 media = stored[start : start + n]
                 samples = from_png(media)
                 back = samples.tobytes()
-                out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(kind, samples), kind != "application/octet-stream"))
-            cols = list(zip(*out, strict=True)) or [[]] * 8
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+                inside = sniffer.parts(payload)
+                of_text = inside[0][0] if inside and not inside[0][1] else None
+                out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(kind, samples), kind != "application/octet-stream", of_text, ",".join(f"{k}@{s}+{m}" for k, s, m in inside)))
+            cols = list(zip(*out, strict=True)) or [[]] * 10
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string())
             yield pa.record_batch([column(batch, "doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [x.split()[0] for x in OUT.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUT)
