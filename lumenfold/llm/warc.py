@@ -110,11 +110,13 @@ def decide(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, html, refers_to (null: a response)."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    keys = rows.where(F.octet_length("html") >= LEAST).select(F.sha1(F.col("html").cast("binary")).alias("digest"), "page_id")
+    sha = F.sha2(F.col("html").cast("binary"), 256)  # payloads that share a SHA-1 can be made
+    keys = rows.where(F.octet_length("html") >= LEAST).select(sha.alias("digest"), "page_id")
     last = keys.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
     # a table of its own, as a join can split a large group of equal payloads only between two plain inputs
     last = scratch.keep(last, "last")
-    mine = F.when(F.octet_length("html") >= LEAST, F.sha1(F.col("html").cast("binary")))
+    # short payloads meet nothing; a key of their own deals them evenly
+    mine = F.when(F.octet_length("html") >= LEAST, sha).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
     rows = rows.withColumn("digest", mine).join(last, "digest", "left")
     return rows.select("page_id", "url", "html", F.when(F.col("last") != F.coalesce("page_id", F.lit(-(2**63))), F.col("last")).alias("refers_to"))
 
