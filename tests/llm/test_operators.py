@@ -142,10 +142,25 @@ def test_mixing(docs):
 
 
 def test_mixing_meets_entropy_and_budget(docs):
-    rows = mixing.mix_table(docs, target_entropy=1.2, budget=2000.0).collect()
-    weights = {r.source: r.weight for r in rows}
-    assert -sum(w * math.log(w) for w in weights.values()) == pytest.approx(1.2, abs=1e-3) or len(weights) < 6
-    assert sum(r.n_tokens for r in rows) >= 1000
+    for target in (1.2, 0.3):  # by an exponent below 1, and by one above
+        rows = mixing.mix_table(docs, target_entropy=target, budget=2000.0, repeats=50.0, block_tokens=64).collect()
+        weights, taken = {r.source: r.weight for r in rows}, defaultdict(list)
+        assert len(weights) == 7 and -sum(w * math.log(w) for w in weights.values()) == pytest.approx(target, abs=1e-3)
+        for r in rows:
+            taken[r.source].append(r.n_tokens)
+        for s, w in weights.items():  # none above its quota, but for one document of a source that would be empty
+            assert sum(taken[s]) <= 2000 * w + 1 or len(taken[s]) == 1
+
+
+def test_mixing_refuses_what_it_cannot_meet(docs, spark):
+    total = sum(len(re.findall(WORD, t or "")) + 1 for _, t in TEXTS)
+    for how in ({"budget": 10.0 * total}, {"target_entropy": 5.0}, {"target_entropy": -0.1}, {"target_entropy": 1.7, "repeats": 2.0}):
+        with pytest.raises(ValueError):
+            mixing.mix_table(docs, **how).collect()
+    even = spark.createDataFrame([(i, "a b", f"s{i % 3}") for i in range(9)], "doc_id long, text string, source string")
+    assert mixing.mix_table(even, target_entropy=math.log(3)).count() == 9
+    with pytest.raises(ValueError):
+        mixing.mix_table(even, target_entropy=0.01).collect()
 
 
 def test_last_pass_ends_where_a_running_sum_reaches_the_quota(spark):
@@ -163,9 +178,9 @@ def test_last_pass_ends_where_a_running_sum_reaches_the_quota(spark):
         mine = sorted((key(s, key(i) % p.n_blocks, p.whole + 1), key(i) % p.n_blocks, key(i), i, len(t.split()) + 1) for i, t, x in rows if x == s)
         want, total = set(), 0
         for *_, i, n in mine:
-            if total < p.rest:
-                want.add(i)
             total += n
+            if total <= p.rest:
+                want.add(i)
         assert {r.doc_id for r in last[s] if r.epoch == p.whole + 1} == want
 
 
@@ -224,11 +239,32 @@ def test_packer_is_best_fit_with_bounded_bins():
             free[b] -= n
             if not free[b]:
                 del free[b]
-            while len(free) > most:
-                del free[min(free, key=lambda x: (free[x], x != b))]
-            if len(free) == most:
-                break  # which of several equally full bins closes is free from here on
-        assert p.open <= most
+            if len(free) > most:  # the fullest closes; which of several equally full ones is free, so the packer is asked
+                full = min(free.values())
+                left = {x for bins in p.bins for x in bins}
+                (gone,) = set(free) - left
+                assert free[gone] == full
+                del free[gone]
+            assert sorted(free.values()) == sorted(f for f, bins in enumerate(p.bins) for _ in bins)
+        assert p.open == len(free) <= most
+
+
+def test_packing_leaves_little_room():
+    """Sequences of one task stay within 0.1 % of the lower bound, at many times more pieces than open bins."""
+    rng = np.random.default_rng(2)
+    n = np.minimum(rng.lognormal(5.5, 1.1, 120_000).astype(np.int64) + 1, 2048)
+    p = packing.Packer()
+    for at in range(0, len(n), packing.RUN):
+        packing.pack_run(p, n[at : at + packing.RUN])
+    assert p.made <= 1.001 * -(-n.sum() // 2048) + 1
+
+
+def test_runs_hold_the_same_rows():
+    import pyarrow as pa
+
+    batches = [pa.record_batch([pa.array(range(a, b))], ["x"]) for a, b in ((0, 3), (3, 3), (3, 14), (14, 15))]
+    got = list(packing.runs(batches, 4))
+    assert [b.num_rows for b in got] == [4, 4, 4, 3] and [x for b in got for x in b.column(0).to_pylist()] == list(range(15))
 
 
 def test_passages(docs):
@@ -278,12 +314,53 @@ def test_counterfactual_penalty_keeps_neutral_mentions_clean(spark):
     d, labels = frame(spark, toxic_docs()), spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
     neutral = frame(spark, [(1, "muslims walk the green river"), (2, "christians walk the green river")])
     gap = []
-    for penalty in (0.0, 5.0):
+    for penalty in (0.0, toxicity.PENALTY):
         r = {x.doc.doc_id: x.score for x in toxicity.score(neutral, toxicity.fit(d, labels, penalty=penalty)).collect()}
         gap.append(abs(r[1] - r[2]))
     assert gap[1] < 0.5 * gap[0] and gap[1] < 0.05
 
 
+def test_a_term_that_no_labelled_text_names_is_inserted(spark):
+    """Beginnings of the terms count as features, so a term can share weight with words that labels confound."""
+    d, labels = frame(spark, toxic_docs()), spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    plain = frame(spark, [(i, "the green river" if i % 2 else "vilest green river") for i in range(200)])
+    model = toxicity.fit(d, labels)
+    rows = toxicity.examples(plain.selectExpr("text", "cast(doc_id % 2 as int) as toxic", "false as aside"), model.vocabulary).collect()
+    assert all(len(r.pairs) == 1 and r.pairs[0].inserted and r.pairs[0].more and not r.pairs[0].less for r in rows)
+
+
+def test_penalty_lowers_the_score_changes_of_insertions():
+    rng = np.random.RandomState(4)
+    rows = []
+    for k in range(300):  # feature 1 stands for toxic words and, by its beginning, for a term
+        y = k % 2
+        has = sorted({int(x) for x in rng.randint(2, 30, 5)} | ({1} if y else set()) | ({0} if y and k % 3 else set()))
+        rows.append((y, has, [] if y else [([], [1], True)], False))
+    free, held = (abs(toxicity.minimise(rows, 30, 0.5, penalty=p)[0][1]) for p in (0.0, toxicity.PENALTY))
+    assert held < 0.5 * free
+
+
+def toxic_score(text, weights, bias):
+    """The logistic score of one text from its words and their beginnings of 4 to 6 bytes."""
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW).encode())
+    found = set(words) | {(w[:k], k) for w in words for k in (4, 5, 6) if len(w) > k}
+    return 1 / (1 + math.exp(-bias - sum(weights.get(f, 0.0) for f in found)))
+
+
+def test_scores_are_those_of_the_words(spark):
+    d, labels = frame(spark, toxic_docs()), spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(d, labels)
+    weight = dict(zip(model.vocabulary.sorted.tolist(), model.weights, strict=True))
+    words = {w for t in [*dict(toxic_docs()).values(), *(t or "" for _, t in TEXTS)] for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOW).encode())}
+    named = {w: weight[h] for w in words if (h := toxicity.word_hash(w)) in weight}
+    heads = {(w[:k], k): weight[h] for w in words for k in (4, 5, 6) if len(w) > k and (h := int(toxicity.mix(np.array([int.from_bytes(w[:k], "little") + (k << 56)], np.uint64))[0])) in weight}
+    assert named and heads
+    rows = [*toxic_docs(), *((1000 + i, t) for i, t in TEXTS)]
+    got = {r.doc.doc_id: r.score for r in toxicity.score(frame(spark, rows), model).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx(toxic_score(t, named | heads, model.bias), abs=1e-9)
+
+
 def test_identity_terms_of_every_language_are_swapped():
     for text, other in (("Les femmes marchent", "les hommes marchent"), ("Die Männer gehen", "die frauen gehen"), ("Los refugiados andan", "los ciudadanos andan"), ("women walk", "men walk")):
         assert other in toxicity.counterfactuals(text)
@@ -374,8 +451,13 @@ def test_digest_index_persists(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     exact.exact_dedup(first, path).count()
     old = {normal(t) for _, t in TEXTS[:40]}
-    for r in exact.exact_dedup(second, path).collect():
-        assert r.kept <= (normal(dict(TEXTS)[r.doc_id - 1000]) not in old)
+    longest = {}  # of equal texts in both batches, the longest and then first stays
+    for i, t in [*TEXTS[:40], *((1000 + i, t) for i, t in TEXTS[20:80])]:
+        longest[normal(t)] = min(longest.get(normal(t), (1, 0)), (-len(t or ""), i))
+    rows = exact.exact_dedup(second, path).collect()
+    for r in rows:
+        assert r.keep_id == longest[normal(dict(TEXTS)[r.doc_id - 1000])][1] and r.kept == (r.keep_id == r.doc_id)
+    assert any(r.kept for r in rows) and any(normal(dict(TEXTS)[r.doc_id - 1000]) in old for r in rows)
 
 
 def test_digest_index_keeps_its_number_of_buckets(spark, tmp_path):
@@ -405,6 +487,7 @@ def test_sniffing_corrects_and_carves(spark):
 
     png, gz = media.to_png(b"\x07" * 576), gzip.compress(b"hello", mtime=0)
     w, z = io.BytesIO(), io.BytesIO()
+    bomb = gzip.compress(bytes(64 << 20), mtime=0)  # 64 MB in 64 KB
     with wave.open(w, "wb") as f:
         f.setnchannels(1), f.setsampwidth(1), f.setframerate(8000), f.writeframes(b"\x80" * 100)
     with zipfile.ZipFile(z, "w") as f:
@@ -413,13 +496,29 @@ def test_sniffing_corrects_and_carves(spark):
     gif = b"GIF89a\x01\0\x01\0\0\0\0,\0\0\0\0\x01\0\x01\0\0\x02\x01D\0;"
     jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x04cd\x12\xff\0\x34\xff\xd9"
     pdf = b"%PDF-1.4\nstartxref\n0\n%%EOF"
-    rows = [("a", png, "image/gif"), ("b", b"BMBMGIF89aPK\x03\x04%PDF-\xff\xd8\xff", "text/plain"), ("c", b"junk" + png + w.getvalue() + b"tail" + gz, None), ("d", None, None), ("e", png[:-3], "image/png"), ("f", bmp, "image/bmp"), ("g", gif, "x"), ("h", jpeg, "x"), ("i", z.getvalue(), "x"), ("j", pdf, "x")]
-    got = media.sniff(spark.createDataFrame([r[1:] for r in rows], "value binary, declared string").coalesce(1)).collect()
-    assert [r.media_type for r in got] == ["image/png", None, None, None, None, "image/bmp", "image/gif", "image/jpeg", "application/zip", "application/pdf"]
-    assert [r.corrected for r in got] == [True, False, False, False, False, False, True, True, True, True]
+    rows = [("a", png, "image/gif"), ("b", b"BMBMGIF89aPK\x03\x04%PDF-\xff\xd8\xff", "text/plain"), ("c", b"junk" + png + w.getvalue() + b"tail" + gz, None), ("d", None, None), ("e", png[:-3], "image/png"), ("f", bmp, "image/bmp"), ("g", gif, "x"), ("h", jpeg, "x"), ("i", z.getvalue(), "x"), ("j", pdf, "x"), ("k", bomb, "application/gzip")]
+    got = media.sniff(spark.createDataFrame(rows, "corrected string, media_type binary, parts string").coalesce(1), "media_type", "parts").collect()
+    assert [r.doc.corrected for r in got] == [r[0] for r in rows]
+    assert [r.media_type for r in got] == ["image/png", None, None, None, None, "image/bmp", "image/gif", "image/jpeg", "application/zip", "application/pdf", "application/gzip"]
+    assert [r.corrected for r in got] == [True, False, False, False, False, False, True, True, True, True, False]
     assert [(p.type, bytes(p.bytes)) for p in got[2].parts] == [("image/png", png), ("audio/wav", w.getvalue()), ("application/gzip", gz)]
 
 
+def test_values_full_of_magic_bytes_take_linear_time():
+    import time
+
+    s, began = media.Sniffer(), time.perf_counter()
+    for word in (b"BM", b"PK\x03\x04", b"%PDF-", b"\xff\xd8\xff\xe0\x00\x02", b"GIF89a", b"\x89PNG\r\n\x1a\n", b"\x1f\x8b\x08", b"startxref%%EOF"):
+        assert s.parts(word * (800_000 // len(word))) == []
+    assert time.perf_counter() - began < 30
+
+
+def test_media_in_texts(spark):
+    pdf = "%PDF-1.4\nstartxref\n0\n%%EOF"
+    got = by_id(media.media_features(frame(spark, [(1, "see " + pdf + " and"), (2, pdf), (3, None)])))
+    assert [(got[i].text_type, got[i].embedded) for i in (1, 2, 3)] == [(None, f"application/pdf@4+{len(pdf)}"), ("application/pdf", f"application/pdf@0+{len(pdf)}"), (None, "")]
+
+
 def test_revised_pdfs_and_waves_with_other_chunks_first():
     import struct
 
@@ -433,6 +532,33 @@ def test_revised_pdfs_and_waves_with_other_chunks_first():
     assert got == [("application/pdf", pdf), ("application/pdf", first), ("audio/wav", wave(junk + fmt + data))]
 
 
+def test_hash_equal_words_are_told_apart(spark):
+    """Two words with equal 64-bit hashes: windows, shingles and counts go by bytes."""
+    one, two = b"bkmu_iv1dra0ayhj", b"7zx5b4ct_94_3___"
+    from lumenfold.llm.text import word_hash
+
+    assert word_hash(one) == word_hash(two)
+    a, b = (" ".join(f"{w.decode()} k{k}" for k in range(12)) for w in (one, two))
+    # 2 and 5 hold only the second word, in training and not
+    train, held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2), next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    d = frame(spark, [(train, a), (held, b)])
+    assert [r.n_removed for r in substring.dedup_passages(d).collect()] == [0, 0]
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(d).collect()} == {train: train, held: held}
+    r = by_id(brown.class_scores(d))[held]
+    assert r.n_known == 13  # k0 to k11 and the end
+
+
+def test_texts_of_one_id_are_apart(spark):
+    """(1, A), (0, B), (1, B): A stays, and one B; identical rows are one."""
+    a, b = "alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight"
+    for keep in (exact.keep_distinct, minhash.keep_one_of_near):
+        rows = keep(frame(spark, [(1, a), (0, b), (1, b), (1, a)]).withColumnRenamed("odd.name", "_dropped")).collect()
+        assert sorted((r.doc_id, r.text) for r in rows) == [(0, b), (1, a)]
+        none = keep(frame(spark, [(None, a), (None, a), (0, b)])).collect()
+        assert sorted((str(r.doc_id), r.text) for r in none) == [("0", b), ("None", a)]
+        assert all(r["_dropped"] == "o" for r in rows)
+
+
 def test_class_scores(docs):
     got, c = by_id(brown.class_scores(docs, frequent=50)), Counter()
     tokens = lambda t: [*re.findall(WORD, (t or "").translate(LOW)), None]
