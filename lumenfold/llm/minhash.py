@@ -1,8 +1,9 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Documents with the same text (by SHA-256) form a class at once; one of each goes on. Bands of its signature are
-bucketed. In a bucket all members are paired with the first one only, never with each other. Pairs are judged batch by batch of the signature: under a uniform prior, a pair is pruned once the
-posterior probability of reaching the threshold is below `miss`; survivors are verified on whole texts. First
+bucketed. In a bucket all members are paired with its hub only, the text of the smallest doc_id, never with each other.
+Pairs are judged batch by batch of the signature: under a uniform prior, a pair is pruned once the posterior
+probability of reaching the threshold is below `miss`; survivors are verified on whole texts. First
 each document's likeliest hub is verified, then other hubs in other components. The documents of buckets that
 still hold several components are joined by an exact prefix filter on their shingles. So every pair that shares
 a bucket is either in one component already, ruled out by the filter, or judged.
@@ -279,11 +280,12 @@ def groups(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("rep")
     classes = all_.where("n_shingles > 0").groupBy("key").agg(rep, F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = s.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so numbered once
-    bands = classes.select(F.explode("bands").alias("bucket"), "node")
-    shared = bands.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
+    bands = classes.select(F.explode("bands").alias("bucket"), "node", "rep.none", "rep.doc_id")
+    first = F.min(F.struct("none", "doc_id", "node"))["node"]
+    shared = bands.groupBy("bucket").agg(first.alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
     # a table of its own, as a join can split a large bucket only between two plain inputs
     shared = s.keep(shared, "shared")
-    members = s.keep(bands.join(shared, "bucket"), "members")
+    members = s.keep(bands.select("bucket", "node").join(shared, "bucket"), "members")
     pool = classes.select("node", "key", "rep.*", "sig").join(members.select("node").distinct(), "node", "left_semi")
     pool = s.keep(pool.select("node", "key", F.coalesce("doc_id", F.lit(0)).alias("id"), "none", "sig"), "pool")
     sigs, row = pool.select("node", "sig"), ["key", "id", "none"]
