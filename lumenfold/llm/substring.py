@@ -8,7 +8,7 @@ which again one stands for each of twice its length, and so on until the wanted
 level, the later ones have no rows. Of each repeated window of the wanted length every occurrence but the first
 (smallest doc_id, then start) is removed.
 
-Shorter levels compare 64-bit hashes, which can only let too much pass; the last one compares 128-bit BLAKE2b digests
+Shorter levels compare 64-bit hashes, which can only let too much pass; the last one compares 96-bit BLAKE2b digests
 of the windows' bytes. Documents with equal word sequences are one class by SHA-256; the smallest goes on, from the
 others everything is removed if they hold a window at all. Within a batch of documents, of each window only the first
 occurrence is dealt by its hash, so a passage that very many documents share costs a row per batch.
@@ -124,12 +124,13 @@ def seeds(docs: DataFrame, full: int, half: int) -> DataFrame:
     return docs.mapInArrow(run, PLACES)
 
 
-def digests(block: Block, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+def digests(block: Block, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Two numbers for each window of n words: BLAKE2b of its words joined by one space."""
     tidy, size = b" ".join(block.bytes.split()), np.concatenate([[0], np.cumsum(ends - starts + 1)])
     view, digest = memoryview(tidy), hashlib.blake2b
-    found = b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(size[at].tolist(), (size[at + n] - 1).tolist(), strict=True)])
-    return np.frombuffer(found, "<u8").reshape(-1, 2)
+    found = b"".join([digest(view[a:b], digest_size=12).digest() for a, b in zip(size[at].tolist(), (size[at + n] - 1).tolist(), strict=True)])
+    two = np.frombuffer(found, [("key", "<u8"), ("more", "<u4")])
+    return two["key"], two["more"].astype(np.uint64)
 
 
 def extend(docs: DataFrame, full: int, half: int, longer: int | None) -> DataFrame:
@@ -149,7 +150,7 @@ def extend(docs: DataFrame, full: int, half: int, longer: int | None) -> DataFra
                 live = s.reached(column(block.rows, "at"))
                 if longer is None:
                     start = np.flatnonzero(live)
-                    parts.append((*digests(block, s.starts, s.ends, start, full).T, *s.places(start, block)))
+                    parts.append((*digests(block, s.starts, s.ends, start, full), *s.places(start, block)))
                 else:
                     up = Seeds(block, longer, full, live)
                     at = np.flatnonzero(up.picked)
@@ -197,13 +198,19 @@ def outline(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key binary, n_words long, sha string, seq binary")
 
 
-def numbered(rows: DataFrame, base: DataFrame, s: Scratch) -> DataFrame:
-    """rows (doc_id, key, ...) with `twin`: 0, or the place of the row's text among the different texts of its doc_id."""
-    pairs = base.where("doc_id is not null").select("doc_id", "key").distinct()
-    twins = pairs.withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).where("n > 1")
-    twins = twins.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id").orderBy("key")) - 1).where("twin > 0").select("doc_id", "key", "twin")
-    twins = s.keep(twins, "twins")
-    if twins.isEmpty():
+def find_twins(base: DataFrame, s: Scratch) -> DataFrame | None:
+    """doc_id, key, twin: the place of a text among the different texts of its doc_id, where it isn't the first; None if there are none."""
+    base = base.where("doc_id is not null").select("doc_id", "key")
+    several = s.keep(base.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("doc_id"), "several")
+    if several.isEmpty():
+        return None
+    pairs = base.join(several, "doc_id", "left_semi").distinct()
+    return s.keep(pairs.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id").orderBy("key")) - 1).where("twin > 0"), "twins")
+
+
+def numbered(rows: DataFrame, twins: DataFrame | None) -> DataFrame:
+    """rows (doc_id, key, ...) with `twin`."""
+    if twins is None:
         return rows.withColumn("twin", F.lit(0))
     return rows.join(twins, ["doc_id", "key"], "left").withColumn("twin", F.coalesce("twin", F.lit(0)))
 
@@ -217,14 +224,15 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTE
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("key"), text.alias("text"))
     base = s.keep(outline(docs, window), "outline")
-    base = s.keep(numbered(base, base, s), "base")
+    twins = find_twins(base, s)
+    base = numbered(base, None) if twins is None else s.keep(numbered(base, twins), "base")
     first = base.where("seq is not null and doc_id is not null").groupBy("seq").agg(F.min(F.struct(*ROW)).alias("first"), F.count("*").alias("n"))
     # a table of its own, as a join can split a large group of copies only between two plain inputs
     first = s.keep(first.where("n > 1").select("seq", "first"), "first")
     copies = base.join(first, "seq").where(F.struct(*ROW) != F.col("first")).select(*ROW).distinct()
     copies = s.keep(copies, "copies")
     # the same exchange of whole texts serves all joins
-    whole = numbered(docs, base, s).where("doc_id is not null").select(*ROW, "text")
+    whole = numbered(docs, twins).where("doc_id is not null").select(*ROW, "text")
     by_key = Window.partitionBy("key", "more")
     gather = lambda level: level.groupBy(*ROW).agg(F.collect_set("pos").alias("at"))
     level = seeds(whole.join(copies, ROW, "left_anti"), lengths[1], lengths[0])
