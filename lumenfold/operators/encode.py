@@ -94,9 +94,10 @@ def train_word_vectors(docs: DataFrame, key: str, size: int = 300, window: int =
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
-def stored(df: DataFrame, key: str, candidates: tuple[str, ...] = ("DreaMS_embedding", "dreams_embedding", "embedding", "embeddings")) -> DataFrame:
+def stored(df: DataFrame, key: str, candidates: tuple[str, ...] = ("DreaMS_embedding", "embedding", "embeddings")) -> DataFrame:
     """The first embedding column there is, of unit norm; a vector that is not finite is refused later by require_usable()."""
-    name = next((c for c in candidates if c in df.columns), None)
+    held = {c.lower(): c for c in reversed(df.columns)}  # names count without regard to case
+    name = next((held[c.lower()] for c in candidates if c.lower() in held), None)
     if name is None:
         raise ValueError(f"no embedding column among {candidates}")
     return df.select(key, unit(F.col(name)).cast("array<float>").alias("embedding"))

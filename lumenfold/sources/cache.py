@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def fingerprint(settings: dict[str, Any], **source: Any) -> str:
@@ -15,10 +15,10 @@ def fingerprint(settings: dict[str, Any], **source: Any) -> str:
     return hashlib.md5(json.dumps({"settings": settings, "source": source}, sort_keys=True, default=str).encode()).hexdigest()[:12]
 
 
-def snapshot(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """The files under a path and their sizes, by name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    return sorted((r.path, r.length) for r in files.collect())
+def snapshot(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """The files under a path, their sizes and times of change in microseconds, by name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return sorted(tuple(r) for r in files.select("path", "length", F.unix_micros("modificationTime")).collect())
 
 
 def cache_path(root: str, prefix: str, model: str, mark: str, split: str | None = None, limit: int | None = None) -> str:

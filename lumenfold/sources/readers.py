@@ -30,7 +30,8 @@ def read_library(spark: SparkSession, path: str, mz: str = "mz", intensity: str
 
 def library_path(settings: dict) -> str:
     """The library's path, flat or under library, data or mona."""
-    keys = ("library_path", "mona_path", "library_h5", "h5_path", "path")
+    #: Names of the setting; the last three are this library's own.
+    keys = ("source_path", "mona_hdf5_path", "mona_path", "library_path", "lib_path", "library_h5", "h5_path", "path")
     for part in (settings, *(settings.get(k) or {} for k in ("library", "data", "mona"))):
         if isinstance(part, dict):
             for k in keys:
@@ -137,7 +138,9 @@ def parse_mzml(raw: bytes) -> Iterator[dict]:
                 for name in (mz_array, intensity_array):
                     if name in own:
                         arrays[name] = np.frombuffer(data, "<f8" if double in own else "<f4").astype(float)
-        precursor = next((float(terms[a]) for a in (selected, isolation) if terms.get(a)), float("nan"))
+        ions = [(p.get("accession"), p.get("value")) for p in node.iter() if p.tag.endswith("cvParam")]
+        # of several precursors the first
+        precursor = next((float(v) for a in (selected, isolation) for name, v in ions if name == a and v), float("nan"))
         mode = "negative" if negative in terms else "positive" if positive in terms else None
         mz, intensity = arrays.get(mz_array, np.zeros(0)), arrays.get(intensity_array, np.zeros(0))
         ok = np.isfinite(mz) & np.isfinite(intensity) & (mz > 0) & (intensity > 0) if len(mz) == len(intensity) else np.zeros(0, bool)

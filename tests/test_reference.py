@@ -257,3 +257,19 @@ def test_numbers_of_io():
     assert readers.library_path({"data": {"h5_path": "x"}}) == "x" and V.dense_gb(100_000, 20_000) == pytest.approx(7.45, abs=0.01)
     with pytest.raises(ValueError):
         np.load(io.BytesIO(b"\x80\x04}."), allow_pickle=False)
+
+
+def test_path_keys_first_precursor_and_changed_files(spark, tmp_path):
+    for key in ("source_path", "mona_hdf5_path", "mona_path", "library_path", "lib_path"):
+        assert readers.library_path({key: "/x"}) == readers.library_path({"library": {key: "/x"}}) == "/x"
+    param = lambda a, v: f'<cvParam accession="{a}" value="{v}"/>'
+    ions = "".join(f"<precursor><selectedIon>{param('MS:1000744', v)}</selectedIon></precursor>" for v in (500.1, 300.2))
+    (scan,) = readers.parse_mzml(f'<run><spectrum index="0" id="s">{param("MS:1000511", 2)}{ions}</spectrum></run>'.encode())
+    assert scan["precursor_mz"] == 500.1 and scan["ms_level"] == 2
+    (tmp_path / "a.bin").write_bytes(b"one")
+    os.utime(tmp_path / "a.bin", (1, 1))
+    old = cache.snapshot(spark, str(tmp_path))
+    (tmp_path / "a.bin").write_bytes(b"two")
+    assert cache.snapshot(spark, str(tmp_path)) != old
+    df = spark.createDataFrame([(1, [3.0, 4.0])], "id long, DREAMS_EMBEDDING array<double>")
+    assert [round(x, 6) for x in encode.stored(df, "id").first().embedding] == [0.6, 0.8]
