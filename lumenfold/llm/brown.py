@@ -9,7 +9,9 @@ is dealt by that word, so sweeps over it move nothing: a word's counts by neighb
 it goes to the class that raises the class bigram likelihood most against the matrix of classes, which alone the driver
 holds; before each sweep the core moves too, by all its neighbours. The words of one half move at a time; sweeps end when a round gains little, and a sweep that loses is undone.
 Words of at least LEAST beyond the FREQUENT are then placed by one more pass over the texts, so every such word gets
-its class by exchange, however many there are.
+its class by exchange, however many there are. A sieve of bounded size, two bits set for each of these words, goes to
+every task: words that don't pass it are surely rare, so their neighbours need not be written. It only spares work: a
+word that passes by chance is counted and found rare, and a full sieve lets all words pass.
 
 A word's probability is P(class | class of the word before) * P(word | class). A word that training lacks has count 0
 in the rare item's class, where a place is left for it; each class leaves one.
@@ -37,6 +39,7 @@ TOP, CLASSES, FREQUENT, LEAST = 1000, 64, 1 << 18, 8
 ROUNDS, GAIN = 3, 0.02  # most rounds of two sweeps, and the share of the mutual information that a round must gain
 END, RARE, FIRST = 0, 1, 2  # numbers of the document end, of all words without a number, and of the first frequent word
 BITS = 20  # of a number
+SIEVE = 1 << 27  # most bits of the sieve
 BLOCK, HELD, PART = 1 << 22, 1 << 20, 1 << 19  # bytes of text handled at once, pairs held by a task, training tokens for each part of the table
 
 
@@ -61,12 +64,46 @@ def count_words(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def places(words: pa.Array, bits: int) -> np.ndarray:
+    """The two bits of each word in a sieve of so many bits, a power of two."""
+    block = Block(None, words, False)
+    h = block.hashes(block.at[:-1], block.at[1:] - 1)
+    return np.stack([h, h >> np.uint64(32)]).astype(np.int64) & (bits - 1)
+
+
+def sieve(words: DataFrame, bits: int) -> np.ndarray:
+    """The bits of all words of a table, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(places(column(batch, "word"), bits).ravel())], ["place"])
+
+    rows = words.select("word").mapInArrow(run, "place long")
+    found = rows.groupBy(F.shiftright("place", 15).alias("of")).agg(F.bitmap_construct_agg(F.col("place") % (1 << 15)).alias("bits")).toArrow()  # at most `bits` bits
+    out = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for i, x in zip(found["of"].to_pylist(), found["bits"], strict=True):
+        out[i] = np.frombuffer(x.as_py(), np.uint8)
+    return out.ravel()
+
+
 class Words:
     """Numbers of the frequent words, most frequent first."""
 
-    def __init__(self, words: pa.Array, c: np.ndarray, ends: int, rare: int):
-        """rare: all tokens of words that aren't frequent."""
-        self.words, self.c = words, np.concatenate([[ends, rare], c])
+    def __init__(self, words: pa.Array, c: np.ndarray, ends: int, rare: int, sieve: np.ndarray | None):
+        """rare: all tokens of words that aren't frequent. sieve: of those of them that are to be placed, if any."""
+        self.words, self.c, self.sieve = words, np.concatenate([[ends, rare], c]), sieve
+
+    def unsure(self, ids: np.ndarray, distinct: pa.Array, which: np.ndarray) -> np.ndarray:
+        """Which tokens' words may be among those to be placed. The arguments are what ids() returns."""
+        out = np.zeros(len(ids), bool)
+        rare = np.flatnonzero(ids == RARE)
+        if self.sieve is not None and len(rare):
+            passed = np.zeros(len(distinct), bool)
+            words = np.unique(which[rare])
+            at = places(distinct.take(pa.array(words)), 8 * len(self.sieve))
+            passed[words] = (self.sieve[at >> 3] >> (at & 7) & 1).all(0)
+            out[rare] = passed[which[rare]]
+        return out
 
     def ids(self, block: Block) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """Numbers of all tokens, ends included, where each document starts, the block's distinct words, and which each RARE token is."""
@@ -81,8 +118,9 @@ class Words:
 
 
 def before(ids: np.ndarray) -> np.ndarray:
-    """Each token's neighbour to the left; before a document's first word stands an end, as before a block's first."""
-    return np.concatenate([[END], ids[:-1]])
+    """Each token's neighbour to the left; before a document's first word stands an end, as before a block's first.
+    Of marks of tokens, the neighbour's mark; an end has none."""
+    return np.concatenate([np.full(1, END, ids.dtype), ids[:-1]])
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -361,7 +399,7 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = 6, of: np.ndar
 
 
 def beyond(docs: DataFrame, words, of: np.ndarray, classes: int) -> DataFrame:
-    """word, code, second: for words that aren't frequent their counts by neighbour, code being n * cells + cell, and for
+    """word, code, second: for words that may be placed their counts by neighbour, code being n * cells + cell, and for
     pairs of two such words code being n."""
     shared, cells = docs.sparkSession.sparkContext.broadcast((words.value, of)), 2 * classes + 2
 
@@ -369,12 +407,13 @@ def beyond(docs: DataFrame, words, of: np.ndarray, classes: int) -> DataFrame:
         words, of = shared.value
         for block in blocks(batches, lower=True, size=BLOCK):
             b, _, distinct, which = words.ids(block)
-            at = np.flatnonzero(b == RARE)
-            right, left = b[at + 1], before(b)[at]  # an end stands last
-            # the last two cells are neighbours that have no number themselves
-            keys = np.concatenate([which[at] * cells + np.where(right == RARE, 2 * classes, of[right]), which[at] * cells + np.where(left == RARE, 2 * classes + 1, classes + of[left])])
+            unsure = words.unsure(b, distinct, which)
+            at = np.flatnonzero(unsure)
+            right, left, twins = b[at + 1], before(b)[at], before(unsure)[at]  # an end stands last
+            # the last two cells are neighbours that may be placed themselves
+            keys = np.concatenate([which[at] * cells + np.where(unsure[at + 1], 2 * classes, of[right]), which[at] * cells + np.where(twins, 2 * classes + 1, classes + of[left])])
             keys, n = np.unique(keys, return_counts=True)
-            twin = at[left == RARE]
+            twin = at[twins]
             pairs, times = np.unique(which[twin - 1] * max(len(distinct), 1) + which[twin], return_counts=True)
             first, second = (distinct.take(pa.array(x)).cast(pa.binary()) for x in (pairs // max(len(distinct), 1), pairs % max(len(distinct), 1)))
             own = distinct.take(pa.array(keys // cells)).cast(pa.binary())
@@ -385,7 +424,7 @@ def beyond(docs: DataFrame, words, of: np.ndarray, classes: int) -> DataFrame:
 
 
 def place(rows: DataFrame, of: np.ndarray, m: np.ndarray, least: int) -> DataFrame:
-    """word, c, k, cells: the class of each word that isn't frequent but has `least` counts, and its frequent neighbours by side and class."""
+    """word, c, k, cells: the class of each word that isn't frequent but has `least` counts, and its neighbours that had a class before by side and class."""
     classes = len(m)
     shared, cells = rows.sparkSession.sparkContext.broadcast((of, m)), 2 * classes + 2
 
@@ -425,7 +464,7 @@ class Trained:
         self.total, self.distinct, self.words, self.model, self.others, self.placed = total, distinct, words, model, others, placed
 
 
-def train(docs: DataFrame, s: Scratch, classes: int = CLASSES, frequent: int = FREQUENT, least: int = LEAST, top: int = TOP) -> Trained:
+def train(docs: DataFrame, s: Scratch, classes: int = CLASSES, frequent: int = FREQUENT, least: int = LEAST, top: int = TOP, bits: int = SIEVE) -> Trained:
     spark = docs.sparkSession
     counts = s.keep(count_words(docs), "counts")
     total, distinct, ends = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.length("word") == 0, F.col("c")))).first()
@@ -435,14 +474,15 @@ def train(docs: DataFrame, s: Scratch, classes: int = CLASSES, frequent: int = F
     some = (F.length("word") > 0) & (F.col("c") >= least)
     low, part, left = 0, 1 << 20, frequent
     for r in counts.where(some).groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-        low, part = r.step, min(1 << 20, (left << 20) // r["count"])
+        if left > 0:
+            low, part = r.step, min(1 << 20, (left << 20) // r["count"])
         left -= r["count"]
-        if left <= 0:
-            break
+    more = max(0, -left)  # words of `least` counts that aren't frequent, but for chance
     often = some & ((step > low) | ((step == low) & (share < part)))
     found = counts.where(often).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     c = found["c"].to_numpy().astype(np.int64)
-    shared = spark.sparkContext.broadcast(Words(found["word"].combine_chunks(), c, ends, total - ends - int(c.sum())))
+    room = min(bits, 1 << max(15, (16 * more).bit_length()))
+    shared = spark.sparkContext.broadcast(Words(found["word"].combine_chunks(), c, ends, total - ends - int(c.sum()), sieve(counts.where(some & ~often), room) if more else None))
     size, few = FIRST + len(c), min(FIRST + top, FIRST + len(c))
     parts = max(1, min(1 << 16, -(-total // PART)))
     table = s.keep(merge(neighbours(docs, shared, few, parts), parts), "pairs")
@@ -451,7 +491,7 @@ def train(docs: DataFrame, s: Scratch, classes: int = CLASSES, frequent: int = F
     k = int(of[RARE])
     members, totals = (np.bincount(of, x, classes) for x in (np.where(np.arange(size) == RARE, 0, 1), shared.value.c))
     members[k] += distinct - (ends > 0) - len(c)
-    if left < 0:  # words of `least` counts that aren't frequent
+    if more:
         rows = s.keep(beyond(docs, shared, of, classes), "beyond")
         placed = s.keep(place(rows, of, m, least), "placed")
         sums = placed.groupBy("k").agg(F.count("*").alias("members"), F.sum("c").alias("c"), *[F.sum(F.get("cells", F.lit(j))).alias(f"c{j}") for j in range(2 * classes)])
@@ -473,7 +513,7 @@ def train(docs: DataFrame, s: Scratch, classes: int = CLASSES, frequent: int = F
     else:
         others = others.withColumn("k", F.lit(k).cast("long"))
     others = s.keep(others.select("word", "c", F.coalesce("k", F.lit(k).cast("long")).alias("k")), "others")
-    return Trained(total, distinct, shared, Model(np.maximum(m, 0), of, totals, members), others, left < 0)
+    return Trained(total, distinct, shared, Model(np.maximum(m, 0), of, totals, members), others, more > 0)
 
 
 LOCAL = "doc_id long, uid long, n_tokens long, known long, logs double, model double, words array<binary>, sides array<int>, times array<int>, first array<binary>, second array<binary>, both array<int>"
@@ -489,29 +529,31 @@ def grouped(keys: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, p
 
 
 def local(docs: DataFrame, shared) -> DataFrame:
-    """What a document's own task can tell; its words that are not frequent, each with the classes on both sides, and pairs of two such.
+    """What a document's own task can tell; its words that are not frequent, and pairs of two that may have been placed.
 
-    Unless words were placed, all that aren't frequent have the rare item's class, and only their counts are left open.
+    Those that may have been placed stand with the classes on both sides. All others have the rare item's class, and
+    only their counts are left open.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model, placed = shared.value
+        words, model, _ = shared.value
         classes, uid = len(model.step), TaskContext.get().partitionId() << 40
         logs, emit = np.log10(words.c + 1.0), np.log10(words.c + 0.5) - model.rest[model.of]
         for block in blocks(batches, lower=True, size=BLOCK):
             b, at, distinct, which = words.ids(block)
-            a, doc, n = before(b), np.repeat(np.arange(len(block)), np.diff(at)), len(block)
+            doc, n = np.repeat(np.arange(len(block)), np.diff(at)), len(block)
             hit, ka, kb = b != RARE, model.of[before(b)], model.of[b]
-            sure = (hit & (a != RARE)) | (not placed)
+            unsure = words.unsure(b, distinct, which)
+            after = before(unsure)
+            sure = ~unsure & ~after
             score = np.bincount(doc, np.where(hit, emit[b], 0) + np.where(sure, model.step[ka, kb], 0), n)
             rare = np.flatnonzero(~hit)
-            side = np.zeros(len(rare), np.int64)
-            if placed:  # 0: no class to meet there
-                side = np.where(a[rare] != RARE, ka[rare] + 1, 0) * (classes + 1) + np.where(b[rare + 1] != RARE, kb[rare + 1] + 1, 0)
+            # 0: no class to meet there
+            side = np.where(unsure[rare], np.where(after[rare], 0, ka[rare] + 1) * (classes + 1) + np.where(unsure[rare + 1], 0, kb[rare + 1] + 1), 0)
             size = (classes + 1) ** 2
             keys, to, times = grouped(which[rare] * size + side, doc[rare], n)
             lists = [(to, distinct.take(pa.array(keys // size)).cast(pa.binary())), (to, pa.array((keys % size).astype(np.int32))), (to, times)]
-            twin = np.flatnonzero(~hit & (a == RARE) & placed)
+            twin = np.flatnonzero(unsure & after)
             keys, to, times = grouped(which[twin - 1] * len(distinct) + which[twin], doc[twin], n)
             lists += [(to, distinct.take(pa.array(x)).cast(pa.binary())) for x in (keys // max(len(distinct), 1), keys % max(len(distinct), 1))] + [(to, times)]
             known = np.bincount(doc, hit & (words.c[b] > 0), n).astype(np.int64)
