@@ -40,7 +40,7 @@ ROUNDS, GAIN = 3, 0.02  # most rounds of two sweeps, and the share of the mutual
 END, RARE, FIRST = 0, 1, 2  # numbers of the document end, of all words without a number, and of the first frequent word
 BITS = 20  # of a number
 SIEVE = 1 << 27  # most bits of the sieve
-BLOCK, HELD, PART = 1 << 22, 1 << 20, 1 << 19  # bytes of text handled at once, pairs held by a task, training tokens for each part of the table
+BLOCK, HELD, PART = 1 << 21, 1 << 19, 1 << 19  # bytes of text handled at once, pairs held by a task, training tokens for each part of the table
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
