@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("lumenfold.llm")
@@ -576,6 +577,21 @@ def test_class_scores(docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_the_sieve_spares_work_only(spark, docs, monkeypatch):
+    """All words of a table pass its sieve, few others do, and a sieve that lets all words pass gives the same scores."""
+    words = lambda x: [f"{x}{k}".encode() for k in range(1000)]
+    bits = brown.sieve(spark.createDataFrame([(w,) for w in words("in")], "word binary"), 1 << 15)
+    seen = brown.Words(pa.array([], pa.binary()), np.zeros(0, np.int64), 0, 0, bits)
+    ids, which = np.full(1000, brown.RARE), np.arange(1000)
+    assert seen.unsure(ids, pa.array(words("in"), pa.binary()), which).all()
+    assert seen.unsure(ids, pa.array(words("out"), pa.binary()), which).mean() < 0.05
+    got = by_id(brown.class_scores(docs, frequent=50, least=2))
+    monkeypatch.setattr(brown, "sieve", lambda words, bits: np.full(bits >> 3, 255, np.uint8))
+    full = by_id(brown.class_scores(docs, frequent=50, least=2))
+    assert {i: r.n_known for i, r in got.items()} == {i: r.n_known for i, r in full.items()}
+    assert all(r.score == pytest.approx(full[i].score, rel=1e-9) for i, r in got.items())
+
+
 def test_exchange_finds_classes():
     import numpy as np
 
