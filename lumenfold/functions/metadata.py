@@ -74,7 +74,7 @@ def joined(values: Column, separator: str = " | ") -> Column:
 
 def decoded(raw: Column) -> Column:
     """UTF-8 without the bytes that are none."""
-    return F.regexp_replace(F.decode(raw, "UTF-8"), "�", "")
+    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
 
 
 def first_of(*columns: Column) -> Column:

@@ -5,9 +5,16 @@ Ties in intensity are broken by m/z, so results don't depend on row order. Null
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once a row; an expression inside a lambda would be computed again for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
 
@@ -57,17 +64,17 @@ def total(peaks: Column) -> Column:
     return F.aggregate(peaks, F.lit(0.0), lambda a, p: a + p.intensity)
 
 
-def over(peaks: Column, by: Column, to: float = 1.0) -> Column:
-    """Intensities divided by `by`; unchanged where it is not positive."""
-    return F.when(by > 0, _map(peaks, lambda x: x / by * to)).otherwise(peaks)
+def over(peaks: Column, by: Callable[[Column], Column], to: float = 1.0) -> Column:
+    """Intensities divided by by(peaks); unchanged where it is not positive."""
+    return let(peaks, lambda p: let(by(p), lambda d: F.when(d > 0, _map(p, lambda x: x / d * to)).otherwise(p)))
 
 
 def normalize(peaks: Column, mode: str = "max") -> Column:
     """max: the largest becomes 1000; sum: they sum to 1; none."""
     if mode == "max":
-        return over(peaks, largest(peaks), 1000.0)
+        return over(peaks, largest, 1000.0)
     if mode == "sum":
-        return over(peaks, total(peaks))
+        return over(peaks, total)
     if mode == "none":
         return peaks
     raise ValueError(f"unknown mode {mode}")
@@ -79,20 +86,19 @@ def scale(peaks: Column, mode: str = "max", power: float = 1.0) -> Column:
     if mode == "none":
         return x
     if mode in ("sum", "tic"):
-        return over(x, total(x))
+        return over(x, total)
     if mode == "sqrt":
         x = _map(x, F.sqrt)
     elif mode in ("log", "log1p"):
         x = _map(x, F.log1p)
     elif mode != "max":
         raise ValueError(f"unknown mode {mode}")
-    return over(x, largest(x))
+    return over(x, largest)
 
 
 def clean_peaks(peaks: Column, top: int = 200, power: float = 0.5) -> Column:
     """Valid peaks, the most intense, relative to the largest, to a power, by m/z."""
-    kept = top_peaks(valid_peaks(peaks), top)
-    return by_mz(_map(over(kept, largest(kept)), lambda x: F.pow(x, F.lit(power))))
+    return by_mz(_map(over(top_peaks(valid_peaks(peaks), top), largest), lambda x: F.pow(x, F.lit(power))))
 
 
 def first_valid(peaks: Column, num_peaks: Column | None = None) -> Column:
@@ -140,21 +146,55 @@ def merge_tokens(rows: DataFrame, key: str, mode: str = "max") -> DataFrame:
     return rows.groupBy(key, "token").agg((F.max if mode == "max" else F.sum)("intensity").alias("intensity"))
 
 
-def token_inputs(peaks: DataFrame, key: str, low: float = 50.0, high: float = 1000.0, size: float = 1.0, vocabulary: int = 1002, power: float = 1.0, mode: str = "max", again: bool = True, top: int = 100) -> DataFrame:
+def token_inputs(
+    peaks: DataFrame, key: str, low: float = 50.0, high: float = 1000.0, size: float = 1.0, vocabulary: int = 1002, power: float = 1.0, mode: str = "max", again: bool = True, top: int = 100,
+    by: str = "intensity", rounding: str = "round", offset: int = 0,
+) -> DataFrame:
     """Library-side token rows: range, tokens in [2, vocabulary - 1], relative to the largest, power, merged, again relative, the top ones.
 
-    peaks: key, mz, intensity. Gives key, token, intensity.
+    peaks: key, mz, intensity. Gives key, token, intensity. by: the top ones are the most intense, or (mz) the smallest tokens.
     """
     rows = peaks.where(finite(F.col("mz")) & finite(F.col("intensity")) & (F.col("intensity") > 0) & F.col("mz").between(low, high))
-    rows = rows.withColumn("token", token_ids(F.col("mz"), low, size)).where(F.col("token").between(2, vocabulary - 1))
+    rows = rows.withColumn("token", token_ids(F.col("mz"), low, size, rounding, offset)).where(F.col("token").between(2, vocabulary - 1))
     rows = rows.withColumn("intensity", F.pow(F.col("intensity") / F.max("intensity").over(Window.partitionBy(key)), F.lit(power)))
     rows = merge_tokens(rows, key, mode)
     if again:
         rows = rows.withColumn("intensity", F.col("intensity") / F.max("intensity").over(Window.partitionBy(key)))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("intensity"), "token"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*([F.desc("intensity")] if by == "intensity" else []), "token"))
     return rows.withColumn("k", rank).where(F.col("k") <= top).drop("k")
 
 
+def padded_tokens(spectra: DataFrame, key: str, length: int = 100, min_peaks: int = 1, skip_invalid: bool = False, order: str = "token", low: float = 50.0, high: float = 1000.0, **how) -> DataFrame:
+    """token_inputs() of each spectrum as arrays token and intensity of fixed length, zeros behind, by token or by intensity.
+
+    Spectra with fewer than min_peaks peaks in range, or without a token, are left out only if skip_invalid is
+    set; else they are encoded as they are, without tokens as zeros.
+    """
+    rows = spectra.select(key, F.explode("peaks").alias("p")).select(key, "p.mz", "p.intensity")
+    sorted_by = F.struct("token", "intensity") if order == "token" else F.struct((-F.col("intensity")).alias("k"), "token", "intensity")
+    tokens = token_inputs(rows, key, low, high, **how).groupBy(key).agg(F.slice(F.array_sort(F.collect_list(sorted_by)), 1, length).alias("t"))
+    held = spectra.select(key, F.size(in_range(valid_peaks(F.col("peaks"), False), low, high)).alias("n")).join(tokens, key, "left")
+    if skip_invalid:
+        held = held.where((F.col("n") >= min_peaks) & F.col("t").isNotNull())
+    fill = lambda name, zero, kind: F.concat(F.coalesce(F.transform("t", lambda p: p[name]), F.array().cast(kind)), F.array_repeat(zero, F.lit(length) - F.coalesce(F.size("t"), F.lit(0)))).cast(kind).alias(name)
+    return held.select(key, fill("token", F.lit(0).cast("long"), "array<bigint>"), fill("intensity", F.lit(0.0), "array<double>"))
+
+
+def masked_inputs(spectra: DataFrame, key: str, length: int = 100, clean: bool = True, **how) -> DataFrame:
+    """Library-side padded input: cleaned peaks, select_peaks(), arrays mz and intensity of fixed length and their mask (true: padding)."""
+    peaks = select_peaks(clean_peaks(F.col("peaks")) if clean else F.col("peaks"), top=length, **how)
+    return _masked(spectra.select(key, peaks.alias("p")), key, length, True)
+
+
+def raw_masked_inputs(spectra: DataFrame, key: str, length: int = 200) -> DataFrame:
+    """The same on a run's peaks by raw_tensor(); an empty spectrum has all slots masked."""
+    return _masked(spectra.select(key, raw_tensor(F.col("peaks"), length).alias("p")), key, length, False)
+
+
+def _masked(rows: DataFrame, key: str, length: int, unmask_empty: bool) -> DataFrame:
+    return rows.select(key, padded(F.col("p"), length).alias("x"), padding_mask(F.col("p"), length, unmask_empty).alias("mask")).select(key, "x.mz", "x.intensity", "mask")
+
+
 def raw_tokens(peaks: Column, low: float = 0.0, size: float = 1.0, vocabulary: int = 1002, top: int = 100) -> Column:
     """Run-side tokens: valid peaks, the most intense, floor + 1 clipped to [1, vocabulary - 1], repeats kept."""
     kept = by_mz(top_peaks(valid_peaks(peaks), top))
@@ -163,8 +203,7 @@ def raw_tokens(peaks: Column, low: float = 0.0, size: float = 1.0, vocabulary: i
 
 def raw_tensor(peaks: Column, top: int = 200) -> Column:
     """Run-side padded input: valid peaks without a range, the most intense, relative to the largest, by m/z."""
-    kept = top_peaks(valid_peaks(peaks), top)
-    return by_mz(over(kept, largest(kept)))
+    return by_mz(over(top_peaks(valid_peaks(peaks), top), largest))
 
 
 def words(peaks: Column, decimals: int = 2) -> Column:

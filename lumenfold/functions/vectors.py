@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .peaks import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -15,8 +17,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Divided by its norm, at least 1e-12; a zero vector stays zero."""
-    n = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    return let(F.greatest(norm(v), F.lit(1e-12)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

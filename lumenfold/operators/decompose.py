@@ -6,6 +6,8 @@ only parameters and intent were given.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..schemas import NEIGHBORS
 from .filters import real_neighbors
 
+COLUMNS = [c.split()[0] for c in NEIGHBORS.split(", ")]
+
 
 def adaptive_k(scores: np.ndarray, k_min: int = 12, k_max: int = 100, max_segments: int = 4, min_size: int = 8, fallback: int = 100, min_range: float = 0.03) -> tuple[int, int]:
     """Candidates to keep, and segments chosen: piecewise lines over ranks by BIC; what lies before the last segment stays."""
@@ -42,29 +46,52 @@ def adaptive_k(scores: np.ndarray, k_min: int = 12, k_max: int = 100, max_segmen
 
 def precursor_groups(values: np.ndarray, most: int = 20, floor: float = 1e-3) -> int:
     """Number of groups of precursor m/z: one-dimensional Gaussian mixtures by EM from quantiles, least BIC, fewer on ties."""
-    x = np.sort(np.asarray(values, float)[np.isfinite(np.asarray(values, float))])
-    n = len(x)
-    if n < 2:
-        return 1
-    found, best = 1, np.inf
-    for k in range(1, min(most, len(np.unique(x)), n) + 1):
-        mean = np.quantile(x, (np.arange(k) + 0.5) / k)
-        var, share = np.full(k, max(x.var() / k**2, floor)), np.full(k, 1 / k)
+    return int(groups_of([values], most, floor)[0])
+
+
+def groups_of(lists: list[np.ndarray], most: int = 20, floor: float = 1e-3, block: int = 256) -> np.ndarray:
+    """precursor_groups() of many lists; a block of lists goes through EM together, and those that have settled leave it."""
+    found = [_groups_of_block(lists[i : i + block], most, floor) for i in range(0, len(lists), block)]
+    return np.concatenate(found) if found else np.zeros(0, int)
+
+
+def _groups_of_block(lists: list[np.ndarray], most: int, floor: float) -> np.ndarray:
+    lists = [np.sort(v[np.isfinite(v)]) for v in (np.asarray(v, float) for v in lists)]
+    n = np.array([len(v) for v in lists])
+    found, best = np.ones(len(lists), int), np.full(len(lists), np.inf)
+    x = np.zeros((len(lists), max(n.max(initial=0), 1)))
+    for i, v in enumerate(lists):
+        x[i, : n[i]] = v
+    held = np.arange(x.shape[1]) < n[:, None]
+    limit = np.array([min(most, len(np.unique(v))) if len(v) > 1 else 0 for v in lists])
+    spread = np.array([v.var() if len(v) else 0.0 for v in lists])
+    for k in range(1, limit.max(initial=0) + 1):
+        on = np.flatnonzero(limit >= k)
+        at = (np.arange(k) + 0.5) / k * (n[on, None] - 1)
+        low = at.astype(int)
+        left, right = (np.take_along_axis(x[on], np.minimum(j, n[on, None] - 1), axis=1) for j in (low, low + 1))
+        mean = left + (right - left) * (at - low)
+        var, share = np.repeat(np.maximum(spread[on, None] / k**2, floor), k, axis=1), np.full((len(on), k), 1 / k)
+        like = np.zeros(len(lists))
         for _ in range(100):
-            logs = np.log(share) - 0.5 * (np.log(2 * np.pi * var) + (x[:, None] - mean) ** 2 / var)
-            top = logs.max(axis=1, keepdims=True)
-            like = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
-            r = np.exp(logs - like[:, None])
-            mass = r.sum(axis=0) + 1e-9
-            new = (r * x[:, None]).sum(axis=0) / mass
-            var = np.maximum((r * (x[:, None] - new) ** 2).sum(axis=0) / mass, floor)
-            share = mass / mass.sum()
-            moved, mean = np.abs(new - mean).max(), new
-            if moved < 1e-6:
+            v, m = x[on][:, :, None], held[on]
+            logs = (np.log(share) - 0.5 * np.log(2 * np.pi * var))[:, None, :] - 0.5 * (v - mean[:, None, :]) ** 2 / var[:, None, :]
+            top = logs.max(axis=2, keepdims=True)
+            r = np.exp(logs - top)
+            total = r.sum(axis=2, keepdims=True)
+            like[on] = ((top + np.log(total))[:, :, 0] * m).sum(axis=1)
+            r *= m[:, :, None] / total
+            mass = r.sum(axis=1) + 1e-9
+            new = (r * v).sum(axis=1) / mass
+            var = np.maximum((r * (v - new[:, None, :]) ** 2).sum(axis=1) / mass, floor)
+            share = mass / mass.sum(axis=1, keepdims=True)
+            moving = np.abs(new - mean).max(axis=1) >= 1e-6
+            on, mean, var, share = on[moving], new[moving], var[moving], share[moving]
+            if not len(on):
                 break
-        bic = -2 * like.sum() + (3 * k - 1) * np.log(n)
-        if bic < best - 1e-9:
-            found, best = k, bic
+        bic = np.where(limit >= k, -2 * like + (3 * k - 1) * np.log(np.maximum(n, 1)), np.inf)
+        better = bic < best - 1e-9
+        found[better], best[better] = k, bic[better]
     return found
 
 
@@ -93,35 +120,50 @@ def clusters(x: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(np.argsort(first))[back]
 
 
-def decompose(topk: DataFrame, library: DataFrame, method: str = "", most: int = 20, k_min: int = 12, k_max: int = 100, **how) -> DataFrame:
+def decompose(topk: DataFrame, library: DataFrame, method: str = "", most: int = 20, k_min: int = 12, k_max: int = 100, adaptive: bool = True, **how) -> DataFrame:
     """Neighbour rows of every query: kept candidates, their cluster and the estimated component count.
 
-    topk: query_index, rank, library_index, similarity; library: library_index, precursor_mz, embedding. Only one
-    query's candidates meet in a group.
+    topk: query_index, rank, library_index, similarity; library: library_index, precursor_mz, embedding. Candidates
+    are cut and counted from scores and precursors alone, many queries a batch; only those kept fetch their vectors
+    for clustering, where one query's candidates meet in a group. adaptive=False keeps every candidate.
     """
-    rows = real_neighbors(topk).join(library.select("library_index", "precursor_mz", "embedding"), "library_index").withColumn("method", F.lit(method))
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rank", kind="stable").reset_index(drop=True)
-        n = len(g)
-        keep, segments = adaptive_k(g["similarity"].to_numpy(), k_min=k_min, k_max=min(k_max, n), **how)
-        g = g.iloc[:keep]
-        groups = max(1, min(precursor_groups(g["precursor_mz"].to_numpy(), most), keep))
-        label = clusters(np.stack(g["embedding"].to_numpy()), groups)
-        return pd.DataFrame(
-            {
-                "method": g["method"], "query_index": g["query_index"], "library_index": g["library_index"], "rank": np.arange(1, keep + 1), "similarity": g["similarity"], "cluster": label,
-                "estimated_n_precursor_groups": groups, "library_precursor_mz": g["precursor_mz"], "adaptive_k": keep, "original_knn_k": n, "selected_segments": segments,
-            }
-        )
-
-    return rows.groupBy("method", "query_index").applyInPandas(one, NEIGHBORS)
+    light = real_neighbors(topk).join(library.select("library_index", F.col("precursor_mz").cast("double").alias("precursor_mz")), "library_index")
+    names = ("rank", "library_index", "similarity", "precursor_mz")
+    tasks = int(topk.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that rows few in bytes but dear in time aren't gathered in one task
+    listed = light.repartition(tasks, "query_index").groupBy("query_index").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("c"))
+    each = lambda name: F.transform("c", lambda x: x[name]).alias(name)
+    listed = listed.select("query_index", *map(each, names[1:]))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            scores, precursors = ([np.asarray(v, float) for v in b[c]] for c in ("similarity", "precursor_mz"))
+            kept = [adaptive_k(s, k_min=k_min, k_max=min(k_max, len(s)), **how) if adaptive else (len(s), 1) for s in scores]
+            keep = np.array([k for k, _ in kept], int)
+            groups = np.clip(groups_of([v[:k] for v, k in zip(precursors, keep, strict=True)], most), 1, np.maximum(keep, 1))
+            one = {"query_index": b["query_index"], "adaptive_k": keep, "original_knn_k": [len(s) for s in scores], "selected_segments": [m for _, m in kept], "estimated_n_precursor_groups": groups}
+            out = {name: np.repeat(np.asarray(v), keep) for name, v in one.items()}
+            out["rank"] = np.concatenate([np.arange(1, k + 1) for k in keep]) if len(keep) else []
+            for name, values in (("library_index", b["library_index"]), ("similarity", scores), ("library_precursor_mz", precursors)):
+                out[name] = np.concatenate([v[:k] for v, k in zip(values, keep, strict=True)]) if len(keep) else []
+            yield pd.DataFrame(out)
+
+    wide = "query_index long, adaptive_k long, original_knn_k long, selected_segments long, estimated_n_precursor_groups long, rank long, library_index long, similarity double, library_precursor_mz double"
+    rows = listed.mapInPandas(cut, wide).join(library.select("library_index", "embedding"), "library_index")
+
+    def label(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("rank", kind="stable")
+        k = int(g["estimated_n_precursor_groups"].iloc[0])
+        g["cluster"] = clusters(np.stack(g["embedding"].to_numpy()), k) if k > 1 else 0
+        return g.assign(method=method)[COLUMNS]
+
+    return rows.repartition(tasks, "query_index").groupBy("query_index").applyInPandas(label, NEIGHBORS)
 
 
 def with_metadata(neighbors: DataFrame, library: DataFrame) -> DataFrame:
-    """Adds smiles, inchikey, name, formula where the library has them, under both names."""
+    """Adds smiles, inchikey, name, formula where the library has them, under both names, and its scaffold columns."""
     names = [c for c in ("smiles", "inchikey", "name", "formula") if c in library.columns]
-    meta = library.select("library_index", *names)
+    scaffolds = [c for c in ("candidate_scaffold", "candidate_scaffold_atoms") if c in library.columns]
+    meta = library.select("library_index", *names, *scaffolds)
     return neighbors.join(meta, "library_index", "left").withColumns({f"library_{c}": F.col(c) for c in names})
 
 

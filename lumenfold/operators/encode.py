@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.peaks import clean_peaks, finite, valid_peaks, words
+from ..functions.metadata import infer_ion_mode
+from ..functions.peaks import clean_peaks, finite, masked_inputs, padded_tokens, raw_masked_inputs, spectrum_record, valid_peaks, words
 from ..functions.vectors import unit
 
 
@@ -54,16 +56,22 @@ def dense(rows: DataFrame, key: str, size: int) -> DataFrame:
     return entries.select(key, at.cast("array<float>").alias("embedding"))
 
 
-def documents(spectra: DataFrame, key: str, decimals: int = 2, clean: bool = True) -> DataFrame:
-    """key, word, weight."""
+def keep_all(encoded: DataFrame, spectra: DataFrame, key: str, size: int) -> DataFrame:
+    """A vector for every key of spectra: zeros of the given size where encoded has none."""
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), size)
+    return spectra.select(key).distinct().join(encoded, key, "left").select(key, F.coalesce(F.col("embedding").cast("array<float>"), zeros).alias("embedding"))
+
+
+def documents(spectra: DataFrame, key: str, decimals: int = 2, clean: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
+    """key, more, word, weight."""
     peaks = clean_peaks(F.col("peaks")) if clean else valid_peaks(F.col("peaks"))
-    return spectra.select(key, F.explode(words(peaks, decimals)).alias("w")).select(key, "w.word", "w.weight")
+    return spectra.select(key, *more, F.explode(words(peaks, decimals)).alias("w")).select(key, *more, "w.word", "w.weight")
 
 
 def word_vectors(docs: DataFrame, vectors: DataFrame, key: str, power: float = 0.5) -> DataFrame:
     """sum(weight**power * vector) / sum(weight**power) over known words, of unit norm. vectors: word, vector.
 
-    Known words without any vector drop out here; join back for zeros.
+    Documents without a known word drop out here; keep_all() gives them zeros.
     """
     w = F.pow("weight", F.lit(power))
     rows = docs.join(vectors, "word").select(key, w.alias("w"), F.posexplode("vector").alias("i", "x"))
@@ -94,6 +102,24 @@ def train_word_vectors(docs: DataFrame, key: str, size: int = 300, window: int =
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
+def spec2vec(spectra: DataFrame, key: str, models: dict[str, DataFrame] | None = None, mode: str = "ion_mode", decimals: int = 2, power: float = 0.5, clean: bool = True, size: int = 300, **training) -> DataFrame:
+    """Word vectors of every spectrum, by a model (word, vector) per ion mode; models that aren't given are trained here. No known word: zeros.
+
+    A mode without spectra gets no model and a mode without a model takes the other's. Without a column `mode`
+    all spectra count as positive. Inference only: give models.
+    """
+    held = spectra if mode in spectra.columns else spectra.withColumn(mode, F.lit("positive"))
+    docs = documents(held, key, decimals, clean, (mode,))
+    if models is None:
+        negative = F.coalesce(F.col(mode) == "negative", F.lit(False))
+        parts = {"positive": docs.where(~negative), "negative": docs.where(negative)}
+        models = {name: train_word_vectors(part, key, size, **training) for name, part in parts.items() if not part.isEmpty()}
+    if not models:
+        return keep_all(spectra.select(key, F.lit(None).cast("array<float>").alias("embedding")), spectra, key, size)
+    first = next(iter(models.values())).select(F.size("vector")).first()
+    return keep_all(by_mode(docs, models, key, mode, power), spectra, key, first[0] if first else size)
+
+
 def stored(df: DataFrame, key: str, candidates: tuple[str, ...] = ("DreaMS_embedding", "embedding", "embeddings")) -> DataFrame:
     """The first embedding column there is, of unit norm; a vector that is not finite is refused later by require_usable()."""
     held = {c.lower(): c for c in reversed(df.columns)}  # names count without regard to case
@@ -103,23 +129,72 @@ def stored(df: DataFrame, key: str, candidates: tuple[str, ...] = ("DreaMS_embed
     return df.select(key, unit(F.col(name)).cast("array<float>").alias("embedding"))
 
 
-def external(spectra: DataFrame, key: str, load: Callable[[], Callable], columns: tuple[str, ...]) -> DataFrame:
-    """Vectors of a model that `load` brings up once per task; it maps a pandas frame of columns to a list of vectors (None: failed, a zero vector by the caller's choice)."""
+def external(spectra: DataFrame, key: str, load: Callable[[], Callable], columns: tuple[str, ...], size: int | None = None, batch_rows: int = 128, normalize: bool = True) -> DataFrame:
+    """Vectors of a model that `load` brings up once per task; it maps a pandas frame of columns to a list of vectors (None: failed).
+
+    With a size, a batch on which the model fails is given to it row by row, and rows that fail, aren't finite or
+    have another size become zero vectors; V.require_usable() refuses a table of zeros. Without one errors are raised
+    and failed rows are null. A vector of several positions (two dimensions) is averaged over them.
+    """
+
+    def flat(v) -> np.ndarray | None:
+        x = None if v is None else np.asarray(v, np.float64)
+        return x.mean(axis=0) if x is not None and x.ndim == 2 else x
+
+    def checked(v) -> list[float]:
+        x = flat(v)
+        return x.tolist() if x is not None and x.shape == (size,) and np.isfinite(x).all() else [0.0] * size
+
+    def guarded(model: Callable, rows: pd.DataFrame) -> list:
+        try:
+            found = list(model(rows))
+            if len(found) == len(rows):
+                return found
+        except Exception:  # noqa: BLE001  any model, any error
+            pass
+        return [None] if len(rows) == 1 else [guarded(model, rows.iloc[i : i + 1])[0] for i in range(len(rows))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "embedding": list(model(batch[list(columns)]))})
+            found = []
+            for at in range(0, len(batch), batch_rows):
+                rows = batch[list(columns)].iloc[at : at + batch_rows]
+                found += [flat(v) for v in model(rows)] if size is None else [checked(v) for v in guarded(model, rows)]
+            yield pd.DataFrame({key: batch[key], "embedding": found})
 
     rows = spectra.select(key, *[c for c in columns if c != key]).mapInPandas(run, f"{key} long, embedding array<float>")
-    return rows.withColumn("embedding", unit(F.col("embedding")).cast("array<float>"))
+    return rows.withColumn("embedding", unit(F.col("embedding")).cast("array<float>")) if normalize else rows
+
+
+def msbert(spectra: DataFrame, key: str, load: Callable[[], Callable], size: int | None = None, **inputs) -> DataFrame:
+    """A model on padded tokens: columns token and intensity. Spectra that skip_invalid leaves out get zeros if the size is given."""
+    rows = external(padded_tokens(spectra, key, **inputs), key, load, ("token", "intensity"), size)
+    return rows if size is None else keep_all(rows, spectra, key, size)
+
+
+def specemb(spectra: DataFrame, key: str, load: Callable[[], Callable], size: int | None = None, run: bool = False, normalize: bool = True, **inputs) -> DataFrame:
+    """A model on padded peaks: columns mz, intensity and mask (true: padding). run: a run's peaks, without range and cleaning."""
+    rows = raw_masked_inputs(spectra, key, **inputs) if run else masked_inputs(spectra, key, **inputs)
+    return external(rows, key, load, ("mz", "intensity", "mask"), size, normalize=normalize)
+
+
+def ms2deepscore(spectra: DataFrame, key: str, load: Callable[[], Callable], size: int | None = None, mode: str = "ion_mode", metadata: tuple[str, ...] = ("ION_MODE", "adduct")) -> DataFrame:
+    """A model on records: columns peaks, precursor_mz, parent_mass, ionmode; the mode is a column's or inferred from the metadata there is."""
+    held = [F.col(c) for c in metadata if c in spectra.columns]
+    known = F.col(mode) if mode in spectra.columns else infer_ion_mode(*held) if held else F.lit("unknown")
+    rows = spectra.select(key, spectrum_record(F.col("peaks"), F.col("precursor_mz"), known).alias("r")).select(key, "r.*")
+    return external(rows, key, load, ("peaks", "precursor_mz", "parent_mass", "ionmode"), size)
 
 
-ENCODERS: dict[str, Callable[..., DataFrame]] = {"binned": binned, "neutral_loss_binned": neutral_loss_binned, "stored": stored}
+#: The models behind msbert, specemb and ms2deepscore are no part of this library: `load` brings them. dreams reads stored vectors.
+ENCODERS: dict[str, Callable[..., DataFrame]] = {
+    "binned": binned, "neutral_loss_binned": neutral_loss_binned, "stored": stored, "dreams": stored, "spec2vec": spec2vec, "msbert": msbert, "specemb": specemb, "ms2deepscore": ms2deepscore,
+}
 
 
 def register(name: str, encoder: Callable[..., DataFrame]) -> None:
-    """Adds an encoder (msbert, specemb, ms2deepscore, dreams, spec2vec: models that are not part of this library)."""
+    """Adds or replaces an encoder."""
     ENCODERS[name.lower()] = encoder
 
 

@@ -24,6 +24,16 @@ def accuracy(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n_eval"), F.avg(hit).alias("overall_accuracy"), *parts)
 
 
+def combined(tables: dict[str, DataFrame]) -> DataFrame:
+    """accuracy() of each method's predictions as one table, with `method` first."""
+    rows = [accuracy(df).select(F.lit(name).alias("method"), "*") for name, df in sorted(tables.items())]
+    if not rows:
+        raise ValueError("no method")
+    for more in rows[1:]:
+        rows[0] = rows[0].unionByName(more)
+    return rows[0]
+
+
 def long_accuracy(wide: DataFrame) -> DataFrame:
     """true_count, accuracy: for a bar chart."""
     return wide.select(F.col("accuracy_true_2").alias("2"), F.col("accuracy_true_3").alias("3")).unpivot([], ["2", "3"], "true_count", "accuracy")

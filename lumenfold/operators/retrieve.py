@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.vectors import all_finite
@@ -35,8 +36,11 @@ def _matrix(values) -> np.ndarray:
 
 
 def _best(q: np.ndarray, ids: np.ndarray, lib: np.ndarray, lib_ids: np.ndarray, k: int) -> pd.DataFrame:
+    return _best_of(np.round(q @ lib.T, 12), ids, lib_ids, k)
+
+
+def _best_of(s: np.ndarray, ids: np.ndarray, lib_ids: np.ndarray, k: int) -> pd.DataFrame:
     """lib_ids ascend, so a stable sort breaks ties by id."""
-    s = np.round(q @ lib.T, 12)
     k = min(k, len(lib_ids))
     if k < len(lib_ids):
         least = np.partition(s, len(lib_ids) - k, axis=1)[:, len(lib_ids) - k]
@@ -55,37 +59,57 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_index", "rank", "library_index", "similarity")
 
 
-def _same_size(q: DataFrame, lib: DataFrame) -> int:
-    """The dimension; raises unless all vectors have it."""
-    sizes = {r[0] for df in (q, lib) for r in df.select(F.size("embedding")).distinct().limit(3).collect()}
+def _shape(*sides: DataFrame) -> tuple[int, list[int]]:
+    """The dimension and the number of rows of each side, in one pass over them; raises unless all vectors have one size."""
+    size = F.size("embedding")
+    parts = [df.agg(F.lit(i).alias("side"), F.count("*").alias("n"), F.min(size).alias("a"), F.max(size).alias("b")) for i, df in enumerate(sides)]
+    for more in parts[1:]:
+        parts[0] = parts[0].unionByName(more)
+    rows = sorted(parts[0].collect())
+    sizes = {v for r in rows for v in (r.a, r.b) if v is not None}
     if len(sizes) > 1:
         raise ValueError(f"vectors have sizes {sorted(sizes)}")
-    return next(iter(sizes), 0)
+    return next(iter(sizes), 0), [r.n for r in rows]
+
+
+def share(library: DataFrame) -> Broadcast | None:
+    """The library's matrix and ids, broadcast for topk_shared(); None if the matrix exceeds LIMIT."""
+    lib = _usable(library, "library_index")
+    size, (n,) = _shape(lib)
+    return _share(lib) if n * size * 8 <= LIMIT else None
+
+
+def _share(lib: DataFrame) -> Broadcast:
+    held = lib.orderBy("library_index").toPandas()
+    return lib.sparkSession.sparkContext.broadcast((_matrix(held["embedding"]), held["library_index"].to_numpy()))
+
+
+def topk_shared(queries: DataFrame, shared: Broadcast, k: int = 100) -> DataFrame:
+    """topk_cosine() in a library that share() has broadcast; many calls can use one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lib, ids = shared.value
+        for b in batches:
+            for at in range(0, len(b) if len(ids) else 0, 256):
+                part = b.iloc[at : at + 256]
+                yield _best(_matrix(part["embedding"]), part["query_index"].to_numpy(), lib, ids, k)
+
+    return _ranked(_usable(queries, "query_index").mapInPandas(run, OUT), k)
 
 
 def topk_cosine(queries: DataFrame, library: DataFrame, k: int = 100, strategy: str = "auto", block: int = BLOCK) -> DataFrame:
     """queries: query_index, embedding; library: library_index, embedding. Gives query_index, rank, library_index, similarity."""
     q, lib = _usable(queries, "query_index"), _usable(library, "library_index")
-    size = _same_size(q, lib)
+    size, (n_queries, n_library) = _shape(q, lib)
     if strategy == "auto":
-        strategy = "block" if lib.count() * size * 8 <= LIMIT else "partitioned"
+        strategy = "block" if n_library * size * 8 <= LIMIT else "partitioned"
     if strategy == "block":
-        held = lib.orderBy("library_index").toPandas()
-        if len(held) * max(size, 1) * 8 > LIMIT:
+        if n_library * size * 8 > LIMIT:
             raise ValueError("the library is too large to broadcast; use partitioned")
-        shared = q.sparkSession.sparkContext.broadcast((_matrix(held["embedding"]), held["library_index"].to_numpy()))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            lib, ids = shared.value
-            for b in batches:
-                for at in range(0, len(b) if len(ids) else 0, 256):
-                    part = b.iloc[at : at + 256]
-                    yield _best(_matrix(part["embedding"]), part["query_index"].to_numpy(), lib, ids, k)
-
-        return _ranked(q.mapInPandas(run, OUT), k)
+        return topk_shared(q, _share(lib), k)
     if strategy != "partitioned":
         raise ValueError(f"unknown strategy {strategy}")
-    n, m = (max(1, -(-df.count() // block)) for df in (q, lib))
+    n, m = (max(1, -(-rows // block)) for rows in (n_queries, n_library))
     qb, lb = F.pmod(F.xxhash64("query_index"), F.lit(n)), F.pmod(F.xxhash64("library_index"), F.lit(m))
     a = q.withColumn("qb", qb).withColumn("lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     b = lib.withColumn("lb", lb).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
@@ -100,7 +124,55 @@ def topk_cosine(queries: DataFrame, library: DataFrame, k: int = 100, strategy:
     return _ranked(a.groupBy("qb", "lb").cogroup(b.groupBy("qb", "lb")).applyInPandas(part, OUT), k)
 
 
-def topk_sparse(queries: DataFrame, library: DataFrame, k: int = 100) -> DataFrame:
-    """Top-K over sparse rows (query_index | library_index, bin, value) by a join on bins; pairs without a common bin score 0 and are left out."""
-    pairs = queries.join(library.withColumnRenamed("value", "other"), "bin").groupBy("query_index", "library_index").agg(F.round(F.sum(F.col("value") * F.col("other")), 12).alias("similarity"))
-    return _ranked(pairs, k)
+def topk_sparse(queries: DataFrame, library: DataFrame, k: int = 100, all_queries: DataFrame | None = None, all_library: DataFrame | None = None, block: int = 2_000) -> DataFrame:
+    """Exact Top-K over sparse rows (query_index | library_index, bin, value); every query gets min(k, library) rows, those without a common bin score 0.
+
+    Both sides are dealt into blocks of about `block` vectors and a task multiplies one pair of blocks over the bins
+    they share, so that a bin which all vectors have costs no more than others. all_queries and all_library (the key
+    columns) bring back keys without any bin, as zero vectors.
+    """
+    q, lib = _lists(queries, "query_index", all_queries), _lists(library, "library_index", all_library)
+    counts = queries.agg(F.lit(0).alias("side"), F.approx_count_distinct("query_index").alias("n")).unionByName(library.agg(F.lit(1).alias("side"), F.approx_count_distinct("library_index").alias("n")))
+    n, m = (max(1, -(-r.n // block)) for r in sorted(counts.collect()))
+    qb, lb = F.pmod(F.xxhash64("query_index"), F.lit(n)), F.pmod(F.xxhash64("library_index"), F.lit(m))
+    a = q.withColumn("qb", qb).withColumn("lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    b = lib.withColumn("lb", lb).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+
+    def part(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"query_index": [], "library_index": [], "similarity": []})
+        y = y.sort_values("library_index")
+        return _best_of(np.round(_products(x, y), 12), x["query_index"].to_numpy(), y["library_index"].to_numpy(), k)
+
+    return _ranked(a.groupBy("qb", "lb").cogroup(b.groupBy("qb", "lb")).applyInPandas(part, OUT), k)
+
+
+def _lists(rows: DataFrame, key: str, keys: DataFrame | None) -> DataFrame:
+    """One row per key with its bins and their values."""
+    entry = F.struct(F.col("bin").cast("long").alias("bin"), F.col("value").cast("double").alias("value"))
+    listed = rows.groupBy(F.col(key).cast("long").alias(key)).agg(F.collect_list(entry).alias("e"))
+    if keys is not None:
+        listed = keys.select(F.col(key).cast("long").alias(key)).distinct().join(listed, key, "left")
+    each = lambda name, kind: F.coalesce(F.transform("e", lambda x: x[name]), F.array().cast(kind)).alias(name)
+    return listed.select(key, each("bin", "array<bigint>"), each("value", "array<double>"))
+
+
+def _products(x: pd.DataFrame, y: pd.DataFrame, chunk: int = 2_048) -> np.ndarray:
+    """All products of two blocks of sparse vectors; a chunk of their common bins is dense at a time."""
+    sides = []
+    for df in (x, y):
+        lengths = [len(v) for v in df["bin"]]
+        flat = (np.concatenate(df[c].to_list()) if sum(lengths) else np.zeros(0) for c in ("bin", "value"))
+        sides.append((np.repeat(np.arange(len(df)), lengths), *flat))
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    out = np.zeros((len(x), len(y)))
+    for at in range(0, len(common), chunk):
+        bins, dense = common[at : at + chunk], []
+        for n, (row, bin_, value) in zip((len(x), len(y)), sides, strict=True):
+            place = np.minimum(np.searchsorted(bins, bin_), len(bins) - 1)
+            hit = bins[place] == bin_
+            held = np.zeros((n, len(bins)))
+            np.add.at(held, (row[hit], place[hit]), value[hit])
+            dense.append(held)
+        out += dense[0] @ dense[1].T
+    return out

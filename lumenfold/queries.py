@@ -164,9 +164,123 @@ def mix_components(spark, d):
     return simulate.merge_peaks(rows, "id").select("id", F.round("mz", 5).alias("mz"), F.round("intensity", 5).alias("intensity"))
 
 
+STORED = "p AS (SELECT l_orderkey AS id, l_linenumber AS n, l_extendedprice / 100 AS mz, l_quantity AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice / 100, l_quantity) AS place FROM lineitem)"
+
+
+def stored_spectra(spark, d) -> DataFrame:
+    """Spectra whose peaks are stored by line number."""
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), (F.col("l_extendedprice") / 100).alias("mz"), F.col("l_quantity").alias("intensity"))
+    return line.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "mz", "intensity"))).alias("s")).select("id", F.transform("s", lambda p: F.struct(p.mz.alias("mz"), p.intensity.alias("intensity"))).alias("peaks"))
+
+
+@query(f"WITH {STORED} SELECT id, round(mz, 6) AS mz, round(x, 6) AS intensity FROM p WHERE (id % 4 = 0 OR place <= id % 4) AND x > 0 AND mz > 0")
+def first_valid_peaks(spark, d):
+    return out(stored_spectra(spark, d).withColumn("peaks", P.first_valid(F.col("peaks"), F.col("id") % 4)))
+
+
+@query(
+    f"""WITH {STORED}, f AS (SELECT * FROM p WHERE x > 0 AND mz BETWEEN 100 AND 900), a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY x DESC, mz) AS k, row_number() OVER (PARTITION BY id ORDER BY mz, x) AS low FROM f),
+s AS (SELECT id, mz, pow(x, 0.7) / max(pow(x, 0.7)) OVER (PARTITION BY id) AS v FROM a WHERE low <= 4), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, mz) AS slot FROM s)
+SELECT id, slot::BIGINT AS slot, round(mz, 6) AS mz, round(v, 6) AS intensity FROM r"""
+)
+def select_lowest_peaks(spark, d):
+    kept = P.select_peaks(F.col("peaks"), 100.0, 900.0, 4, "mz", "max", 0.7, "intensity")
+    return stored_spectra(spark, d).select("id", F.posexplode(kept).alias("i", "p")).select("id", (F.col("i") + 1).cast("long").alias("slot"), F.round("p.mz", 6).alias("mz"), F.round("p.intensity", 6).alias("intensity"))
+
+
+@query(
+    f"""WITH {STORED}, c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY x DESC, mz) AS k FROM p WHERE x > 0 AND mz > 0), e AS (SELECT id, mz, sqrt(x / max(x) OVER (PARTITION BY id)) AS x FROM c WHERE k <= 200),
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY x DESC, mz) AS k FROM e WHERE mz BETWEEN 500 AND 1200), g AS (SELECT id, mz, x / max(x) OVER (PARTITION BY id) AS x, row_number() OVER (PARTITION BY id ORDER BY mz, x) AS slot FROM f WHERE k <= 3),
+i AS (SELECT DISTINCT id FROM p), s AS (SELECT id, unnest([1, 2, 3]) AS slot FROM i)
+SELECT s.id, s.slot::BIGINT AS slot, round(coalesce(mz, 0), 4) AS mz, round(coalesce(x, 0), 6) AS intensity, mz IS NULL AND NOT (s.slot = 1 AND n IS NULL) AS mask
+FROM s LEFT JOIN g ON g.id = s.id AND g.slot = s.slot LEFT JOIN (SELECT id, count(*) AS n FROM g GROUP BY id) h ON h.id = s.id"""
+)
+def masked_inputs(spark, d):
+    rows = P.masked_inputs(stored_spectra(spark, d), "id", 3, low=500.0).select("id", F.posexplode(F.arrays_zip("mz", "intensity", "mask")).alias("i", "p"))
+    return rows.select("id", (F.col("i") + 1).cast("long").alias("slot"), F.round("p.mz", 4).alias("mz"), F.round("p.intensity", 6).alias("intensity"), "p.mask")
+
+
+@query(
+    f"""WITH {STORED}, r AS (SELECT id, round_even(mz, 0)::BIGINT AS token, x FROM p WHERE x > 0 AND mz BETWEEN 50 AND 1000), n AS (SELECT id FROM r GROUP BY id HAVING count(*) >= 2),
+a AS (SELECT id, token, x / max(x) OVER (PARTITION BY id) AS v FROM r WHERE token BETWEEN 2 AND 1001), c AS (SELECT id, token, max(v) AS v FROM a GROUP BY ALL),
+e AS (SELECT id, token, v / max(v) OVER (PARTITION BY id) AS v FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY token) AS slot FROM e),
+f AS (SELECT id, token, v, slot FROM k WHERE slot <= 3), i AS (SELECT DISTINCT id FROM f JOIN n USING (id)), s AS (SELECT id, unnest([1, 2, 3, 4]) AS slot FROM i)
+SELECT s.id, s.slot::BIGINT AS slot, coalesce(token, 0)::BIGINT AS token, round(coalesce(v, 0), 6) AS intensity FROM s LEFT JOIN f ON f.id = s.id AND f.slot = s.slot"""
+)
+def padded_tokens(spark, d):
+    rows = P.padded_tokens(stored_spectra(spark, d), "id", 4, min_peaks=2, skip_invalid=True, top=3, by="mz").select("id", F.posexplode(F.arrays_zip("token", "intensity")).alias("i", "p"))
+    return rows.select("id", (F.col("i") + 1).cast("long").alias("slot"), "p.token", F.round("p.intensity", 6).alias("intensity"))
+
+
+@query(f"WITH {STORED} SELECT id, n, round(mz, 6) AS mz, floor((mz - 50) / 0.5)::BIGINT AS floored, ceil((mz - 50) / 0.5)::BIGINT AS ceiled, round_even((mz - 50) / 0.5, 0)::BIGINT + 7 AS shifted FROM p")
+def token_rounding(spark, d):
+    line, mz = table(spark, d, "lineitem"), F.col("l_extendedprice") / 100
+    named = {"floored": P.token_ids(mz, 50.0, 0.5, "floor"), "ceiled": P.token_ids(mz, 50.0, 0.5, "ceil"), "shifted": P.token_ids(mz, 50.0, 0.5, "round", 7)}
+    return line.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.round(mz, 6).alias("mz"), *[c.alias(k) for k, c in named.items()])
+
+
+@query(
+    f"""WITH {STORED}, t AS (SELECT o_orderkey AS id, o_totalprice / 500 AS precursor, CASE WHEN o_orderkey % 3 = 0 THEN 'negative' ELSE 'positive' END AS mode FROM orders)
+SELECT p.id, count(*)::BIGINT AS n, round(min(mz), 6) AS first_mz, round(max(mz), 6) AS last_mz, round(sum(x), 6) AS total, round(precursor, 6) AS precursor_mz, round(precursor, 6) AS parent_mass, mode AS ionmode FROM p JOIN t ON t.id = p.id WHERE x > 0 GROUP BY ALL"""
+)
+def spectrum_records(spark, d):
+    rows = with_precursor(spark, d).select("id", P.spectrum_record(F.col("peaks"), F.col("precursor_mz"), F.when(F.col("id") % 3 == 0, "negative").otherwise("positive")).alias("r"))
+    p = F.col("r.peaks")
+    return rows.select("id", F.size(p).cast("long").alias("n"), F.round(p[0].mz, 6).alias("first_mz"), F.round(F.element_at(p, -1).mz, 6).alias("last_mz"), F.round(P.total(p), 6).alias("total"),
+                       F.round("r.precursor_mz", 6).alias("precursor_mz"), F.round("r.parent_mass", 6).alias("parent_mass"), "r.ionmode")
+
+
+@query(f"WITH {PEAKS} SELECT id, round(mz, 6) AS mz, round(x, 6) AS intensity, id % 3 AS form FROM p")
+def coerced_peaks(spark, d):
+    """Peak lists in three stored forms under three of the names that are tried."""
+    s, parts = spectra(spark, d), []
+    forms = (
+        ("spectrum", F.array(F.transform("peaks", lambda p: p.mz), F.transform("peaks", lambda p: p.intensity))),
+        ("Peak_Array", F.transform("peaks", lambda p: F.struct(p.mz.alias("a"), p.intensity.alias("b")))),
+        ("mzs", F.transform("peaks", lambda p: p.mz)),
+    )
+    for i, (name, made) in enumerate(forms):
+        mine = s.where(F.col("id") % 3 == i).select("id", made.alias(name), F.transform("peaks", lambda p: p.intensity).alias("intensities"))
+        parts.append(readers.with_peaks(mine).select("id", "peaks", (F.col("id") % 3).alias("form")))
+    return out(parts[0].unionByName(parts[1]).unionByName(parts[2]), "peaks", "form")
+
+
 # metadata
 
 
+@query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'negative' WHEN o_orderkey % 4 = 1 THEN 'positive' ELSE 'negative' END AS mode, CASE WHEN o_orderkey % 4 = 0 THEN 'negative' ELSE 'positive' END AS plain_mode,
+CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority ELSE o_orderstatus END AS found, CASE WHEN o_totalprice / 500000 >= 0.7 THEN 'High' WHEN o_totalprice / 500000 >= 0.4 THEN 'Medium' ELSE 'Low' END AS level, o_orderpriority || 'é' AS decoded FROM orders"""
+)
+def metadata_fallbacks(spark, d):
+    k = F.col("o_orderkey")
+    raw = F.when(k % 4 == 0, "neg").when(k % 4 == 1, "ESI+")
+    blank = F.when(k % 5 == 0, F.when(k % 2 == 0, " nan ").otherwise("")).otherwise(F.col("o_orderstatus"))
+    bad = F.concat(F.encode("o_orderpriority", "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.lit("é"), "UTF-8"))
+    return table(spark, d, "orders").select(
+        k.alias("id"), M.ion_mode(raw, M.run_ion_mode("negative")).alias("mode"), M.ion_mode(raw).alias("plain_mode"), M.first_of(blank, F.col("o_orderpriority")).alias("found"),
+        M.confidence_level(F.col("o_totalprice") / 500000).alias("level"), M.decoded(bad).alias("decoded"),
+    )
+
+
+@query(
+    """WITH n AS (SELECT l_orderkey AS scan_index, count(*) AS n, (1 + l_orderkey % 3) AS level FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY scan_index) AS k FROM n WHERE level = 2 AND n >= 3)
+SELECT scan_index, n::BIGINT AS n_peaks FROM r WHERE k <= 500"""
+)
+def run_filter(spark, d):
+    rows = spectra(spark, d).select(F.col("id").alias("scan_index"), "peaks", (1 + F.col("id") % 3).cast("int").alias("ms_level"))
+    return filters.run_spectra(rows, 2, 3, 500).select("scan_index", F.size("peaks").cast("long").alias("n_peaks"))
+
+
+@query(
+    """SELECT l_orderkey AS query_index, l_linenumber - 2 AS library_index, l_shipmode AS method, l_discount AS backbone_confidence FROM lineitem_modes WHERE l_linenumber >= 2 AND l_discount >= 0.05 AND l_shipmode IN ('A', 'N') AND l_orderkey < 900"""
+    .replace("lineitem_modes", "(SELECT *, l_returnflag AS l_shipmode FROM lineitem)")
+)
+def result_filters(spark, d):
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_index"), (F.col("l_linenumber") - 2).alias("library_index"), F.col("l_returnflag").alias("method"), F.col("l_discount").alias("backbone_confidence"))
+    return filters.confident(filters.methods(filters.first_queries(filters.real_neighbors(line), 900), ("A", "N")), 0.05)
+
+
 @query(
     """WITH t AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN '[M+H]+' WHEN 1 THEN '[M-H]-' WHEN 2 THEN '[M-H2O+H]+' WHEN 3 THEN 'Positive' WHEN 4 THEN '-1' ELSE ' None ' END AS a, o_orderpriority AS s FROM orders)
 SELECT id, CASE o WHEN 1 THEN 'negative' WHEN 0 THEN 'positive' WHEN 2 THEN 'positive' WHEN 3 THEN 'positive' WHEN 4 THEN 'unknown' ELSE 'unknown' END AS mode,
@@ -254,6 +368,24 @@ def word_vectors(spark, d):
     return rows.select("id", F.size("embedding").cast("long").alias("size"), F.round(moment, 5).alias("moment"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
 
 
+@query(
+    """WITH w AS (SELECT l_suppkey AS id, l_partkey % 500 AS word FROM lineitem), v AS (SELECT vec_id AS word FROM embeddings WHERE vec_id % 50 = 0), k AS (SELECT DISTINCT id FROM w JOIN v USING (word) WHERE id % 3 <> 0)
+SELECT s_suppkey AS id, 64::BIGINT AS size, (k.id IS NULL) AS is_zero FROM supplier LEFT JOIN k ON k.id = s_suppkey"""
+)
+def vectors_of_all(spark, d):
+    docs = table(spark, d, "lineitem").where("l_suppkey % 3 <> 0").select(F.col("l_suppkey").alias("id"), (F.col("l_partkey") % 500).alias("word"), F.col("l_quantity").alias("weight"))
+    known = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("word"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = encode.keep_all(encode.word_vectors(docs, known, "id"), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id", 64)
+    return rows.select("id", F.size("embedding").cast("long").alias("size"), F.forall("embedding", lambda x: x == 0).alias("is_zero"))
+
+
+@query("SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / 3)::FLOAT::DOUBLE)), 5) AS total FROM embeddings")
+def cast_vectors(spark, d):
+    wide = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") / 3).alias("embedding"))
+    rows = V.require_usable(wide).select("id", V.cast(F.col("embedding")).alias("embedding"))
+    return rows.select("id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
+
+
 NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 
 
@@ -295,13 +427,16 @@ def topk_partitioned(spark, d):
     """WITH p AS (SELECT l_suppkey AS id, l_extendedprice / 100 AS mz, l_quantity AS x FROM lineitem),
 b AS (SELECT id, floor((mz - 50) / 1.0)::BIGINT AS bin, sum(x) AS v FROM p WHERE floor((mz - 50) / 1.0) BETWEEN 0 AND 1149 GROUP BY ALL),
 u AS (SELECT id, bin, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM b),
-s AS (SELECT a.id AS query_index, c.id AS library_index, round(sum(a.v * c.v), 12) AS s FROM u a JOIN u c USING (bin) GROUP BY ALL),
+i AS (SELECT DISTINCT id FROM p), f AS (SELECT a.id AS query_index, c.id AS library_index, sum(a.v * c.v) AS s FROM u a JOIN u c USING (bin) GROUP BY ALL),
+s AS (SELECT q.id AS query_index, l.id AS library_index, round(coalesce(f.s, 0), 12) AS s FROM i q CROSS JOIN i l LEFT JOIN f ON f.query_index = q.id AND f.library_index = l.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_index ORDER BY s DESC, library_index)::BIGINT AS rank FROM s)
 SELECT query_index, rank, library_index, round(s, 6) AS similarity FROM k WHERE rank <= 5"""
 )
 def topk_sparse(spark, d):
-    rows = encode.run_binned(spectra(spark, d, "l_suppkey"), "id")
-    return retrieve.topk_sparse(rows.withColumnRenamed("id", "query_index"), rows.withColumnRenamed("id", "library_index"), 5).withColumn("similarity", F.round("similarity", 6))
+    held = spectra(spark, d, "l_suppkey")
+    rows = encode.run_binned(held, "id")
+    q, lib = (held.select(F.col("id").alias(c)) for c in ("query_index", "library_index"))
+    return retrieve.topk_sparse(rows.withColumnRenamed("id", "query_index"), rows.withColumnRenamed("id", "library_index"), 5, q, lib).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
@@ -321,6 +456,27 @@ def simulated_mixtures(spark, d):
     return simulate.simulate(rows, 100_000, 100_000)
 
 
+@query(
+    """SELECT 'AB' AS chimera_type, 100000::BIGINT AS n, 100000::BIGINT AS n_ids, 2::BIGINT AS components, 0::BIGINT AS bad_weights, 0::BIGINT AS bad_windows, 0::BIGINT AS bad_names, 0::BIGINT AS repeated, 0::BIGINT AS bad_sources
+UNION ALL SELECT 'ABC', 100000, 100000, 3, 0, 0, 0, 0, 0"""
+)
+def mixture_invariants(spark, d):
+    """Per type: numbers of mixtures, and of those that break a rule on weights, windows, names, distinct sources or true precursors."""
+    m = simulated_mixtures(spark, d)
+    n, width = F.size("source_index"), F.col("dia_window_upper") - F.col("dia_window_lower")
+    rules = {
+        "bad_weights": F.forall("mixing_weights", lambda w: w >= 0.05) & (F.abs(F.aggregate("mixing_weights", F.lit(0.0), lambda a, w: a + w) - 1) < 1e-9) & (F.size("mixing_weights") == n),
+        "bad_windows": F.forall("precursor_mz_list", lambda p: (p >= F.col("dia_window_lower")) & (p < F.col("dia_window_upper"))) & (width == 20) & (F.col("precursor_mz") == F.col("precursor_mz_list")[0]),
+        "bad_names": F.col("chimera_id") == F.concat(F.lit("chimera_"), "chimera_type", F.lit("_"), F.lpad(F.col("query_index").cast("string"), 6, "0")),
+        "repeated": (F.size(F.array_distinct("source_index")) == n) & (n == F.col("component_count")),
+    }
+    broken = m.select("query_index", "chimera_type", "component_count", *[F.when(ok, 0).otherwise(1).alias(k) for k, ok in rules.items()], F.arrays_zip("source_index", "precursor_mz_list").alias("s"))
+    true = table(spark, d, "orders").select(F.col("o_orderkey").alias("i"), (F.col("o_totalprice") / 500).alias("p"))
+    each = broken.select("*", F.explode("s").alias("x")).join(true, F.col("x.source_index") == F.col("i"), "left").withColumn("off", F.when(F.col("x.precursor_mz_list") == F.col("p"), 0).otherwise(1))
+    one = each.groupBy("query_index", "chimera_type").agg(F.max("component_count").alias("components"), *[F.max(k).alias(k) for k in rules], F.max("off").alias("bad_sources"))
+    return one.groupBy("chimera_type").agg(F.count("*").alias("n"), F.count_distinct("query_index").alias("n_ids"), F.max("components").alias("components"), *[F.sum(k).alias(k) for k in (*rules, "bad_sources")])
+
+
 def neighbors(spark, d) -> DataFrame:
     lib = vectors(spark, d, "library_index").withColumn("precursor_mz", 100 + 50 * F.col("label") + 0.01 * (F.col("library_index") % 7))
     topk = retrieve.topk_cosine(vectors(spark, d, "query_index"), lib, 100)
@@ -332,6 +488,71 @@ def decomposed_neighbors(spark, d):
     return neighbors(spark, d)
 
 
+@query(
+    """SELECT vec_id AS query_index, least(100, count(*) OVER ())::BIGINT AS original_knn_k, true AS k_ok, true AS ranks_ok, true AS order_ok, true AS clusters_ok, true AS itself_first FROM embeddings"""
+)
+def neighbor_invariants(spark, d):
+    """Per query: kept candidates are as many as adaptive_k says, in [12, 100], ranked without gaps by similarity, in as many clusters as groups."""
+    n, k = F.count("*"), F.max("adaptive_k")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "similarity"))), lambda x: x.similarity)
+    falling = F.forall(F.zip_with(F.slice(ordered, 1, F.size(ordered) - 1), F.slice(ordered, 2, F.size(ordered)), lambda a, b: a >= b), lambda x: x)
+    groups = F.max("estimated_n_precursor_groups")
+    return neighbors(spark, d).groupBy("query_index").agg(
+        F.max("original_knn_k").alias("original_knn_k"), ((n == k) & k.between(12, 100) & (F.min("adaptive_k") == k)).alias("k_ok"), ((F.count_distinct("rank") == n) & (F.min("rank") == 1) & (F.max("rank") == n)).alias("ranks_ok"),
+        falling.alias("order_ok"), ((F.count_distinct("cluster") == groups) & (F.min("cluster") == 0) & (F.max("cluster") == groups - 1)).alias("clusters_ok"),
+        (F.max(F.when(F.col("query_index") == F.col("library_index"), F.col("similarity"))) >= 1 - 1e-6).alias("itself_first"),
+    )
+
+
+#: Neighbour rows made of order lines: the kept K is their number, the estimated groups the distinct return flags.
+MADE = "n AS (SELECT l_orderkey AS query_index, 'm' || (l_orderkey % 3) AS method, count(*)::BIGINT AS k, count(DISTINCT l_returnflag)::BIGINT AS g FROM lineitem GROUP BY ALL)"
+
+
+def made_neighbors(spark, d) -> DataFrame:
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_index"), F.concat(F.lit("m"), (F.col("l_orderkey") % 3).cast("string")).alias("method"), (F.col("l_linenumber") % 2).cast("long").alias("cluster"), "l_returnflag")
+    one = line.groupBy("query_index").agg(F.count("*").alias("adaptive_k"), F.count_distinct("l_returnflag").alias("estimated_n_precursor_groups")).withColumn("selected_segments", F.lit(2).cast("long"))
+    return line.drop("l_returnflag").join(one, "query_index")
+
+
+@query(f"WITH {MADE} SELECT method, count(*)::BIGINT AS n_queries, min(k) AS min_k, round(avg(k), 6) AS mean_k, median(k)::DOUBLE AS median_k, max(k) AS max_k FROM n GROUP BY method")
+def kept_k_summary(spark, d):
+    return decompose.summarize_k(made_neighbors(spark, d)).withColumn("mean_k", F.round("mean_k", 6))
+
+
+@query(
+    f"""WITH {MADE} SELECT query_index, g AS predicted_component_count, k AS adaptive_k, 2::BIGINT AS adaptive_selected_segments, CASE WHEN o_orderkey < 1200 THEN 2 + o_custkey % 2 END::BIGINT AS true_component_count
+FROM n LEFT JOIN orders ON o_orderkey = query_index"""
+)
+def prediction_table(spark, d):
+    truth = readers.true_counts(table(spark, d, "orders").select(F.col("o_orderkey").alias("query_index"), (2 + F.col("o_custkey") % 2).alias("component_count")), 1200)
+    return evaluate.predictions(made_neighbors(spark, d), truth)
+
+
+@query(
+    f"""WITH {MADE}, r AS (SELECT method, g AS p, 2 + o_custkey % 2 AS t FROM n JOIN orders ON o_orderkey = query_index)
+SELECT method, count(*)::BIGINT AS n_eval, round(avg((t = p)::INT), 6) AS overall_accuracy, round(avg((t = p)::INT) FILTER (t = 2), 6) AS accuracy_true_2, count(*) FILTER (t = 2 AND p = 2)::BIGINT AS correct_true_2, count(*) FILTER (t = 2)::BIGINT AS total_true_2,
+round(avg((t = p)::INT) FILTER (t = 3), 6) AS accuracy_true_3, count(*) FILTER (t = 3 AND p = 3)::BIGINT AS correct_true_3, count(*) FILTER (t = 3)::BIGINT AS total_true_3 FROM r GROUP BY method"""
+)
+def combined_accuracy(spark, d):
+    truth, rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_index"), (2 + F.col("o_custkey") % 2).alias("component_count")), made_neighbors(spark, d)
+    all_ = evaluate.combined({m: evaluate.predictions(rows.where(F.col("method") == m), truth) for m in ("m0", "m1", "m2")})
+    return all_.select(*[F.round(c, 6).alias(c) if "accuracy" in c else c for c in all_.columns])
+
+
+@query(f"WITH {MADE} SELECT DISTINCT method, query_index, NULL::BIGINT AS cluster, '' AS smarts, 0::BIGINT AS n_molecules, 0::BIGINT AS mcs_num_atoms, 0.0::DOUBLE AS confidence, false AS mcs_canceled FROM n")
+def placeholder_evidence(spark, d):
+    return score.no_evidence(made_neighbors(spark, d)).select("method", "query_index", "cluster", "smarts", "n_molecules", "mcs_num_atoms", "confidence", "mcs_canceled")
+
+
+@query("SELECT 'm' AS method, l_suppkey AS query_index, (l_linenumber % 2)::BIGINT AS cluster, count(*)::BIGINT AS n_molecules, max(l_returnflag) AS scaffold_smiles FROM lineitem GROUP BY ALL")
+def provided_evidence(spark, d):
+    def provider(g):
+        return g.iloc[:1][["method", "query_index", "cluster"]].assign(n_molecules=len(g), scaffold_smiles=g["l_returnflag"].max())
+
+    line = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query_index"), F.lit("m").alias("method"), (F.col("l_linenumber") % 2).cast("long").alias("cluster"), "l_returnflag")
+    return score.evidence_from(line, provider, "method string, query_index long, cluster long, n_molecules long, scaffold_smiles string")
+
+
 @query()
 def component_predictions(spark, d):
     truth = vectors(spark, d, "query_index").select("query_index", F.lit(2).cast("long").alias("component_count"))

@@ -4,28 +4,80 @@ from __future__ import annotations
 
 import base64
 import io
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..functions.metadata import method_name
-from ..functions.peaks import from_arrays
+from ..functions.peaks import from_arrays, peak
 from ..schemas import SPECTRA
 
 
-def read_library(spark: SparkSession, path: str, mz: str = "mz", intensity: str = "intensity") -> DataFrame:
-    """Parquet spectra; peaks from one column `peaks` or from two arrays. Refuses a table without peaks or precursor."""
+#: Names of columns with peak lists, m/z and intensities, in the order in which they are tried.
+PEAK_COLUMNS = ("peaks", "spectrum", "peak_array", "mz_intensity_array", "mz_intensity")
+MZ_COLUMNS = ("mz", "mzs", "mz_array", "mz_values", "peak_mz")
+INTENSITY_COLUMNS = ("intensity", "intensities", "intensity_array", "intensity_values", "peak_intensity")
+
+
+def coerced(column: Column, kind: DataType) -> Column:
+    """A stored peak list as array<struct<mz,intensity>>: structs (by name, else their first two fields), two rows of m/z and intensities, or pairs.
+
+    A list of exactly two arrays counts as two rows.
+    """
+    inner = kind.elementType if isinstance(kind, ArrayType) else None
+    if isinstance(inner, StructType) and len(inner.names) > 1:
+        a, b = ("mz", "intensity") if {"mz", "intensity"} <= set(inner.names) else inner.names[:2]
+        return F.transform(column, lambda p: peak(p[a], p[b]))
+    if isinstance(inner, ArrayType):
+        rows = from_arrays(F.get(column, 0), F.get(column, 1))
+        return F.when(F.size(column) == 2, rows).otherwise(F.transform(column, lambda p: peak(F.get(p, 0), F.get(p, 1))))
+    raise ValueError(f"{kind.simpleString()} is no peak list")
+
+
+def with_peaks(df: DataFrame, names: tuple[str, ...] = PEAK_COLUMNS, mz: tuple[str, ...] = MZ_COLUMNS, intensity: tuple[str, ...] = INTENSITY_COLUMNS) -> DataFrame:
+    """Adds `peaks` from the first peak list among the names, else from the first pair of arrays; what it was made of goes."""
+    held = {f.name.lower(): f for f in reversed(df.schema.fields)}  # names count without regard to case
+    first = lambda among: next((held[n.lower()] for n in among if n.lower() in held), None)
+    one, a, b = first(names), first(mz), first(intensity)
+    if one is not None:
+        made, gone = coerced(df[f"`{one.name}`"], one.dataType), [one.name]
+    elif a is not None and b is not None:
+        made, gone = from_arrays(df[f"`{a.name}`"], df[f"`{b.name}`"]), [a.name, b.name]
+    else:
+        raise ValueError("the table has neither peaks nor m/z and intensity arrays")
+    return df.select(*[df[f"`{c}`"] for c in df.columns if c not in gone], made.alias("peaks"))
+
+
+def read_library(spark: SparkSession, path: str, **names: tuple[str, ...]) -> DataFrame:
+    """Parquet spectra with `peaks` (with_peaks() takes the names). Refuses a table without peaks or precursor."""
     df = spark.read.parquet(path)
     if "precursor_mz" not in df.columns:
         raise ValueError("the table has no precursor_mz")
-    if "peaks" not in df.columns:
-        if not {mz, intensity} <= set(df.columns):
-            raise ValueError("the table has neither peaks nor m/z and intensity arrays")
-        df = df.withColumn("peaks", from_arrays(F.col(mz), F.col(intensity))).drop(mz, intensity)
-    return df
+    return with_peaks(df, **names)
+
+
+def resolve(spark: SparkSession, source) -> DataFrame:
+    """Spectra of a table, of a path or of an object with a `path`: mzML and HDF5 by their endings, else Parquet."""
+    if isinstance(source, DataFrame):
+        return source
+    path = source if isinstance(source, (str, os.PathLike)) else getattr(source, "path", None)
+    if path is None:
+        raise TypeError(f"{type(source).__name__} is neither a table nor a path nor has a path")
+    path = os.fspath(path)
+    end = path.lower().rpartition(".")[2]
+    return read_mzml(spark, path) if end == "mzml" else read_h5(spark, path) if end in ("h5", "hdf5") else read_library(spark, path)
+
+
+def load_library(spark: SparkSession, settings: dict) -> tuple[DataFrame, str | None]:
+    """The library the settings name, and its column of stored vectors; None where there is none or it holds no vectors."""
+    df = resolve(spark, library_path(settings))
+    vectors = (f.name for f in df.schema.fields if f.name.lower() == "dreams_embedding" and isinstance(f.dataType, ArrayType) and not isinstance(f.dataType.elementType, (ArrayType, StructType)))
+    return df, next(vectors, None)
 
 
 def library_path(settings: dict) -> str:
@@ -50,18 +102,32 @@ def read_h5(spark: SparkSession, path: str) -> DataFrame:
         sizes = {k: v.shape[0] for k, v in f.items() if hasattr(v, "shape") and v.shape}
         if len(set(sizes.values())) != 1 or len(sizes) != len(f):
             raise ValueError("datasets differ in their first dimension, or there are groups")
-        n, names = next(iter(sizes.values())), [k for k in f if k != "spectrum"]
+        n, kinds = next(iter(sizes.values())), {k: column_type(f[k].dtype, f[k].ndim) for k in f if k != "spectrum"}
+        if f["spectrum"].ndim != 3 or f["spectrum"].shape[1] != 2:
+            raise ValueError("the spectrum dataset holds no rows of m/z and intensities")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with h5py.File(path) as f:
             for b in batches:
                 lo, hi = int(b["id"].min()), int(b["id"].max()) + 1
-                text = lambda v: v.decode("utf-8", "ignore") if isinstance(v, bytes) else str(v)
                 out = {"library_index": b["id"], "peaks": [[{"mz": float(m), "intensity": float(i)} for m, i in zip(*s, strict=True) if i > 0] for s in f["spectrum"][lo:hi]]}
-                yield pd.DataFrame(out | {k: [text(v) for v in f[k][lo:hi]] for k in names if f[k].ndim == 1})
+                yield pd.DataFrame(out | {k: column_values(f[k][lo:hi]) for k in kinds})
+
+    return spark.range(n).mapInPandas(run, "library_index long, peaks array<struct<mz:double,intensity:double>>" + "".join(f", `{k}` {t}" for k, t in kinds.items()))
+
 
-    flat = [k for k in names]
-    return spark.range(n).mapInPandas(run, "library_index long, peaks array<struct<mz:double,intensity:double>>, " + ", ".join(f"`{k}` string" for k in flat))
+def column_type(dtype: np.dtype, dimensions: int) -> str:
+    """The Spark type of a dataset's column: whole numbers, floats, truth values, else text; in arrays for each further dimension."""
+    one = {"i": "bigint", "u": "bigint", "b": "boolean", "f": "float" if dtype.itemsize <= 4 else "double"}.get(dtype.kind, "string")
+    for _ in range(dimensions - 1):
+        one = f"array<{one}>"
+    return one
+
+
+def column_values(rows: np.ndarray) -> list:
+    """A slice of a dataset as Python values; bytes are read as UTF-8 without what is none."""
+    text = lambda v: [text(x) for x in v] if isinstance(v, list) else v.decode("utf-8", "ignore") if isinstance(v, bytes) else str(v)
+    return rows.tolist() if rows.dtype.kind in "iubf" else [text(v) for v in rows.tolist()]
 
 
 def read_embeddings(spark: SparkSession, path: str, key: str = "query_index") -> DataFrame:
@@ -125,20 +191,35 @@ def parse_mzml(raw: bytes) -> Iterator[dict]:
     #: Accessions of the controlled vocabulary.
     level, selected, isolation, negative, positive = "MS:1000511", "MS:1000744", "MS:1000827", "MS:1000129", "MS:1000130"
     mz_array, intensity_array, double, zipped = "MS:1000514", "MS:1000515", "MS:1000523", "MS:1000574"
+    groups: dict[str, list[tuple]] = {}
+
+    def params(node) -> list[tuple]:
+        """Terms below a node in order, those of groups it refers to in their places."""
+        found = []
+        for p in node.iter():
+            name = p.tag.rpartition("}")[2]
+            if name == "cvParam":
+                found.append((p.get("accession"), p.get("value")))
+            elif name == "referenceableParamGroupRef":
+                found += groups.get(p.get("ref"), [])
+        return found
+
     for _, node in ET.iterparse(io.BytesIO(raw)):
+        if node.tag.rpartition("}")[2] == "referenceableParamGroup":
+            groups[node.get("id")] = params(node)
         if node.tag.rpartition("}")[2] != "spectrum":
             continue
-        terms = {p.get("accession"): p.get("value") for p in node.iter() if p.tag.endswith("cvParam")}
+        ions = params(node)
+        terms = dict(ions)
         arrays = {}
         for part in node.iter():
             if part.tag.endswith("binaryDataArray"):
-                own = {p.get("accession") for p in part.iter() if p.tag.endswith("cvParam")}
+                own = {name for name, _ in params(part)}
                 data = base64.b64decode(next((p.text or "" for p in part.iter() if p.tag.rpartition("}")[2] == "binary"), ""))
                 data = zlib.decompress(data) if zipped in own and data else data
                 for name in (mz_array, intensity_array):
                     if name in own:
                         arrays[name] = np.frombuffer(data, "<f8" if double in own else "<f4").astype(float)
-        ions = [(p.get("accession"), p.get("value")) for p in node.iter() if p.tag.endswith("cvParam")]
         # of several precursors the first
         precursor = next((float(v) for a in (selected, isolation) for name, v in ions if name == a and v), float("nan"))
         mode = "negative" if negative in terms else "positive" if positive in terms else None

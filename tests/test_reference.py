@@ -273,3 +273,126 @@ def test_path_keys_first_precursor_and_changed_files(spark, tmp_path):
     assert cache.snapshot(spark, str(tmp_path)) != old
     df = spark.createDataFrame([(1, [3.0, 4.0])], "id long, DREAMS_EMBEDDING array<double>")
     assert [round(x, 6) for x in encode.stored(df, "id").first().embedding] == [0.6, 0.8]
+
+
+def test_peak_columns_in_any_form(spark, tmp_path):
+    rows = [(1, [[5.0, 7.0, 0.0], [1.0, 2.0, 0.0]], 300.0), (2, None, 310.0)]
+    df = spark.createDataFrame(rows, "id long, Spectrum array<array<double>>, precursor_mz double")
+    got = {r.id: r.peaks for r in readers.with_peaks(df).collect()}
+    assert [tuple(p) for p in got[1]] == [(5.0, 1.0), (7.0, 2.0), (0.0, 0.0)] and got[2] is None
+    pairs = spark.createDataFrame([(1, [[5.0, 1.0], [6.0, 2.0], [7.0, 3.0]])], "id long, mz_intensity array<array<double>>")
+    assert [tuple(p) for p in readers.with_peaks(pairs).first().peaks] == [(5.0, 1.0), (6.0, 2.0), (7.0, 3.0)]
+    for bad in (spark.range(1), spark.range(1).withColumn("peaks", F.array(F.lit(1.0)))):
+        with pytest.raises(ValueError):
+            readers.with_peaks(bad)
+    df.withColumn("DreaMS_embedding", F.array(F.lit(1.0))).write.parquet(f"{tmp_path}/lib")
+    lib, column = readers.load_library(spark, {"mona": {"source_path": f"{tmp_path}/lib"}})
+    assert column == "DreaMS_embedding" and lib.count() == 2 and readers.resolve(spark, df) is df
+    assert readers.resolve(spark, type("Table", (), {"path": f"{tmp_path}/lib"})()).count() == readers.resolve(spark, tmp_path / "lib").count() == 2
+    with pytest.raises(TypeError):
+        readers.resolve(spark, 3)
+
+
+def test_dataset_columns_keep_types_and_dimensions():
+    kinds = [(np.zeros(2, "i8"), "bigint"), (np.zeros((2, 3), "f4"), "array<float>"), (np.zeros(2), "double"), (np.array([b"a\xff", b"b"]), "string"), (np.array([["x", "y"]], object), "array<string>")]
+    assert [readers.column_type(v.dtype, v.ndim) for v, _ in kinds] == [k for _, k in kinds]
+    assert readers.column_values(kinds[3][0]) == ["a", "b"] and readers.column_values(kinds[4][0]) == [["x", "y"]] and readers.column_values(kinds[1][0]) == [[0.0] * 3] * 2
+
+
+def test_parameter_groups_of_runs():
+    param = lambda a, v="": f'<cvParam accession="{a}" value="{v}"/>'
+    group = f'<referenceableParamGroupList><referenceableParamGroup id="g">{param("MS:1000511", 2)}{param("MS:1000129")}</referenceableParamGroup></referenceableParamGroupList>'
+    (scan,) = readers.parse_mzml(f'<mzML>{group}<run><spectrum index="4" id="s"><referenceableParamGroupRef ref="g"/></spectrum></run></mzML>'.encode())
+    assert (scan["scan_index"], scan["ms_level"], scan["ionmode"], scan["peaks"]) == (4, 2, "negative", [])
+
+
+def test_padded_tokens_of_invalid_spectra(spark):
+    df = peaks(spark, [(60, 1), (60.2, 2), (70, 4)], [(10, 1)], [], [(80, 1)])
+    kept = {r.id: (r.token, r.intensity) for r in P.padded_tokens(df, "id", 3).collect()}
+    assert kept == {0: ([60, 70, 0], [0.5, 1.0, 0.0]), 1: ([0, 0, 0], [0.0] * 3), 2: ([0, 0, 0], [0.0] * 3), 3: ([80, 0, 0], [1.0, 0.0, 0.0])}
+    assert {r.id for r in P.padded_tokens(df, "id", 3, min_peaks=2, skip_invalid=True).collect()} == {0}
+    assert P.padded_tokens(df.where("id = 0"), "id", 2, order="intensity").first().token == [70, 60]
+    empty = {r.id: r.mask for r in P.raw_masked_inputs(df, "id", 2).collect()}
+    assert empty[2] == [True, True] and empty[3] == [False, True]
+
+
+def test_model_encoders_fall_back_to_single_rows_and_zeros(spark):
+    def load():
+        def model(rows):
+            if len(rows) > 1:
+                raise RuntimeError("no batches")
+            n = int((np.asarray(rows.iloc[0, 1]) > 0).sum())
+            if n == 1:
+                raise RuntimeError("too few")
+            return [[float("nan"), 1.0] if n == 0 else [[3.0, 4.0], [3.0, 4.0]]]
+
+        return model
+
+    df = peaks(spark, [(60, 1), (70, 2)], [(60, 1)], []).withColumn("precursor_mz", F.lit(300.0))
+    for name in ("msbert", "specemb"):
+        got = {r.id: [round(x, 6) for x in r.embedding] for r in encode.encode(name, df, "id", load=load, size=2).collect()}
+        assert got == {0: [0.6, 0.8], 1: [0.0, 0.0], 2: [0.0, 0.0]}
+    record = lambda: lambda rows: [[float(len(p)), float(m == "unknown")] for p, m in zip(rows["peaks"], rows["ionmode"], strict=True)]
+    assert encode.encode("ms2deepscore", df, "id", load=record, size=2).count() == 3
+    assert set(encode.ENCODERS) >= {"dreams", "spec2vec", "ms2deepscore", "binned", "neutral_loss_binned", "msbert", "specemb"}
+
+
+def test_spec2vec_gives_every_spectrum_a_vector(spark):
+    df = peaks(spark, [(60, 1), (70, 2)], [(61, 1)], []).withColumn("ion_mode", F.when(F.col("id") == 1, "negative"))
+    model = spark.createDataFrame([("peak@60", [3.0, 4.0])], "word string, vector array<double>")
+    got = {r.id: [round(x, 6) for x in r.embedding] for r in encode.encode("spec2vec", df, "id", models={"positive": model}, decimals=0).collect()}
+    assert got == {0: [0.6, 0.8], 1: [0.0, 0.0], 2: [0.0, 0.0]}
+    assert encode.spec2vec(df.where("id = 2"), "id", size=3).first().embedding == [0.0] * 3
+    assert encode.spec2vec(df, "id", decimals=0, size=3, window=2, epochs=1).count() == 3
+
+
+def test_sparse_topk_by_blocks_with_a_bin_of_all(spark):
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((60, 40)) < 0.1, rng.random((60, 40)), 0.0)
+    x[:55, 0], x[55:] = 1.0, 0.0
+    rows = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*x.nonzero(), strict=True)], "key long, bin long, value double")
+    keys = spark.range(60)
+    got = retrieve.topk_sparse(rows.withColumnRenamed("key", "query_index"), rows.withColumnRenamed("key", "library_index"), 7, keys.withColumnRenamed("id", "query_index"), keys.withColumnRenamed("id", "library_index"), block=13)
+    got, s = sorted(tuple(r) for r in got.collect()), np.round(x @ x.T, 12)
+    assert len(got) == 60 * 7
+    for i, k, j, v in got:
+        assert np.lexsort((np.arange(60), -s[i]))[k - 1] == j and v == pytest.approx(s[i, j], abs=1e-9)
+
+
+def test_groups_of_many_lists_are_those_of_each():
+    lists = [np.array(v) for v in ([], [5.0], [1.0, 1.0], [1.0] * 6 + [50.0] * 6, [float("nan"), 2.0, 90.0, 90.01], list(np.arange(30) * 7.0))]
+    together = decompose.groups_of(lists, block=4)
+    assert list(together) == [decompose.precursor_groups(v) for v in lists] and together[3] == 2 and list(together[:3]) == [1, 1, 1]
+
+
+def test_candidates_can_be_kept_whole(spark):
+    lib = Q.vectors(spark, SF, "library_index").limit(60).withColumn("precursor_mz", F.lit(None).cast("double"))
+    topk = retrieve.topk_cosine(Q.vectors(spark, SF, "query_index").limit(3), lib, 50)
+    got = decompose.decompose(topk, lib, adaptive=False).groupBy("query_index").agg(F.count("*").alias("n"), F.max("adaptive_k").alias("k"), F.max("cluster").alias("c")).collect()
+    assert [(r.n, r.k, r.c) for r in got] == [(50, 50, 0)] * 3
+    assert decompose.decompose(topk.limit(0), lib).count() == 0
+
+
+def test_cached_search_saved_runs_and_evaluation_of_methods(spark, tmp_path):
+    for side in ("q", "lib"):
+        (tmp_path / side).mkdir()
+    np.save(tmp_path / "q" / "a.binned.npy", np.eye(3, dtype=np.float32))
+    np.save(tmp_path / "lib" / "library_binned.npy", np.eye(3, dtype=np.float32))
+    search = lambda: workflows.cached_topk(spark, f"{tmp_path}/q", f"{tmp_path}/lib", f"{tmp_path}/cache", workflows.RetrievalConfig(k=1))
+    assert sorted((r.query_index, r.library_index) for r in search().collect()) == [(0, 0), (1, 1), (2, 2)]
+    before = sorted(os.listdir(tmp_path / "cache"))
+    assert search().count() == 3 and sorted(os.listdir(tmp_path / "cache")) == before
+    np.save(tmp_path / "lib" / "library_binned.npy", np.eye(3, dtype=np.float32)[::-1].copy())
+    os.utime(tmp_path / "lib" / "library_binned.npy", (5, 5))
+    assert sorted((r.query_index, r.library_index) for r in search().collect()) == [(0, 2), (1, 1), (2, 0)]
+    rows = spark.createDataFrame([(1, 2, 2), (2, 3, 2)], "query_index long, predicted_component_count long, true_component_count long")
+    rows.write.parquet(f"{tmp_path}/p")
+    got = workflows.evaluate_methods(spark, {"b": f"{tmp_path}/p", "a": f"{tmp_path}/p"}, str(tmp_path / "out")).orderBy("method").collect()
+    assert [(r.method, r.overall_accuracy, r.total_true_2) for r in got] == [("a", 0.5, 2), ("b", 0.5, 2)]
+    scans = spark.createDataFrame([(0, "s0", 300.0, None), (1, "s1", 310.0, "positive")], "scan_index long, scan_id string, precursor_mz double, ionmode string")
+    saved = workflows.save_run(spark, spark.createDataFrame([(1, [1.0])], "scan_index long, embedding array<float>"), scans, f"{tmp_path}/run", {"source": "x"})
+    assert [(r.scan_id, r.precursor_mz, r.ionmode) for r in saved.collect()] == [("s1", 310.0, "positive")] and cache.load_json(spark, f"{tmp_path}/run_meta.json") == {"source": "x"}
+
+
+def test_bytes_that_are_no_text_go(spark):
+    assert spark.range(1).select(M.decoded(F.unhex(F.lit("61FF62")))).first()[0] == "ab"
