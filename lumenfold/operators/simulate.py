@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.metadata import chimera_id, joined
 from ..functions.peaks import first_valid, pack
+from ..sources.cache import settled
 
 SHIFT = 100_000  # added to the seed for mixtures of three
 
@@ -69,9 +70,10 @@ def draw(df: DataFrame, n_two: int, n_three: int, seed: int = 42, mode: str = "d
     """query_index, kind, slot, weight, window_id, place: which members of which window make each mixture.
 
     df: window_id, place (from 1 in its window), inchikey. A window is drawn uniformly over windows, then distinct
-    members; where these repeat an inchikey, window and members are drawn again. Reading the rows fails if an output
-    finds none in all tries. Members are drawn by their number alone and only those drawn are looked up, so no task
-    holds a window. Each draw is seeded by the output's index and the attempt.
+    members; where these repeat an inchikey, window and members are drawn again. It fails if an output finds none in
+    all tries. Each round of draws is written, and the next is over what it left. Members are drawn by their number
+    alone and only those drawn are looked up, so no task holds a window. Each draw is seeded by the output's index
+    and the attempt.
     """
     sizes = df.groupBy("window_id").agg(F.count("*").alias("n"))
     numbered = sizes.withColumn("w", F.row_number().over(Window.orderBy("window_id")) - 1)  # one row per window
@@ -97,13 +99,7 @@ def draw(df: DataFrame, n_two: int, n_three: int, seed: int = 42, mode: str = "d
                 out += [(i, t, "AB" if k == 2 else "ABC", s, w, window, p) for s, (p, w) in enumerate(zip(at, weights(k, rng, mode), strict=True))]
             yield pd.DataFrame(out, columns=["query_index", "attempt", "kind", "slot", "weight", "window_id", "place"])
 
-    def fail(batches):
-        for b in batches:
-            if len(b):
-                raise RuntimeError(f"{tries} tries gave no members with distinct keys for mixture {b['query_index'].iloc[0]}")
-        yield from ()
-
-    found = []
+    found, missing = [], None
     # nearly all succeed at once
     for first, last in ((0, 1), (1, 30), (30, tries)):
         if first >= min(last, tries):
@@ -112,19 +108,29 @@ def draw(df: DataFrame, n_two: int, n_three: int, seed: int = 42, mode: str = "d
         drawn = tried.join(numbered, "w").select("query_index", "attempt", "window_id", "n").mapInPandas(members, kind).join(keys, ["window_id", "place"])
         slot = F.struct("slot", "kind", "weight", "window_id", "place")
         good = drawn.groupBy("query_index", "attempt").agg(F.collect_list(slot).alias("slots"), F.count_distinct("key").alias("kinds")).where(F.col("kinds") == F.size("slots"))
-        good = good.groupBy("query_index").agg(F.min_by("slots", "attempt").alias("slots"))
+        good = settled(good.groupBy("query_index").agg(F.min_by("slots", "attempt").alias("slots")))
         found.append(good.select("query_index", F.explode("slots").alias("s")).select("query_index", "s.kind", "s.slot", "s.weight", "s.window_id", "s.place"))
         left = left.join(good.select("query_index"), "query_index", "left_anti")
-    rows = left.mapInPandas(fail, "query_index long, kind string, slot int, weight double, window_id long, place long")
-    for more in found:
+        missing = left.first()
+        if missing is None:
+            break
+    if missing is not None:
+        raise RuntimeError(f"{tries} tries gave no members with distinct keys for mixture {missing.query_index}")
+    rows = found[0]
+    for more in found[1:]:
         rows = rows.unionByName(more)
     return rows
 
 
 def simulate(library: DataFrame, n_two: int, n_three: int, seed: int = 42, width: float = 20.0, tolerance: float = 0.01, mode: str = "dirichlet", size: int = 128) -> DataFrame:
-    """Mixtures with their truth. library: library_index, precursor_mz, charge, peaks, inchikey, smiles, name, adduct."""
-    held = places(windows(library, width))
-    parts = draw(held.select("window_id", "place", "inchikey"), n_two, n_three, seed, mode).join(held, ["window_id", "place"])
+    """Mixtures with their truth. library: library_index (unique), precursor_mz, charge, peaks, inchikey, smiles, name, adduct.
+
+    Numbers of members are written without their spectra; only those drawn fetch these.
+    """
+    held = settled(places(windows(library.select("library_index", "precursor_mz", "inchikey"), width)))
+    drawn = draw(held.select("window_id", "place", "inchikey"), n_two, n_three, seed, mode)
+    drawn = drawn.join(held.select("window_id", "place", "library_index"), ["window_id", "place"])
+    parts = drawn.join(library.select("library_index", "precursor_mz", "charge", "peaks", "inchikey", "smiles", "name", "adduct"), "library_index")
     peaks = parts.select("query_index", F.col("slot").alias("component"), "weight", F.explode(first_valid(F.col("peaks"))).alias("p")).select("query_index", "component", "weight", "p.mz", "p.intensity")
     merged = merge_peaks(peaks, "query_index", tolerance).groupBy("query_index").agg(F.collect_list(F.struct("mz", "intensity")).alias("peaks")).withColumn("peaks", pack(F.col("peaks"), size))
     slots = F.array_sort(F.collect_list(F.struct("slot", "weight", "precursor_mz", "charge", "library_index", "inchikey", "smiles", "name", "adduct")))

@@ -448,21 +448,25 @@ def precursor_windows(spark, d):
     return simulate.windows(rows).select("id", "window_id")
 
 
-@query()
-def simulated_mixtures(spark, d):
+def mixtures(spark, d, n_two: int, n_three: int) -> DataFrame:
     rows = with_precursor(spark, d).select(
         F.col("id").alias("library_index"), "precursor_mz", "peaks", F.lit(1).cast("long").alias("charge"), F.concat(F.lit("key"), "id").alias("inchikey"), F.concat(F.lit("C"), "id").alias("smiles"), F.concat(F.lit("name"), "id").alias("name"), F.lit("[M+H]+").alias("adduct"),
     )
-    return simulate.simulate(rows, 100_000, 100_000)
+    return simulate.simulate(rows, n_two, n_three)
+
+
+@query()
+def simulated_mixtures(spark, d):
+    return mixtures(spark, d, 100_000, 100_000)
 
 
 @query(
-    """SELECT 'AB' AS chimera_type, 100000::BIGINT AS n, 100000::BIGINT AS n_ids, 2::BIGINT AS components, 0::BIGINT AS bad_weights, 0::BIGINT AS bad_windows, 0::BIGINT AS bad_names, 0::BIGINT AS repeated, 0::BIGINT AS bad_sources
-UNION ALL SELECT 'ABC', 100000, 100000, 3, 0, 0, 0, 0, 0"""
+    """SELECT 'AB' AS chimera_type, 10000::BIGINT AS n, 10000::BIGINT AS n_ids, 2::BIGINT AS components, 0::BIGINT AS bad_weights, 0::BIGINT AS bad_windows, 0::BIGINT AS bad_names, 0::BIGINT AS repeated, 0::BIGINT AS bad_sources
+UNION ALL SELECT 'ABC', 10000, 10000, 3, 0, 0, 0, 0, 0"""
 )
 def mixture_invariants(spark, d):
-    """Per type: numbers of mixtures, and of those that break a rule on weights, windows, names, distinct sources or true precursors."""
-    m = simulated_mixtures(spark, d)
+    """Per type, of 10,000 mixtures each drawn from whole tables: how many there are, and how many break a rule on weights, windows, names, distinct sources or true precursors."""
+    m = mixtures(spark, d, 10_000, 10_000)
     n, width = F.size("source_index"), F.col("dia_window_upper") - F.col("dia_window_lower")
     rules = {
         "bad_weights": F.forall("mixing_weights", lambda w: w >= 0.05) & (F.abs(F.aggregate("mixing_weights", F.lit(0.0), lambda a, w: a + w) - 1) < 1e-9) & (F.size("mixing_weights") == n),

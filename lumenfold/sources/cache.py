@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -56,6 +58,22 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], note:
     return spark.read.parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to a table of its own below spark.checkpoint.dir and read again, so that what uses it several times doesn't compute it again.
+
+    Where that is unset a temporary folder serves, if all tasks run on this machine, as in tests.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
+    path = f"{root.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV by declared columns, so all parts have one header."""
     df.write.mode("overwrite").option("header", True).csv(path)
