@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, exact, license_scan, media, minhash, mixing, packing, substring, toxicity, warc
+from . import brown, divergence, exact, license_scan, media, minhash, mixing, packing, pii, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +26,15 @@ QUERIES = {
     "op8_media_sniffing": _documents(media.media_features),
     "op9_brown_scoring": _documents(brown.class_scores),
     "op10_minhash_near_dedup": _documents(minhash.near_duplicates),
+    "op11_source_divergence": _documents(divergence.source_divergence),
+    "op12_pii": _documents(pii.personal_data),
 }
 
 #: DuckDB SQL for those queries that SQL can express in full.
 SQL = {
     "op2_temperature_mixing": mixing.SQL,
     "op6_warc": warc.SQL,
+    "op11_source_divergence": divergence.SQL,
     "op7_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
