@@ -6,13 +6,15 @@ peaks, a supplier; precursors are order totals / 500; vectors are `embeddings`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import metadata as M, peaks as P, vectors as V
 from .operators import decompose, encode, evaluate, filters, retrieve, score, simulate
-from .sources import readers
+from .sources import matrices, readers
+from .sources.cache import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -401,6 +403,21 @@ def unit_vectors(spark, d):
     return rows.select("id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 
 
+@query(
+    """WITH n AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS library_index, vec_id // 100 AS file, embedding FROM embeddings)
+SELECT library_index, 'library_' || lpad(file::VARCHAR, 12, '0') || '.npy' AS file, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total, len(embedding)::BIGINT AS size FROM n"""
+)
+def matrix_files(spark, d):
+    """The vectors written as .npy files of 100 ids each, and read back by ranges of at most ten rows under one numbering."""
+    path = f"{shared_dir(spark)}/matrices-{uuid.uuid4().hex}"
+    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("file"), F.col("vec_id").alias("number"), "embedding")
+    matrices.write_matrices(rows, path).write.parquet(f"{path}-files")
+    spark.dataSource.register(matrices.Matrices)
+    held = spark.read.format("lumenfold_matrices").option("bytes", 2560).load(path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return held.select(F.col("row").alias("library_index"), F.element_at(F.split("file", "/"), -1).alias("file"), F.round(total, 5).alias("total"), F.size("embedding").cast("long").alias("size"))
+
+
 # retrieval, decomposition, scoring, evaluation
 
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"

@@ -39,6 +39,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def stream_path(spark: SparkSession, path: str) -> str:
+    """The path for a file stream: a folder as it is, a single file as a pattern that only it matches."""
+    fs, p = _fs(spark, path)
+    return f"{p.getParent()}/{{{p.getName()}}}" if fs.exists(p) and fs.getFileStatus(p).isFile() else path
+
+
 def save_json(spark: SparkSession, path: str, note: dict) -> None:
     fs, p = _fs(spark, path)
     out = fs.create(p, True)
@@ -58,20 +64,22 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], note:
     return spark.read.parquet(path)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to a table of its own below spark.checkpoint.dir and read again, so that what uses it several times doesn't compute it again.
-
-    Where that is unset a temporary folder serves, if all tasks run on this machine, as in tests.
-    """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; where that is unset and all tasks run on this machine, as in tests, a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
-    path = f"{root.rstrip('/')}/settled-{uuid.uuid4().hex}"
+        path = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to a table of its own in the shared folder and read again, so that what uses it several times doesn't compute it again."""
+    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 from ..functions.metadata import method_name
 from ..functions.peaks import from_arrays, peak
 from ..schemas import SPECTRA
+from .matrices import Matrices
 
 
 #: Names of columns with peak lists, m/z and intensities, in the order in which they are tried.
@@ -133,35 +134,13 @@ def column_values(rows: np.ndarray) -> list:
 def read_embeddings(spark: SparkSession, path: str, key: str = "query_index") -> DataFrame:
     """Rows of .npy matrices, or of .npz bundles (embeddings or embedding, with optional columns), of unit norm nowhere. Pickles are refused.
 
-    Gives key, embedding, method, precursor_mz, smiles, inchikey, name, formula, file. A bundle's method overrides
-    that of the file name. A three-dimensional array loses axes of size one.
+    Gives key, embedding, method, precursor_mz, smiles, inchikey, name, formula, file. The key numbers the rows of all
+    files, by path and row. A bundle's method overrides that of the file name. A three-dimensional array loses axes of size one.
     """
-    texts = ("smiles", "inchikey", "name", "formula")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for file, named, raw in zip(b["path"], b["method"], b["content"], strict=True):
-                held = np.load(io.BytesIO(raw), allow_pickle=False)
-                bundle = {} if isinstance(held, np.ndarray) else {k: held[k] for k in held.files}
-                x = held if isinstance(held, np.ndarray) else next((bundle[k] for k in ("embeddings", "embedding") if k in bundle), None)
-                if x is None:
-                    raise ValueError(f"{file} has neither embeddings nor embedding")
-                if x.ndim == 3:
-                    x = x.squeeze()
-                if x.ndim != 2:
-                    raise ValueError(f"{file} is no matrix")
-                method = str(np.ravel(bundle["method"])[0]) if "method" in bundle else named
-                for at in range(0, len(x), 4096):
-                    n = min(4096, len(x) - at)
-                    part = lambda k, none: list(np.ravel(bundle[k])[at : at + n]) if k in bundle else [none] * n  # noqa: B023, E731
-                    yield pd.DataFrame(
-                        {key: np.arange(at, at + n), "embedding": [v.astype(np.float32) for v in x[at : at + n]], "method": method, "precursor_mz": np.array(part("precursor_mz", np.nan), float), "file": file}
-                        | {k: [None if v is None else str(v) for v in part(k, None)] for k in texts}
-                    )
-
-    files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(r"\.(npy|npz)$"))
-    files = files.select("path", method_name(F.col("path")).alias("method"), "content")
-    return files.mapInPandas(run, f"{key} long, embedding array<float>, method string, precursor_mz double, file string, " + ", ".join(f"{k} string" for k in texts))
+    spark.dataSource.register(Matrices)
+    rows = spark.read.format(Matrices.name()).load(path)
+    method = F.coalesce("bundle_method", method_name(F.col("file")))
+    return rows.select(F.col("row").alias(key), "embedding", method.alias("method"), "precursor_mz", "file", "smiles", "inchikey", "name", "formula")
 
 
 def join_metadata(matrix: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from lumenfold import queries as Q
 from lumenfold.functions import metadata as M, peaks as P, vectors as V
 from lumenfold.operators import decompose, encode, evaluate, filters, retrieve, score, simulate
 from lumenfold.plans import workflows
-from lumenfold.sources import cache, readers
+from lumenfold.sources import cache, matrices, readers
 
 SF = "/root/testdata/sf0.001"
 
@@ -191,7 +191,7 @@ def test_npy_npz_and_pairs(spark, tmp_path):
     np.save(tmp_path / "library_binned.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
     np.savez(tmp_path / "q.other.npz", embedding=np.ones((2, 1, 2)), method="binned", precursor_mz=[1.0, 2.0], smiles=["C", "O"])
     rows = {(r.method, r.query_index): r for r in readers.read_embeddings(spark, str(tmp_path)).collect()}
-    assert len(rows) == 5 - 2  # both files have the method binned and indexes of their own
+    assert sorted(rows) == [("binned", i) for i in range(5)]  # one numbering over both files
     got = readers.read_embeddings(spark, str(tmp_path)).where("smiles is not null").orderBy("query_index").collect()
     assert [(r.method, r.precursor_mz, r.smiles, list(r.embedding)) for r in got] == [("binned", 1.0, "C", [1.0, 1.0]), ("binned", 2.0, "O", [1.0, 1.0])]
 
@@ -396,3 +396,44 @@ def test_cached_search_saved_runs_and_evaluation_of_methods(spark, tmp_path):
 
 def test_bytes_that_are_no_text_go(spark):
     assert spark.range(1).select(M.decoded(F.unhex(F.lit("61FF62")))).first()[0] == "ab"
+
+
+def test_matrices_by_ranges_of_rows(spark, tmp_path):
+    """Ranges, row and column order, bundles and numbering over all files; what is no matrix is refused."""
+    rng = np.random.default_rng(3)
+    parts = [rng.normal(size=(n, 3)).astype(np.float32) for n in (7, 0, 1, 5000, 4)]
+    np.save(tmp_path / "a.npy", parts[0])
+    np.save(tmp_path / "b.npy", parts[1])
+    np.save(tmp_path / "c.npy", parts[2][None].astype(np.float64))
+    np.savez_compressed(tmp_path / "d.npz", embeddings=parts[3], name=[f"n{i}" for i in range(5000)])
+    np.save(tmp_path / "e.npy", np.asfortranarray(parts[4]))
+    (tmp_path / "notes.txt").write_text("x")
+    spark.dataSource.register(matrices.Matrices)
+    rows = spark.read.format("lumenfold_matrices").option("bytes", 24).load(str(tmp_path))
+    assert rows.rdd.getNumPartitions() >= 4 + 1 + 1 + 1  # two rows of 12 bytes each
+    got = sorted(rows.collect(), key=lambda r: r.row)
+    assert [r.row for r in got] == list(range(5012)) and np.allclose(np.stack([r.embedding for r in got]), np.concatenate(parts))
+    assert [r.name for r in got[8:5008]] == [f"n{i}" for i in range(5000)] and got[0].name is None
+    for name, bad in (("f.npy", np.array([{}])), ("f.npy", np.zeros(3)), ("f.npy", np.zeros((2, 2, 2)))):
+        folder = tmp_path / f"bad{bad.ndim}{bad.dtype.kind}"
+        folder.mkdir()
+        np.save(folder / name, bad)
+        with pytest.raises(Exception, match="refused|no matrix"):
+            readers.read_embeddings(spark, str(folder)).collect()
+
+
+def test_searches_over_several_files_keep_all_vectors(spark, tmp_path):
+    for side in ("q", "lib"):
+        (tmp_path / side).mkdir()
+    for k in range(2):
+        np.save(tmp_path / "q" / f"part{k}.binned.npy", np.eye(4, dtype=np.float32)[2 * k : 2 * k + 2])
+        np.save(tmp_path / "lib" / f"library_{k}.npy", np.eye(4, dtype=np.float32)[::-1][2 * k : 2 * k + 2])
+    got = workflows.cached_topk(spark, f"{tmp_path}/q", f"{tmp_path}/lib", f"{tmp_path}/cache", workflows.RetrievalConfig(k=1)).collect()
+    assert sorted((r.query_index, r.library_index) for r in got) == [(0, 3), (1, 2), (2, 1), (3, 0)]
+
+
+def test_written_matrices_are_read_back(spark, tmp_path):
+    df = spark.range(25).select((F.col("id") / 10).cast("int").alias("file"), F.col("id").alias("number"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    assert sorted(r.n for r in matrices.write_matrices(df.repartition(4), f"{tmp_path}/m").collect()) == [5, 10, 10]
+    got = readers.read_embeddings(spark, f"{tmp_path}/m", "library_index").orderBy("library_index").collect()
+    assert [list(r.embedding) for r in got] == [[float(i), 1.0] for i in range(25)]
