@@ -4,7 +4,11 @@ A logistic model over the presence of words and word beginnings (4 to 6 bytes, w
 fitted on at most `per_class` labelled documents of each class (those with the smallest hash of doc_id),
 weighted back to the classes' shares among all labels. Features are the `most` with the largest chi-square
 between the classes. In labelled documents that name identity groups the terms are swapped for others of the
-same kind; into each of the others one term is inserted, chosen by a hash of the text. Squared changes of the logit
+same kind; into each of the others one term is inserted, chosen by a hash of the text. Listed terms need not stand in a
+corpus, so terms that take each other's place there are learned from the sample too (`learned_kinds`): words among the
+features that say little of the label (chi-square below NEUTRAL) are of one kind if they stand between the same
+neighbours (cosine of their neighbours' counts of ALIKE or more, at most KIND words a kind); up to SWAPS of a document's
+learned terms, chosen by hash, are swapped one at a time for the next of their kind. Squared changes of the logit
 are penalised, those of swaps and of insertions each by their mean, so a neutral mention does not raise a score.
 
 The ridge is that of RIDGES with the least log loss on a fifth of the sample (by hash of doc_id), fitted on the
@@ -34,6 +38,8 @@ PER_CLASS, MOST, PENALTY, THRESHOLD = 9000, 4096, 1.0, 0.3
 #: Largest first; the first serves where one of the two parts of the sample lacks a class.
 RIDGES = (3e-3, 1e-3, 3e-4, 1e-4, 3e-5, 1e-5)
 PREFIXES = (4, 5, 6)
+#: Chi-square from which a word carries the label and is never swapped; likeness and size of learned kinds; their terms swapped in a document; places for neighbours on each side.
+NEUTRAL, ALIKE, KIND, SWAPS, SIDES = 20.0, 0.6, 16, 4, 128
 
 #: Identity terms by kind, English, French, German and Spanish; terms of one kind can be swapped.
 IDENTITY_TERMS = (
@@ -112,6 +118,65 @@ def counterfactuals(text: str) -> list[str]:
     return out
 
 
+def contexts(sample: DataFrame, words: np.ndarray) -> DataFrame:
+    """word, place, n: how often neighbours of the words (sorted hashes) stand there, by hash; places from SIDES on are to the right."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, lower=True):
+            starts, ends, first = block.words(PUNCT)
+            doc, h = np.repeat(np.arange(len(block)), np.diff(first)), block.hashes(starts, ends)
+            k = np.minimum(np.searchsorted(words, h), len(words) - 1)
+            hit = np.flatnonzero(words[k] == h) if len(h) else np.zeros(0, np.int64)
+            at, place = [], []
+            for step, base in ((-1, 0), (1, SIDES)):
+                near = hit + step
+                ok = (near >= 0) & (near < len(h))
+                ok[ok] = doc[near[ok]] == doc[hit[ok]]
+                at.append(hit[ok])
+                place.append(base + (h[near[ok]] % np.uint64(SIDES)).astype(np.int64))
+            at, place = np.concatenate(at), np.concatenate(place)
+            key, one, n = np.unique(k[at] * np.int64(2 * SIDES) + place, return_index=True, return_counts=True)
+            found = [block.bytes[starts[i] : ends[i]] for i in at[one]]
+            yield pa.record_batch([pa.array(found, pa.binary()), pa.array((key % (2 * SIDES)).astype(np.int32)), pa.array(n)], ["word", "place", "n"])
+
+    return sample.mapInArrow(run, "word binary, place int, n long").groupBy("word", "place").agg(F.sum("n").alias("n"))
+
+
+def learned_kinds(rows: list[tuple[bytes, int, int]]) -> list[tuple[str, ...]]:
+    """Kinds of words with like neighbours. rows: word, place, n. The most frequent word that fits no earlier kind begins one."""
+    words = sorted({bytes(r[0]) for r in rows})
+    if not words:
+        return []
+    number, x = {w: i for i, w in enumerate(words)}, np.zeros((len(words), 2 * SIDES))
+    for w, place, n in rows:
+        x[number[bytes(w)], place] = n
+    total, x = x.sum(axis=1), np.log1p(x)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    kinds: list[list[int]] = []
+    for i in np.lexsort((np.arange(len(words)), -total)):
+        near = x[[k[0] for k in kinds]] @ x[i] if kinds else np.zeros(0)
+        fits = [j for j in np.argsort(-near, kind="stable")[:8] if near[j] >= ALIKE and len(kinds[j]) < KIND]
+        if fits:
+            kinds[fits[0]].append(i)
+        else:
+            kinds.append([i])
+    return [tuple(words[i].decode("utf-8", "replace") for i in k) for k in kinds if len(k) > 1]
+
+
+def swapped(text: str, kinds: list[tuple[str, ...]], of: dict[str, int]) -> list[str]:
+    """The text's words with one learned term at a time replaced by the next of its kind. of: each term's kind."""
+    import re
+
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    terms = sorted({w for w in words if w in of}, key=lambda w: (zlib.crc32(w.encode() + text[:64].encode("utf-8", "replace")), w))[:SWAPS]
+    out = []
+    for t in terms:
+        kind = kinds[of[t]]
+        new = kind[(kind.index(t) + 1) % len(kind)]
+        out.append(" ".join(new if w == t else w for w in words))
+    return out
+
+
 def count_features(sample: DataFrame) -> DataFrame:
     """sample: text, toxic. Gives feature, pos, neg: documents of each class that have it."""
 
@@ -131,13 +196,15 @@ def count_features(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def examples(sample: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """sample: text, toxic, aside. Gives toxic, has (feature numbers), pairs, aside.
+def examples(sample: DataFrame, vocabulary: Vocabulary, kinds: list[tuple[str, ...]] = []) -> DataFrame:
+    """sample: text, toxic, aside; kinds: learned ones. Gives toxic, has (feature numbers), pairs, aside.
 
     A pair is a counterfactual of the text: the features that it lacks, those that it has more, and whether a term was
     inserted (or else swapped).
     """
 
+    of = {t: i for i, kind in enumerate(kinds) for t in kind}
+
     def numbers(texts: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
         for block in blocks([pa.record_batch([pa.array(texts, pa.string())], ["text"])] if texts else [], lower=True):
@@ -153,7 +220,7 @@ def examples(sample: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             texts = [t or "" for t in column(batch, "text").to_pylist()]
             has, pairs = numbers(texts), []
             for text, mine in zip(texts, map(set, has), strict=True):
-                others = [(set(x), False) for x in numbers(counterfactuals(text))] or [(mine.union(own[zlib.crc32(text.encode()) % len(own)]), True)]
+                others = [(set(x), False) for x in numbers(counterfactuals(text) + swapped(text, kinds, of))] or [(mine.union(own[zlib.crc32(text.encode()) % len(own)]), True)]
                 pairs.append([{"less": sorted(mine - x), "more": sorted(x - mine), "inserted": new} for x, new in others])
             yield pa.record_batch([column(batch, "toxic"), pa.array(has, some), pa.array(pairs, pair), column(batch, "aside")], ["toxic", "has", "pairs", "aside"])
 
@@ -163,6 +230,8 @@ def examples(sample: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 class Model:
     def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, bias: float):
         self.vocabulary, self.weights, self.bias = vocabulary, weights, bias
+        #: Learned kinds of terms, and the number of counterfactuals with a term swapped.
+        self.kinds, self.swaps = [], 0
 
     def score(self, block: Block) -> np.ndarray:
         doc, k = self.vocabulary(block)
@@ -239,17 +308,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
     p, n = found.get(1, 0), max(1, found.get(0, 0))
     df = F.col("pos") + F.col("neg")
     chi = F.pow(F.col("pos") - df * (p / (p + n)), F.lit(2)) / (df * (1 - df / (p + n + 1)))
-    best = counts.select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(most).select("feature").collect()
+    best = counts.select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(most).collect()
     named = np.array([word_hash(t.encode()) for t in TERMS], np.uint64)
     vocabulary = Vocabulary(np.unique(np.append(np.array([r[0] for r in best], np.int64).view(np.uint64), named)))
+    plain = np.sort(np.array([r[0] for r in best if r[1] < NEUTRAL], np.int64).view(np.uint64))
+    # at most `most` words and 2 * SIDES places
+    kinds = learned_kinds([tuple(r) for r in contexts(rest, plain).collect()]) if len(plain) else []
     # at most 2 * per_class rows of at most `most` numbers and the terms'
-    found = examples(sample, vocabulary).toArrow().combine_chunks()
+    found = examples(sample, vocabulary, kinds).toArrow().combine_chunks()
     has = found["has"].combine_chunks()
     lists = np.split(has.flatten().to_numpy(), np.cumsum(has.value_lengths().to_numpy())[:-1]) if len(has) else []
     pairs = [[(p["less"], p["more"], p["inserted"]) for p in x] for x in found["pairs"].to_pylist()]
     rows = list(zip(found["toxic"].to_pylist(), lists, pairs, found["aside"].to_pylist(), strict=True))
     size = len(vocabulary.sorted)
-    return Model(vocabulary, *minimise(rows, size, share, penalty, choose_ridge(rows, size, share, penalty)))
+    model = Model(vocabulary, *minimise(rows, size, share, penalty, choose_ridge(rows, size, share, penalty)))
+    model.kinds, model.swaps = kinds, sum(not p[2] for x in pairs for p in x)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
