@@ -6,7 +6,7 @@ weighted back to the classes' shares among all labels. Features are the `most` w
 between the classes. In labelled documents that name identity groups the terms are swapped for others of the
 same kind; into each of the others one term is inserted, chosen by a hash of the text. Listed terms need not stand in a
 corpus, so terms that take each other's place there are learned from the sample too (`learned_kinds`): words among the
-features that say little of the label (chi-square below NEUTRAL) are of one kind if they stand between the same
+features that don't speak for the label (no more frequent in toxic texts, or chi-square below NEUTRAL) are of one kind if they stand between the same
 neighbours (cosine of their neighbours' counts of ALIKE or more, at most KIND words a kind); up to SWAPS of a document's
 learned terms, chosen by hash, are swapped one at a time for the next of their kind. Squared changes of the logit
 are penalised, those of swaps and of insertions each by their mean, so a neutral mention does not raise a score.
@@ -38,8 +38,8 @@ PER_CLASS, MOST, PENALTY, THRESHOLD = 9000, 4096, 1.0, 0.3
 #: Largest first; the first serves where one of the two parts of the sample lacks a class.
 RIDGES = (3e-3, 1e-3, 3e-4, 1e-4, 3e-5, 1e-5)
 PREFIXES = (4, 5, 6)
-#: Chi-square from which a word carries the label and is never swapped; likeness and size of learned kinds; their terms swapped in a document; places for neighbours on each side.
-NEUTRAL, ALIKE, KIND, SWAPS, SIDES = 20.0, 0.6, 16, 4, 128
+#: Chi-square from which a word that toxic texts have more often is never swapped; likeness and size of learned kinds; their terms swapped in a document; places for neighbours on each side.
+NEUTRAL, ALIKE, KIND, SWAPS, SIDES = 3.84, 0.6, 16, 4, 128
 
 #: Identity terms by kind, English, French, German and Spanish; terms of one kind can be swapped.
 IDENTITY_TERMS = (
@@ -308,10 +308,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
     p, n = found.get(1, 0), max(1, found.get(0, 0))
     df = F.col("pos") + F.col("neg")
     chi = F.pow(F.col("pos") - df * (p / (p + n)), F.lit(2)) / (df * (1 - df / (p + n + 1)))
-    best = counts.select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(most).collect()
+    best = counts.select("feature", chi.alias("chi"), (F.col("pos") > df * (p / (p + n))).alias("speaks")).orderBy(F.desc("chi"), "feature").limit(most).collect()
     named = np.array([word_hash(t.encode()) for t in TERMS], np.uint64)
     vocabulary = Vocabulary(np.unique(np.append(np.array([r[0] for r in best], np.int64).view(np.uint64), named)))
-    plain = np.sort(np.array([r[0] for r in best if r[1] < NEUTRAL], np.int64).view(np.uint64))
+    plain = np.sort(np.array([r[0] for r in best if not (r.speaks and r.chi >= NEUTRAL)], np.int64).view(np.uint64))
     # at most `most` words and 2 * SIDES places
     kinds = learned_kinds([tuple(r) for r in contexts(rest, plain).collect()]) if len(plain) else []
     # at most 2 * per_class rows of at most `most` numbers and the terms'
