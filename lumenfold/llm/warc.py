@@ -28,6 +28,7 @@ from .text import column
 MAGIC = 0x184D2A5D
 ROLL, DICTIONARY, LEVEL, LEAST = 8 << 20, 64 << 10, 3, 1000
 PER_TASK = 4  # archives that one task reads
+PIECE = 1 << 10  # bytes of an archive taken at once
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -94,10 +95,16 @@ def decompress(archive: bytes) -> Iterator[bytes]:
     reader = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     view = memoryview(archive)
     while at < len(archive):
-        one = reader.decompressobj()
-        out = one.decompress(view[at:])
-        yield out
-        at = len(archive) - len(one.unused_data)
+        # small pieces, so that what is left of the last one, which is copied, stays small whatever the archive's size
+        one, out = reader.decompressobj(), []
+        while not one.eof:
+            if at >= len(archive):
+                raise ValueError("the archive ends inside a record")
+            part = view[at : at + PIECE]
+            out.append(one.decompress(part))
+            at += len(part)
+        at -= len(one.unused_data)
+        yield b"".join(out)
 
 
 def filesystem(path: str):
