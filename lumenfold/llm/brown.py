@@ -443,8 +443,9 @@ def place(rows: DataFrame, of: np.ndarray, m: np.ndarray, least: int) -> DataFra
                 found = pa.record_batch([column(rows, "word"), pa.array(c), pa.array(k), pa.array(list(known), pa.list_(pa.int64()))], ["word", "c", "k", "cells"])
                 yield found.filter(pa.array(c >= least))
 
-    # a word beyond the frequent ones has few occurrences, so its list is short
-    lists = rows.where("second is null").groupBy("word").agg(F.collect_list("code").alias("codes"))
+    # summed by cell first, so a word's list has `cells` entries at most; both groupings use the one exchange by word
+    sums = rows.where("second is null").repartition("word").groupBy("word", F.expr(f"code % {cells}").alias("cell")).agg(F.expr(f"sum(code div {cells})").alias("n"))
+    lists = sums.groupBy("word").agg(F.collect_list(F.col("n") * cells + F.col("cell")).alias("codes"))
     return lists.mapInArrow(choose, "word binary, c long, k long, cells array<long>")
 
 
