@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import metadata as M, peaks as P, vectors as V
-from .operators import decompose, encode, evaluate, filters, retrieve, score, simulate
+from .operators import decompose, encode, evaluate, filters, pivot, retrieve, score, simulate
 from .sources import matrices, readers
 from .sources.cache import shared_dir
 
@@ -440,6 +440,30 @@ def topk_partitioned(spark, d):
     return _topk(spark, d, "partitioned", block=200)
 
 
+@query(TOPK)
+def topk_pivot(spark, d):
+    rows = pivot.topk_pivot(vectors(spark, d, "query_index"), vectors(spark, d, "library_index"), 10)
+    return rows.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, label, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)) AS v FROM e),
+c AS (SELECT label, vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM u),
+m AS (SELECT label, i, avg(x) AS x FROM c GROUP BY ALL), w AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY ALL),
+s AS (SELECT a.label AS query_index, b.vec_id AS library_index, round(list_cosine_similarity(a.v, b.v), 12) AS s FROM w a, u b),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_index ORDER BY s DESC, library_index) AS rank FROM s)
+SELECT query_index, rank, library_index, round(s, 6) AS similarity FROM r WHERE rank <= 25"""
+)
+def topk_pivot_of_means(spark, d):
+    """The 25 vectors nearest to each label's mean direction."""
+    unit = table(spark, d, "embeddings").select("vec_id", "label", V.unit(F.col("embedding").cast("array<double>")).alias("v"))
+    means = unit.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e.x).alias("embedding"))
+    rows = pivot.topk_pivot(means.withColumnRenamed("label", "query_index"), vectors(spark, d, "library_index"), 25, pivots=40, block=100)
+    return rows.withColumn("similarity", F.round("similarity", 6))
+
+
 @query(
     """WITH p AS (SELECT l_suppkey AS id, l_extendedprice / 100 AS mz, l_quantity AS x FROM lineitem),
 b AS (SELECT id, floor((mz - 50) / 1.0)::BIGINT AS bin, sum(x) AS v FROM p WHERE floor((mz - 50) / 1.0) BETWEEN 0 AND 1149 GROUP BY ALL),

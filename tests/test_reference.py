@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lumenfold import queries as Q
 from lumenfold.functions import metadata as M, peaks as P, vectors as V
-from lumenfold.operators import decompose, encode, evaluate, filters, retrieve, score, simulate
+from lumenfold.operators import decompose, encode, evaluate, filters, pivot, retrieve, score, simulate
 from lumenfold.plans import workflows
 from lumenfold.sources import cache, matrices, readers
 
@@ -437,3 +437,34 @@ def test_written_matrices_are_read_back(spark, tmp_path):
     assert sorted(r.n for r in matrices.write_matrices(df.repartition(4), f"{tmp_path}/m").collect()) == [5, 10, 10]
     got = readers.read_embeddings(spark, f"{tmp_path}/m", "library_index").orderBy("library_index").collect()
     assert [list(r.embedding) for r in got] == [[float(i), 1.0] for i in range(25)]
+
+
+def clustered(spark, seed=2):
+    """Twelve tight clusters of 80, 300 copies of one vector, zero vectors, and what has no place."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, 8)) * 5
+    x = [(centres[i % 12] + rng.normal(size=8) * 0.15).tolist() for i in range(960)] + [centres[0].tolist()] * 300 + [[0.0] * 8] * 3
+    rows = [(i, v) for i, v in enumerate(x)] + [(2000, None), (2001, [float("nan")] * 8)]
+    return spark.createDataFrame(rows, "library_index long, embedding array<double>").repartition(5)
+
+
+@pytest.mark.parametrize(("k", "pivots", "block"), [(1, None, 20_000), (7, 40, 64), (350, None, 50), (5000, 9, 20_000)])
+def test_pivot_search_is_exact(spark, k, pivots, block):
+    lib = clustered(spark)
+    queries = lib.where("library_index % 37 = 0 or library_index in (1000, 1261, 1262, 2000, 2001)").withColumnRenamed("library_index", "query_index")
+    want = {tuple(r) for r in retrieve.topk_cosine(queries, lib, k).collect()}
+    rows, visits = pivot.PivotIndex(lib, pivots, block).search(queries, k)
+    got = [tuple(r) for r in rows.collect()]
+    assert len(got) == len(want) and set(got) == want
+    seen = {r.query_index: r.vectors for r in visits.collect()}
+    assert all(seen[q] >= min(k, 1263) for q in seen) and len(seen) == len({w[0] for w in want})
+    if k == 7:  # a query of a tight cluster leaves most vectors alone
+        assert np.median(list(seen.values())) < 0.5 * 1263
+
+
+def test_pivot_search_of_nothing(spark):
+    lib = clustered(spark)
+    queries = lib.withColumnRenamed("library_index", "query_index")
+    assert pivot.topk_pivot(queries, lib.limit(0), 3).collect() == [] and pivot.topk_pivot(queries.limit(0), lib, 3).collect() == []
+    with pytest.raises(ValueError, match="sizes"):
+        pivot.topk_pivot(spark.createDataFrame([(1, [1.0, 2.0])], "query_index long, embedding array<double>"), lib, 3)
