@@ -28,6 +28,7 @@ def normalize_ion_mode(text: Column, legacy: bool = False) -> Column:
     if legacy:
         number = F.when(F.typeof(text).rlike("^(tinyint|smallint|int|bigint|float|double|decimal)"), number)
     number = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+    #: Names and endings of the two modes, below.
     bare = F.regexp_replace(low, "[ _/-]" if legacy else "[ _/]", "")
     return (
         F.when(number < 0, "negative").when(number > 0, "positive").when(number == 0, None)

@@ -49,6 +49,8 @@ def chain(rows: DataFrame, key: str, tolerance: float = 0.01) -> DataFrame:
 
 def weights(k: int, rng: np.random.Generator, mode: str = "dirichlet", least: float = 0.05) -> list[float]:
     """equal, dirichlet or uniform; drawn again while one is below the least, equal after a hundred draws."""
+    if mode not in ("equal", "dirichlet", "uniform"):
+        raise ValueError(f"unknown weight mode {mode}")
     for _ in range(100 if mode != "equal" else 0):
         w = rng.dirichlet(np.ones(k)) if mode == "dirichlet" else rng.uniform(0.2, 1.0, k)
         w = w / w.sum()

@@ -418,6 +418,21 @@ def matrix_files(spark, d):
     return held.select(F.col("row").alias("library_index"), F.element_at(F.split("file", "/"), -1).alias("file"), F.round(total, 5).alias("total"), F.size("embedding").cast("long").alias("size"))
 
 
+@query(
+    """WITH m AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS library_index, 'name ' || vec_id AS name, label::VARCHAR AS label FROM embeddings)
+SELECT library_index, name, label, len(e.embedding)::BIGINT AS size, round(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE)), 5) AS total FROM m JOIN (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS library_index, embedding FROM embeddings) e USING (library_index)"""
+)
+def positional_metadata(spark, d):
+    """A matrix and a CSV without a key, both written in the order of vec_id, meet by row."""
+    path = f"{shared_dir(spark)}/positional-{uuid.uuid4().hex}"
+    held = table(spark, d, "embeddings")
+    matrices.write_matrices(held.select(F.floor(F.col("vec_id") / 100).alias("file"), F.col("vec_id").alias("number"), "embedding"), f"{path}/matrix").write.parquet(f"{path}/files")
+    held.select("vec_id", F.concat(F.lit("name "), "vec_id").alias("name"), "label").orderBy("vec_id").drop("vec_id").write.option("header", True).csv(f"{path}/metadata")
+    rows = readers.join_positional(readers.read_embeddings(spark, f"{path}/matrix", "library_index").select("library_index", "embedding"), readers.read_positional(spark, f"{path}/metadata"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rows.select("library_index", "name", "label", F.size("embedding").cast("long").alias("size"), F.round(total, 5).alias("total"))
+
+
 # retrieval, decomposition, scoring, evaluation
 
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"

@@ -10,12 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..functions.metadata import method_name
 from ..functions.peaks import from_arrays, peak
 from ..schemas import SPECTRA
+from .cache import settled
 from .matrices import Matrices
 
 
@@ -148,6 +149,27 @@ def join_metadata(matrix: DataFrame, metadata: DataFrame) -> DataFrame:
     return matrix.select("library_index", "embedding").join(metadata, "library_index", "left")
 
 
+def read_positional(spark: SparkSession, path: str, **options) -> DataFrame:
+    """CSV rows with `position`: their numbers over all files, by path and place in the file, from 0.
+
+    A row's place is told by its split (file and first byte) and by its number among the rows that a task has read, which
+    are consecutive inside a split. Splits are counted, their counts summed up in order (a row a split), and added; rows
+    are written once, so both numbers are of one reading, and are not moved. Lines without any value are no rows.
+    """
+    raw = spark.read.options(**({"header": True} | options)).csv(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("byte"))
+    rows = settled(raw.select("*", place.alias("_split"), F.monotonically_increasing_id().alias("_row")))
+    splits = rows.groupBy("_split").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("_split", "_first", F.coalesce(before, F.lit(0).cast("long")).alias("_before"))
+    return rows.join(splits, "_split").withColumn("position", F.col("_row") - F.col("_first") + F.col("_before")).drop("_split", "_row", "_first", "_before")
+
+
+def join_positional(matrix: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Library vectors with the metadata row of the same number; a vector without one keeps nulls."""
+    return matrix.join(metadata.withColumnRenamed("position", "library_index"), "library_index", "left")
+
+
 def match_files(queries: DataFrame, libraries: DataFrame, allowed: tuple[str, ...] | None = None) -> DataFrame:
     """All query and library files of one method. Both: path. Gives method, query_file, library_file, pair_id."""
     named = lambda df, c: df.select(method_name(F.col("path")).alias("method"), F.col("path").alias(c))

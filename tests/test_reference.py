@@ -468,3 +468,43 @@ def test_pivot_search_of_nothing(spark):
     assert pivot.topk_pivot(queries, lib.limit(0), 3).collect() == [] and pivot.topk_pivot(queries.limit(0), lib, 3).collect() == []
     with pytest.raises(ValueError, match="sizes"):
         pivot.topk_pivot(spark.createDataFrame([(1, [1.0, 2.0])], "query_index long, embedding array<double>"), lib, 3)
+
+
+def test_positions_of_csv_rows(spark, tmp_path):
+    """Many splits of a large file, small files that share a task, blank lines, quoted values and no header."""
+    (tmp_path / "m").mkdir()
+    want = []
+    for name, n in (("b.csv", 4000), ("a.csv", 3), ("c.csv", 1), ("d.csv", 0)):
+        lines = [f"{name}{i},\"x, {i}\"" for i in range(n)]
+        (tmp_path / "m" / name).write_text("name,note\n" + "\n\n".join(lines) + "\n")
+        want.append((name, lines))
+    want = [line.split(",")[0] for _, lines in sorted(want) for line in lines]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        rows = readers.read_positional(spark, f"{tmp_path}/m").collect()
+        plain = readers.read_positional(spark, f"{tmp_path}/m/a.csv", header=False).orderBy("position").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.name for r in sorted(rows, key=lambda r: r.position)] == want and sorted(r.position for r in rows) == list(range(len(want)))
+    assert [r.position for r in plain] == [0, 1, 2, 3] and plain[0]["_c0"] == "name"
+    lib = spark.createDataFrame([(0, [1.0]), (len(want), [2.0])], "library_index long, embedding array<double>")
+    assert [(r.library_index, r.name) for r in readers.join_positional(lib, spark.createDataFrame([tuple(r) for r in rows], "name string, note string, position long")).orderBy("library_index").collect()] == [(0, want[0]), (len(want), None)]
+
+
+def test_unknown_weight_modes_are_refused():
+    rng = np.random.default_rng(1)
+    assert simulate.weights(2, rng, "equal") == [0.5, 0.5] and abs(sum(simulate.weights(3, rng, "uniform")) - 1) < 1e-12
+    with pytest.raises(ValueError, match="unknown"):
+        simulate.weights(2, rng, "normal")
+
+
+def test_summaries_tell_what_is_not_finite(spark):
+    """The refusing side: NaN, infinity and null count against the share and have no norm; all zeros are refused."""
+    rows = [(1, [3.0, 4.0]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    r = V.summary(df).first()
+    assert (r.n_rows, r.finite_ratio, r.min_norm, r.mean_norm, r.max_norm) == (4, 0.5, 0.0, 2.5, 5.0)
+    for bad, said in ((df, "2 rows are not finite"), (df.where("id = 4"), "all vectors are zero")):
+        with pytest.raises(ValueError, match=said):
+            V.require_usable(bad)
+    assert V.require_usable(df.where("id in (1, 4)")).count() == 2
