@@ -4,7 +4,8 @@ One Aho-Corasick automaton over all magic bytes scans a value; at each hit the f
 structure and tells the length. A valid hit at the start gives the value's type, which corrects the declared
 one; valid hits further on are embedded media and are carved. Formats: PNG, GIF, BMP, WAVE, JPEG, gzip, ZIP, PDF,
 FLAC. A validator never reads outside the value, and a hit that fails it is no media. Values are never copied for a
-hit; end marks are located once for a value, and gzip members are inflated in pieces that are thrown away.
+hit; end marks are located once for a value, and gzip members are inflated in pieces that are thrown away. Places
+that heads lead to are inflated once; beyond WASTE inflated bytes in vain, heads are listed without a length (bytes null).
 
 For documents, the UTF-8 bytes, padded with 255 to a positive multiple of 576, are stored as 8-bit grey samples
 of a 24-wide PNG (equal texts give equal bytes), then sniffed, carved, decoded and described. The payload itself is
@@ -31,7 +32,9 @@ from .scratch import columns
 from .text import column
 
 UNIT, WIDTH = 576, 24
-PIECE, NAME = 1 << 20, 1 << 14  # bytes of a gzip member taken and inflated at once, and of its name at most
+PIECE = 1 << 20  # bytes of a gzip member taken and inflated at once
+#: Bytes that gzip heads of one value that prove to be none may inflate, and for each byte of the value; heads after that are told unconfirmed.
+WASTE, WASTE_RATE = 1 << 25, 8
 
 #: Magic bytes of formats, where in the value they stand, and media types.
 SIGNATURES = (
@@ -106,36 +109,12 @@ def wav_length(v: memoryview) -> int:
     return end if names >= {b"fmt ", b"data"} and at == end else 0
 
 
-def gzip_length(v: memoryview) -> int:
-    """A member whose name and comment have at most NAME bytes each."""
-    if len(v) < 18 or v[3] & 0xE0:
-        return 0
-    at = 10 + (2 + struct.unpack_from("<H", v, 10)[0] if v[3] & 4 else 0)
-    for flag in (8, 16):
-        if v[3] & flag:
-            end = bytes(v[at : at + NAME]).find(b"\0")
-            if end < 0:
-                return 0
-            at += end + 1
-    one, at, size = zlib.decompressobj(31), 0, 1 << 12
-    try:
-        while at < len(v) and not one.eof:
-            part = v[at : at + size]
-            at += len(part)
-            one.decompress(part, PIECE)
-            while one.unconsumed_tail and not one.eof:
-                one.decompress(one.unconsumed_tail, PIECE)
-            size = min(2 * size, PIECE)
-    except zlib.error:
-        return 0
-    return at - len(one.unused_data) if one.eof else 0
-
-
 class Marks:
     """Where the formats that are told by marks further on can end; each mark of a value is found once."""
 
     def __init__(self, value: bytes):
         self.value, self.zips, self.pdf, self.dead = value, None, None, set()
+        self.zeros, self.bad, self.spent = None, set(), 0
 
     def all(self, mark: bytes) -> list[int]:
         out, at = [], self.value.find(mark)
@@ -144,6 +123,56 @@ class Marks:
             at = self.value.find(mark, at + 1)
         return out
 
+    def after_zero(self, at: int) -> int:
+        """The place behind the next zero byte from `at` on; 0 where there is none."""
+        if self.zeros is None:
+            self.zeros = np.flatnonzero(np.frombuffer(self.value, np.uint8) == 0)
+        k = int(np.searchsorted(self.zeros, at))
+        return int(self.zeros[k]) + 1 if k < len(self.zeros) else 0
+
+    def gzip(self, start: int) -> int:
+        """A member whose data, sum and size hold; -1 where too much was inflated in vain before."""
+        v, at = self.value, start + 10
+        if start + 18 > len(v) or v[start + 3] & 0xE0:
+            return 0
+        flags = v[start + 3]
+        if flags & 4:
+            at += 2 + struct.unpack_from("<H", v, at)[0]
+        for flag in (8, 16):
+            if flags & flag and not (at := self.after_zero(at)):
+                return 0
+        if at in self.bad or at + 8 > len(v):
+            return 0
+        if self.spent > WASTE + WASTE_RATE * len(v):
+            return -1
+        if flags & 2:
+            self.spent += at - start
+            if zlib.crc32(memoryview(v)[start:at]) & 0xFFFF != struct.unpack_from("<H", v, at)[0]:
+                return 0
+            at += 2
+        end = self.inflated(at)
+        if not end:
+            self.bad.add(at)
+        return max(end - start, 0)
+
+    def inflated(self, at: int) -> int:
+        """The end of the member whose deflated data start here, or 0; what is inflated for nothing is counted."""
+        v, one, crc, size, i, step = memoryview(self.value), zlib.decompressobj(-15), 0, 0, at, 1 << 12
+        try:
+            while i < len(v) and not one.eof:
+                part = v[i : i + step]
+                i, step = i + len(part), min(2 * step, PIECE)
+                while len(part) and not one.eof:
+                    piece = one.decompress(part, PIECE)
+                    crc, size, part = zlib.crc32(piece, crc), size + len(piece), one.unconsumed_tail
+            end = i - len(one.unused_data)
+            if one.eof and end + 8 <= len(v) and struct.unpack_from("<II", v, end) == (crc, size & 0xFFFFFFFF):
+                return end + 8
+        except zlib.error:
+            pass
+        self.spent += size + i - at
+        return 0
+
     def jpeg(self, start: int) -> int:
         """Segments from one place are the same for every start that reaches it, so a place that fails is looked at once."""
         v, at, been = self.value, start + 2, []
@@ -202,8 +231,8 @@ def flac_length(v: memoryview) -> int:
 
 
 #: By the bytes from the start on, and by the marks of the whole value.
-LENGTHS: dict[str, Callable[[memoryview], int]] = {"image/png": png_length, "image/gif": gif_length, "image/bmp": bmp_length, "audio/wav": wav_length, "application/gzip": gzip_length, "audio/flac": flac_length}
-MARKED: dict[str, Callable[[Marks, int], int]] = {"image/jpeg": Marks.jpeg, "application/zip": Marks.zip, "application/pdf": Marks.pdf_end}
+LENGTHS: dict[str, Callable[[memoryview], int]] = {"image/png": png_length, "image/gif": gif_length, "image/bmp": bmp_length, "audio/wav": wav_length, "audio/flac": flac_length}
+MARKED: dict[str, Callable[[Marks, int], int]] = {"image/jpeg": Marks.jpeg, "application/gzip": Marks.gzip, "application/zip": Marks.zip, "application/pdf": Marks.pdf_end}
 
 
 class Sniffer:
@@ -216,13 +245,13 @@ class Sniffer:
         self.automaton.make_automaton()
 
     def parts(self, value: bytes) -> list[tuple[str, int, int]]:
-        """Type, start and length of each media part; parts inside a part before them are not looked at."""
+        """Type, start and length of each media part; parts inside a part before them are not looked at. Length 0: unconfirmed."""
         out, free, view, marks = [], 0, memoryview(value), Marks(value)
         for last, (back, kind) in self.automaton.iter(value.decode("latin-1")):
             start = last + 1 - back
             if start >= free and (n := LENGTHS[kind](view[start:]) if kind in LENGTHS else MARKED[kind](marks, start)):
-                out.append((kind, start, n))
-                free = start + n
+                out.append((kind, start, max(n, 0)))
+                free = start + max(n, 0)
         return out
 
 
@@ -235,9 +264,9 @@ def sniff(media: DataFrame, value: str = "value", declared: str = "declared") ->
         for batch in batches:
             values = [v or b"" for v in column(batch, "value").to_pylist()]
             found = [sniffer.parts(v) for v in values]
-            kinds = [p[0][0] if p and p[0][1] == 0 else None for p in found]
+            kinds = [p[0][0] if p and p[0][1] == 0 and p[0][2] else None for p in found]
             said = column(batch, "declared").to_pylist()
-            cut = [[{"type": k, "start": s, "bytes": v[s : s + n]} for k, s, n in p] for p, v in zip(found, values, strict=True)]
+            cut = [[{"type": k, "start": s, "bytes": v[s : s + n] if n else None} for k, s, n in p] for p, v in zip(found, values, strict=True)]
             yield pa.record_batch([column(batch, "doc"), pa.array(kinds, pa.string()), pa.array([k is not None and k != d for k, d in zip(kinds, said, strict=True)], pa.bool_()), pa.array(cut, part)], ["doc", "media_type", "corrected", "parts"])
 
     given = dict(zip(media.columns, columns(media), strict=True))

@@ -514,6 +514,37 @@ def test_values_full_of_magic_bytes_take_linear_time():
     assert time.perf_counter() - began < 30
 
 
+def test_gzip_heads_share_what_was_inflated(spark):
+    """Heads that lead into one long stream, by names or by stored blocks; names of any length; truncated and false members."""
+    import gzip
+    import io
+    import struct
+    import time
+
+    deflate, s = zlib.compressobj(9, zlib.DEFLATED, -15), media.Sniffer()
+    raw = deflate.compress(bytes(20_000_000)) + deflate.flush() + b"x" * 8
+    named = b"\x1f\x8b\x08\x08abcdef" * 200 + b"\0" + raw
+    # each head holds the heads after it in a stored block, behind which the common stream starts
+    stored = b"".join(b"\x1f\x8b\x08\0\0\0\0\0\0\x03\0" + struct.pack("<HH", n, n ^ 0xFFFF) for n in range(199 * 15, -1, -15)) + raw
+    began = time.perf_counter()
+    assert s.parts(named) == []
+    told = s.parts(stored)
+    assert time.perf_counter() - began < 1.5  # 18 seconds when each head inflated the stream
+    # those that were inflated are no media, the others are told as unconfirmed, none is lost
+    assert told == [("application/gzip", 15 * k, 0) for k in range(told[0][1] // 15, 200)] and told[0][1] < 60
+    out = io.BytesIO()
+    with gzip.GzipFile(filename="n" * 100_000, mode="wb", fileobj=out, mtime=0) as f:
+        f.write(b"hello" * 1000)
+    long, plain = out.getvalue(), gzip.compress(bytes(range(256)) * 9, mtime=0)
+    assert s.parts(b"abc" + long + b"zz" + plain + b"t") == [("application/gzip", 3, len(long)), ("application/gzip", 5 + len(long), len(plain))]
+    check = struct.pack("<H", zlib.crc32(plain[:3] + b"\x02" + plain[4:10]) & 0xFFFF)
+    summed = plain[:3] + b"\x02" + plain[4:10] + check + plain[10:]
+    assert s.parts(summed) == [("application/gzip", 0, len(summed))] and s.parts(summed[:10] + b"??" + summed[12:]) == []
+    assert s.parts(plain[:-1]) == s.parts(plain[:-8] + b"12345678") == s.parts(plain[:12]) == []
+    row = media.sniff(spark.createDataFrame([(stored[15 * 100 :], "a")], "value binary, declared string")).first()
+    assert row.media_type is None and not row.corrected and {p.bytes for p in row.parts} == {None}
+
+
 def test_media_in_texts(spark):
     pdf = "%PDF-1.4\nstartxref\n0\n%%EOF"
     got = by_id(media.media_features(frame(spark, [(1, "see " + pdf + " and"), (2, pdf), (3, None)])))
