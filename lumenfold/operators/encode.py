@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.metadata import infer_ion_mode
 from ..functions.peaks import clean_peaks, finite, masked_inputs, padded_tokens, raw_masked_inputs, spectrum_record, valid_peaks, words
-from ..functions.vectors import unit
+from ..functions.vectors import let, unit
 
 
 def _unit_rows(rows: DataFrame, key: str) -> DataFrame:
@@ -71,13 +71,18 @@ def documents(spectra: DataFrame, key: str, decimals: int = 2, clean: bool = Tru
 def word_vectors(docs: DataFrame, vectors: DataFrame, key: str, power: float = 0.5) -> DataFrame:
     """sum(weight**power * vector) / sum(weight**power) over known words, of unit norm. vectors: word, vector.
 
-    Documents without a known word drop out here; keep_all() gives them zeros.
+    Spark's weighted mean of vectors adds them up a row per word, and before the shuffle, so a document costs a row per
+    task. Weights that are null, not finite or not above 0 and words with a null vector count for nothing. Documents
+    without a known word drop out here; keep_all() gives them zeros.
     """
-    w = F.pow("weight", F.lit(power))
-    rows = docs.join(vectors, "word").select(key, w.alias("w"), F.posexplode("vector").alias("i", "x"))
-    sums = rows.groupBy(key, "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
-    v = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p.x)
-    return sums.groupBy(key).agg(v.alias("embedding")).withColumn("embedding", unit(F.col("embedding")))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    w = F.pow(F.when(finite(F.col("weight")) & (F.col("weight") > 0), F.col("weight")), F.lit(power))
+    known = vectors.where(F.col("vector").isNotNull()).select("word", array_to_vector("vector").alias("v"))
+    rows = docs.select(key, "word", w.cast("double").alias("w")).where("w IS NOT NULL").join(known, "word")
+    means = rows.groupBy(key).agg(Summarizer.mean(F.col("v"), F.col("w")).alias("v"))
+    return means.select(key, let(vector_to_array("v"), unit).alias("embedding"))
 
 
 def by_mode(docs: DataFrame, models: dict[str, DataFrame], key: str, mode: str = "ion_mode", power: float = 0.5) -> DataFrame:

@@ -234,6 +234,26 @@ def test_streaming_search(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 90
 
 
+def test_word_vectors_are_weighted_means(spark):
+    """Against a loop: repeated, unknown and null words, null vectors, weights that count for nothing; dealt in any way."""
+    rng, nan, inf = np.random.default_rng(5), float("nan"), float("inf")
+    model = {f"w{k}": rng.normal(size=7).tolist() for k in range(30)} | {"none": None}
+    rows = [(int(d), f"w{k}", float(x)) for d, k, x in zip(rng.integers(0, 40, 900), rng.integers(0, 35, 900), rng.random(900), strict=True)]
+    rows += [(1, "w1", x) for x in (None, nan, inf, -inf, 0.0, -2.0)] + [(2, None, 1.0), (2, "none", 1.0), (90, "w1", 0.0), (91, "unknown", 1.0), (92, "none", 1.0), (93, "w2", 4.0)]
+    vectors = spark.createDataFrame(list(model.items()), "word string, vector array<double>")
+    docs = spark.createDataFrame(rows, "id int, word string, weight double")
+    sums = {}
+    for d, w, x in rows:
+        if model.get(w) is not None and x is not None and 0 < x < inf:
+            sums[d] = sums.get(d, 0) + x**0.5 * np.array(model[w])
+    for tasks in (1, 7):
+        got = {r.id: r.embedding for r in encode.word_vectors(docs.repartition(tasks), vectors, "id").collect()}
+        assert got.keys() == sums.keys() and not got.keys() & {90, 91, 92}
+        for d, v in sums.items():
+            assert np.allclose(got[d], v / np.linalg.norm(v), atol=1e-12)
+    assert encode.word_vectors(docs.limit(0), vectors, "id").count() == encode.word_vectors(docs, vectors.limit(0), "id").count() == 0
+
+
 def test_word_vectors_train_and_fall_back(spark):
     docs = encode.documents(Q.spectra(spark, SF).limit(20), "id", 0)
     model = encode.train_word_vectors(docs, "id", size=4, window=5, epochs=1)
