@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Tokens that name an ion mode, tested in this order in legacy mode.
 NEGATIVE = ("negative", "neg", "-")
@@ -28,7 +28,7 @@ def normalize_ion_mode(text: Column, legacy: bool = False) -> Column:
     if legacy:
         number = F.when(F.typeof(text).rlike("^(tinyint|smallint|int|bigint|float|double|decimal)"), number)
     number = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
-    #: Names and endings of the two modes, below.
+    # Names and endings of the two modes, below.
     bare = F.regexp_replace(low, "[ _/-]" if legacy else "[ _/]", "")
     return (
         F.when(number < 0, "negative").when(number > 0, "positive").when(number == 0, None)
@@ -83,6 +83,48 @@ def first_of(*columns: Column) -> Column:
     return F.coalesce(*[F.when(structure(c.cast("string")) != "", c.cast("string")) for c in columns])
 
 
+def scalar(value: Column, kind: T.DataType) -> Column:
+    """As a string: bytes decoded, of a list its first element, null for an empty one."""
+    if isinstance(kind, T.ArrayType):
+        return scalar(F.get(value, F.lit(0)), kind.elementType)
+    return decoded(value) if isinstance(kind, T.BinaryType) else value.cast("string")
+
+
+def probed(held: Column, kind: T.DataType, *path: str) -> Column:
+    """The scalar at a path of names in a struct, a map, a variant, a string of JSON, or the first record of a list; null where there is none."""
+    if isinstance(kind, T.ArrayType):
+        return probed(F.get(held, F.lit(0)), kind.elementType, *path)
+    if isinstance(kind, (T.StringType, T.VariantType)):
+        if any("'" in name and '"' in name for name in path):
+            raise ValueError(f"a name with both kinds of quotes can't be looked up in JSON: {path}")
+        at = "$" + "".join(f'["{name}"]' if "'" in name else f"['{name}']" for name in path)
+        v = F.try_parse_json(held) if isinstance(kind, T.StringType) else held
+        whole = F.when(~F.schema_of_variant(F.try_variant_get(v, at, "variant")).startswith("ARRAY"), F.try_variant_get(v, at, "string"))
+        return F.coalesce(F.try_variant_get(v, f"{at}[0][0]", "string"), F.when(whole.isNull(), F.try_variant_get(v, f"{at}[0]", "string")), whole)
+    name, *rest = path
+    if isinstance(kind, T.StructType) and name in kind.names:
+        value, inner = held.getField(name), kind[name].dataType
+    elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        value, inner = F.try_element_at(held, F.lit(name)), kind.valueType
+    else:
+        return F.lit(None).cast("string")
+    return probed(value, inner, *rest) if rest else scalar(value, inner)
+
+
+def metadata_value(df: DataFrame, *names: str, containers: tuple[str, ...] = ("obs", "metadata", "item")) -> Column:
+    """The first value under one of the names, as a string: a column, then a field of a container column, then of its `metadata`.
+
+    In each place the names count in the order given, and a null value lets the next be tried. Containers are structs,
+    maps, variants, strings of JSON, or lists of such records, of which the first counts; broken JSON holds nothing.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    column = lambda name: df[f"`{name.replace('`', '``')}`"]
+    found = [scalar(column(name), kinds[name]) for name in names if name in kinds]
+    for c in (c for c in containers if c in kinds):
+        found += [probed(column(c), kinds[c], *inside, name) for inside in ((), ("metadata",)) for name in names]
+    return F.coalesce(*found, F.lit(None).cast("string"))
+
+
 def method_name(path: Column) -> Column:
     """The method in library_<method>.npy, or <name>.<method>.npy, or the bare stem; lower case."""
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.(npy|npz)$", "")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -265,6 +266,24 @@ def metadata_fallbacks(spark, d):
     )
 
 
+@query("SELECT o_orderkey AS id, o_orderkey % 7 AS form, CASE WHEN o_orderkey % 11 > 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE o_orderstatus END END AS found FROM orders")
+def metadata_containers(spark, d):
+    """The same field as a column of lists and in six kinds of containers, under one of two names, in some rows under none."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k.alias("id"), (k % 7).alias("form"), F.when((k % 11 > 0) & (k % 2 == 0), F.col("o_orderpriority")).alias("one"), F.when((k % 11 > 0) & (k % 2 == 1), F.col("o_orderstatus")).alias("two"))
+    pair = F.struct(F.col("one").alias("ion mode"), F.array("two").alias("polarity"))
+    forms = {
+        "ion mode": F.array(F.coalesce("one", "two")), "obs": pair, "item": F.array(F.struct(pair.alias("metadata"))), "metadata": F.to_json(pair),
+        "obs ": F.parse_json(F.to_json(F.struct(pair.alias("metadata")))), "metadata ": F.map_filter(F.create_map(F.lit("ion mode"), F.col("one"), F.lit("polarity"), F.col("two")), lambda _, v: v.isNotNull()),
+        "item ": F.create_map(F.lit("metadata"), F.create_map(F.lit("polarity"), F.encode(F.coalesce("one", "two"), "UTF-8"))),
+    }
+    parts = []
+    for i, (name, held) in enumerate(forms.items()):
+        mine = rows.where(F.col("form") == i).select("id", "form", held.alias(name.strip()))
+        parts.append(mine.select("id", "form", M.metadata_value(mine, "ion mode", "polarity").alias("found")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     """WITH n AS (SELECT l_orderkey AS scan_index, count(*) AS n, (1 + l_orderkey % 3) AS level FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY scan_index) AS k FROM n WHERE level = 2 AND n >= 3)
 SELECT scan_index, n::BIGINT AS n_peaks FROM r WHERE k <= 500"""

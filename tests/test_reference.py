@@ -56,6 +56,21 @@ def test_edges_of_bins_and_tokens(spark):
     assert df.select(F.transform("peaks", lambda p: P.token_ids(p.mz))).first()[0] == [100, 100, 102]
 
 
+def test_metadata_in_containers(spark):
+    """Order of places and names, nested lists, broken JSON, quotes, bytes, missing containers; one with null as its value."""
+    get = lambda rows, schema, *names, **how: [r[0] for r in spark.createDataFrame(rows, schema).coalesce(1).transform(lambda d: d.select(M.metadata_value(d, *names, **how))).collect()]
+    texts = ['{"a": [["x"]], "b": 1}', '{"a": [], "b": 2.5}', '{"a": null, "b": true}', "{broken", None, '{"metadata": {"b": "in"}}', "[1]", '{"b": {"c": 1}}']
+    assert get([(t,) for t in texts], "metadata string", "a", "b") == ["x", "2.5", "true", None, None, "in", None, '{"c":1}']
+    assert get([("top", {"a": "map"}), (None, {"a": "map"}), (None, {}), (None, None)], "b string, obs map<string,string>", "a", "b") == ["top", "map", None, None]
+    assert get([({"metadata": {"a": "deep"}},), ({"metadata": {}},)], "item map<string,map<string,string>>", "a") == ["deep", None]
+    assert get([([bytearray(b"p\xffos")],), ([],), (None,)], "`od.d` array<binary>", "od.d") == ["pos", None, None]
+    assert get([('{"it\'s": 1, "say \\"x\\"": 2}',)], "metadata string", "it's") == ["1"]
+    assert get([((7, ("n",)),)], "obs struct<z:int,metadata:struct<a:string>>", "a", "z") == ["7"]  # a container's own fields before its metadata's
+    assert get([(1,)], "other int", "a") == [None]
+    with pytest.raises(ValueError):
+        get([("{}",)], "metadata string", "both'\"")
+
+
 def test_ion_modes(spark):
     c = F.lit("[M-H2O+H]+")
     got = spark.range(1).select(M.infer_ion_mode(c, legacy=True), M.infer_ion_mode(c), M.normalize_ion_mode(F.lit("-1"), True), M.normalize_ion_mode(F.lit("-1")), M.normalize_ion_mode(F.lit("esi-"))).first()
