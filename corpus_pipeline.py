@@ -16,22 +16,27 @@ from lumenfold.llm.scratch import shared_dir
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a score below the threshold. Null and empty texts get the intercept's score; rows that repeat a doc_id are judged each; an empty table stays empty."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (without white space; null is empty) the longest, then that of the smallest doc_id; of rows that repeat it, one."""
     return exact.keep_distinct(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that of the smallest doc_id. Rows without words (null, empty, blank) all stay."""
     return minhash.keep_one_of_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row once or twice; a null source is the source ''. Rows with a null text count one token, and repeated rows each count."""
     return mixing.mixture(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece. A null or empty text is its end token alone; rows that repeat a doc_id are packed each."""
     return packing.pack_documents(docs)
 
 
