@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import metadata as M, peaks as P, vectors as V
 from .operators import decompose, encode, evaluate, filters, pivot, retrieve, score, simulate
-from .sources import matrices, readers
+from .sources import matrices, readers, runs
 from .sources.cache import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -437,6 +437,23 @@ def matrix_files(spark, d):
     return held.select(F.col("row").alias("library_index"), F.element_at(F.split("file", "/"), -1).alias("file"), F.round(total, 5).alias("total"), F.size("embedding").cast("long").alias("size"))
 
 
+@query(
+    f"""WITH {PEAKS}, s AS (SELECT id, count(*)::BIGINT AS n_peaks, round(sum(mz), 4) AS total_mz, round(sum(x), 4) AS total FROM p GROUP BY id)
+SELECT 'run_' || lpad((id // 2000)::VARCHAR, 12, '0') || '.mzML' AS file, row_number() OVER (PARTITION BY id // 2000 ORDER BY id) - 1 AS scan_index, 'number=' || id AS scan_id, 2 AS ms_level,
+round(o_totalprice / 500, 6) AS precursor_mz, n_peaks, total_mz, total FROM s JOIN orders ON o_orderkey = id"""
+)
+def run_files(spark, d):
+    """The spectra written as mzML files of 2,000 ids each, and read back by ranges of 20,000 bytes."""
+    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    rows = with_precursor(spark, d).select(F.floor(F.col("id") / 2000).alias("file"), F.col("id").alias("number"), "precursor_mz", "peaks")
+    runs.write_runs(rows, path).write.parquet(f"{path}-files")
+    total = lambda c: F.round(F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p[c]), 4)
+    held = readers.read_mzml_pieces(spark, path, 20_000)
+    return held.select(
+        F.element_at(F.split("file", "/"), -1).alias("file"), "scan_index", "scan_id", "ms_level", F.round("precursor_mz", 6).alias("precursor_mz"), F.size("peaks").cast("long").alias("n_peaks"), total("mz").alias("total_mz"), total("intensity").alias("total")
+    )
+
+
 @query(
     """WITH m AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS library_index, 'name ' || vec_id AS name, label::VARCHAR AS label FROM embeddings)
 SELECT library_index, name, label, len(e.embedding)::BIGINT AS size, round(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE)), 5) AS total FROM m JOIN (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS library_index, embedding FROM embeddings) e USING (library_index)"""

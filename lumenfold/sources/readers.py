@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import base64
-import io
 import os
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +15,7 @@ from ..functions.peaks import from_arrays, peak
 from ..schemas import SPECTRA
 from .cache import settled
 from .matrices import Matrices
+from .runs import Runs, parse_mzml
 
 
 #: Names of columns with peak lists, m/z and intensities, in the order in which they are tried.
@@ -185,52 +183,6 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
 
 
-def parse_mzml(raw: bytes) -> Iterator[dict]:
-    """The spectra of an mzML file."""
-    import xml.etree.ElementTree as ET
-
-    #: Accessions of the controlled vocabulary.
-    level, selected, isolation, negative, positive = "MS:1000511", "MS:1000744", "MS:1000827", "MS:1000129", "MS:1000130"
-    mz_array, intensity_array, double, zipped = "MS:1000514", "MS:1000515", "MS:1000523", "MS:1000574"
-    groups: dict[str, list[tuple]] = {}
-
-    def params(node) -> list[tuple]:
-        """Terms below a node in order, those of groups it refers to in their places."""
-        found = []
-        for p in node.iter():
-            name = p.tag.rpartition("}")[2]
-            if name == "cvParam":
-                found.append((p.get("accession"), p.get("value")))
-            elif name == "referenceableParamGroupRef":
-                found += groups.get(p.get("ref"), [])
-        return found
-
-    for _, node in ET.iterparse(io.BytesIO(raw)):
-        if node.tag.rpartition("}")[2] == "referenceableParamGroup":
-            groups[node.get("id")] = params(node)
-        if node.tag.rpartition("}")[2] != "spectrum":
-            continue
-        ions = params(node)
-        terms = dict(ions)
-        arrays = {}
-        for part in node.iter():
-            if part.tag.endswith("binaryDataArray"):
-                own = {name for name, _ in params(part)}
-                data = base64.b64decode(next((p.text or "" for p in part.iter() if p.tag.rpartition("}")[2] == "binary"), ""))
-                data = zlib.decompress(data) if zipped in own and data else data
-                for name in (mz_array, intensity_array):
-                    if name in own:
-                        arrays[name] = np.frombuffer(data, "<f8" if double in own else "<f4").astype(float)
-        # of several precursors the first
-        precursor = next((float(v) for a in (selected, isolation) for name, v in ions if name == a and v), float("nan"))
-        mode = "negative" if negative in terms else "positive" if positive in terms else None
-        mz, intensity = arrays.get(mz_array, np.zeros(0)), arrays.get(intensity_array, np.zeros(0))
-        ok = np.isfinite(mz) & np.isfinite(intensity) & (mz > 0) & (intensity > 0) if len(mz) == len(intensity) else np.zeros(0, bool)
-        peaks = [{"mz": m, "intensity": i} for m, i in zip(mz[ok], intensity[ok], strict=True)] if len(ok) else []
-        yield {"scan_index": int(node.get("index", 0)), "scan_id": node.get("id", ""), "ms_level": int(terms.get(level) or 0), "precursor_mz": precursor, "ionmode": mode, "peaks": peaks}
-        node.clear()
-
-
 def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     """All spectra of mzML files, with the file's own scan index. Filter with operators.filters.run_spectra."""
 
@@ -243,6 +195,13 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SPECTRA)
 
 
+def read_mzml_pieces(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+    """read_mzml() of a file or a folder by ranges of `size` bytes, for large files: many tasks a file, none of which holds it whole."""
+    spark.dataSource.register(Runs)
+    reader = spark.read.format(Runs.name())
+    return (reader if size is None else reader.option("bytes", size)).load(path)
+
+
 def true_counts(df: DataFrame, n: int | None = None) -> DataFrame | None:
     """query_index, component_count; None where the table has no such column."""
     if "component_count" not in df.columns:

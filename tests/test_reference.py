@@ -15,7 +15,7 @@ from lumenfold import queries as Q
 from lumenfold.functions import metadata as M, peaks as P, vectors as V
 from lumenfold.operators import decompose, encode, evaluate, filters, pivot, retrieve, score, simulate
 from lumenfold.plans import workflows
-from lumenfold.sources import cache, matrices, readers
+from lumenfold.sources import cache, matrices, readers, runs
 
 SF = "/root/testdata/sf0.001"
 
@@ -543,3 +543,36 @@ def test_summaries_tell_what_is_not_finite(spark):
         with pytest.raises(ValueError, match=said):
             V.require_usable(bad)
     assert V.require_usable(df.where("id in (1, 4)")).count() == 2
+
+
+def test_runs_in_pieces_equal_whole_runs(spark, tmp_path):
+    rows = spark.range(60).select(F.lit(0).alias("file"), F.col("id").alias("number"), F.when(F.col("id") % 3 > 0, F.col("id") + 0.5).alias("precursor_mz"), F.expr("transform(sequence(1, int(id) % 5 + 1), i -> struct(double(i * 10) as mz, double(i) as intensity))").alias("peaks"))
+    assert [r.n for r in runs.write_runs(rows, str(tmp_path)).collect()] == [60]
+    values = lambda df: [(r.scan_index, r.scan_id, r.ms_level, str(r.precursor_mz), r.ionmode, r.peaks) for r in df.orderBy("scan_index").collect()]
+    whole = values(readers.read_mzml(spark, str(tmp_path)))
+    assert len(whole) == 60 and whole[4][5] == [(10.0 * i, 1.0 * i) for i in range(1, 6)] and whole[3][3] == "None"
+    for size in (1_000, 7_777, 1 << 20):
+        pieces = readers.read_mzml_pieces(spark, str(tmp_path), size)
+        assert values(pieces) == whole
+        assert (pieces.rdd.getNumPartitions() > 10) == (size < 2_000)
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
+def test_pieces_begin_once_in_any_range(size):
+    held = [b'<spectrum index="0" id="a > b"/>', b"<p:spectrum\n id='/>'><x/></p:spectrum >", b'<spectrum id="' + b"y" * 900 + b'"><binary>' + b"A" * 3000 + b"</binary></spectrum>"]
+    text = b'<mzML><spectrumList count="3">' + b"\n".join(held) + b'</spectrumList></mzML><index name="spectrum"></index>'
+    found = [p for low in range(0, len(text), size) for p in runs.pieces(io.BytesIO(text), low, min(len(text), low + size), 300)]
+    assert found == held
+    with pytest.raises(ValueError, match="inside a spectrum"):
+        list(runs.pieces(io.BytesIO(text[:200]), 0, 200))
+
+
+def test_head_of_a_run_gives_groups_names_and_encoding():
+    text = '<?xml version="1.0" encoding="ISO-8859-1"?><p:mzML xmlns:p="u"><p:referenceableParamGroup id="g"><p:cvParam accession="MS:1000129"/></p:referenceableParamGroup><p:run><p:spectrum id="\xe9"/>'
+    groups, begin = runs.head(io.BytesIO(text.encode("latin-1")))
+    assert groups == {"g": [("MS:1000129", None)]}
+    piece = begin + '<p:spectrum id="\xe9"><p:referenceableParamGroupRef ref="g"/></p:spectrum>'.encode("latin-1") + b"</piece>"
+    row = runs.spectrum(runs.ET.fromstring(piece)[0], groups)
+    assert row["scan_id"] == "\xe9" and row["ionmode"] == "negative"
+    with pytest.raises(ValueError, match="UTF-16"):
+        runs.head(io.BytesIO(text.replace("ISO-8859-1", "UTF-16").encode("utf-16")))
