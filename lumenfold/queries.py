@@ -439,16 +439,16 @@ def matrix_files(spark, d):
 
 @query(
     f"""WITH {PEAKS}, s AS (SELECT id, count(*)::BIGINT AS n_peaks, round(sum(mz), 4) AS total_mz, round(sum(x), 4) AS total FROM p GROUP BY id)
-SELECT 'run_' || lpad((id // 2000)::VARCHAR, 12, '0') || '.mzML' AS file, row_number() OVER (PARTITION BY id // 2000 ORDER BY id) - 1 AS scan_index, 'number=' || id AS scan_id, 2 AS ms_level,
+SELECT 'run_' || lpad((id // 20000)::VARCHAR, 12, '0') || '.mzML' AS file, row_number() OVER (PARTITION BY id // 20000 ORDER BY id) - 1 AS scan_index, 'number=' || id AS scan_id, 2 AS ms_level,
 round(o_totalprice / 500, 6) AS precursor_mz, n_peaks, total_mz, total FROM s JOIN orders ON o_orderkey = id"""
 )
 def run_files(spark, d):
-    """The spectra written as mzML files of 2,000 ids each, and read back by ranges of 20,000 bytes."""
+    """The spectra written as mzML files of 20,000 ids each, and read back by ranges of 300,000 bytes."""
     path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
-    rows = with_precursor(spark, d).select(F.floor(F.col("id") / 2000).alias("file"), F.col("id").alias("number"), "precursor_mz", "peaks")
+    rows = with_precursor(spark, d).select(F.floor(F.col("id") / 20000).alias("file"), F.col("id").alias("number"), "precursor_mz", "peaks")
     runs.write_runs(rows, path).write.parquet(f"{path}-files")
     total = lambda c: F.round(F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p[c]), 4)
-    held = readers.read_mzml_pieces(spark, path, 20_000)
+    held = readers.read_mzml_pieces(spark, path, 300_000)
     return held.select(
         F.element_at(F.split("file", "/"), -1).alias("file"), "scan_index", "scan_id", "ms_level", F.round("precursor_mz", 6).alias("precursor_mz"), F.size("peaks").cast("long").alias("n_peaks"), total("mz").alias("total_mz"), total("intensity").alias("total")
     )
