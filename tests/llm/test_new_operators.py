@@ -297,3 +297,60 @@ def test_kinds_by_neighbours():
     assert sorted(map(sorted, toxicity.learned_kinds(rows))) == [["aa", "bb"], ["cc", "dd"]] and toxicity.learned_kinds([]) == []
     kinds, of = [("aa", "bb")], {"aa": 0, "bb": 0}
     assert toxicity.swapped("AA x bb, aa", kinds, of).__len__() == 2 and set(toxicity.swapped("AA x bb, aa", kinds, of)) == {"bb x bb bb", "aa x aa aa"} and toxicity.swapped("none", kinds, of) == []
+
+
+def test_class_score_is_that_of_counted_classes(spark):
+    """The class model counted by a loop, from the classes that training gave to words."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 5))) for _ in range(200)]
+    texts = [(i, rng.choice([None, "", "new words only%d" % i]) if i % 19 == 0 else " ".join(vocabulary[int(200 * rng.random() ** 2)] for _ in range(rng.randint(0, 60)))) for i in range(150)]
+    docs, how = frame(spark, [(i, t, "en", "s") for i, t in texts]).repartition(3), {"classes": 6, "frequent": 40, "least": 2, "top": 15}
+    t = brown.train(docs.where(~brown.held_out()), brown.Scratch(spark), **how)
+    words, of = t.words.value, t.model.of
+    k = {w.decode(): int(of[brown.FIRST + i]) for i, w in enumerate(words.words.to_pylist())} | {bytes(r.word).decode(): r.k for r in t.others.collect()}
+    k[None], rare = int(of[brown.END]), int(of[brown.RARE])
+    got = {r.doc_id: r for r in brown.class_scores(docs, **how).collect()}
+    tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (x or "").translate(LOW)), None] for i, x in texts}
+    c, pairs = Counter(), Counter()
+    for i, w in tokens.items():
+        if not got[i].held_out:
+            c.update(w)
+            pairs.update((k[a], k[b]) for a, b in zip([None, *w], w))
+    assert set(k) == set(c) | {None} and len({k[w] for w in k}) > 3 and any(k[w] != rare for w in c if w not in {x.decode() for x in words.words.to_pylist()} and w)
+    size, members = Counter(), Counter(k.values())
+    for w, n in c.items():
+        size[k[w]] += n
+    of_class = [sum(pairs[a, b] for b in range(6)) for a in range(6)]
+    for i, w in tokens.items():
+        score = 0.0
+        for a, b in zip([None, *w], w):
+            a, kb = k.get(a, rare), k.get(b, rare)
+            score += np.log10((pairs[a, kb] + 0.5) / (of_class[a] + 3)) + np.log10((c[b] + 0.5) / (size[kb] + 0.5 * (members[kb] + 1)))
+        assert got[i].score == pytest.approx(score, rel=1e-9), i
+
+
+@pytest.mark.parametrize("penalty", [0.0, 1.0])
+def test_fit_reaches_the_least_loss(penalty):
+    """Against Newton's method, which solves this smooth and convex problem to the last digits."""
+    rng, size, share, ridge = np.random.default_rng(4), 12, 0.2, 3e-3
+    rows = []
+    for _ in range(200):
+        has, toxic = np.flatnonzero(rng.random(size) < 0.3), int(rng.random() < 0.4)
+        has = np.union1d(has, [0]) if toxic and rng.random() < 0.6 else has
+        rows.append((toxic, has, [(has[has != j], np.union1d(has, [j]), bool(rng.random() < 0.5)) for j in rng.choice(size, 2)]))
+    y, x = np.array([r[0] for r in rows]), np.zeros((len(rows), size + 1))
+    x[:, size] = 1
+    for i, r in enumerate(rows):
+        x[i, r[1]] = 1
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())) / len(y)
+    inserted = np.array([p[2] for r in rows for p in r[2]])
+    d = np.array([np.isin(np.arange(size + 1), p[0]) * 1.0 - np.isin(np.arange(size + 1), p[1]) for r in rows for p in r[2]])
+    each = penalty / np.where(inserted, inserted.sum(), (~inserted).sum())
+    still = np.diag(np.append(np.full(size, ridge), 0)) + 2 * (d.T * each) @ d
+    loss = lambda w: (weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum() + w @ still @ w / 2
+    best = np.zeros(size + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ best))
+        best -= np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + still, x.T @ (weight * (p - y)) + still @ best)
+    w, bias = toxicity.minimise(rows, size, share, penalty, ridge)
+    assert 0 <= loss(np.append(w, bias)) - loss(best) + 1e-12 < 1e-9 and np.abs(np.append(w, bias) - best).max() < 1e-5
