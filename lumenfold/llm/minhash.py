@@ -32,7 +32,7 @@ from .scratch import Scratch, chosen
 from .text import SPACE, Block, blocks, column, mix, windows
 
 WORDS, HASHES, ROWS, BATCH, MISS = 5, 128, 4, 16, 1e-6
-PERCENT, SLOT_BITS = 75, 20
+PERCENT = 75
 _rng = np.random.RandomState(7)
 MUL = (_rng.randint(0, 2**31, HASHES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 XOR = _rng.randint(0, 2**32, HASHES, np.uint64).astype(np.uint32)
@@ -204,64 +204,47 @@ def split_members(members: DataFrame, comps: DataFrame, scratch: Scratch) -> Dat
     return m.join(split, "bucket", "left_semi").select("node", "comp").distinct()
 
 
-def slots(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def slot_counts(texts: DataFrame) -> np.ndarray:
-    """How many shingles (once per document) fall into each slot, the top SLOT_BITS bits of their hash: a table of fixed size."""
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """texts: node, text, comp. A row for each distinct shingle of each document: token (its hash), node, comp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << SLOT_BITS, np.int32)
         for block in blocks(batches, lower=True):
-            sums += np.bincount(np.concatenate([slots(x.h) for x in shingle_sets(block)]), minlength=1 << SLOT_BITS).astype(np.int32)
-        some = np.flatnonzero(sums)
-        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(sums[some])], ["slot", "n"])
+            sets = [s.h for s in shingle_sets(block)]
+            k = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            token = np.concatenate([np.zeros(0, np.uint64), *sets])
+            yield pa.record_batch([pa.array(token.view(np.int64)), column(block.rows, "node").take(k), column(block.rows, "comp").take(k)], ["token", "node", "comp"])
 
-    found = texts.select("text").mapInArrow(run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SLOT_BITS, np.int64)
-    out[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return out
+    return texts.select("node", "text", "comp").mapInArrow(run, "token long, node long, comp long")
 
 
-def prefixes(texts: DataFrame) -> DataFrame:
-    """texts: node, text, comp. Each document's tokens of the prefix filter: token, node, comp, n (shingles), most.
+def prefixes(shingles: DataFrame, scratch: Scratch) -> DataFrame:
+    """shingles: token, node, comp. Each document's tokens of the prefix filter: token, node, comp, n (shingles), most.
 
-    Shingles are ordered rarest slot first. Two sets that reach the threshold share a shingle in the first
-    n - ceil(0.75 n) + 1 of each, and behind their first common one both have enough left for the overlap that
-    their sizes ask for: `most` is the largest partner for which this one has. Any order gives all pairs; this one
-    makes copies with edits of their own differ early.
+    Shingles are ordered: first those of one component alone, then rarest first, by their exact number of documents. Two sets
+    that reach the threshold share a shingle in the first n - ceil(0.75 n) + 1 of each, and behind their first common one
+    both have enough left for the overlap that their sizes ask for: `most` is the largest partner for which this one
+    has. Any order gives all pairs. Those of one component alone can't be shared by the pairs that are asked for, so they
+    take up places without a row, and a document with more than a quarter of them has no row at all.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(slot_counts(texts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for block in blocks(batches, lower=True):
-            parts = []
-            for k, x in enumerate(s.h for s in shingle_sets(block)):
-                often = counts[slots(x)]
-                order = np.lexsort((x, often))[: len(x) - -(-PERCENT * len(x) // 100) + 1]
-                at = np.flatnonzero(often[order] > 1)  # the rest is in no other set
-                most = ((100 + PERCENT) * (len(x) - at) - PERCENT * len(x)) // PERCENT
-                parts.append((np.full(len(at), k), x[order[at]], np.full(len(at), len(x)), most))
-            k, token, n, most = (np.concatenate(x) for x in zip(*parts, strict=True))
-            k = pa.array(k)
-            yield pa.record_batch([pa.array(token.view(np.int64)), column(block.rows, "node").take(k), column(block.rows, "comp").take(k), pa.array(n), pa.array(most)], ["token", "node", "comp", "n", "most"])
-
-    return texts.select("node", "text", "comp").mapInArrow(run, "token long, node long, comp long, n long, most long")
+    mixed = shingles.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("often"))
+    mixed = scratch.keep(mixed.where("low < high").select("token", "often"), "mixed")
+    held = shingles.select("token", "node").join(mixed, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
+    rows = held.join(shingles.groupBy("node").agg(F.first("comp").alias("comp"), F.count("*").alias("n")), "node")
+    own = F.col("n") - F.size("t")
+    rows = rows.withColumn("own", own).withColumn("left", (F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1 - own).cast("int"))
+    rows = rows.where("left > 0").select("node", "comp", "n", "own", F.posexplode(F.slice("t", F.lit(1), F.col("left"))).alias("i", "t"))
+    most = F.floor(((100 + PERCENT) * (F.col("n") - F.col("own") - F.col("i")) - PERCENT * F.col("n")) / PERCENT)
+    return rows.select("t.token", "node", "comp", "n", most.alias("most"))
 
 
 def prefix_pairs(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs a, b of different components that a prefix filter can't rule out.
 
-    Tokens of one component alone are left out. The others are joined by token and class of length, the smaller
-    document's row standing in every class that its largest partner allows. So a token that very many documents
-    hold costs pairs only where sizes and places leave room for the threshold, and is dealt by length; its rows are a
-    plain table, so that the join can split it further.
+    Tokens are joined with the class of length, the smaller document's row standing in every class that its largest
+    partner allows. So a token that very many documents hold costs pairs only where sizes and places leave room for the
+    threshold, and is dealt by length; its rows are a plain table, so that the join can split it further.
     """
-    rows = scratch.keep(prefixes(texts), "prefixes")
-    mixed = scratch.keep(rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token"), "mixed")
-    rows = scratch.keep(rows.join(mixed, "token", "left_semi"), "tokens")
+    rows = scratch.keep(prefixes(scratch.keep(shingle_rows(texts), "shingles"), scratch), "tokens")
     size = lambda n: F.floor(F.log(F.col(n)) / F.log(F.lit(1.1)) + 1e-9).cast("int")
     a, b = (rows.select("token", *[F.col(c).alias(c + x) for c in ("node", "comp", "n", "most")]) for x in "ab")
     a = a.where("mosta >= na").withColumn("size", F.explode(F.sequence(size("na"), size("mosta"))))

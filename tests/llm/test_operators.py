@@ -700,6 +700,28 @@ def test_near_chain_across_components(spark):
     assert {i: got[i].component_id for i, _ in rows} == near_components(rows)
 
 
+def test_prefixes_hold_only_tokens_that_several_components_can_share(spark):
+    """A passage that two documents of different components have, in longer ones whose other words their own component has more often."""
+    rng = random.Random(4)
+    word = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    own, rows = word(60), []
+    for i in range(20):
+        passage = word(40)
+        rows += [(i, " ".join(own + passage), 0), (100 + i, " ".join(passage), 100 + i)]
+    near = word(80)
+    rows += [(200, " ".join(near), 200), (201, " ".join(near + word(3)), 201)]
+    kept = {}
+
+    class Held(Scratch):
+        def keep(self, df, name="t"):
+            kept[name] = super().keep(df, name)
+            return kept[name]
+
+    pairs = minhash.prefix_pairs(spark.createDataFrame(rows, "node long, text string, comp long"), Held(spark))
+    assert {(r.a, r.b) for r in pairs.collect()} == {(200, 201)}
+    assert kept["tokens"].where("comp = 0").count() == 0
+
+
 def test_least_matches_is_the_posterior_bound():
     assert minhash.least_matches(128) < 0.75 * 128 and minhash.least_matches(128, 0.5) > minhash.least_matches(128, 1e-6)
 
