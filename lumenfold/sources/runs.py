@@ -1,7 +1,7 @@
 """mzML runs: a parser for whole files, and a data source that reads ranges of bytes as partitions.
 
 A spectrum belongs to the range in which its start tag begins, so a large file is read by many tasks and each holds
-one spectrum and a chunk at a time. Groups of terms stand before the run; each task reads that head of its file. Paths
+one spectrum and a chunk at a time. Of very many ranges neighbours go to one task. Groups of terms stand before the run; each task reads that head of its file. Paths
 are those that pyarrow's file systems open; a path can be a file or a folder. Files must be in an encoding that keeps
 ASCII's bytes (UTF-8, Latin). A start tag of a spectrum inside a comment isn't told apart from others.
 """
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schemas import SPECTRA
+from .ranges import gathered
 
 BYTES, CHUNK, TAIL = 64 << 20, 4 << 20, 256
 OPEN = re.compile(rb"<(?:[\w.-]+:)?spectrum(?=[\s/>])")
@@ -146,24 +147,45 @@ def pieces(f, low: int, high: int, chunk: int = CHUNK) -> Iterator[bytes]:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     file: str
     low: int
     high: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    ranges: list[Range]
+
+
+def joined(ranges: list[Range]) -> list[Range]:
+    """Neighbours in one file as one range."""
+    out: list[Range] = []
+    for r in ranges:
+        if out and (out[-1].file, out[-1].high) == (r.file, r.low):
+            out[-1] = Range(r.file, out[-1].low, r.high)
+        else:
+            out.append(r)
+    return out
+
+
 class RunReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.size, self.chunk = options["path"], int(options.get("bytes", BYTES)), int(options.get("chunk", CHUNK))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         store, path = fs.FileSystem.from_uri(self.root)
         info = store.get_file_info(path)
         found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path))
         files = [f for f in found if f.type == fs.FileType.File and (f is info or f.path.lower().endswith(".mzml"))]
-        return [Range(f.path, low, min(f.size, low + self.size)) for f in sorted(files, key=lambda f: f.path) for low in range(0, f.size, self.size)]
+        ranges = [Range(f.path, low, min(f.size, low + self.size)) for f in sorted(files, key=lambda f: f.path) for low in range(0, f.size, self.size)]
+        return [Ranges(joined(part)) for part in gathered(ranges, [r.high - r.low for r in ranges])]
+
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
+        for one in part.ranges:
+            yield from self.spectra(one)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def spectra(self, part: Range) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.root)
         with store.open_input_file(part.file) as f:
             groups, begin = head(f)

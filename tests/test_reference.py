@@ -557,6 +557,21 @@ def test_runs_in_pieces_equal_whole_runs(spark, tmp_path):
         assert (pieces.rdd.getNumPartitions() > 10) == (size < 2_000)
 
 
+def test_many_ranges_share_tasks(spark, tmp_path):
+    """Ranges far smaller than their number asks for: tasks stay bounded and all rows come, in files of one range and of many."""
+    rows = spark.range(4_000).select(F.floor(F.col("id") / 40).alias("file"), F.col("id").alias("number"), F.lit(100.5).alias("precursor_mz"), F.expr("array(struct(double(id + 1) as mz, 1.0D as intensity))").alias("peaks"))
+    assert runs.write_runs(rows, str(tmp_path / "r")).count() == 100
+    held = readers.read_mzml_pieces(spark, str(tmp_path / "r"), 1_000)
+    assert held.rdd.getNumPartitions() <= 256
+    assert sorted(r.m for r in held.select(F.col("peaks")[0].mz.alias("m")).collect()) == [float(k + 1) for k in range(4_000)]
+    for name, some in (("one", rows.where("file = 0").select(F.lit(0).alias("file"), F.explode(F.sequence(F.col("number") * 100, F.col("number") * 100 + 99)).alias("number"))), ("many", spark.range(400).select(F.col("id").alias("file"), F.col("id").alias("number")))):
+        matrices.write_matrices(some.withColumn("embedding", F.array(F.col("number").cast("float"))), str(tmp_path / name)).count()
+        spark.dataSource.register(matrices.Matrices)
+        held = spark.read.format("lumenfold_matrices").option("bytes", 40).load(str(tmp_path / name))
+        assert held.rdd.getNumPartitions() <= 256
+        assert sorted((r.row, r.x) for r in held.select("row", F.col("embedding")[0].alias("x")).collect()) == [(k, float(k)) for k in range(some.count())]
+
+
 @pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
 def test_pieces_begin_once_in_any_range(size):
     held = [b'<spectrum index="0" id="a > b"/>', b"<p:spectrum\n id='/>'><x/></p:spectrum >", b'<spectrum id="' + b"y" * 900 + b'"><binary>' + b"A" * 3000 + b"</binary></spectrum>"]
