@@ -1,7 +1,8 @@
 """A data source for folders of .npy matrices and .npz bundles: ranges of rows as partitions, one numbering over all files.
 
 Partitions are planned from the files' headers alone: a .npy file in row order is dealt into ranges of about `bytes`
-bytes, so a large file is read by many tasks; a bundle, and a matrix in column order, is one partition. Rows are numbered
+bytes, so a large file is read by many tasks; a bundle, and a matrix in column order, is one range. Of very many ranges
+neighbours are one partition. Rows are numbered
 over all files by path, then row, from 0. Paths are those that pyarrow's file systems open (local or shared folders, HDFS,
 object stores); a path can be a file or a folder. Pickled contents are refused.
 """
@@ -20,6 +21,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .ranges import gathered
+
 BYTES, CHUNK = 64 << 20, 4096
 TEXTS = ("smiles", "inchikey", "name", "formula")
 SCHEMA = "row long, embedding array<float>, bundle_method string, precursor_mz double, file string, " + ", ".join(f"{k} string" for k in TEXTS)
@@ -49,28 +52,33 @@ def member(names: list[str]) -> str:
 
 
 @dataclass
-class Rows(InputPartition):
+class Rows:
     file: str
     first: int
     low: int
     high: int
 
 
+@dataclass
+class Parts(InputPartition):
+    parts: list[Rows]
+
+
 class MatrixReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.size = options["path"], int(options.get("bytes", BYTES))
 
-    def partitions(self) -> list[Rows]:
+    def partitions(self) -> list[Parts]:
         store, path = fs.FileSystem.from_uri(self.root)
         info = store.get_file_info(path)
         found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path))
-        out, first = [], 0
+        out, sizes, first = [], [], 0
         for file in sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith((".npy", ".npz"))):
             try:
                 with store.open_input_file(file) as f:
                     if file.endswith(".npz"):
                         with zipfile.ZipFile(f) as z, z.open(member(z.namelist())) as m:
-                            (n, _), step = header(m)[0], None
+                            ((n, width), _, dtype), step = header(m), None
                     else:
                         (n, width), by_columns, dtype = header(f)
                         step = None if by_columns else max(1, self.size // max(1, width * dtype.itemsize))
@@ -78,10 +86,15 @@ class MatrixReader(DataSourceReader):
                 raise ValueError(f"{file}: {error}") from error
             for low in range(0, n, step or max(n, 1)):
                 out.append(Rows(file, first, low, min(n, low + (step or n))))
+                sizes.append((out[-1].high - low) * width * dtype.itemsize)
             first += n
-        return out
+        return [Parts(parts) for parts in gathered(out, sizes)]
+
+    def read(self, part: Parts) -> Iterator[pa.RecordBatch]:
+        for one in part.parts:
+            yield from self.rows(one)
 
-    def read(self, part: Rows) -> Iterator[pa.RecordBatch]:
+    def rows(self, part: Rows) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.root)
         with store.open_input_file(part.file) as f:
             if part.file.endswith(".npz"):
