@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.cache import settled
-from .retrieve import BLOCK, OUT, _best, _matrix, _ranked, _shape, _usable
+from .retrieve import BLOCK, OUT, _block_pairs, _joined, _matrix, _ranked, _shape, _usable
 
 PIVOT_BYTES, SLACK = 64 << 20, 1e-6
 
@@ -89,11 +89,7 @@ class PivotIndex:
         b = self.cells.drop("angle").join(deal, "cell").withColumn("lb", own("library_index", "ln")).withColumn("qb", every("qn")).drop("qn", "ln")
 
         def part(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            if not len(x) or not len(y):
-                return pd.DataFrame({"query_index": [], "library_index": [], "similarity": []})
-            y = y.sort_values("library_index")
-            mat, ids = _matrix(y["embedding"]), y["library_index"].to_numpy()
-            return pd.concat([_best(_matrix(x["embedding"].iloc[i : i + 256]), x["query_index"].to_numpy()[i : i + 256], mat, ids, k) for i in range(0, len(x), 256)])
+            return _joined(_block_pairs(x, y, k))
 
         return a.groupBy("cell", "qb", "lb").cogroup(b.groupBy("cell", "qb", "lb")).applyInPandas(part, OUT)
 

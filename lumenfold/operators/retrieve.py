@@ -2,8 +2,10 @@
 
 Two physical forms give the same rows. `block`: the library's
 matrix is broadcast and multiplied by batches of queries. `partitioned`: both sides are dealt into blocks, each
-pair of blocks is one task with a partial Top-K, and partial lists are merged. `auto` takes `block` while the
-library's matrix is below LIMIT bytes and `partitioned` beyond.
+pair of blocks is one task with a partial Top-K, and partial lists are merged. `block` and `auto` broadcast while the
+library's matrix is below LIMIT bytes, as each Python worker holds it, and are `partitioned` beyond. Beyond SIDE blocks a
+side, blocks grow up to BLOCK vectors, as each vector is copied once for each block of the other side. Products are made
+for QUERIES queries and CHUNK vectors at a time, and only those not below the K-th best so far are kept.
 
 Vectors that are null or not finite are left out. Ties go to the smaller library_index. With K above the size of
 the library every row is returned.
@@ -20,7 +22,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.vectors import all_finite
 
-LIMIT, BLOCK = 256 << 20, 20_000
+LIMIT, SHARED, BLOCK, SIDE = 32 << 20, 256 << 20, 20_000, 12
+QUERIES, CHUNK = 256, 4_096
 OUT = "query_index long, library_index long, similarity double"
 
 
@@ -36,7 +39,42 @@ def _matrix(values) -> np.ndarray:
 
 
 def _best(q: np.ndarray, ids: np.ndarray, lib: np.ndarray, lib_ids: np.ndarray, k: int) -> pd.DataFrame:
-    return _best_of(np.round(q @ lib.T, 12), ids, lib_ids, k)
+    """The k best of lib for each row of q; lib_ids ascend. Rounded products below a query's k-th best so far are never listed."""
+    row, col, sim, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), None
+    for at in range(0, len(lib_ids), CHUNK):
+        s = q @ lib[at : at + CHUNK].T
+        if least is None and s.shape[1] > k:
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        # rounding moves a product by half of 1e-12
+        r, c = np.nonzero(s >= least[:, None] - 2e-12) if least is not None else np.nonzero(np.ones(s.shape, bool))
+        if not len(r):
+            continue
+        row, col, sim = np.concatenate([row, r]), np.concatenate([col, c + at]), np.concatenate([sim, np.round(s[r, c], 12)])
+        order = np.lexsort((col, -sim, row))
+        row, col, sim = row[order], col[order], sim[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, sim, place = (x[place < k] for x in (row, col, sim, place))
+        last = place == k - 1
+        if last.any():
+            least = np.full(len(q), -np.inf) if least is None else least
+            least[row[last]] = np.maximum(least[row[last]], sim[last])
+    return pd.DataFrame({"query_index": ids[row], "library_index": lib_ids[col], "similarity": sim})
+
+
+def _block_pairs(queries: pd.DataFrame, library: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+    """The k best of one block of the library for each query of another block, a batch of queries at a time."""
+    if not len(queries) or not len(library):
+        return
+    library = library.sort_values("library_index")
+    lib, ids = _matrix(library["embedding"]), library["library_index"].to_numpy()
+    for at in range(0, len(queries), QUERIES):
+        part = queries.iloc[at : at + QUERIES]
+        yield _best(_matrix(part["embedding"]), part["query_index"].to_numpy(), lib, ids, k)
+
+
+def _joined(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    none = pd.DataFrame({"query_index": np.zeros(0, np.int64), "library_index": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+    return pd.concat([none, *parts])
 
 
 def _best_of(s: np.ndarray, ids: np.ndarray, lib_ids: np.ndarray, k: int) -> pd.DataFrame:
@@ -73,10 +111,10 @@ def _shape(*sides: DataFrame) -> tuple[int, list[int]]:
 
 
 def share(library: DataFrame) -> Broadcast | None:
-    """The library's matrix and ids, broadcast for topk_shared(); None if the matrix exceeds LIMIT."""
+    """The library's matrix and ids, broadcast for topk_shared(); None if the matrix exceeds SHARED."""
     lib = _usable(library, "library_index")
     size, (n,) = _shape(lib)
-    return _share(lib) if n * size * 8 <= LIMIT else None
+    return _share(lib) if n * size * 8 <= SHARED else None
 
 
 def _share(lib: DataFrame) -> Broadcast:
@@ -90,8 +128,8 @@ def topk_shared(queries: DataFrame, shared: Broadcast, k: int = 100) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lib, ids = shared.value
         for b in batches:
-            for at in range(0, len(b) if len(ids) else 0, 256):
-                part = b.iloc[at : at + 256]
+            for at in range(0, len(b) if len(ids) else 0, QUERIES):
+                part = b.iloc[at : at + QUERIES]
                 yield _best(_matrix(part["embedding"]), part["query_index"].to_numpy(), lib, ids, k)
 
     return _ranked(_usable(queries, "query_index").mapInPandas(run, OUT), k)
@@ -101,29 +139,28 @@ def topk_cosine(queries: DataFrame, library: DataFrame, k: int = 100, strategy:
     """queries: query_index, embedding; library: library_index, embedding. Gives query_index, rank, library_index, similarity."""
     q, lib = _usable(queries, "query_index"), _usable(library, "library_index")
     size, (n_queries, n_library) = _shape(q, lib)
-    if strategy == "auto":
-        strategy = "block" if n_library * size * 8 <= LIMIT else "partitioned"
-    if strategy == "block":
-        if n_library * size * 8 > LIMIT:
-            raise ValueError("the library is too large to broadcast; use partitioned")
-        return topk_shared(q, _share(lib), k)
-    if strategy != "partitioned":
+    if strategy not in ("auto", "block", "partitioned"):
         raise ValueError(f"unknown strategy {strategy}")
-    n, m = (max(1, -(-rows // block)) for rows in (n_queries, n_library))
+    if strategy != "partitioned" and n_library * size * 8 <= LIMIT:
+        # vectors are few in bytes but dear in time, so their number decides how many tasks search
+        tasks = min(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_queries // QUERIES))
+        return topk_shared(q.repartition(max(1, tasks)), _share(lib), k)
+    n, m = (blocks(rows, block) for rows in (n_queries, n_library))
     qb, lb = F.pmod(F.xxhash64("query_index"), F.lit(n)), F.pmod(F.xxhash64("library_index"), F.lit(m))
     a = q.withColumn("qb", qb).withColumn("lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     b = lib.withColumn("lb", lb).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
     def part(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"query_index": [], "library_index": [], "similarity": []})
-        y = y.sort_values("library_index")
-        mat, ids = _matrix(y["embedding"]), y["library_index"].to_numpy()
-        return pd.concat([_best(_matrix(x["embedding"].iloc[i : i + 256]), x["query_index"].to_numpy()[i : i + 256], mat, ids, k) for i in range(0, len(x), 256)])
+        return _joined(_block_pairs(x, y, k))
 
     return _ranked(a.groupBy("qb", "lb").cogroup(b.groupBy("qb", "lb")).applyInPandas(part, OUT), k)
 
 
+def blocks(rows: int, block: int, full: int = BLOCK) -> int:
+    """Blocks of `block` rows up to SIDE of them, then larger ones up to `full` rows."""
+    return max(1, min(-(-rows // block), max(SIDE, -(-rows // max(block, full)))))
+
+
 def topk_sparse(queries: DataFrame, library: DataFrame, k: int = 100, all_queries: DataFrame | None = None, all_library: DataFrame | None = None, block: int = 2_000) -> DataFrame:
     """Exact Top-K over sparse rows (query_index | library_index, bin, value); every query gets min(k, library) rows, those without a common bin score 0.
 

@@ -117,6 +117,26 @@ def test_topk_forms_agree_at_any_partitioning_and_with_ties(spark):
     assert retrieve.topk_cosine(q, lib.limit(0), 5).count() == 0 and retrieve.topk_cosine(q.limit(0), lib, 5).count() == 0
 
 
+@pytest.mark.parametrize(("n", "k"), [(900, 7), (300, 299), (40, 100)])
+def test_products_in_chunks_give_the_best_of_all(monkeypatch, n, k):
+    """Many equal vectors, so that ties stand across chunks; lists stay far below all products."""
+    monkeypatch.setattr(retrieve, "CHUNK", 64)
+    x = retrieve._matrix(list(np.tile(np.random.default_rng(1).normal(size=(30, 5)), (30, 1))[:n]))
+    ids = np.arange(n) * 2
+    got, want = retrieve._best(x[:20], ids[:20], x, ids, k), retrieve._best_of(np.round(x[:20] @ x.T, 12), ids[:20], ids, k)
+    assert got[["query_index", "library_index"]].to_numpy().tolist() == want[["query_index", "library_index"]].to_numpy().tolist()
+
+
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    """A vector's copies are bounded by SIDE until blocks are full; a library that is not broadcast gives the same rows."""
+    assert [retrieve.blocks(n, 200) for n in (0, 200, 201, 2_000, 200_000, 240_000, 1_000_000)] == [1, 1, 2, 10, 12, 12, 50]
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)], "id long, embedding array<double>")
+    q, lib = df.withColumnRenamed("id", "query_index"), df.withColumnRenamed("id", "library_index")
+    whole = sorted(retrieve.topk_cosine(q, lib, 5, "block").collect())
+    monkeypatch.setattr(retrieve, "LIMIT", 8)
+    assert sorted(retrieve.topk_cosine(q, lib, 5, "block", block=20).collect()) == whole
+
+
 @pytest.mark.parametrize(
     ("n", "conf", "mcs", "atoms", "exact", "want", "level"),
     [(10, None, 6, 8, 0, 0.5425, "Medium"), (10, None, 4, 8, 0, 0.2050, "Low"), (10, 0.8, 10, 10, 1, 0.94, "High"), (10, 0.5, 3, 0, 0, 0.5, "Medium"), (10, 0.9, 0, 10, 0, 0.0, "Low"), (None, None, None, 10, 0, 0.0, "Low")],
