@@ -24,6 +24,7 @@ from ..functions.vectors import all_finite
 
 LIMIT, SHARED, BLOCK, SIDE = 32 << 20, 256 << 20, 20_000, 12
 QUERIES, CHUNK = 256, 4_096
+SPARSE, SPARSE_SIDE, SPARSE_QUERIES = 8_000, 5, 1_000
 OUT = "query_index long, library_index long, similarity double"
 
 
@@ -156,21 +157,22 @@ def topk_cosine(queries: DataFrame, library: DataFrame, k: int = 100, strategy:
     return _ranked(a.groupBy("qb", "lb").cogroup(b.groupBy("qb", "lb")).applyInPandas(part, OUT), k)
 
 
-def blocks(rows: int, block: int, full: int = BLOCK) -> int:
-    """Blocks of `block` rows up to SIDE of them, then larger ones up to `full` rows."""
-    return max(1, min(-(-rows // block), max(SIDE, -(-rows // max(block, full)))))
+def blocks(rows: int, block: int, full: int = BLOCK, side: int = SIDE) -> int:
+    """How many blocks: of `block` rows up to `side` of them, then of larger ones up to `full` rows."""
+    return max(1, min(-(-rows // block), max(side, -(-rows // max(block, full)))))
 
 
 def topk_sparse(queries: DataFrame, library: DataFrame, k: int = 100, all_queries: DataFrame | None = None, all_library: DataFrame | None = None, block: int = 2_000) -> DataFrame:
     """Exact Top-K over sparse rows (query_index | library_index, bin, value); every query gets min(k, library) rows, those without a common bin score 0.
 
     Both sides are dealt into blocks of about `block` vectors and a task multiplies one pair of blocks over the bins
-    they share, so that a bin which all vectors have costs no more than others. all_queries and all_library (the key
+    they share, so that a bin which all vectors have costs no more than others. Beyond SPARSE_SIDE blocks a side,
+    blocks grow up to SPARSE vectors; a task's products are those of SPARSE_QUERIES vectors at a time. all_queries and all_library (the key
     columns) bring back keys without any bin, as zero vectors.
     """
     q, lib = _lists(queries, "query_index", all_queries), _lists(library, "library_index", all_library)
     counts = queries.agg(F.lit(0).alias("side"), F.approx_count_distinct("query_index").alias("n")).unionByName(library.agg(F.lit(1).alias("side"), F.approx_count_distinct("library_index").alias("n")))
-    n, m = (max(1, -(-r.n // block)) for r in sorted(counts.collect()))
+    n, m = (blocks(r.n, block, SPARSE, SPARSE_SIDE) for r in sorted(counts.collect()))
     qb, lb = F.pmod(F.xxhash64("query_index"), F.lit(n)), F.pmod(F.xxhash64("library_index"), F.lit(m))
     a = q.withColumn("qb", qb).withColumn("lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     b = lib.withColumn("lb", lb).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
@@ -179,7 +181,9 @@ def topk_sparse(queries: DataFrame, library: DataFrame, k: int = 100, all_querie
         if not len(x) or not len(y):
             return pd.DataFrame({"query_index": [], "library_index": [], "similarity": []})
         y = y.sort_values("library_index")
-        return _best_of(np.round(_products(x, y), 12), x["query_index"].to_numpy(), y["library_index"].to_numpy(), k)
+        ids = y["library_index"].to_numpy()
+        parts = (x.iloc[at : at + SPARSE_QUERIES] for at in range(0, len(x), SPARSE_QUERIES))
+        return _joined(_best_of(np.round(_products(p, y), 12), p["query_index"].to_numpy(), ids, k) for p in parts)
 
     return _ranked(a.groupBy("qb", "lb").cogroup(b.groupBy("qb", "lb")).applyInPandas(part, OUT), k)
 

@@ -414,6 +414,16 @@ def test_sparse_topk_by_blocks_with_a_bin_of_all(spark):
         assert np.lexsort((np.arange(60), -s[i]))[k - 1] == j and v == pytest.approx(s[i, j], abs=1e-9)
 
 
+def test_sparse_blocks_grow_and_their_queries_come_in_batches(spark, monkeypatch):
+    """Of 60 vectors in blocks of 2 a side has 5 blocks, not 30, and the rows are those of one block."""
+    rows = spark.range(60).select("id", F.explode(F.sequence(F.lit(0), F.col("id") % 7)).alias("bin")).withColumn("value", 1.0 + F.col("bin") * F.col("id") % 5)
+    q, lib = rows.withColumnRenamed("id", "query_index"), rows.withColumnRenamed("id", "library_index")
+    whole = sorted(retrieve.topk_sparse(q, lib, 4, block=100).collect())
+    monkeypatch.setattr(retrieve, "SPARSE_QUERIES", 5)
+    assert sorted(retrieve.topk_sparse(q, lib, 4, block=2).collect()) == whole
+    assert [retrieve.blocks(n, 2_000, retrieve.SPARSE, retrieve.SPARSE_SIDE) for n in (1_000, 20_000, 360_000)] == [1, 5, 45]
+
+
 def test_groups_of_many_lists_are_those_of_each():
     lists = [np.array(v) for v in ([], [5.0], [1.0, 1.0], [1.0] * 6 + [50.0] * 6, [float("nan"), 2.0, 90.0, 90.01], list(np.arange(30) * 7.0))]
     together = decompose.groups_of(lists, block=4)
