@@ -7,11 +7,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.metadata import infer_ion_mode
 from ..functions.peaks import clean_peaks, finite, masked_inputs, padded_tokens, raw_masked_inputs, spectrum_record, valid_peaks, words
 from ..functions.vectors import let, unit
+from ..sources.cache import settled
+
+MATRIX, CHUNK = 64 << 20, 8_192  # bytes of the vectors of a shard of words; rows multiplied at once
 
 
 def _unit_rows(rows: DataFrame, key: str) -> DataFrame:
@@ -68,21 +76,60 @@ def documents(spectra: DataFrame, key: str, decimals: int = 2, clean: bool = Tru
     return spectra.select(key, *more, F.explode(words(peaks, decimals)).alias("w")).select(key, *more, "w.word", "w.weight")
 
 
-def word_vectors(docs: DataFrame, vectors: DataFrame, key: str, power: float = 0.5) -> DataFrame:
-    """sum(weight**power * vector) / sum(weight**power) over known words, of unit norm. vectors: word, vector.
+def word_vectors(docs: DataFrame, vectors: DataFrame, key: str, power: float = 0.5, most: int = MATRIX) -> DataFrame:
+    """sum(weight**power * vector) / sum(weight**power) over known words, of unit norm. vectors: word, vector, all of one size.
 
-    Spark's weighted mean of vectors adds them up a row per word, and before the shuffle, so a document costs a row per
-    task. Weights that are null, not finite or not above 0 and words with a null vector count for nothing. Documents
-    without a known word drop out here; keep_all() gives them zeros.
+    Vectors are never copied to a document's words: a document's weights are summed by word, words are dealt into shards
+    whose vectors take about `most` bytes, and a shard's documents into blocks; a task multiplies a block's weights by its
+    shard's vectors. Only words that documents have are dealt, and with one shard the sums are not shuffled. Weights that
+    are null, not finite or not above 0 and words with a null vector count for nothing. Documents without a known word
+    drop out here; keep_all() gives them zeros.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
+    word = docs.select("word").limit(0).union(vectors.select("word").limit(0)).schema["word"].dataType
     w = F.pow(F.when(finite(F.col("weight")) & (F.col("weight") > 0), F.col("weight")), F.lit(power))
-    known = vectors.where(F.col("vector").isNotNull()).select("word", array_to_vector("vector").alias("v"))
-    rows = docs.select(key, "word", w.cast("double").alias("w")).where("w IS NOT NULL").join(known, "word")
-    means = rows.groupBy(key).agg(Summarizer.mean(F.col("v"), F.col("w")).alias("v"))
-    return means.select(key, let(vector_to_array("v"), unit).alias("embedding"))
+    rows = docs.select(key, F.col("word").cast(word).alias("word"), w.cast("double").alias("w")).where("w IS NOT NULL AND word IS NOT NULL")
+    used = rows.groupBy("word").agg(F.count("*").alias("n"))
+    known = vectors.where(F.col("vector").isNotNull()).select(F.col("word").cast(word).alias("word"), F.col("vector").cast("array<double>").alias("vector"))
+    known = settled(known.join(used, "word"))
+    size = F.size("vector")
+    n, least, largest = known.agg(F.count("*"), F.coalesce(F.min(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    if least != largest:
+        raise ValueError(f"vectors have sizes {least} to {largest}")
+    shards = max(1, -(-n * largest * 8 // most))
+    shard, rows_each = F.pmod(F.xxhash64("word"), F.lit(shards)), max(1, most // (8 * max(1, largest)))
+    known = known.withColumn("shard", shard)
+    # a row a shard
+    deal = F.broadcast(known.groupBy("shard").agg(F.ceil(F.sum("n") / rows_each).alias("blocks")))
+    a = rows.groupBy(key, "word").agg(F.sum("w").alias("w")).withColumn("shard", shard).join(deal, "shard").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks"))).drop("blocks")
+    b = known.drop("n").join(deal, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    kind = StructType([docs.select(key).schema[0], StructField("v", ArrayType(DoubleType())), StructField("w", DoubleType())])
+    means = a.groupBy("shard", "block").cogroup(b.groupBy("shard", "block")).applyInArrow(lambda x, y: _means(x, y, key, largest), kind)
+    if shards > 1:
+        means = means.groupBy(key).agg(Summarizer.mean(array_to_vector("v"), F.col("w")).alias("v")).withColumn("v", vector_to_array("v"))
+    return means.select(key, let(F.col("v"), unit).alias("embedding"))
+
+
+def _means(rows: pa.Table, known: pa.Table, key: str, size: int) -> pa.Table:
+    """key, v, w: the weighted mean of the known words' vectors and the sum of their weights. rows: key, word, w; known: word, vector."""
+    words = pa.concat_arrays(known["word"].chunks or [pa.array([], known.schema.field("word").type)]).dictionary_encode()
+    rows = rows.append_column("at", pc.index_in(rows["word"], value_set=words.dictionary))
+    rows = rows.filter(pc.is_valid(rows["at"]))
+    keys = pa.concat_arrays(rows[key].chunks or [pa.array([], rows.schema.field(key).type)]).dictionary_encode("encode")
+    code, at, w = keys.indices.to_numpy(zero_copy_only=False), rows["at"].to_numpy(), rows["w"].to_numpy()
+    # a word may have several vectors
+    place = words.indices.to_numpy(zero_copy_only=False)
+    matrix, times = np.zeros((len(words.dictionary), size)), np.bincount(place, minlength=len(words.dictionary))
+    np.add.at(matrix, place, pc.list_flatten(known["vector"]).to_numpy().reshape(len(place), size))
+    order = np.argsort(code, kind="stable")
+    code, at, w = code[order], at[order], w[order]
+    sums = np.zeros((len(keys.dictionary), size))
+    for first in range(0, len(code), CHUNK):
+        c, p, x = (v[first : first + CHUNK] for v in (code, at, w))
+        starts = np.flatnonzero(np.diff(c, prepend=-1))
+        sums[c[starts]] += np.add.reduceat(matrix[p] * x[:, None], starts)
+    total = np.bincount(code, w * times[at], minlength=len(sums))
+    flat = pa.array((sums / total[:, None]).ravel())
+    return pa.table({key: keys.dictionary, "v": pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * size), flat), "w": pa.array(total, pa.float64())})
 
 
 def by_mode(docs: DataFrame, models: dict[str, DataFrame], key: str, mode: str = "ion_mode", power: float = 0.5) -> DataFrame:
@@ -102,8 +149,6 @@ def train_word_vectors(docs: DataFrame, key: str, size: int = 300, window: int =
 
     texts = docs.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "weight"))), lambda w: w.word).alias("words"))
     model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, inputCol="words", outputCol="v").fit(texts)
-    from pyspark.ml.functions import vector_to_array
-
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
