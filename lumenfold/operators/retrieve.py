@@ -13,7 +13,7 @@ the library every row is returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,9 @@ OUT = "query_index long, library_index long, similarity double"
 
 
 def _usable(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding")).where(all_finite(F.col("embedding")))
+    """Single vectors stay single until a task multiplies them."""
+    kind = "array<float>" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    return df.select(F.col(key).cast("long").alias(key), F.col("embedding").cast(kind).alias("embedding")).where(all_finite(F.col("embedding")))
 
 
 def _matrix(values) -> np.ndarray:
@@ -39,26 +41,30 @@ def _matrix(values) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def _best(q: np.ndarray, ids: np.ndarray, lib: np.ndarray, lib_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of lib for each row of q; lib_ids ascend. Rounded products below a query's k-th best so far are never listed."""
-    row, col, sim, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), None
-    for at in range(0, len(lib_ids), CHUNK):
-        s = q @ lib[at : at + CHUNK].T
-        if least is None and s.shape[1] > k:
-            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+def _best(q: np.ndarray, ids: np.ndarray, lib: np.ndarray, lib_ids: np.ndarray, k: int, tiles: Iterable[tuple[np.ndarray, int, int]] | None = None, least: np.ndarray | None = None) -> pd.DataFrame:
+    """The k best of lib for each row of q. Rounded products below a query's k-th best so far are never listed.
+
+    tiles: rows of q that meet lib from a first row to a last, all of them by default; least: a bound that is known for each row of q.
+    """
+    row, col, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least = np.full(len(q), -np.inf) if least is None else least.copy()
+    every = np.arange(len(q))
+    for rows, first, last in ((every, at, at + CHUNK) for at in range(0, len(lib_ids), CHUNK)) if tiles is None else tiles:
+        s = (q if len(rows) == len(q) else q[rows]) @ lib[first:last].T
+        new = least[rows] == -np.inf
+        if s.shape[1] > k and new.any():
+            least[rows[new]] = np.partition(s[new], s.shape[1] - k, axis=1)[:, s.shape[1] - k]
         # rounding moves a product by half of 1e-12
-        r, c = np.nonzero(s >= least[:, None] - 2e-12) if least is not None else np.nonzero(np.ones(s.shape, bool))
+        r, c = np.nonzero(s >= least[rows][:, None] - 2e-12)
         if not len(r):
             continue
-        row, col, sim = np.concatenate([row, r]), np.concatenate([col, c + at]), np.concatenate([sim, np.round(s[r, c], 12)])
-        order = np.lexsort((col, -sim, row))
+        row, col, sim = np.concatenate([row, rows[r]]), np.concatenate([col, c + first]), np.concatenate([sim, np.round(s[r, c], 12)])
+        order = np.lexsort((lib_ids[col], -sim, row))
         row, col, sim = row[order], col[order], sim[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         row, col, sim, place = (x[place < k] for x in (row, col, sim, place))
-        last = place == k - 1
-        if last.any():
-            least = np.full(len(q), -np.inf) if least is None else least
-            least[row[last]] = np.maximum(least[row[last]], sim[last])
+        kth = place == k - 1
+        least[row[kth]] = np.maximum(least[row[kth]], sim[kth])
     return pd.DataFrame({"query_index": ids[row], "library_index": lib_ids[col], "similarity": sim})
 
 
