@@ -3,18 +3,24 @@
     python -m jobs.passage_search jobs/passage_search.json --documents PATH --passages PATH --out PATH
 
 A text is a sparse vector with a bin for each word, as a spectrum is one with a bin for each range of m/z. Words are
-`[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. Documents are read once: a document's norm is summed over its own sorted
-words in its row, and of its words only those that a passage has are exploded, counted and searched, by the library's
-sparse Top-K. Matches below `least` are left out. Output is partitioned by the document's language; a run writes the
-whole output again, so runs over the same tables give the same rows. Null and empty texts match nothing; keys must be unique.
+`[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. Documents are read once: a document's words are counted and its norm is
+summed in its row, and of its words only those that a passage has are kept and searched, by the library's sparse Top-K.
+Matches below `least` are left out. Output is partitioned by the document's language; a run writes the whole output
+again, so runs over the same tables give the same rows. Null and empty texts match nothing; keys must be unique.
 """
 
 from __future__ import annotations
 
 import argparse
 import logging
+import math
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from lumenfold.operators import retrieve
 from lumenfold.sources import cache
@@ -28,23 +34,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), *LOW), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def norm(sorted_words: Column) -> Column:
-    """Root of the sum of squared counts: a word's count n adds 2n + 1 when it comes again."""
-    start = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"))
-
-    def step(s: Column, w: Column) -> Column:
-        n = F.when(s.word == w, s.n).otherwise(F.lit(0).cast("long"))
-        return F.struct(w.alias("word"), (n + 1).alias("n"), (s.sum + 2 * n + 1).alias("sum"))
-
-    return F.sqrt(F.aggregate(sorted_words, start, step, lambda s: s.sum.cast("double")))
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text and word: key, the norm over all of the text's words, word, its count. Bytes lower only A-Z and split at [\\x20\\x09-\\x0D]."""
+    for b in batches:
+        for first in range(0, b.num_rows, 500):
+            keys, texts = (c.slice(first, 500) for c in b.columns)
+            found = [Counter(t.lower().split()) for t in texts.to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(c) for c in found])
+            norms = np.array([math.sqrt(sum(n * n for n in c.values())) for c in found])
+            columns = [keys.take(pa.array(at)), pa.array(norms[at]), pa.array([w for c in found for w in c], pa.binary()), pa.array([n for c in found for n in c.values()], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[b.schema.names[0], "norm", "word", "n"])
 
 
 def vectors(rows: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """rows: key, text. Gives key, bin, value over the vocabulary's words; the norm is over all words."""
-    sized = rows.select(key, F.array_sort(words(F.col("text"))).alias("words"))
-    # the norm before the words are exploded, or it would be summed anew for each
-    found = sized.withColumn("norm", norm(F.col("words"))).select(key, "norm", F.explode("words").alias("word")).join(vocabulary, "word")
-    return found.groupBy(key, "bin").agg((F.count("*") / F.first("norm")).alias("value"))
+    texts = rows.select(key, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    kind = StructType([texts.schema[0], StructField("norm", DoubleType()), StructField("word", BinaryType()), StructField("n", LongType())])
+    found = texts.mapInArrow(counted, kind).withColumn("word", F.col("word").cast("string")).join(vocabulary, "word")
+    return found.select(key, "bin", (F.col("n") / F.col("norm")).alias("value"))
 
 
 def run(spark: SparkSession, documents_path: str, passages_path: str, out: str, **settings) -> DataFrame:
