@@ -14,6 +14,7 @@ from ..functions.peaks import first_valid, pack
 from ..sources.cache import settled
 
 SHIFT = 100_000  # added to the seed for mixtures of three
+DRAWS = 2_000  # mixtures that a task draws
 
 
 def windows(df: DataFrame, width: float = 20.0, least: int = 3) -> DataFrame:
@@ -102,12 +103,15 @@ def draw(df: DataFrame, n_two: int, n_three: int, seed: int = 42, mode: str = "d
             yield pd.DataFrame(out, columns=["query_index", "attempt", "kind", "slot", "weight", "window_id", "place"])
 
     found, missing = [], None
+    tasks = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(n_two + n_three) // DRAWS)))
     # nearly all succeed at once
     for first, last in ((0, 1), (1, 30), (30, tries)):
         if first >= min(last, tries):
             break
         tried = left.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(min(last, tries) - 1)))).withColumn("w", pick)
-        drawn = tried.join(numbered, "w").select("query_index", "attempt", "window_id", "n").mapInPandas(members, kind).join(keys, ["window_id", "place"])
+        # few bytes but dear in time, so the number of mixtures decides how many tasks draw
+        dealt = tried.join(numbered, "w").select("query_index", "attempt", "window_id", "n").repartition(tasks, "query_index", "attempt")
+        drawn = dealt.mapInPandas(members, kind).join(keys, ["window_id", "place"])
         slot = F.struct("slot", "kind", "weight", "window_id", "place")
         good = drawn.groupBy("query_index", "attempt").agg(F.collect_list(slot).alias("slots"), F.count_distinct("key").alias("kinds")).where(F.col("kinds") == F.size("slots"))
         good = settled(good.groupBy("query_index").agg(F.min_by("slots", "attempt").alias("slots")))
