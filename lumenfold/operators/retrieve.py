@@ -1,11 +1,14 @@
 """Exact cosine Top-K of every query in a library.
 
 Two physical forms give the same rows. `block`: the library's
-matrix is broadcast and multiplied by batches of queries. `partitioned`: both sides are dealt into blocks, each
-pair of blocks is one task with a partial Top-K, and partial lists are merged. `block` and `auto` broadcast while the
-library's matrix is below LIMIT bytes, as each Python worker holds it, and are `partitioned` beyond. Beyond SIDE blocks a
-side, blocks grow up to BLOCK vectors, as each vector is copied once for each block of the other side. Products are made
-for QUERIES queries and CHUNK vectors at a time, and only those not below the K-th best so far are kept.
+matrix is broadcast and multiplied by batches of queries. `partitioned`: queries are dealt into blocks and the library
+into packs of PACK bytes; a block is one task which all packs pass, so that it ends with its queries' whole Top-K and no partial
+lists are written. `block` and `auto` broadcast while the
+library's matrix is below LIMIT bytes, as each Python worker holds it, and are `partitioned` beyond. Beyond SIDE blocks,
+blocks grow until they hold FULL vectors or HELD bytes, as the library is copied once for each block.
+
+Products are made in single precision, for QUERIES queries and STEP vectors at a time. Those that can't be below the K-th
+best so far, whatever their rounding, are made again in double precision, and only these are compared.
 
 Vectors that are null or not finite are left out. Ties go to the smaller library_index. With K above the size of
 the library every row is returned.
@@ -17,6 +20,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -24,8 +29,11 @@ from ..functions.vectors import all_finite
 
 LIMIT, SHARED, BLOCK, SIDE = 32 << 20, 256 << 20, 20_000, 12
 QUERIES, CHUNK = 256, 4_096
+PACK, STEP, PAIRS, FULL, HELD = 1 << 20, 1_024, 16_384, 40_000, 64 << 20
+NONE = np.iinfo(np.int64).min  # stands for a key that is null, and comes first as it does
 SPARSE, SPARSE_SIDE, SPARSE_QUERIES = 8_000, 5, 1_000
 OUT = "query_index long, library_index long, similarity double"
+RANKED = "query_index long, rank long, library_index long, similarity double"
 
 
 def _usable(df: DataFrame, key: str) -> DataFrame:
@@ -58,7 +66,7 @@ def _best(q: np.ndarray, ids: np.ndarray, lib: np.ndarray, lib_ids: np.ndarray,
         r, c = np.nonzero(s >= least[rows][:, None] - 2e-12)
         if not len(r):
             continue
-        row, col, sim = np.concatenate([row, rows[r]]), np.concatenate([col, c + first]), np.concatenate([sim, np.round(s[r, c], 12)])
+        row, col, sim = np.concatenate([row, rows[r]]), np.concatenate([col, c + first]), np.concatenate([sim, _products_of(q, lib, rows[r], c + first)])
         order = np.lexsort((lib_ids[col], -sim, row))
         row, col, sim = row[order], col[order], sim[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -68,6 +76,112 @@ def _best(q: np.ndarray, ids: np.ndarray, lib: np.ndarray, lib_ids: np.ndarray,
     return pd.DataFrame({"query_index": ids[row], "library_index": lib_ids[col], "similarity": sim})
 
 
+def _products_of(q: np.ndarray, lib: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Products of pairs of rows, rounded; each is summed by itself, so that it doesn't depend on the matrix it is in."""
+    parts = [np.einsum("ij,ij->i", q[row[i : i + PAIRS]], lib[col[i : i + PAIRS]]) for i in range(0, len(row), PAIRS)]
+    return np.round(np.concatenate(parts), 12) if parts else np.zeros(0)
+
+
+class Nearest:
+    """The k best of all library vectors that have been shown, for each row of q: unit vectors in double precision."""
+
+    def __init__(self, q: np.ndarray, k: int):
+        self.q, self.k, self.single = q, k, q.astype(np.float32)
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.parts = [[none] for _ in range(0, len(q), QUERIES)]
+        self.least, self.last = np.full(len(q), -np.inf), np.full(len(q), NONE)  # the k-th best so far and its key
+
+    def show(self, lib: np.ndarray, lib_ids: np.ndarray) -> None:
+        # a sum of n products of single precision is off by n half units at most, as vectors are of norm 1; taken twice
+        off, single = (lib.shape[1] + 8) * 2.0**-23, lib.astype(np.float32)
+        for at in range(0, len(lib_ids), STEP):
+            step, some, ids = lib[at : at + STEP], single[at : at + STEP].T, lib_ids[at : at + STEP]
+            for i in range(len(self.parts)):
+                rows = slice(i * QUERIES, (i + 1) * QUERIES)
+                s, least, last = self.single[rows] @ some, self.least[rows], self.last[rows]
+                bound = least - off
+                new = least == -np.inf
+                if s.shape[1] > self.k and new.any():
+                    bound[new] = np.partition(s[new], s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k] - 2 * off
+                r, c = divmod(_true(s >= bound.astype(np.float32)[:, None]), s.shape[1])
+                if len(r):
+                    sim = _products_of(self.q[rows], step, r, c)
+                    keep = (sim > least[r]) | (sim == least[r]) & (ids[c] < last[r])
+                    self.parts[i].append((r[keep], ids[c[keep]], sim[keep]))
+                    if new.any() or sum(len(x[0]) for x in self.parts[i][1:]) > max(QUERIES, self.k * len(s) // 2):
+                        self._merge(i)
+
+    def _merge(self, i: int) -> None:
+        row, ids, sim = (np.concatenate(x) for x in zip(*self.parts[i], strict=True))
+        order = np.lexsort((ids, -sim, row))
+        row, ids, sim = row[order], ids[order], sim[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kth = place == self.k - 1
+        self.least[i * QUERIES + row[kth]], self.last[i * QUERIES + row[kth]] = sim[kth], ids[kth]
+        self.parts[i] = [tuple(x[place < self.k] for x in (row, ids, sim))]
+
+    def found(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of q, in their order, and for each the library's keys and similarities, best first; a batch of rows at a time."""
+        for i in range(len(self.parts)):
+            self._merge(i)
+            row, ids, sim = self.parts[i][0]
+            yield i * QUERIES + row, ids, sim
+
+
+def _true(mask: np.ndarray) -> np.ndarray:
+    """Places of a matrix, counted through its rows, where it is true; eight at a time, as few are."""
+    flat = mask.ravel()
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    hit = np.flatnonzero(flat.view(np.uint64))
+    word, place = np.nonzero(flat.reshape(-1, 8)[hit])
+    return hit[word] * 8 + place
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def _keys(column: pa.ChunkedArray) -> np.ndarray:
+    return pc.fill_null(column, NONE).to_numpy()
+
+
+def _rows(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    return pc.list_flatten(column).to_numpy().reshape(len(column), size)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches as tables of `rows` rows or more; the last one has fewer."""
+    held, count = [], 0
+    for b in batches:
+        held, count = [*held, b], count + b.num_rows
+        if count >= rows:
+            yield pa.Table.from_batches(held)
+            held, count = [], 0
+    if count:
+        yield pa.Table.from_batches(held)
+
+
+def _buffer(value: pa.Scalar, kind: str) -> np.ndarray:
+    held = value.as_buffer()
+    return np.frombuffer(held, kind) if held.size else np.zeros(0, kind)
+
+
+def _ranked_lists(search: Nearest, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What search has found, with ranks; queries of one key share one list."""
+    found = search.found()
+    if len(np.unique(keys)) < len(keys):
+        found = [tuple(np.concatenate(x) for x in zip(*found, strict=True))]
+    for row, ids, sim in found:
+        key = keys[row]
+        order = np.lexsort((ids, -sim, key))
+        key, ids, sim = key[order], ids[order], sim[order]
+        rank = np.arange(len(key)) - np.searchsorted(key, key) + 1
+        held = [pa.array(v[rank <= search.k], mask=v[rank <= search.k] == NONE if v.dtype == np.int64 else None) for v in (key, rank, ids, sim)]
+        yield pa.record_batch(held, ["query_index", "rank", "library_index", "similarity"])
+
+
 def _block_pairs(queries: pd.DataFrame, library: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
     """The k best of one block of the library for each query of another block, a batch of queries at a time."""
     if not len(queries) or not len(library):
@@ -131,13 +245,16 @@ def _share(lib: DataFrame) -> Broadcast:
 
 def topk_shared(queries: DataFrame, shared: Broadcast, k: int = 100) -> DataFrame:
     """topk_cosine() in a library that share() has broadcast; many calls can use one."""
+    rows = max(QUERIES, HELD // (16 * max(k, 1)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lib, ids = shared.value
-        for b in batches:
-            for at in range(0, len(b) if len(ids) else 0, QUERIES):
-                part = b.iloc[at : at + QUERIES]
-                yield _best(_matrix(part["embedding"]), part["query_index"].to_numpy(), lib, ids, k)
+        for b in batches if len(ids) else ():
+            for at in range(0, len(b), rows):
+                search, keys = Nearest(_matrix(b["embedding"].iloc[at : at + rows]), k), b["query_index"].to_numpy()[at : at + rows]
+                search.show(lib, ids)
+                for row, library, sim in search.found():
+                    yield pd.DataFrame({"query_index": keys[row], "library_index": library, "similarity": sim})
 
     return _ranked(_usable(queries, "query_index").mapInPandas(run, OUT), k)
 
@@ -152,15 +269,43 @@ def topk_cosine(queries: DataFrame, library: DataFrame, k: int = 100, strategy:
         # vectors are few in bytes but dear in time, so their number decides how many tasks search
         tasks = min(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_queries // QUERIES))
         return topk_shared(q.repartition(max(1, tasks)), _share(lib), k)
-    n, m = (blocks(rows, block) for rows in (n_queries, n_library))
-    qb, lb = F.pmod(F.xxhash64("query_index"), F.lit(n)), F.pmod(F.xxhash64("library_index"), F.lit(m))
-    a = q.withColumn("qb", qb).withColumn("lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-    b = lib.withColumn("lb", lb).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    full = max(QUERIES, min(FULL, HELD // (12 * max(size, 1)), HELD // (16 * max(k, 1))))
+    return _streamed(q, lib, k, size, blocks(n_queries, min(block, STEP), full, 2 * SIDE))
 
-    def part(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return _joined(_block_pairs(x, y, k))
 
-    return _ranked(a.groupBy("qb", "lb").cogroup(b.groupBy("qb", "lb")).applyInPandas(part, OUT), k)
+def _streamed(q: DataFrame, lib: DataFrame, k: int, size: int, n: int) -> DataFrame:
+    """The Top-K of n blocks of queries, each in a task of its own which the whole library passes, packed."""
+    kind, wide = q.schema["embedding"].dataType, "f4" if lib.schema["embedding"].dataType.simpleString() == "array<float>" else "f8"
+    rows = max(1, PACK // (8 * max(size, 1)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _gathered(batches, rows):
+            ids, x = _keys(t["library_index"]), _rows(t["embedding"], size)
+            packed = [[v[i : i + rows].tobytes() for i in range(0, len(ids), rows)] for v in (ids, x)]
+            yield pa.record_batch([pa.array(v, pa.binary()) for v in packed], ["ids", "x"])
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("qb")
+    packs = lib.mapInArrow(pack, "ids binary, x binary").select(every, F.lit(1).alias("side"), F.lit(None).cast("long").alias("query_index"), F.lit(None).cast(kind).alias("embedding"), "ids", "x")
+    none = F.lit(None).cast("binary")
+    asked = q.select(F.pmod(F.xxhash64("query_index"), F.lit(n)).cast("int").alias("qb"), F.lit(0).alias("side"), "query_index", "embedding", none.alias("ids"), none.alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, search, keys = [], None, None
+        for b in batches:
+            first = int(np.searchsorted(b.column("side").to_numpy(), 1))
+            if first:
+                queries.append(b.slice(0, first).select(["query_index", "embedding"]))
+            if first < b.num_rows and queries:
+                if search is None:
+                    t = pa.Table.from_batches(queries).combine_chunks()
+                    keys, search = _keys(t["query_index"]), Nearest(_unit(_rows(t["embedding"], size)), k)
+                for ids, x in zip(*(b.column(c).slice(first) for c in ("ids", "x")), strict=True):
+                    ids = _buffer(ids, "i8")
+                    search.show(_unit(_buffer(x, wide).reshape(len(ids), size)), ids)
+        if search is not None:
+            yield from _ranked_lists(search, keys)
+
+    return asked.unionByName(packs).repartitionById(n, "qb").sortWithinPartitions("side").mapInArrow(run, RANKED)
 
 
 def blocks(rows: int, block: int, full: int = BLOCK, side: int = SIDE) -> int:

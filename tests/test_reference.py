@@ -674,3 +674,99 @@ def test_head_of_a_run_gives_groups_names_and_encoding():
     assert row["scan_id"] == "\xe9" and row["ionmode"] == "negative"
     with pytest.raises(ValueError, match="UTF-16"):
         runs.head(io.BytesIO(text.replace("ISO-8859-1", "UTF-16").encode("utf-16")))
+
+
+def plain_groups(v, most=20, floor=1e-3):
+    """EM by its definition, one list and one component at a time, every number of groups tried."""
+    v, found, best = np.sort(v), 1, np.inf
+    for k in range(1, min(most, len(np.unique(v))) + 1):
+        at = (np.arange(k) + 0.5) / k * (len(v) - 1)
+        mean, var, share = np.interp(at, np.arange(len(v)), v), np.full(k, max(v.var() / k**2, floor)), np.full(k, 1 / k)
+        for _ in range(100):
+            logs = np.log(share) - 0.5 * np.log(2 * np.pi * var) - 0.5 * (v[:, None] - mean) ** 2 / var
+            like = np.logaddexp.reduce(logs, axis=1)
+            r = np.exp(logs - like[:, None])
+            mass = r.sum(axis=0) + 1e-9
+            new = (r * v[:, None]).sum(axis=0) / mass
+            var, share = np.maximum((r * (v[:, None] - new) ** 2).sum(axis=0) / mass, floor), mass / mass.sum()
+            mean, off = new, np.abs(new - mean).max()
+            if off < 1e-6:
+                break
+        bic = -2 * like.sum() + (3 * k - 1) * np.log(len(v))
+        assert like.sum() <= decompose._most_likely(*np.unique(v, return_counts=True), floor) + 1e-6
+        found, best = (k, bic) if bic < best - 1e-9 else (found, best)
+    return found
+
+
+def test_groups_that_leave_early_are_those_of_every_number_tried():
+    rng = np.random.default_rng(8)
+    lists = [np.round(rng.normal(rng.choice(rng.random(int(rng.integers(1, 6))) * 200, int(rng.integers(2, 60))), rng.choice([0.0, 0.02, 0.3])), 3) for _ in range(40)]
+    assert decompose.groups_of(lists, block=16).tolist() == [plain_groups(v) for v in lists]
+
+
+def test_a_task_of_queries_ends_with_their_whole_lists(spark, monkeypatch):
+    """Queries in blocks which a library in packs passes: brute force's rows with ties, repeated and null keys; no window merges partial lists."""
+    for name, value in {"PACK": 512, "STEP": 7, "QUERIES": 5, "PAIRS": 11}.items():
+        monkeypatch.setattr(retrieve, name, value)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(60, 4)), np.tile(rng.normal(size=(1, 4)), (30, 1))])
+    ids = [None, *range(1, 80), *range(70, 80)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], f"id long, embedding array<{kind}>").repartition(3)
+        held = np.array([r.embedding for r in df.collect()]), [r.id for r in df.collect()]
+        u = held[0] / np.sqrt((held[0] ** 2).sum(axis=1, keepdims=True))
+        for k in (3, 10, 500):
+            got = retrieve.topk_cosine(df.withColumnRenamed("id", "query_index"), df.withColumnRenamed("id", "library_index"), k, "partitioned", block=20)
+            want = []
+            for q in set(held[1]):
+                pairs = sorted(((-round(float(u[i] @ u[j]), 12), -1 if held[1][j] is None else held[1][j]) for i in range(90) if held[1][i] == q for j in range(90)))
+                want += [(q, n, None if j < 0 else j, round(-s, 9)) for n, (s, j) in enumerate(pairs[:k], 1)]
+            order = lambda r: (r[0] is None, r[0] or 0, r[1])
+            rows = sorted(((r.query_index, r.rank, r.library_index, round(r.similarity, 9)) for r in got.collect()), key=order)
+            assert rows == sorted(want, key=order)
+        assert "Window" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("k", [1, 6, 40, 500])
+def test_library_shown_in_packs_gives_the_best_of_all(monkeypatch, k):
+    for name, value in {"STEP": 7, "QUERIES": 5, "PAIRS": 11}.items():
+        monkeypatch.setattr(retrieve, name, value)
+    rng = np.random.default_rng(k)
+    x = retrieve._unit(np.concatenate([np.tile(rng.normal(size=(20, 5)), (8, 1)), rng.normal(size=(40, 5)), np.zeros((3, 5))]).astype(np.float32))
+    ids, search = rng.permutation(len(x)), retrieve.Nearest(x[:23], k)
+    for at in range(0, len(x), 16):
+        search.show(x[at : at + 16], ids[at : at + 16])
+    row, lib, sim = (np.concatenate(v) for v in zip(*search.found(), strict=True))
+    s = retrieve._products_of(x, x, np.repeat(np.arange(23), len(x)), np.tile(np.arange(len(x)), 23)).reshape(23, -1)
+    for i in range(23):
+        best = np.lexsort((ids, -s[i]))[:k]
+        assert lib[row == i].tolist() == ids[best].tolist() and sim[row == i].tolist() == s[i, best].tolist()
+
+
+def test_kept_candidates_need_no_vectors_and_are_those_of_decompose(spark, monkeypatch):
+    """Queries over batches of a few rows; what is counted of each is what one query's functions say."""
+    monkeypatch.setattr(decompose, "ROWS", 150)
+    rng = np.random.default_rng(9)
+    lib = spark.createDataFrame([(i, float(100 + 50 * (i % 5)), rng.normal(size=6).tolist()) for i in range(90)], "library_index long, precursor_mz double, embedding array<double>")
+    topk = retrieve.topk_cosine(lib.select(F.col("library_index").alias("query_index"), "embedding").limit(25), lib, 60)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+        rows = decompose.decompose(topk, lib, "m", k_min=5).collect()
+        one = {r.query_index: r for r in decompose.kept(topk, lib.drop("embedding"), k_min=5).collect()}
+        few = {r.query_index: r.adaptive_k for r in decompose.kept(topk, lib.drop("embedding"), k_min=5, groups=False).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    found, x = {}, {r.library_index: r.embedding for r in lib.collect()}
+    for r in topk.collect():
+        found.setdefault(r.query_index, []).append((r.rank, r.library_index, r.similarity))
+    assert len(found) == len(one) == len(few) == 25
+    for q, listed in found.items():
+        listed = sorted(listed)
+        k, m = decompose.adaptive_k(np.array([s for _, _, s in listed]), k_min=5, k_max=60)
+        n = plain_groups(np.array([100 + 50 * (i % 5) for _, i, _ in listed[:k]], float))
+        labels = decompose.clusters(np.array([x[i] for _, i, _ in listed[:k]]), n)
+        mine = sorted((r for r in rows if r.query_index == q), key=lambda r: r.rank)
+        assert [(r.rank, r.library_index, r.similarity, r.cluster) for r in mine] == [(*c, g) for c, g in zip(listed[:k], labels.tolist(), strict=True)]
+        assert {(r.method, r.adaptive_k, r.original_knn_k, r.selected_segments, r.estimated_n_precursor_groups) for r in mine} == {("m", k, 60, m, n)}
+        assert (one[q].adaptive_k, one[q].original_knn_k, one[q].selected_segments, one[q].estimated_n_precursor_groups, few[q]) == (k, 60, m, n, k)
