@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.vectors import all_finite
@@ -32,6 +32,8 @@ QUERIES, CHUNK = 256, 4_096
 PACK, STEP, PAIRS, FULL, HELD = 1 << 20, 1_024, 16_384, 40_000, 64 << 20
 NONE = np.iinfo(np.int64).min  # stands for a key that is null, and comes first as it does
 SPARSE, SPARSE_SIDE, SPARSE_QUERIES = 8_000, 5, 1_000
+ENTRIES, SPARSE_BINS, SPARSE_HELD, SPARSE_SLICE = 1 << 20, 2_048, 20_000_000, 56_000_000
+PACKED = ("ids", "size", "bins", "place", "value")
 OUT = "query_index long, library_index long, similarity double"
 RANKED = "query_index long, rank long, library_index long, similarity double"
 
@@ -78,8 +80,13 @@ def _best(q: np.ndarray, ids: np.ndarray, lib: np.ndarray, lib_ids: np.ndarray,
 
 def _products_of(q: np.ndarray, lib: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
     """Products of pairs of rows, rounded; each is summed by itself, so that it doesn't depend on the matrix it is in."""
-    parts = [np.einsum("ij,ij->i", q[row[i : i + PAIRS]], lib[col[i : i + PAIRS]]) for i in range(0, len(row), PAIRS)]
-    return np.round(np.concatenate(parts), 12) if parts else np.zeros(0)
+    return np.round(_sums_of(q, lib, row, col), 12)
+
+
+def _sums_of(q: np.ndarray, lib: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    step = max(1, 64 * PAIRS // max(q.shape[1], 1))
+    parts = [np.einsum("ij,ij->i", q[row[i : i + step]], lib[col[i : i + step]]) for i in range(0, len(row), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 class Nearest:
@@ -105,11 +112,13 @@ class Nearest:
                     bound[new] = np.partition(s[new], s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k] - 2 * off
                 r, c = divmod(_true(s >= bound.astype(np.float32)[:, None]), s.shape[1])
                 if len(r):
-                    sim = _products_of(self.q[rows], step, r, c)
-                    keep = (sim > least[r]) | (sim == least[r]) & (ids[c] < last[r])
-                    self.parts[i].append((r[keep], ids[c[keep]], sim[keep]))
-                    if new.any() or sum(len(x[0]) for x in self.parts[i][1:]) > max(QUERIES, self.k * len(s) // 2):
-                        self._merge(i)
+                    self._add(i, r, ids[c], _products_of(self.q[rows], step, r, c), least, last)
+
+    def _add(self, i: int, row: np.ndarray, ids: np.ndarray, sim: np.ndarray, least: np.ndarray, last: np.ndarray) -> None:
+        keep = (sim > least[row]) | (sim == least[row]) & (ids < last[row])
+        self.parts[i].append((row[keep], ids[keep], sim[keep]))
+        if (least == -np.inf).any() or sum(len(x[0]) for x in self.parts[i][1:]) > max(QUERIES, self.k * len(least) // 2):
+            self._merge(i)
 
     def _merge(self, i: int) -> None:
         row, ids, sim = (np.concatenate(x) for x in zip(*self.parts[i], strict=True))
@@ -316,27 +325,121 @@ def blocks(rows: int, block: int, full: int = BLOCK, side: int = SIDE) -> int:
 def topk_sparse(queries: DataFrame, library: DataFrame, k: int = 100, all_queries: DataFrame | None = None, all_library: DataFrame | None = None, block: int = 2_000) -> DataFrame:
     """Exact Top-K over sparse rows (query_index | library_index, bin, value); every query gets min(k, library) rows, those without a common bin score 0.
 
-    Both sides are dealt into blocks of about `block` vectors and a task multiplies one pair of blocks over the bins
-    they share, so that a bin which all vectors have costs no more than others. Beyond SPARSE_SIDE blocks a side,
-    blocks grow up to SPARSE vectors; a task's products are those of SPARSE_QUERIES vectors at a time. all_queries and all_library (the key
-    columns) bring back keys without any bin, as zero vectors.
+    Both sides are packed, SPARSE_QUERIES vectors or ENTRIES values a pack. Packs of queries are dealt into blocks, which grow beyond
+    2 * SPARSE_SIDE of them until they hold SPARSE_HELD values; packs of the library into slices of SPARSE_SLICE values. A task holds a block
+    while a slice passes, a pair of packs multiplied at a time over the bins they share, so that a bin which all vectors have costs no
+    more than others. all_queries and all_library (the key columns) bring back keys without any bin, as zero vectors.
     """
     q, lib = _lists(queries, "query_index", all_queries), _lists(library, "library_index", all_library)
-    counts = queries.agg(F.lit(0).alias("side"), F.approx_count_distinct("query_index").alias("n")).unionByName(library.agg(F.lit(1).alias("side"), F.approx_count_distinct("library_index").alias("n")))
-    n, m = (blocks(r.n, block, SPARSE, SPARSE_SIDE) for r in sorted(counts.collect()))
-    qb, lb = F.pmod(F.xxhash64("query_index"), F.lit(n)), F.pmod(F.xxhash64("library_index"), F.lit(m))
-    a = q.withColumn("qb", qb).withColumn("lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-    b = lib.withColumn("lb", lb).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    sides = [df.agg(F.lit(i).alias("side"), F.approx_count_distinct(c).alias("n"), F.count("*").alias("values")) for i, (df, c) in enumerate(((queries, "query_index"), (library, "library_index")))]
+    (_, rows, values), (_, _, more) = sorted(sides[0].unionByName(sides[1]).collect())
+    n, m = sparse_deal(rows, values, more, block)
+    to = lambda first, count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(first)
+    asked = _packed(q, "query_index", n, block).select("*", F.lit(0).alias("side"), to("other", m)).withColumn("to", F.col("dealt") * m + F.col("other"))
+    packs = _packed(lib, "library_index", m, block).select("*", F.lit(1).alias("side"), to("other", n)).withColumn("to", F.col("other") * m + F.col("dealt"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches = []
+        for b in batches:
+            for side, *held in zip(b.column("side").to_pylist(), *(b.column(c) for c in PACKED), strict=True):
+                pack = Sparse(*held)
+                if side:
+                    for search in searches:
+                        search.show(pack)
+                else:
+                    searches.append(NearestSparse(pack, k))
+        for search in searches:
+            for row, ids, sim in search.found():
+                keys = search.pack.ids[row]
+                yield pa.record_batch([pa.array(keys, mask=keys == NONE), pa.array(ids, mask=ids == NONE), pa.array(sim)], ["query_index", "library_index", "similarity"])
+
+    dealt = asked.unionByName(packs).select("to", "side", *PACKED).repartitionById(n * m, "to")
+    return _ranked(dealt.sortWithinPartitions("side").mapInArrow(run, OUT), k)
 
-    def part(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"query_index": [], "library_index": [], "similarity": []})
-        y = y.sort_values("library_index")
-        ids = y["library_index"].to_numpy()
-        parts = (x.iloc[at : at + SPARSE_QUERIES] for at in range(0, len(x), SPARSE_QUERIES))
-        return _joined(_best_of(np.round(_products(p, y), 12), p["query_index"].to_numpy(), ids, k) for p in parts)
 
-    return _ranked(a.groupBy("qb", "lb").cogroup(b.groupBy("qb", "lb")).applyInPandas(part, OUT), k)
+def sparse_deal(rows: int, values: int, library: int, block: int) -> tuple[int, int]:
+    """How many blocks of queries and slices of the library, whose packs are copied once for each slice and for each block."""
+    return max(1, min(-(-rows // min(block, SPARSE_QUERIES)), max(2 * SPARSE_SIDE, -(-values // SPARSE_HELD)))), max(1, -(-library // SPARSE_SLICE))
+
+
+def _packed(lists: DataFrame, key: str, n: int, block: int) -> DataFrame:
+    """Packs of sparse vectors, dealt to 0 .. n-1: keys, lengths, the bins that occur, and of each value its bin's place among these."""
+    rows = min(block, SPARSE_QUERIES)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
+        for t in _gathered(batches, rows):
+            size = pc.list_value_length(t["bin"]).to_numpy().astype(np.int64)
+            every, ends = np.arange(len(size)), np.cumsum(size)
+            cuts = np.flatnonzero((np.diff(every // rows) > 0) | (np.diff((ends - size) // ENTRIES) > 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(size)], strict=True):
+                some = t.slice(a, b - a)
+                bins, place = np.unique(pc.list_flatten(some["bin"]).to_numpy(), return_inverse=True)
+                # values of one bin of a vector are one
+                entry, back = np.unique(np.repeat(np.arange(b - a), size[a:b]) * max(len(bins), 1) + place, return_inverse=True)
+                value = np.bincount(back, pc.list_flatten(some["value"]).to_numpy(), len(entry))
+                row, place = divmod(entry, max(len(bins), 1))
+                held = (_keys(some[key]), np.bincount(row, minlength=b - a).astype(np.int32), bins.astype(np.int64), place.astype(np.uint32 if len(bins) > 1 << 16 else np.uint16), value.astype(np.float64))
+                yield pa.record_batch([pa.array([number % n], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in held)], ["dealt", *PACKED])
+                number += 1
+
+    return lists.mapInArrow(pack, ", ".join(["dealt int", *(f"{c} binary" for c in PACKED)]))
+
+
+class Sparse:
+    """A pack of sparse vectors."""
+
+    def __init__(self, *held: pa.Scalar):
+        # copied, as buffers hold the whole batch
+        self.ids, self.size, self.bins = (_buffer(v, kind).copy() for v, kind in zip(held[:3], ("i8", "i4", "i8"), strict=True))
+        self.place, self.value = (_buffer(v, kind).copy() for v, kind in zip(held[3:], ("u4" if len(self.bins) > 1 << 16 else "u2", "f8"), strict=True))
+        self.norm = np.sqrt(np.bincount(self._row(), self.value**2, len(self.ids)))
+        self.longest, self.positive = self.size.max(initial=0), bool((self.value >= 0).all())
+
+    def _row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ids)), self.size)
+
+    def dense(self, places: np.ndarray) -> np.ndarray:
+        """The columns of some places."""
+        at = np.full(len(self.bins), -1)
+        at[places] = np.arange(len(places))
+        at, row = at[self.place], self._row()
+        hit = at >= 0
+        return np.bincount(row[hit] * len(places) + at[hit], self.value[hit], len(self.ids) * len(places)).reshape(len(self.ids), -1)
+
+
+class NearestSparse(Nearest):
+    """The k best of all packs that have been shown, for each vector of a pack."""
+
+    def __init__(self, pack: Sparse, k: int):
+        super().__init__(np.zeros((0, 0)), k)
+        self.pack, self.parts = pack, [[(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]]
+        self.least, self.last = np.full(len(pack.ids), -np.inf), np.full(len(pack.ids), NONE)
+
+    def show(self, lib: Sparse) -> None:
+        x, least, last, size = self.pack, self.least.copy(), self.last.copy(), (len(self.pack.ids), len(lib.ids))
+        _, a, b = np.intersect1d(x.bins, lib.bins, assume_unique=True, return_indices=True)
+        # vectors of x are brought to norm 1, those of lib to norms of 1 at most; zeros don't round
+        norm, most = np.where(x.norm > 0, x.norm, 1.0), lib.norm.max() or 1.0
+        off = (min(x.longest, lib.longest) + len(a) // SPARSE_BINS + 8) * 2.0**-23
+        s, sides = np.zeros(size, np.float32), None
+        for at in range(0, len(a), SPARSE_BINS):
+            sides = [p.dense(places[at : at + SPARSE_BINS]) for p, places in ((x, a), (lib, b))]
+            s += (sides[0] / norm[:, None]).astype(np.float32) @ (sides[1] / most).astype(np.float32).T
+        bound, new = least / (norm * most) - off, least == -np.inf
+        if size[1] > self.k and new.any():
+            bound[new] = np.partition(s[new], size[1] - self.k, axis=1)[:, size[1] - self.k] - 2 * off
+        r, c = divmod(_true(s >= bound.astype(np.float32)[:, None]), size[1])
+        sim = np.zeros(len(r))
+        # without negative values a product is 0 only where no bin is shared
+        some = np.flatnonzero(s[r, c] != 0) if x.positive and lib.positive and norm.max() * most < 1e9 else np.arange(len(r))
+        if len(some) and len(a) <= SPARSE_BINS and sides:
+            sim[some] = _sums_of(*sides, r[some], c[some])
+        elif len(some):
+            for at in range(0, len(a), SPARSE_BINS):
+                sim[some] += _sums_of(x.dense(a[at : at + SPARSE_BINS]), lib.dense(b[at : at + SPARSE_BINS]), r[some], c[some])
+        if len(r):
+            self._add(0, r, lib.ids[c], np.round(sim, 12), least, last)
 
 
 def _lists(rows: DataFrame, key: str, keys: DataFrame | None) -> DataFrame:
@@ -347,24 +450,3 @@ def _lists(rows: DataFrame, key: str, keys: DataFrame | None) -> DataFrame:
         listed = keys.select(F.col(key).cast("long").alias(key)).distinct().join(listed, key, "left")
     each = lambda name, kind: F.coalesce(F.transform("e", lambda x: x[name]), F.array().cast(kind)).alias(name)
     return listed.select(key, each("bin", "array<bigint>"), each("value", "array<double>"))
-
-
-def _products(x: pd.DataFrame, y: pd.DataFrame, chunk: int = 2_048) -> np.ndarray:
-    """All products of two blocks of sparse vectors; a chunk of their common bins is dense at a time."""
-    sides = []
-    for df in (x, y):
-        lengths = [len(v) for v in df["bin"]]
-        flat = (np.concatenate(df[c].to_list()) if sum(lengths) else np.zeros(0) for c in ("bin", "value"))
-        sides.append((np.repeat(np.arange(len(df)), lengths), *flat))
-    common = np.intersect1d(sides[0][1], sides[1][1])
-    out = np.zeros((len(x), len(y)))
-    for at in range(0, len(common), chunk):
-        bins, dense = common[at : at + chunk], []
-        for n, (row, bin_, value) in zip((len(x), len(y)), sides, strict=True):
-            place = np.minimum(np.searchsorted(bins, bin_), len(bins) - 1)
-            hit = bins[place] == bin_
-            held = np.zeros((n, len(bins)))
-            np.add.at(held, (row[hit], place[hit]), value[hit])
-            dense.append(held)
-        out += dense[0] @ dense[1].T
-    return out

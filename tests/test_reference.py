@@ -784,3 +784,36 @@ def test_what_needs_no_clusters_makes_none(spark, name):
     assert passes(got) == passes(rows) - 1
     if name == "adaptive_k_summary":
         assert "estimated_n_precursor_groups" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sparse_copies_grow_with_values_held_not_with_small_blocks():
+    """360,000 vectors of 470 values: 10 blocks and 4 slices, so 14 copies of a side; before, 45 blocks a side."""
+    n = 360_000
+    assert retrieve.sparse_deal(n, 470 * n, 470 * n, 2_000) == (10, 4)
+    assert [retrieve.sparse_deal(v, 470 * v, 470 * v, 2_000) for v in (0, 1_000, 5_500, 60_000)] == [(1, 1), (1, 1), (6, 1), (10, 1)]
+
+
+def test_sparse_packs_of_many_bins_signs_and_repeated_entries(spark, monkeypatch):
+    """Several blocks, slices and packs, more bins than are dense at once, entries that repeat, a null key: brute force's rows."""
+    for name, value in {"SPARSE_QUERIES": 9, "ENTRIES": 700, "SPARSE_HELD": 900, "SPARSE_SLICE": 1_500}.items():
+        monkeypatch.setattr(retrieve, name, value)
+    rng = np.random.default_rng(12)
+    bins, values = rng.integers(0, 5_000, (40, 120)), rng.normal(size=(40, 120)) * 10.0 ** rng.integers(-3, 4, (40, 1))
+    bins[0], bins[1:20, :30], bins[20:22] = np.arange(4_800, 4_920), np.arange(30), -bins[20:22] - 1
+    dense = np.zeros((40, 10_001))
+    for i in range(40):
+        np.add.at(dense[i], bins[i] + 5_001, values[i])
+    ids = [None, *range(1, 40)]
+    rows = spark.createDataFrame([(ids[i], int(b), float(v)) for i in range(40) for b, v in zip(bins[i], values[i], strict=True)], "key long, bin long, value double")
+    q, lib = rows.withColumnRenamed("key", "query_index"), rows.withColumnRenamed("key", "library_index")
+    s = dense @ dense.T
+    for k in (4, 60):
+        got = {}
+        for r in retrieve.topk_sparse(q, lib, k, block=9).collect():
+            got.setdefault(r.query_index, {})[r.rank] = (r.library_index, r.similarity)
+        assert len(got) == 40
+        for i in range(40):
+            best = np.lexsort((np.arange(40), -np.round(s[i], 12)))[:k]
+            mine = [got[ids[i]][n] for n in range(1, len(best) + 1)]
+            assert [j for j, _ in mine] == [ids[j] for j in best]
+            assert [v for _, v in mine] == pytest.approx(s[i, best].tolist(), rel=1e-9, abs=1e-9)
