@@ -394,18 +394,44 @@ class Sparse:
         self.ids, self.size, self.bins = (_buffer(v, kind).copy() for v, kind in zip(held[:3], ("i8", "i4", "i8"), strict=True))
         self.place, self.value = (_buffer(v, kind).copy() for v, kind in zip(held[3:], ("u4" if len(self.bins) > 1 << 16 else "u2", "f8"), strict=True))
         self.norm = np.sqrt(np.bincount(self._row(), self.value**2, len(self.ids)))
+        self.kept = None
         self.longest, self.positive = self.size.max(initial=0), bool((self.value >= 0).all())
 
     def _row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ids)), self.size)
 
-    def dense(self, places: np.ndarray) -> np.ndarray:
-        """The columns of some places."""
-        at = np.full(len(self.bins), -1)
-        at[places] = np.arange(len(places))
-        at, row = at[self.place], self._row()
-        hit = at >= 0
-        return np.bincount(row[hit] * len(places) + at[hit], self.value[hit], len(self.ids) * len(places)).reshape(len(self.ids), -1)
+    def dense(self, at: np.ndarray, width: int, values: np.ndarray | None = None, rows: np.ndarray | None = None) -> np.ndarray:
+        """Values in columns: at[i] is the i-th bin's, or -1; of all vectors or of some."""
+        column, row, values = at[self.place], self._row(), self.value if values is None else values
+        if rows is not None:
+            number = np.full(len(self.ids), -1)
+            number[rows] = np.arange(len(rows))
+            row = number[row]
+        if (rows is not None) or at.min(initial=0) < 0:
+            hit = np.flatnonzero((column >= 0) & (row >= 0))
+            column, row, values = column[hit], row[hit], values[hit]
+        out = np.zeros((len(self.ids) if rows is None else len(rows), width), values.dtype)
+        out.ravel()[row * width + column] = values
+        return out
+
+    def scaled(self, by: np.ndarray | float) -> np.ndarray:
+        """Values in single precision, divided by a number for each vector."""
+        return (self.value / (np.repeat(by, self.size) if np.ndim(by) else by)).astype(np.float32)
+
+    def columns(self, first: int, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Some of the pack's bins, and its vectors in these, in both precisions; the last ones are kept, as many queries ask for them."""
+        if self.kept is None or self.kept[0] != first:
+            at = np.arange(len(self.bins)) - first
+            at[(at < 0) | (at >= SPARSE_BINS)] = -1
+            bins = self.bins[first : first + SPARSE_BINS]
+            self.kept = first, (bins, self.dense(at, len(bins)), self.dense(at, len(bins), self.scaled(most)).T)
+        return self.kept[1]
+
+
+def _places(bins: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Where each of bins stands among others, which ascend; -1 where it doesn't."""
+    at = np.minimum(np.searchsorted(among, bins), len(among) - 1)
+    return np.where(among[at] == bins, at, -1)
 
 
 class NearestSparse(Nearest):
@@ -418,14 +444,14 @@ class NearestSparse(Nearest):
 
     def show(self, lib: Sparse) -> None:
         x, least, last, size = self.pack, self.least.copy(), self.last.copy(), (len(self.pack.ids), len(lib.ids))
-        _, a, b = np.intersect1d(x.bins, lib.bins, assume_unique=True, return_indices=True)
+        firsts = [i for i in range(0, len(lib.bins), SPARSE_BINS) if len(x.bins)]
         # vectors of x are brought to norm 1, those of lib to norms of 1 at most; zeros don't round
         norm, most = np.where(x.norm > 0, x.norm, 1.0), lib.norm.max() or 1.0
-        off = (min(x.longest, lib.longest) + len(a) // SPARSE_BINS + 8) * 2.0**-23
-        s, sides = np.zeros(size, np.float32), None
-        for at in range(0, len(a), SPARSE_BINS):
-            sides = [p.dense(places[at : at + SPARSE_BINS]) for p, places in ((x, a), (lib, b))]
-            s += (sides[0] / norm[:, None]).astype(np.float32) @ (sides[1] / most).astype(np.float32).T
+        off = (min(x.longest, lib.longest) + len(firsts) + 8) * 2.0**-23
+        s, unit = np.zeros(size, np.float32), x.scaled(norm)
+        for first in firsts:
+            bins, _, single = lib.columns(first, most)
+            s += x.dense(_places(x.bins, bins), len(bins), unit) @ single
         bound, new = least / (norm * most) - off, least == -np.inf
         if size[1] > self.k and new.any():
             bound[new] = np.partition(s[new], size[1] - self.k, axis=1)[:, size[1] - self.k] - 2 * off
@@ -433,11 +459,11 @@ class NearestSparse(Nearest):
         sim = np.zeros(len(r))
         # without negative values a product is 0 only where no bin is shared
         some = np.flatnonzero(s[r, c] != 0) if x.positive and lib.positive and norm.max() * most < 1e9 else np.arange(len(r))
-        if len(some) and len(a) <= SPARSE_BINS and sides:
-            sim[some] = _sums_of(*sides, r[some], c[some])
-        elif len(some):
-            for at in range(0, len(a), SPARSE_BINS):
-                sim[some] += _sums_of(x.dense(a[at : at + SPARSE_BINS]), lib.dense(b[at : at + SPARSE_BINS]), r[some], c[some])
+        if len(some):
+            rows, back = np.unique(r[some], return_inverse=True)
+            for first in firsts:
+                bins, double, _ = lib.columns(first, most)
+                sim[some] += _sums_of(x.dense(_places(x.bins, bins), len(bins), rows=rows), double, back, c[some])
         if len(r):
             self._add(0, r, lib.ids[c], np.round(sim, 12), least, last)
 
